@@ -4,9 +4,10 @@ A document's set holds the 64-bit hashes of its distinct 5-word shingles (of all
 has fewer). 128 universal hash functions give its signature; 32 bands of 4 minima give its
 buckets: a pair at similarity 0.75 misses all of them with probability 5e-6, one at 0.85 with
 1e-10. Documents with equal sets stand for one node. Within a bucket all members are first
-checked against one of them, so a large group of copies costs one pair a member; the links
+checked against its centre, so a large group of copies costs one pair a member; the links
 found join nodes to components, and only pairs of members in different components are left.
-These are compared by signature, in blocks of bounded size, inside tasks. Every pair that
+These are compared by signature, in blocks of bounded size, inside tasks, each pair in the first
+bucket it shares. Every pair that
 passes by its signature (a linked pair fails with probability under 1e-7) is confirmed on the
 full sets, and components come from alternating large-star and small-star.
 
@@ -100,14 +101,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), HASHES)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each signature in each band."""
+    parts = sig.astype(np.uint64).reshape(-1, BANDS, HASHES // BANDS)
+    key = np.broadcast_to(_BAND, parts.shape[:2]).copy()
+    for j in range(parts.shape[2]):
+        key = mix64(key + parts[:, :, j])
+    return key.astype(np.int64)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least so many percent."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _bands(nodes: DataFrame) -> DataFrame:
     def start():
         def make(batch):
-            sig = _matrix(batch.column("sig")).astype(np.uint64).reshape(-1, BANDS, HASHES // BANDS)
-            key = np.broadcast_to(_BAND, sig.shape[:2]).copy()
-            for j in range(sig.shape[2]):
-                key = mix64(key + sig[:, :, j])
-            return [key.reshape(-1).astype(np.int64), np.repeat(batch.column("k").to_numpy(), BANDS)]
+            return [band_keys(_matrix(batch.column("sig"))).reshape(-1), np.repeat(batch.column("k").to_numpy(), BANDS)]
 
         return make
 
@@ -158,12 +172,8 @@ def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
 
     def start():
         def make(batch):
-            ok = []
-            for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist()):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
+            each = zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in each]
             keep = batch.filter(pa.array(ok, pa.bool_()))
             return [keep.column("a"), keep.column("b")]
 
@@ -174,52 +184,104 @@ def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
     return out
 
 
-def _left_over(members: DataFrame, nodes: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket, neither its centre, in different components and near
-    by signature. A bucket of more than BLOCK members is compared block against block."""
-    now = members.join(joined.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("component", F.coalesce("component", "k"))
-    open_keys = now.where("k != centre").groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 != c1").select("key", F.expr("int(ceil(size / %d))" % BLOCK).alias("blocks"))
-    rest = now.where("k != centre").join(open_keys, "key").join(nodes.select("k", "sig"), "k")
-    own = rest.withColumn("block", F.expr("int(pmod(xxhash64(k), blocks))"))
-    dealt = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k", "component", "sig")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
-    def compare(group: pa.Table):
-        block, comp, k = (group.column(c).to_numpy() for c in ("block", "component", "k"))
-        sig, lo = _matrix(group.column("sig")), group.column("lo")[0].as_py()
-        hi = group.column("hi")[0].as_py()
-        left = np.flatnonzero(block == lo)
-        right = np.flatnonzero(block == hi)
-        for i in left.tolist():
-            other = right[right > i] if lo == hi else right
-            other = other[comp[other] != comp[i]]
-            near = other[(sig[other] == sig[i]).sum(axis=1) >= SIGNATURE_LEAST]
-            if len(near):
-                yield np.minimum(k[near], k[i]), np.maximum(k[near], k[i])
+def _grouped(rows: DataFrame, keys: tuple[str, ...], schema: pa.Schema, each) -> DataFrame:
+    """``each(table)`` for every group of rows with equal keys, groups one after another in
+    a task; it yields lists of output columns."""
+
+    def out(held):
+        if held:
+            for columns in each(pa.Table.from_batches(held)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     def run(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         held: list[pa.RecordBatch] = []  # rows of the group that isn't over yet
-        for batch in [*()] if batches is None else batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("key", "lo", "hi")])
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in keys])
             cuts = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()
-            if held and any(held[-1].column(c)[held[-1].num_rows - 1] != batch.column(c)[0] for c in ("key", "lo", "hi")):
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1] != batch.column(c)[0] for c in keys):
                 cuts = [0, *cuts]
             begin = 0
             for cut in cuts:
                 if cut > begin:
                     held.append(batch.slice(begin, cut - begin))
-                yield from out(held, schema)
+                yield from out(held)
                 held, begin = [], cut
             held.append(batch.slice(begin))
-        yield from out(held, schema)
-
-    def out(held, schema):
-        if held:
-            for a, b in compare(pa.Table.from_batches(held)):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
-
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+        yield from out(held)
+
+    names = ", ".join(f"{f.name} bigint" for f in schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, names)
+
+
+def _near_pairs(group: pa.Table):
+    """Rows i and the rows beyond that are in another component and near by signature, each
+    pair only in the first of the buckets that both are in."""
+    block, comp = group.column("block").to_numpy(), group.column("component").to_numpy()
+    sig, lo, hi = _matrix(group.column("sig")), group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+    band = int(np.flatnonzero(band_keys(sig[:1])[0] == group.column("key")[0].as_py())[0])
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    for i in left.tolist():
+        other = right[right > i] if lo == hi else right
+        other = other[comp[other] != comp[i]]
+        same = sig[other] == sig[i]
+        near = same.sum(axis=1) >= SIGNATURE_LEAST
+        other, same = other[near], same[near]
+        if len(other):
+            other = other[same.reshape(len(other), BANDS, -1).all(axis=2).argmax(axis=1) == band]
+            if len(other):
+                yield i, other
+
+
+def _left_over(docs: DataFrame, members: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket, neither its centre, in different components. A
+    bucket of more than BLOCK members is compared block against block. A first pass finds the
+    rows that are near any other by signature; with their full sets, a second pass confirms the
+    pairs. A task leaves out pairs that its own links already connect, so it gives fewer links
+    than it has rows."""
+    now = members.join(joined.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("component", F.coalesce("component", "k")).where("k != centre")
+    still = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 != c1").select("key", F.expr(f"int(ceil(size / {BLOCK}))").alias("blocks"))
+    rest = now.join(still, "key").withColumn("block", F.expr("int(pmod(xxhash64(k), blocks))"))
+    keys = ("key", "lo", "hi")
+    dealt = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k", "component")
+
+    def find(group: pa.Table):
+        found = np.zeros(group.num_rows, dtype=bool)
+        for i, other in _near_pairs(group):
+            found[i] = True
+            found[other] = True
+        near = group.filter(pa.array(found))
+        if near.num_rows:
+            yield [near.column(c).combine_chunks() for c in ("key", "lo", "hi", "block", "k", "component")]
+
+    names = ("key", "lo", "hi", "block", "k", "component")
+    with_sig = nodes.select("k", "sig")
+    near = written(_grouped(dealt.join(with_sig, "k").select(*[F.col(c).cast("bigint").alias(c) for c in names], "sig"), keys, pa.schema([(c, pa.int64()) for c in names]), find), "near")
+    sets = written(_sets(docs, nodes, near.select("k").distinct()), "sets")
+
+    def confirm(group: pa.Table):
+        k, comp = group.column("k").to_numpy(), group.column("component").to_numpy()
+        found = [np.frombuffer(x, np.uint64) for x in group.column("found").to_pylist()]
+        top: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in top:
+                c = top[c]
+            return c
+
+        a, b = [], []
+        for i, other in _near_pairs(group):
+            for j in other.tolist():
+                if (x := root(comp[i])) != (y := root(comp[j])) and similar(found[i], found[j], percent):
+                    top[max(x, y)] = min(x, y)
+                    a.append(k[i])
+                    b.append(k[j])
+        if a:
+            yield [np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)]
+
+    rows = near.join(with_sig, "k").join(sets, "k")
+    links = written(_grouped(rows, keys, pa.schema([("a", pa.int64()), ("b", pa.int64())]), confirm), "links")
+    drop_written(sets, near)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -229,17 +291,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first_doc"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
     every = written(every, "nodes")
     bands = _bands(every)
-    live = bands.groupBy("key").agg(F.min("k").alias("centre"), F.max("k").alias("last")).where("centre != last").select("key", "centre")
+    live = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(bands.join(live, "key"), "members")
+    # The centre of a bucket is the member that meets the most others over all bands: the text that the others are copies of.
+    meets = members.groupBy("k").agg(F.sum("size").alias("meets"))
+    centres = members.join(meets, "k").groupBy("key").agg(F.max(F.struct("meets", "k")).alias("top")).select("key", F.col("top.k").alias("centre"))
+    members = written(members.drop("size").join(centres, "key"), "members")
     nodes = every.join(members.select("k").distinct(), "k", "left_semi")
     nodes = written(nodes, "candidates")
     stars = written(_near_by_signature(members.where("k != centre").select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct(), nodes), "pairs")
     links = _confirm(docs, nodes, stars, percent)
     joined = written(connected_components(links), "components")
-    more = written(_left_over(members, nodes, joined), "pairs")
+    more = _left_over(docs, members, nodes, joined, percent)
     if not more.isEmpty():
-        links = links.union(_confirm(docs, nodes, more, percent))
-        joined = written(connected_components(links), "components")
+        joined = written(connected_components(links.union(more)), "components")
     named = joined.join(nodes.select(F.col("k").alias("node"), "first_doc"), "node")
     smallest = named.groupBy("component").agg(F.min("first_doc").alias("smallest"))
     by_node = named.join(smallest, "component").select(F.col("node").alias("k"), "smallest")
