@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, packing, parsing, quality, token_files, transducer
+from . import bpe, hnsw, langid, minhash, packing, parsing, quality, token_files, transducer, warc
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,5 +53,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op3_token_counts, op5_fingerprints, op6_packing, op7_token_files, op8_langid, op9_bpe, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_warc, op3_token_counts, op4_embeddings, op5_fingerprints, op6_packing, op7_token_files, op8_langid, op9_bpe, op10_quality)}
 ORACLES: dict[str, str] = {}
