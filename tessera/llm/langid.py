@@ -8,7 +8,7 @@ A text's languages are compared by the sum over its words; the score is the best
 at the evidence of at most EVIDENCE words.
 
 The fit reads at most about ``per_language`` labelled documents of each language, chosen by a
-hash of the id, and the model keeps at most ``words`` words and n-grams; everything else covers
+hash of the id, and the model keeps at most 6 * ``words`` words and n-grams; everything else covers
 all texts in whole. Defined results: null text or text without letters gives ``und`` with score
 0; with nothing to learn from, every text does; repeated rows and null ids are kept; ties
 go to the first language by name; an empty table gives an empty one; other columns of the input
@@ -49,7 +49,7 @@ def grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(2)).astype(np.int64), np.repeat(np.arange(len(words)), number)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 4000, words: int = 200_000) -> dict:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 4000, words: int = 30_000) -> dict:
     """The model from rows with text and language whose id has crc32 modulo 3 other than 1."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, 3) != 1)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
@@ -78,9 +78,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return make
 
     totals = map_arrow(sample, "lang string, size int, word string, gram bigint, n bigint", start).groupBy("lang", "size", "word", "gram").agg(F.sum("n").alias("n"))
-    # Bounded by the sample; the rarest are left out beyond the number of words kept.
+    # The most frequent words and n-grams; what the driver gathers is bounded by the number kept.
     totals = totals.where("n > 1 or size = 1").orderBy(F.desc("n"), "size", "word", "gram", "lang").limit(words * (1 + len(ORDERS)))
-    table = totals.toPandas()
+    table = totals.toArrow().to_pandas()
     model: dict = {"langs": langs, "grams": {}}
     column = {lang: i for i, lang in enumerate(langs)}
 
