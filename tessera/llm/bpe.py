@@ -114,7 +114,7 @@ class Encoder:
     """Tables of one vocabulary. Symbols: a byte, plus 256 if it ends its word (in
     vocabularies that mark word ends). Tokens are numbered as in the vocabulary."""
 
-    def __init__(self, path: str, kept: int = 1_000_000):
+    def __init__(self, path: str, kept: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

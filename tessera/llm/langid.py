@@ -103,7 +103,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class Scorer:
     """Scores texts; keeps the sums of parts (between white space) seen before, up to a bound."""
 
-    def __init__(self, model: dict, kept: int = 500_000):
+    def __init__(self, model: dict, kept: int = 200_000):
         self.langs, self.kept = model["langs"], kept
         if self.langs:
             self.word = {w: i for i, w in enumerate(model["words"])}
