@@ -3,6 +3,8 @@ intermediate tables, slices of Arrow batches, a static hash map on numpy arrays.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -72,7 +74,7 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def slices(batch: pa.RecordBatch, col: str = "text", most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, col: str = "text", most: int = 2 << 20):
     """Pieces of a batch with about ``most`` bytes of ``col`` each (a longer value stands
     alone), so that a worker's memory doesn't follow the number of rows in a batch."""
     at = batch.schema.get_field_index(col)
@@ -145,9 +147,9 @@ def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 
 
-def map_arrow(df: DataFrame, schema: str, start, by: str | None = "text") -> DataFrame:
+def map_arrow(df: DataFrame, schema: str, start, by: str | None = "text", most: int = 2 << 20) -> DataFrame:
     """``df`` through Python by Arrow batches. ``start()`` is called once a task and returns
-    the function from a piece of a batch (about 4 MB of column ``by``) to output arrays in
+    the function from a piece of a batch (about ``most`` bytes of column ``by``) to output arrays in
     the order of ``schema``; where it has a ``finish``, that gives a last set of arrays."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -157,14 +159,25 @@ def map_arrow(df: DataFrame, schema: str, start, by: str | None = "text") -> Dat
     def run(batches):
         make = start()
         for batch in batches:
-            for piece in slices(batch, by) if by else [batch]:
+            for piece in slices(batch, by, most) if by else [batch]:
                 if piece.num_rows and (made := make(piece)) is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(a, type=f.type) if not isinstance(a, pa.Array) else a.cast(f.type) for a, f in zip(made, out)], schema=out)
         if (last := getattr(make, "finish", None)) is not None and (made := last()) is not None:
             yield pa.RecordBatch.from_arrays([pa.array(a, type=f.type) for a, f in zip(made, out)], schema=out)
+        del make
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system: workers live on after their task."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def lists(values: np.ndarray, counts: np.ndarray, kind=pa.int32()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, type=kind))

@@ -77,7 +77,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
         return make
 
-    totals = map_arrow(sample, "lang string, size int, word string, gram bigint, n bigint", start).groupBy("lang", "size", "word", "gram").agg(F.sum("n").alias("n"))
+    totals = map_arrow(sample, "lang string, size int, word string, gram bigint, n bigint", start, most=1 << 19).groupBy("lang", "size", "word", "gram").agg(F.sum("n").alias("n"))
     # The most frequent words and n-grams; what the driver gathers is bounded by the number kept.
     totals = totals.where("n > 1 or size = 1").orderBy(F.desc("n"), "size", "word", "gram", "lang").limit(words * (1 + len(ORDERS)))
     table = totals.toArrow().to_pandas()

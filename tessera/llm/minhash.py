@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, map_arrow, mix64, written
+from .common import drop_written, give_back, map_arrow, mix64, written
 from .components import connected_components
 
 WORDS, HASHES, BANDS = 5, 128, 32
@@ -208,6 +208,7 @@ def _grouped(rows: DataFrame, keys: tuple[str, ...], schema: pa.Schema, each) ->
                 held, begin = [], cut
             held.append(batch.slice(begin))
         yield from out(held)
+        give_back()
 
     names = ", ".join(f"{f.name} bigint" for f in schema)
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, names)
