@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = written(stats.repartition(PARTS), "statistics")
     sums = table.select("y", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.avg("y").alias("y")).orderBy("i").collect()
     share = float(sums[0].y) if sums else 0.5
-    if not 0 < share < 1:
+    if not sums or not 0 < share < 1:
         drop_written(table)
         return {"share": share}
     rng = np.random.default_rng(seed)
