@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +123,62 @@ def one_hot(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """A column for each value, in alphabetical order."""
     values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())  # a row a value
     return df.select("*", *[F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in values])
+
+
+def objects_per_image(df: DataFrame, image: str) -> DataFrame:
+    """Images that have objects, objects, and their mean and most in an image."""
+    n = df.groupBy(image).agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("n_images"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_objects"), F.avg("n").alias("mean"), F.max("n").alias("most"))
+
+
+def source_profile(manifests: DataFrame, source: str, extracted: Column, width: str, height: str) -> DataFrame:
+    """Smaller sides of the crops of each source; sources of which nothing was extracted stay, with 0 crops."""
+    side = F.when(extracted, F.least(width, height).cast("double"))
+    p = manifests.groupBy(source).agg(F.count(side).alias("n_crops"), F.percentile(side, F.array(*map(F.lit, (0.05, 0.1, 0.25, 0.5)))).alias("p"), F.min(side).alias("min"), F.max(side).alias("max"))
+    return p.select(source, "n_crops", "min", "max", *[F.col("p")[i].alias(n) for i, n in enumerate(("p5", "p10", "p25", "median"))])
+
+
+def compare_geometry(boxes: DataFrame, feasible: str, area: str, boxed: str, small: float = 1024.0) -> DataFrame:
+    """Boxes that stay and those that go: median areas, side of the median, share of small ones;
+    the letterboxed measures are null if any box has none."""
+    whole = F.count(boxed) == F.count("*")
+    mid = F.when(whole, F.median(boxed))
+    return boxes.groupBy(feasible).agg(F.count("*").alias("n"), F.median(area).alias("area"), mid.alias("boxed_area"), F.sqrt(mid).alias("boxed_side"), F.when(whole, F.avg((F.col(boxed) < small).cast("double"))).alias("small_share"))
+
+
+def audit_pastes(pastes: DataFrame, cell: str, box: list[str], wrong: dict[str, Column], factor: str) -> DataFrame:
+    """Per cell: pastes, distinct boxes, rows that a check finds wrong, and spread of the factor."""
+    spread = F.percentile(factor, F.array(*map(F.lit, (0.05, 0.5, 0.95))))
+    p = pastes.groupBy(cell).agg(F.count("*").alias("n"), F.count_distinct(*box).alias("n_boxes"), *[F.count(F.when(c, 1)).alias(k) for k, c in wrong.items()], F.min(factor).alias("min"), F.max(factor).alias("max"), spread.alias("p"))
+    return p.select(cell, "n", "n_boxes", *wrong, "min", "max", *[F.col("p")[i].alias(n) for i, n in enumerate(("p5", "median", "p95"))])
+
+
+def group_shares(df: DataFrame, cell: str, group: str, names: list[str]) -> DataFrame:
+    """Share of each name among the rows of a cell, 0 where there are none."""
+    n = df.groupBy(cell).agg(F.count("*").alias("_n"), *[F.count(F.when(F.col(group) == x, 1)).alias(f"_{i}") for i, x in enumerate(names)])
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias(group), (F.col(f"_{i}").cast("double") / F.col("_n")).alias("share")) for i, x in enumerate(names)])).alias("x")
+    return n.select(cell, each).select(cell, "x.*")
+
+
+def totals(df: DataFrame, by: str, measures: dict[str, Column], name: str = "all") -> DataFrame:
+    """Measures by a column, and a row of all, from one pass."""
+    r = df.rollup(by).agg(F.grouping(by).alias("_all"), *[c.alias(k) for k, c in measures.items()])
+    return r.select(F.when(F.col("_all") == 1, name).otherwise(F.col(by)).alias(by), *measures)
+
+
+def distance_summary(near: DataFrame, distance: str, same: Column) -> DataFrame:
+    """Mean, median and ends of distances, and the share of rows whose nearest is of their kind."""
+    p = near.agg(F.count(distance).alias("n"), F.avg(distance).alias("mean"), F.percentile(distance, F.array(*map(F.lit, (0.05, 0.5, 0.95)))).alias("p"), F.avg(same.cast("double")).alias("same_share"))
+    return p.select("n", "mean", *[F.col("p")[i].alias(n) for i, n in enumerate(("p5", "median", "p95"))], "same_share")
+
+
+def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How much each column's variance is inflated by the others: the diagonal of the inverse of
+    their correlations, which one pass of sums gives; null where they are dependent."""
+    r = np.eye(len(columns))
+    at = {c: i for i, c in enumerate(columns)}
+    for x in correlations(df, columns).collect():  # a row a pair of columns
+        r[at[x["a"]], at[x["b"]]] = r[at[x["b"]], at[x["a"]]] = np.nan if x["r"] is None else x["r"]
+    well = np.isfinite(r).all() and np.linalg.cond(r) < 1e12
+    found = np.diag(np.linalg.inv(r)).tolist() if well else [None] * len(columns)
+    return df.sparkSession.createDataFrame(list(zip(columns, found)), "column string, vif double")

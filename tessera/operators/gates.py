@@ -58,3 +58,29 @@ def map_differences(a, b):
     """Entries of two maps that differ, over the union of their keys."""
     pairs = F.map_zip_with(a, b, lambda k, x, y: F.struct(x.alias("was"), y.alias("is_now")))
     return F.map_filter(pairs, lambda k, v: ~v["was"].eqNullSafe(v["is_now"]))
+
+
+def forbidden(df: DataFrame, text: str, markers: list[str]) -> DataFrame:
+    """Rows whose text has one of the markers left in it."""
+    return df.where(reduce(lambda a, b: a | b, [F.col(text).contains(m) for m in markers]))
+
+
+def unexpected(found: DataFrame, run: str, document: str, expected: dict[str, int]) -> DataFrame:
+    """Values of a JSON document a run that aren't the expected ones: run, name, found (null if absent)."""
+    values = F.from_json(document, "map<string, bigint>")
+    rows = found.select(run, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.try_element_at(values, F.lit(k)).alias("found"), F.lit(v).cast("bigint").alias("expected")) for k, v in expected.items()])).alias("x"))
+    return rows.select(run, "x.*").where(~F.col("found").eqNullSafe(F.col("expected")))
+
+
+def same_runs(compared: DataFrame, steps_wrong: DataFrame) -> DataFrame:
+    """Verdict on two runs: GO if no compared column differs and no step count is wrong."""
+    differ = compared.agg(F.coalesce(F.sum("n_differ"), F.lit(0)).cast("bigint").alias("n_differ"))
+    wrong = steps_wrong.agg(F.count("*").alias("n_wrong"))
+    return differ.crossJoin(F.broadcast(wrong)).withColumn("verdict", F.when((F.col("n_differ") == 0) & (F.col("n_wrong") == 0), "GO").otherwise("NO-GO"))
+
+
+def check_protocol(epochs: int, checkpoint_epoch: int, warmup_steps: int, batch: int, close_mosaic: int) -> None:
+    """Refuses settings of a training run that contradict each other."""
+    wrong = [name for name, bad in {"a count isn't positive": min(epochs, checkpoint_epoch, batch) < 1 or min(warmup_steps, close_mosaic) < 0, "the checkpoint comes after the last epoch": checkpoint_epoch > epochs, "mosaic closes before the first epoch": close_mosaic > epochs}.items() if bad]
+    if wrong:
+        raise Refused("; ".join(wrong))

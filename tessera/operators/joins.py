@@ -146,3 +146,52 @@ def greedy_match(predictions: DataFrame, truth: DataFrame, scene: str = "scene",
 
     return both.groupBy(scene).applyInPandas(match, f"{scene} {dict(truth.dtypes)[scene]}, idx bigint, detected boolean")
 
+
+def best_match(boxes: DataFrame, candidates: DataFrame, key: list[str], idx: str, scene: str = "scene", least: float = 0.5) -> DataFrame:
+    """Per box the candidate of its scene that overlaps it most (the smallest ``idx`` of equals), if enough; else null."""
+    c = candidates.select(F.col(scene).alias("_scene"), F.col(idx).alias("_idx"), *[F.col(x).alias(f"_{x}") for x in ("x0", "y0", "x1", "y1")])
+    over = iou(tuple(F.col(x) for x in ("x0", "y0", "x1", "y1")), tuple(F.col(f"_{x}") for x in ("x0", "y0", "x1", "y1")))
+    pairs = boxes.join(c, F.col(scene) == F.col("_scene"), "left").withColumn("_iou", over)
+    best = F.max(F.when(F.col("_iou") >= least, F.struct("_iou", (-F.col("_idx")).alias("_minus")))).alias("_best")
+    return pairs.groupBy(*key).agg(best).select(*key, (-F.col("_best._minus")).alias("match"), F.col("_best._iou").alias("overlap"))
+
+
+def replication(first: DataFrame, second: DataFrame, name: str = "contrast") -> DataFrame:
+    """Contrasts that both analyses have, by what their names have before a colon, and whether
+    the verdicts agree."""
+    short = F.split_part(F.col(name), F.lit(":"), F.lit(1))
+    a, b = (df.select(short.alias(name), F.col("mean").alias(f"mean_{i}"), F.col("verdict").alias(f"verdict_{i}")) for i, df in ((1, first), (2, second)))
+    return a.join(b, name).withColumn("replicates", F.col("verdict_1").eqNullSafe(F.col("verdict_2")))
+
+
+def numbered(pool: DataFrame, group: list[str], area: str, key: str, seed: int, pieces: int = 64) -> DataFrame:
+    """Adds ``position``, from 0 along the area in each group. Members of one area are dealt to
+    pieces, whose counts are summed up in slices of the range: neither a group nor an area is one task."""
+    rows = pool.withColumn("_piece", draw(seed, F.col(key).cast("string")) % pieces)
+    n = rows.groupBy(*group, area, "_piece").agg(F.count("*").alias("_n")).withColumn("_slice", F.floor(F.log2(F.greatest(F.col(area), F.lit(1e-9))) * 16).cast("bigint"))
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = n.groupBy(*group, "_slice").agg(F.sum("_n").alias("_s")).select(*group, "_slice", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*group, "_slice").orderBy(area, "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    start = n.join(base, [*group, "_slice"]).select(*group, area, "_piece", (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(*group, area, "_piece").orderBy(key)) - 1
+    return rows.withColumn("_place", place).join(start, [*group, area, "_piece"]).withColumn("position", F.col("_start") + F.col("_place")).drop("_piece", "_place", "_start")
+
+
+def balanced_pick(boxes: DataFrame, pool: DataFrame, box_key: list[str], source: str, pool_key: str, scale: str, seed: int, least: int = 2, area: str = "area") -> DataFrame:
+    """For each box a member of the pool of the right scale: its source is drawn first, evenly, then the member.
+
+    Members of a scale lie at consecutive positions along the area, so a draw names a position
+    and one equi-join finds its member; boxes and members never meet as pairs. A box for which
+    some source has fewer than ``least`` eligible members is an error."""
+    counts = range_counts(boxes, pool, box_key, [source], area, area)
+    n = {"matched": F.col("n_matched"), "shrunk": F.col("n_shrunk"), "enlarged": F.col("n_enlarged")}[scale]
+    first = {"matched": F.col("n_enlarged"), "shrunk": F.col("n_enlarged") + F.col("n_matched"), "enlarged": F.lit(0)}[scale]
+    keys = [F.col(k).cast("string") for k in box_key]
+    options = counts.groupBy(*box_key).agg(F.array_sort(F.collect_list(F.struct(source, n.alias("n"), first.cast("bigint").alias("first")))).alias("o"))  # an entry a source
+    short = F.exists("o", lambda x: x["n"] < least)
+    bad = F.raise_error(F.concat(F.lit("too few members for box "), F.concat_ws(",", *keys))).cast("bigint")
+    roll = F.element_at("o", (draw(seed, F.lit("source"), *keys) % F.size("o") + 1).cast("int"))
+    picks = options.withColumn("_short", short).withColumn("_pick", roll)
+    at = F.when(F.col("_short"), bad).otherwise(F.col("_pick.first") + draw(seed, F.lit("member"), *keys) % F.greatest(F.lit(1), F.col("_pick.n")))
+    members = numbered(pool.select(source, F.col(area), pool_key), [source], area, pool_key, seed)
+    return picks.select(*box_key, F.col(f"_pick.{source}").alias(source), at.alias("position")).join(members.select(source, "position", F.col(pool_key).alias("picked")), [source, "position"]).select(*box_key, source, "picked")

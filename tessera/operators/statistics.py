@@ -83,13 +83,14 @@ def anova(cube: DataFrame, a: str, b: str, block: str, value: str, scale: float
     return rows.withColumn("f", f).withColumn("p", f_upper(F.col("f"), F.col("df").cast("double"), F.col("df_e").cast("double"))).drop("ms_e", "df_e")
 
 
-def ranking_measures(df: DataFrame, score: str, label: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+def ranking_measures(df: DataFrame, score: str, label: str, by: list[str] = [], slices: int = 1024) -> DataFrame:  # noqa: B006
     """Average precision (by steps at distinct scores) and area under the ROC curve.
 
     Rows are counted by score first; running sums go over distinct scores, in slices of them
     whose totals are summed up before, so no task holds them all."""
     per = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count("*").alias("n"))
-    sliced = per.withColumn("_slice", F.floor(F.col("s") / 64).cast("bigint"))
+    ends = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    sliced = per.crossJoin(F.broadcast(ends)).withColumn("_slice", F.coalesce(F.floor(F.try_divide((F.col("s") - F.col("_lo")) * F.lit(float(slices)), F.col("_hi") - F.col("_lo"))), F.lit(0)).cast("bigint")).drop("_lo", "_hi")
     totals = sliced.groupBy(*by, "_slice").agg(F.sum("pos").alias("_pos"), F.sum("n").alias("_n"))
     after = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*by, "_slice", F.coalesce(F.sum("_pos").over(after), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_n").over(after), F.lit(0)).alias("_bn"))

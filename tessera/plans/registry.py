@@ -30,4 +30,4 @@ def query(oracle: str | None = None):
     return register
 
 
-from . import core, results  # noqa: E402, F401
+from . import catalog, core, results  # noqa: E402, F401
