@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogs import ambiguous
@@ -71,3 +71,17 @@ def complete_runs(metrics: DataFrame, run: str, step: str, epochs: int, checkpoi
     m = metrics.groupBy(run).agg(F.count("*").alias("n"), F.max(step).alias("_last"))
     j = m.join(checkpoints.select(run, F.lit(True).alias("_saved")).distinct(), run, "left")
     return j.select(run, "n", ((F.col("n") == epochs) & (F.col("_last") == epochs) & F.coalesce("_saved", F.lit(False))).alias("complete"))
+
+
+# The contrasts of a budget by arm design, as coefficients of its cells.
+CONTRASTS = {
+    "P11": {("S2", "M50"): 1.0, ("S2", "C"): -1.0},
+    "P12": {("S2", "M50"): 0.5, ("S2", "C"): -0.5},
+    "P13": {("S2", "M50"): 1.0, ("S2", "C"): -1.0, ("S1", "M50"): -1.0, ("S1", "C"): 1.0},
+    "F2d": {("S1", "M50"): 1.0, ("S1", "C"): -1.0},
+}
+
+
+def contrasts(spark: SparkSession, names: list[str] = list(CONTRASTS)) -> DataFrame:  # noqa: B006
+    """Columns contrast, budget, arm, weight, to be joined with a table of results."""
+    return spark.createDataFrame([(n, b, a, w) for n in names for (b, a), w in CONTRASTS[n].items()], "contrast string, budget string, arm string, weight double")
