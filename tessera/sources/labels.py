@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import yolo_to_pixels
@@ -36,6 +36,11 @@ def voc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def box_csv(spark: SparkSession, path: str) -> DataFrame:
-    """filename, width, height, class, xmin, xmax, ymin, ymax, and whether width and height fit the box."""
+    """filename, width, height, class, xmin, xmax, ymin, ymax, whether width and height fit the
+    box, and box_index: the place, from 0, among the rows of the file name in the order they are written."""
     rows = spark.read.schema("filename string, width int, height int, class string, xmin int, xmax int, ymin int, ymax int").csv(path, header=True)
-    return rows.withColumn("consistent", (F.col("width") == F.col("xmax") - F.col("xmin")) & (F.col("height") == F.col("ymax") - F.col("ymin")))
+    rows = rows.withColumn("consistent", (F.col("width") == F.col("xmax") - F.col("xmin")) & (F.col("height") == F.col("ymax") - F.col("ymin")))
+    # ids grow along each file; files follow one another by name
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    w = Window.partitionBy("filename").orderBy("_file", "_block", "_row")
+    return placed.withColumn("box_index", F.row_number().over(w) - 1).drop("_file", "_block", "_row")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators.gates import Refused
+
 
 def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV manifest whose empty fields are missing; without a file, no rows."""
@@ -56,3 +59,31 @@ def zip_pool(spark: SparkSession, path: str) -> DataFrame:
                             yield pd.DataFrame({"name": [n], "content": [z.read(n)]})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "name string, content binary")
+
+
+def write_with_metadata(df: DataFrame, path: str, config: dict[str, str], append: bool = False) -> DataFrame:
+    """Writes a manifest as Parquet and, beside it, a JSON row on the run: settings, rows, start and end. Appended runs
+    add a row each. The rows are counted while they are written."""
+    spark, seen = df.sparkSession, Observation()
+    started = datetime.now(UTC)
+    write_manifest(df.observe(seen, F.count(F.lit(1)).alias("n_rows")), path, append)
+    ended = datetime.now(UTC)
+    row = spark.createDataFrame([(config, seen.get["n_rows"], started.isoformat(), ended.isoformat(), (ended - started).total_seconds())], "config map<string, string>, n_rows bigint, started string, ended string, seconds double")
+    row.write.mode("append" if append else "errorifexists").json(f"{path.rstrip('/')}.runs")
+    return spark.read.schema(row.schema).json(f"{path.rstrip('/')}.runs")
+
+
+def write_vectors(df: DataFrame, path: str, id_col: str, vector_col: str) -> None:
+    """Vectors with their ids; the others' columns are features beside them."""
+    df.withColumn(vector_col, F.col(vector_col).cast("array<float>")).sortWithinPartitions(id_col).write.mode("errorifexists").parquet(path)
+
+
+def markdown_table(df: DataFrame, formats: dict[str, str], most: int = 1000) -> str:
+    """A small report as Markdown; formats are those of Python by column, nulls are dashes. A report of
+    more than ``most`` rows is refused."""
+    rows = df.select(*formats).limit(most + 1).collect()
+    if len(rows) > most:
+        raise Refused(f"a report of more than {most} rows")
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    body = [line(["-" if v is None else format(v, f) for v, f in zip(r, formats.values())]) for r in rows]
+    return "\n".join([line(list(formats)), line(["-"] * len(formats)), *body]) + "\n"
