@@ -10,6 +10,7 @@ from ..operators import aggregates as agg
 from ..operators import catalogs as cat
 from ..operators import designs, gates, joins
 from ..operators import statistics as st
+from ..sources import training
 from .core import BOX, BOX_SQL, DRAW_SQL, IOU_SQL, boxes, detections
 from .registry import Tables, query
 from .results import SUMMARY_SQL, rounded, values
@@ -238,3 +239,10 @@ def determinism(db: Tables) -> DataFrame:
 @query("SELECT DISTINCT o_custkey AS base FROM orders")
 def base_images(db: Tables) -> DataFrame:
     return db.orders.select(F.col("o_custkey").alias("base")).distinct()
+
+
+@query("WITH d AS (SELECT c_custkey AS name FROM customer WHERE c_acctbal IS DISTINCT FROM greatest(c_acctbal, 0)) SELECT (SELECT count(*) FROM d) = 0 AS identical, (SELECT count(*) FROM customer) AS n_tensors, (SELECT count(*) FROM d) AS n_different, (SELECT string_agg(name::VARCHAR, ',' ORDER BY name) FROM (SELECT name FROM d ORDER BY name LIMIT 5)) AS examples")
+def weights_compared(db: Tables) -> DataFrame:
+    a, b = (db.customer.select("c_custkey", F.array(v.cast("double")).alias("v")) for v in (F.col("c_acctbal"), F.greatest("c_acctbal", F.lit(0))))
+    w = training.weights_compared(a, b, "c_custkey", "v")
+    return w.select("identical", "n_tensors", "n_different", F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))

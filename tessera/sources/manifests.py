@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from datetime import UTC, datetime
+from fnmatch import fnmatchcase
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -41,10 +44,19 @@ def write_trainlist(df: DataFrame, path: str, column: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).orderBy("value").write.mode("errorifexists").text(path)
 
 
+def listed(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path of every file below a folder. Scans leave out empty files, so the names are those of the scan's index,
+    written as scans write them (one slash after a scheme without an authority)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    names = (re.sub(r"^(\w+):///", r"\1:/", unquote(n)) for n in files.inputFiles())
+    return spark.createDataFrame([(n,) for n in names if fnmatchcase(n.rsplit("/", 1)[-1], glob)], "path string")
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 and md5 of every file below a folder."""
+    """path, length, sha256 and md5 of every file below a folder, empty ones too."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return f.select("path", "length", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    nothing = listed(spark, path).join(f.select("path"), "path", "left_anti").select("path", F.lit(0).cast("bigint").alias("length"), F.lit("").cast("binary").alias("content"))
+    return f.select("path", "length", "content").unionByName(nothing).select("path", "length", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
 
 
 def zip_pool(spark: SparkSession, path: str) -> DataFrame:
