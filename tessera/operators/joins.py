@@ -177,12 +177,13 @@ def numbered(pool: DataFrame, group: list[str], area: str, key: str, seed: int,
     return rows.withColumn("_place", place).join(start, [*group, area, "_piece"]).withColumn("position", F.col("_start") + F.col("_place")).drop("_piece", "_place", "_start")
 
 
-def balanced_pick(boxes: DataFrame, pool: DataFrame, box_key: list[str], source: str, pool_key: str, scale: str, seed: int, least: int = 2, area: str = "area") -> DataFrame:
+def balanced_pick(boxes: DataFrame, pool: DataFrame, box_key: list[str], source: str, pool_key: str, scale: str, seed: int, least: int = 2, area: str = "area", refuse: bool = True) -> DataFrame:
     """For each box a member of the pool of the right scale: its source is drawn first, evenly, then the member.
 
     Members of a scale lie at consecutive positions along the area, so a draw names a position
     and one equi-join finds its member; boxes and members never meet as pairs. A box for which
-    some source has fewer than ``least`` eligible members is an error."""
+    some source has fewer than ``least`` eligible members is an error, or without ``refuse`` has
+    a null source and pick."""
     counts = range_counts(boxes, pool, box_key, [source], area, area)
     n = {"matched": F.col("n_matched"), "shrunk": F.col("n_shrunk"), "enlarged": F.col("n_enlarged")}[scale]
     first = {"matched": F.col("n_enlarged"), "shrunk": F.col("n_enlarged") + F.col("n_matched"), "enlarged": F.lit(0)}[scale]
@@ -193,5 +194,8 @@ def balanced_pick(boxes: DataFrame, pool: DataFrame, box_key: list[str], source:
     roll = F.element_at("o", (draw(seed, F.lit("source"), *keys) % F.size("o") + 1).cast("int"))
     picks = options.withColumn("_short", short).withColumn("_pick", roll)
     at = F.when(F.col("_short"), bad).otherwise(F.col("_pick.first") + draw(seed, F.lit("member"), *keys) % F.greatest(F.lit(1), F.col("_pick.n")))
-    members = numbered(pool.select(source, F.col(area), pool_key), [source], area, pool_key, seed)
-    return picks.select(*box_key, F.col(f"_pick.{source}").alias(source), at.alias("position")).join(members.select(source, "position", F.col(pool_key).alias("picked")), [source, "position"]).select(*box_key, source, "picked")
+    members = numbered(pool.select(source, F.col(area), pool_key), [source], area, pool_key, seed).select(source, "position", F.col(pool_key).alias("picked"))
+    if refuse:
+        return picks.select(*box_key, F.col(f"_pick.{source}").alias(source), at.alias("position")).join(members, [source, "position"]).select(*box_key, source, "picked")
+    drawn = picks.where(~F.col("_short")).select(*box_key, F.col(f"_pick.{source}").alias(source), at.alias("position")).join(members, [source, "position"])
+    return boxes.select(*box_key).join(drawn, box_key, "left").select(*box_key, source, "picked")

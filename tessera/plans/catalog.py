@@ -175,12 +175,21 @@ def best_match(db: Tables) -> DataFrame:
     return rounded(joins.best_match(boxes(db), d, BOX, "id").drop("shipped"), "overlap")
 
 
+def pick_pool(db: Tables) -> DataFrame:
+    key = F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int"))
+    return db.lineitem.select(F.col("l_returnflag").alias("source"), F.col("l_extendedprice").alias("area"), key.alias("k"))
+
+
 @query("WITH p AS (SELECT l_returnflag AS source, l_extendedprice AS area, l_orderkey || '/' || l_partkey || '/' || l_suppkey || '/' || l_linenumber || '/' || l_quantity::INT AS k FROM lineitem), q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY area, " + DRAW_SQL.format("'3:' || k") + " % 64, k) - 1 AS position FROM p), n AS (SELECT o_orderkey, s.source, (SELECT count(*) FROM p WHERE p.source = s.source AND p.area < b.area / 2) AS first, (SELECT count(*) FROM p WHERE p.source = s.source AND p.area BETWEEN b.area / 2 AND b.area * 2) AS n FROM (SELECT o_orderkey, o_totalprice / 5 AS area FROM orders WHERE o_totalprice BETWEEN 20000 AND 200000) b, (SELECT DISTINCT source FROM p) s), o AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY source) - 1 AS i, count(*) OVER (PARTITION BY o_orderkey) AS m FROM n), t AS (SELECT o_orderkey, source, first + " + DRAW_SQL.format("'3:member:' || o_orderkey") + " % n AS position FROM o WHERE i = " + DRAW_SQL.format("'3:source:' || o_orderkey") + " % m) SELECT o_orderkey, t.source, q.k AS picked FROM t JOIN q ON q.source = t.source AND q.position = t.position")
 def balanced_pick(db: Tables) -> DataFrame:
-    key = F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int"))
-    pool = db.lineitem.select(F.col("l_returnflag").alias("source"), F.col("l_extendedprice").alias("area"), key.alias("k"))
     asks = db.orders.where("o_totalprice between 20000 and 200000").select("o_orderkey", (F.col("o_totalprice") / 5).alias("area"))
-    return joins.balanced_pick(asks, pool, ["o_orderkey"], "source", "k", "matched", 3)
+    return joins.balanced_pick(asks, pick_pool(db), ["o_orderkey"], "source", "k", "matched", 3)
+
+
+@query("WITH p AS (SELECT l_returnflag AS source, l_extendedprice AS area, l_orderkey || '/' || l_partkey || '/' || l_suppkey || '/' || l_linenumber || '/' || l_quantity::INT AS k FROM lineitem), q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY area, " + DRAW_SQL.format("'3:' || k") + " % 64, k) - 1 AS position FROM p), n AS (SELECT o_orderkey, s.source, (SELECT count(*) FROM p WHERE p.source = s.source AND p.area < b.area / 2) AS first, (SELECT count(*) FROM p WHERE p.source = s.source AND p.area BETWEEN b.area / 2 AND b.area * 2) AS n FROM (SELECT o_orderkey, o_totalprice / 5 AS area FROM orders) b, (SELECT DISTINCT source FROM p) s), o AS (SELECT *, min(n) OVER (PARTITION BY o_orderkey) AS fewest, row_number() OVER (PARTITION BY o_orderkey ORDER BY source) - 1 AS i, count(*) OVER (PARTITION BY o_orderkey) AS m FROM n), t AS (SELECT o_orderkey, source, first + " + DRAW_SQL.format("'3:member:' || o_orderkey") + " % n AS position FROM o WHERE i = " + DRAW_SQL.format("'3:source:' || o_orderkey") + " % m AND fewest >= 2) SELECT orders.o_orderkey, t.source, q.k AS picked FROM orders LEFT JOIN t ON t.o_orderkey = orders.o_orderkey LEFT JOIN q ON q.source = t.source AND q.position = t.position")
+def balanced_pick_all(db: Tables) -> DataFrame:
+    """A pick for every order; null where a source has fewer than two eligible members."""
+    return joins.balanced_pick(db.orders.select("o_orderkey", (F.col("o_totalprice") / 5).alias("area")), pick_pool(db), ["o_orderkey"], "source", "k", "matched", 3, refuse=False)
 
 
 @query(f"WITH {SUMMARY_SQL}, u AS (SELECT contrast, mean, CASE WHEN abs(mean) > 2 AND n_same_sign = n THEN 'real' WHEN n_same_sign >= ceil(n * 2 / 3) THEN 'direction' ELSE 'noise' END AS verdict FROM s) SELECT contrast, round(mean, 6) AS mean_1, verdict AS verdict_1, round(-mean, 6) AS mean_2, CASE WHEN contrast = 'arms' THEN 'noise' ELSE verdict END AS verdict_2, contrast != 'arms' OR verdict = 'noise' AS replicates FROM u WHERE contrast != 'interaction'")

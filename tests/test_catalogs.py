@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tessera.operators import aggregates as agg
 from tessera.operators import catalogs as cat
 from tessera.operators import designs, gates, joins
+from tessera.plans import registry
 
 
 def rows(df, *order):
@@ -74,6 +75,21 @@ def test_balanced_pick_is_eligible(spark, scale):
         joins.balanced_pick(asks.limit(1).withColumn("area", F.lit(1e6)), pool, ["id"], "source", "k", "matched", 5).collect()
 
 
+def test_balanced_pick_of_all_keeps_boxes_with_too_few(spark):
+    pool = spark.createDataFrame([(s, float(a), f"{s}{a}") for s in "pq" for a in range(1, 40)], "source string, area double, k string")
+    asks = spark.createDataFrame([(1, 9.0), (2, 1e6), (3, None), (4, 70.0)], "id int, area double")
+    picks = {r.id: (r.source, r.picked) for r in joins.balanced_pick(asks, pool, ["id"], "source", "k", "matched", 5, refuse=False).collect()}
+    assert picks[2] == picks[3] == (None, None) and len(picks) == 4
+    assert picks[1][1][0] == picks[1][0] and 5 <= int(picks[1][1][1:]) <= 18 and 35 <= int(picks[4][1][1:]) <= 39
+
+
+def test_balanced_pick_all_has_every_order(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    got = registry.QUERIES["balanced_pick_all"](spark, sf_dir)
+    high = orders.where("o_totalprice > 200000").select("o_orderkey")
+    assert got.count() == orders.count() and high.count() > 0 and got.join(high, "o_orderkey").where("picked is not null").count() > 0
+
+
 def test_best_match_takes_first_of_equals(spark):
     b = spark.createDataFrame([(1, 0, 0.0, 0.0, 2.0, 2.0), (2, 0, 0.0, 0.0, 2.0, 2.0)], "scene int, box int, x0 double, y0 double, x1 double, y1 double")
     c = spark.createDataFrame([(1, 3, 0.0, 0.0, 2.0, 2.0), (1, 2, 0.0, 0.0, 2.0, 2.0), (2, 1, 1.5, 1.5, 3.0, 3.0)], "scene int, idx int, x0 double, y0 double, x1 double, y1 double")
