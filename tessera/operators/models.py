@@ -6,6 +6,7 @@ paths with cover shares as the background, found in Arrow batches."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from math import factorial
 
@@ -21,6 +22,8 @@ from .gates import Refused
 from .sampling import bootstrap_groups, group_folds
 from .statistics import importance_ranking, ranking_measures
 
+TOGETHER = 6  # models fitted at a time
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -57,10 +60,9 @@ def scores(model: GBTClassificationModel, df: DataFrame, features: list[str]) ->
 def cross_validate(df: DataFrame, features: list[str], label: str, group: str, k: int = 5, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Average precision and ROC area of each fold, whose rows a model of the others scores; no group is in two folds."""
     folded = group_folds(df.where(F.col(label).isNotNull()), group, k, settings.seed)
-    parts = []
-    for i in range(k):
-        held = folded.where(F.col("fold") == i)
-        parts.append(ranking_measures(scores(fit(folded.where(F.col("fold") != i), features, label, settings), held, features), "score", label).select(F.lit(i).alias("fold"), "*"))
+    with ThreadPoolExecutor(TOGETHER) as pool:
+        fitted = list(pool.map(lambda i: fit(folded.where(F.col("fold") != i), features, label, settings), range(k)))
+    parts = [ranking_measures(scores(m, folded.where(F.col("fold") == i), features), "score", label).select(F.lit(i).alias("fold"), "*") for i, m in enumerate(fitted)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -147,10 +149,13 @@ def stability(df: DataFrame, features: list[str], label: str, group: str, replic
     """Mean and spread of each feature's position over resamples of groups, and how often it is
     among the first ``top``. A group drawn several times weighs as much."""
     draws = bootstrap_groups(df, group, replicates, settings.seed)
-    found = []
-    for i in range(replicates):
+
+    def one(i: int) -> list[tuple]:
         rows = df.join(draws.where(F.col("replicate") == i).select(group, F.col("times").cast("double").alias("_times")), group)
-        found += [(i, r["feature"], r["position"]) for r in ranking(rows, features, label, settings, "_times").collect()]  # a row a feature
+        return [(i, r["feature"], r["position"]) for r in ranking(rows, features, label, settings, "_times").collect()]  # a row a feature
+
+    with ThreadPoolExecutor(TOGETHER) as pool:
+        found = [r for part in pool.map(one, range(replicates)) for r in part]
     p = df.sparkSession.createDataFrame(found, "replicate int, feature string, position int")
     return p.groupBy("feature").agg(F.avg("position").alias("mean_position"), F.coalesce(F.stddev_samp("position"), F.lit(0.0)).alias("sd_position"), F.avg((F.col("position") <= top).cast("double")).alias("top_share"))
 

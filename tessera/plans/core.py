@@ -304,7 +304,7 @@ def group_folds(db: Tables) -> DataFrame:
 
 @query(None)
 def bootstrap_groups(db: Tables) -> DataFrame:
-    return sampling.bootstrap_groups(db.events, "user_id", 10, 3)
+    return sampling.bootstrap_groups(db.events, "user_id", 30, 3)
 
 
 @query("WITH x AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT c_custkey, 10::BIGINT AS n_expected FROM customer) SELECT coalesce(o_custkey, c_custkey) AS k, coalesce(n, 0) AS n, coalesce(n_expected, 0) AS n_expected FROM x FULL JOIN e ON o_custkey = c_custkey WHERE coalesce(n, 0) != coalesce(n_expected, 0)")

@@ -1,6 +1,5 @@
-"""Queries of boosted surrogates: a document's quality from simple measures of its text.
-
-Their settings are smaller than the operators' defaults (300 trees): a few trees tell these features apart."""
+"""Queries of boosted surrogates: a document's quality from simple measures of its text, with the
+operators' own settings."""
 
 from __future__ import annotations
 
@@ -12,7 +11,7 @@ from ..operators.catalogs import truth_boxes
 from .core import boxes, detections
 from .registry import Tables, query
 
-SETTINGS = models.Settings(iterations=8, rate=0.3, depth=3, least_rows=10)
+SETTINGS = models.Settings()
 FEATURES = ["length", "words", "digits", "upper", "lines"]
 
 
@@ -25,7 +24,7 @@ def measured(db: Tables) -> DataFrame:
 
 @query(None)
 def surrogate_folds(db: Tables) -> DataFrame:
-    return models.cross_validate(measured(db), FEATURES, "quality", "source", 3, SETTINGS)
+    return models.cross_validate(measured(db), FEATURES, "quality", "source", 5, SETTINGS)
 
 
 @query(None)
@@ -33,6 +32,12 @@ def surrogate_ranking(db: Tables) -> DataFrame:
     return models.ranking(measured(db), FEATURES, "quality", SETTINGS)
 
 
+@query(None)
+def surrogate_stability(db: Tables) -> DataFrame:
+    """Over 30 resamples of sources; among the first two, as the first five are all features."""
+    return models.stability(measured(db), FEATURES, "quality", "source", 30, 2, SETTINGS)
+
+
 @query(None)
 def mediation_test(db: Tables) -> DataFrame:
     return models.mediation(measured(db), ["length", "digits"], ["words", "lines"], ["length"], "quality", SETTINGS)

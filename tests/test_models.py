@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import gates, images, models
+from tessera.plans import registry
 
 SMALL = models.Settings(iterations=6, rate=0.3, depth=3, least_rows=5)
 
@@ -63,6 +64,17 @@ def test_ranking_folds_stability_and_mediation(table):
         models.fit(table.where("y = 1"), ["a"], "y", SMALL)
 
 
+def test_registered_surrogates_are_whole(spark, sf_dir, monkeypatch):
+    seen = {}
+    for name in ("cross_validate", "ranking", "mediation", "stability"):
+        monkeypatch.setattr(models, name, lambda df, *a, name=name: seen.__setitem__(name, a))
+    for name in ("surrogate_folds", "surrogate_ranking", "mediation_test", "surrogate_stability"):
+        registry.QUERIES[name](spark, sf_dir)
+    assert {a[-1] for a in seen.values()} == {models.Settings()} and len(seen) == 4
+    assert seen["cross_validate"][3] == 5 and seen["stability"][3] == 30
+    assert registry.QUERIES["bootstrap_groups"](spark, sf_dir).select("replicate").distinct().count() == 30
+
+
 def test_masked_crop():
     rgb = np.full((4, 6, 3), 7, np.uint8)
     mask = np.zeros((4, 6), bool)
