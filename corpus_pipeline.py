@@ -21,16 +21,19 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id. Rows
-    with a null id have nothing to be told apart by and stay."""
-    found = written(minhash.near_duplicates(docs), "near-duplicates")
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    """One document of each group of near duplicates, the one with the smallest id; where rows repeat
+    an id, they are told apart by their sets too. Rows with a null id have nothing to be told apart
+    by and stay."""
+    found = written(minhash.near_duplicates(docs, with_set=True), "near-duplicates")
     n, n_ids = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    gone = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone
-    left = docs.join(gone, "doc_id", "left_anti")
-    if n != n_ids:  # rows that repeat an id: one of them stays
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left.select(*docs.columns)
+    if n == n_ids:
+        gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+        gone = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_IDS else gone
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    stay = found.where("kept").groupBy("doc_id", "part").agg(F.min("k").alias("k")).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"))
+    rows = minhash.with_set_keys(docs.where("doc_id is not null")).dropDuplicates(["doc_id", "k"])
+    left = rows.join(stay, (F.col("doc_id") == F.col("_id")) & F.col("k").eqNullSafe(F.col("_k")), "left_semi")
+    return left.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

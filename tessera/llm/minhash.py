@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import drop_written, give_back, map_arrow, mix64, written
 from .components import connected_components
@@ -74,6 +75,20 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_key(found: np.ndarray) -> int | None:
+    return int(mix64(found + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) if len(found) else None
+
+
+def with_set_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds k, the key of each row's set."""
+
+    def start():
+        hashes = WordHashes()
+        return lambda batch: [*batch.columns, [set_key(shingles(text, hashes)) for text in batch.column(text_col).to_pylist()]]
+
+    return map_arrow(docs, StructType([*docs.schema.fields, StructField("k", LongType())]), start, text_col)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (size of the set), k (the set's key, null if empty), sig (128 minima)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -86,7 +101,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for text in batch.column("text").to_pylist():
                 found = shingles(text, hashes)
                 n.append(len(found))
-                keys.append(int(mix64(found + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) if len(found) else None)
+                keys.append(set_key(found))
                 sigs.append(signature(found).tobytes() if len(found) else None)
             return [batch.column("id"), n, pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())]
 
@@ -285,8 +300,9 @@ def _left_over(docs: DataFrame, members: DataFrame, nodes: DataFrame, joined: Da
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, with_set: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links), kept; ``with_set`` also
+    k, the key of the row's set, and part, which names its component apart from ids (both null without words)."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = written(signatures(docs, "id", "text"), "signatures")
     every = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first_doc"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
@@ -308,8 +324,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = written(connected_components(links.union(more)), "components")
     named = joined.join(nodes.select(F.col("k").alias("node"), "first_doc"), "node")
     smallest = named.groupBy("component").agg(F.min("first_doc").alias("smallest"))
-    by_node = named.join(smallest, "component").select(F.col("node").alias("k"), "smallest")
-    alone = every.select("k", "first_doc").join(by_node, "k", "left").select("k", F.coalesce("smallest", "first_doc").alias("component_id"))
+    by_node = named.join(smallest, "component").select(F.col("node").alias("k"), "smallest", "component")
+    alone = every.select("k", "first_doc").join(by_node, "k", "left").select("k", F.coalesce("smallest", "first_doc").alias("component_id"), F.coalesce("component", "k").alias("part"))
     result = rows.select("doc_id", F.col("n").alias("n_shingles"), "k").join(alone, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), *(["k", "part"] if with_set else []))

@@ -215,3 +215,13 @@ def test_pipeline(spark, sf_dir):
         now = after
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == ids
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    rows = [(1, text("a")), (2, text("b")), (2, text("c")), (2, text("c")), (3, text("d")), (3, text("a") + " more"), (4, ""), (4, None), (5, text("e")), (5, text("e") + " more"), (None, text("a"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, (r.text or "")[:2]) for r in corpus_pipeline.distinct(spark, docs, "").collect())
+    assert got == [(0, "a0"), (1, "a0"), (2, "b0"), (2, "c0"), (3, "d0"), (4, ""), (5, "e0")]
