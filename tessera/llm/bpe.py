@@ -8,9 +8,15 @@ end are marked, so no place is tried twice. A sequence whose neighbours are all
 the one that the merges give. Decoding copies byte ranges by a table of token offsets.
 
 All distinct new words of a batch are encoded together, one numpy operation for a step of all
-of them; words seen before come from a bounded table. Defined results: null or empty text
-gives no ids; special tokens inside a text are found as the library finds them by default;
-long texts are handled in whole; nothing depends on how rows are dealt to tasks.
+of them; words seen before come from a table of bounded bytes. Letters, numbers and normal forms
+are those of Python's Unicode tables; texts with characters on which other versions of these tables
+may differ (not assigned in Python's, or marks that are younger than Unicode 3.2) are normalized
+and cut into words by the library itself, and encoded as the others are.
+
+Defined results: null or empty text gives no ids; special tokens inside a text are found as the
+library finds them by default; long texts are handled in whole (the words of one text are held
+at once); equal texts and repeated rows have equal ids; ties between merges go to the first as the
+vocabulary orders them; nothing depends on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -23,28 +29,44 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import StaticMap, spans
+from .common import StaticMap, held, spans
 
 # Fixed values of the two vocabularies' pre-tokenizers: white space, and the contractions.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
+def _ranges(wanted: list[bool]) -> str:
+    """A character class of the code points wanted, as ranges."""
+    change = np.flatnonzero(np.diff(np.array([False, *wanted, False], dtype=np.int8)))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in change.reshape(-1, 2).tolist())
+
+
 @lru_cache(1)
 def _classes() -> tuple[str, str]:
-    """Character classes of letters and of numbers, as ranges."""
-    out = []
-    for kind in "LN":
-        ranges, start = [], None
-        for c in range(sys.maxunicode + 2):
-            inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
-            if inside and start is None:
-                start = c
-            elif not inside and start is not None:
-                ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-                start = None
-        out.append("".join(ranges))
-    return out[0], out[1]
+    """Character classes of letters and of numbers."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]
+    return _ranges([k == "L" for k in kinds]), _ranges([k == "N" for k in kinds])
+
+
+def letters() -> str:
+    """The character class of letters (category L), as ranges."""
+    return _classes()[0]
+
+
+@lru_cache(2)
+def _unsure(normal_forms: bool) -> str:
+    """The characters on which versions of the Unicode tables may differ: those that Python's
+    don't have and, where normal forms count, marks and composites that version 3.2 didn't have."""
+    old = unicodedata.ucd_3_2_0
+
+    def young(c: str) -> bool:
+        kind = unicodedata.category(c)
+        if kind == "Cn":
+            return True
+        return normal_forms and old.category(c) == "Cn" and (kind[0] == "M" or unicodedata.normalize("NFD", c) != c)
+
+    return _ranges([young(chr(c)) for c in range(sys.maxunicode + 1)])
 
 
 def _pattern(kind: str, ascii_only: bool) -> re.Pattern:
@@ -87,14 +109,20 @@ class Known:
     """Strings with the ids of each."""
 
     def __init__(self):
-        self.seen = Seen()
+        self.seen, self.chars = Seen(), 0
         self.flat, self.n_flat = np.empty(1 << 16, dtype=np.int32), 0
         self.at, self.n = np.zeros(1 << 16, dtype=np.int64), 0
 
     def take(self) -> list[str]:
         new, self.seen.new = self.seen.new, []
+        self.chars += sum(map(sys.getsizeof, new))
         return new
 
+    @property
+    def bytes(self) -> int:
+        """About the memory that the strings, their numbers and ids take."""
+        return self.chars + 130 * len(self.seen) + self.flat.nbytes + self.at.nbytes
+
     def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
         while self.n_flat + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -114,7 +142,9 @@ class Encoder:
     """Tables of one vocabulary. Symbols: a byte, plus 256 if it ends its word (in
     vocabularies that mark word ends). Tokens are numbered as in the vocabulary."""
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 64 << 20):
+        """``kept``: the words seen before are forgotten when they take more bytes than this."""
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -163,6 +193,9 @@ class Encoder:
         special = sorted(self.special, key=len, reverse=True)
         self.find_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.split, self.split_ascii = _pattern(self.kind, False), _pattern(self.kind, True)
+        self.unsure = re.compile(f"[{_unsure(self.suffix)}]")
+        self.joined = spec.get("decoder") is None  # else the byte-level decoder
+        self.names = {i: s for s, i in (vocab | self.special).items()} if self.joined else {}
         self._offsets(strings)
         self._forget()
 
@@ -331,9 +364,22 @@ class Encoder:
     def _pieces(self, text: str, ascii_only: bool) -> list[str]:
         return (self.split_ascii if ascii_only else self.split).findall(text)
 
+    def _by_library(self, text: str) -> list[str]:
+        """The words of a text with unsure characters."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        if self._library.normalizer is not None:
+            text = self._library.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text)]
+
     def _units(self, text: str) -> list[np.ndarray]:
         """Numbers of the parts (between single spaces) of a text, or of its words where
         white space doesn't allow to look at parts by themselves."""
+        if not text.isascii() and self.unsure.search(text):
+            words = self._by_library(text)
+            return [np.fromiter(map(self.words.seen.__getitem__, words), np.int64, len(words)) + WORD]
         text, ascii_only = self._clean(text)
         if self.suffix:
             if ODD.search(text) is None:
@@ -363,7 +409,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
-        if len(self.words.seen) + len(self.parts.seen) > self.kept:
+        if self.words.bytes + self.parts.bytes > self.kept:
             self._forget()
         units: list[np.ndarray] = []
         per_text = np.zeros(len(texts), dtype=np.int64)
@@ -407,15 +453,19 @@ class Encoder:
         self.offset = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of all ids, by the table of offsets."""
+        """The bytes of all ids, by the table of offsets; numbers that aren't ids give none. A
+        vocabulary whose file names no decoder gives its tokens as written there, with spaces between."""
+        ids = np.asarray(ids, dtype=np.int64)
+        ids = ids[(ids >= 0) & (ids < self.n_tokens)]
+        if self.joined:
+            return " ".join(self.names[i] for i in ids.tolist() if i in self.names).encode()
         start = self.offset[ids]
-        return self.bytes_of[spans(self.offset[np.asarray(ids) + 1] - start, start)].tobytes()
+        return self.bytes_of[spans(self.offset[ids + 1] - start, start)].tobytes()
 
 
-@lru_cache(4)
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and vocabulary."""
-    return Encoder(path)
+    """One encoder a worker process, of the vocabulary used last."""
+    return held(("bpe", path), lambda: Encoder(path))
 
 
 # -- operators ----------------------------------------------------------------------------
@@ -458,20 +508,22 @@ def bpe_encode(df, path: str, want=("ids", "n_tokens"), id_col: str = "doc_id",
 
         return make
 
-    return map_arrow(rows, schema, start)
+    return map_arrow(rows, schema, start, holds=("bpe", path))
 
 
 def bpe_decode(df, path: str, ids_col: str = "ids", id_col: str = "doc_id"):
-    """Texts of lists of ids: ``id_col`` and ``decoded``; a null list gives an empty text,
-    bytes that aren't UTF-8 give the replacement character."""
+    """Texts of lists of ids, as the library decodes them with special tokens: ``id_col`` and
+    ``decoded``. A null list gives an empty text, null ids and numbers that aren't ids nothing, bytes
+    that aren't UTF-8 the replacement character. Repeated rows and null ids of rows are kept, an
+    empty table gives an empty one, other columns of ``df`` are not carried."""
     from pyspark.sql import functions as F
 
     from .common import map_arrow
 
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.array_compact(F.col(ids_col)), F.array().cast("array<int>")).alias("ids"))
 
     def start():
         enc = encoder(path)
         return lambda batch: [batch.column("id"), [enc.decode(np.asarray(x, dtype=np.int64)).decode(errors="replace") for x in batch.column("ids").to_pylist()]]
 
-    return map_arrow(rows, f"`{id_col}` {dict(df.dtypes)[id_col]}, decoded string", start, by=None)
+    return map_arrow(rows, f"`{id_col}` {dict(df.dtypes)[id_col]}, decoded string", start, by=None, holds=("bpe", path))

@@ -25,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session, or where that is unset (tests on one machine) a temporary folder."""
+    session, or where that is unset a temporary folder, on one machine alone: a cluster
+    has to name it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at if "://" in at or at.startswith("file:") else f"file://{os.path.abspath(at)}"
@@ -147,10 +150,21 @@ def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 
 
-def map_arrow(df: DataFrame, schema: str, start, by: str | None = "text", most: int = 2 << 20) -> DataFrame:
+_held: dict = {}  # what the worker process keeps from task to task
+
+
+def held(key: tuple, make):
+    """The object of this key, made if need be."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def map_arrow(df: DataFrame, schema: str, start, by: str | None = "text", most: int = 2 << 20, holds: tuple | None = None) -> DataFrame:
     """``df`` through Python by Arrow batches. ``start()`` is called once a task and returns
     the function from a piece of a batch (about ``most`` bytes of column ``by``) to output arrays in
-    the order of ``schema``; where it has a ``finish``, that gives a last set of arrays."""
+    the order of ``schema``; where it has a ``finish``, that gives a last set of arrays. ``holds``:
+    the key of ``held`` that the tasks use."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -161,7 +161,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1
 
         return make
 
-    return map_arrow(rows, PIECES, start)
+    return map_arrow(rows, PIECES, start, holds=("bpe", path))
 
 
 def np_array(values: np.ndarray):

@@ -70,7 +70,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = 1, to: st
         make.finish = finish
         return make
 
-    manifest = written(map_arrow(rows, MANIFEST, start), "token-manifest")
+    manifest = written(map_arrow(rows, MANIFEST, start, holds=("bpe", path)), "token-manifest")
     files = [r.asDict() for r in manifest.orderBy("part").collect()]  # one row a file
     drop_written(manifest)
     base = 0

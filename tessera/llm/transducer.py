@@ -8,32 +8,35 @@ piece that ends at a character is the one whose neighbour to the left is compati
 the two side by side gives back the two. Each transition is annotated with the tokens it adds
 (fewer than none where a longer piece replaces several). A pair of characters that no piece
 holds side by side parts the input: the state behind it is the start state. Transitions are
-compiled when first met; the table is dropped and begun anew when it is full, so its size
-is bounded.
+compiled when first met, into a table of at most ``cells`` cells (and a row for each state that a chunk
+of the batch is in); when it is full, also within a batch, it is begun anew with those states.
 
-A text is cut in chunks. A chunk's map, from its entry state to exit state and count, is constant
-from its first parting on, so chunks begin at a parting; where a chunk has none, its map is
-evaluated for the entry state that the chunk before it gives, all such chunks together, until
-no entry changes. A document's tokens are differences of the prefix sum of the chunks' counts.
-All chunks of a batch step through the transducer together.
+A text is cut in chunks, if possible at partings; such a chunk's map from entry state to exit
+state and count is a constant. The map of a chunk without a parting at its start is made for the
+states that can reach it: the start state, and the exits of the chunk before it for all of its own
+entries, until no exit is new; all chunks of a batch take their steps together. The maps of
+neighbouring chunks are then composed by a parallel prefix scan: maps over 1, 2, 4, ... chunks,
+each of them two of the one before, lead every chunk to its entry state. A document's
+tokens are differences of the prefix sum of the chunks' counts.
 
 Defined results: null or empty text has no tokens; characters without piece count as their
-UTF-8 bytes (byte fallback); repeated rows and null ids are kept; an empty table gives an
-empty one; other columns of the input are not read.
+UTF-8 bytes (byte fallback); very long texts are counted in whole; of equally good pairs the
+first is merged; repeated rows, repeated ids and null ids are kept; an empty table gives an
+empty one; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, spans
+from .common import held, map_arrow
 
 SPACE = "▁"
 NONE = -1
+BITS = 8  # of a cell for the tokens that a transition adds, as a number from -128 to 127
+HALF = 1 << (BITS - 1)
 
 
 def read_pieces(path: str) -> dict[str, float]:
@@ -52,6 +55,7 @@ def read_pieces(path: str) -> dict[str, float]:
 
 class Transducer:
     def __init__(self, path: str, chunk: int = 256, cells: int = 24_000_000):
+        """``chunk``: characters; ``cells``: of the table, 4 bytes each."""
         self.pieces, self.chunk, self.cells = read_pieces(path), chunk, cells
         self.go: dict[tuple[int, str], int] = {}
         self.node_piece: list[str | None] = [None]
@@ -89,12 +93,30 @@ class Transducer:
         self._begin()
 
     def _begin(self) -> None:
-        start = ((0, NONE, 0),)
-        self.states, self.entries = {start: 0}, [start]
         self.column = np.full(self.n_classes, -1, dtype=np.int64)  # of a class among those met
         self.classes: list[int] = []
-        self.table = np.full((1024, 64), -1, dtype=np.int32)  # next state * 64 + tokens + 32
-        self.exits = np.full(1, -1)
+        self.table = np.full((1024, 64), -1, dtype=np.int32)  # next state << BITS, and tokens + HALF
+        self.live: list[np.ndarray] = []  # arrays of states that have to outlast the table
+        self._enter([])
+
+    def _enter(self, states: list[tuple]) -> None:
+        """Begins the table anew with the start state and these."""
+        start = ((0, NONE, 0),)
+        self.entries = list(dict.fromkeys([start, *states]))
+        self.states = {s: i for i, s in enumerate(self.entries)}
+        width = self.table.shape[1]
+        rows = max(1024, len(self.entries) + 1)
+        self.most = max(self.cells // width, len(self.entries) + 256)
+        self.table = np.full((rows, width), -1, dtype=np.int32)
+
+    def _renew(self, arrays: list[np.ndarray]) -> None:
+        """Begins the table anew with the states in ``arrays``, which get their new numbers."""
+        used = np.unique(np.concatenate(arrays))
+        kept = [self.entries[i] for i in used.tolist()]
+        self._enter(kept)
+        number = np.array([self.states[s] for s in kept], dtype=np.int64)
+        for a in arrays:
+            a[:] = number[np.searchsorted(used, a)]
 
     # -- compilation ----------------------------------------------------------------------
     def merged(self, text: str) -> list[str]:
@@ -136,29 +158,38 @@ class Transducer:
             raise ValueError(f"no piece ends at {c!r}")
         return (*((node, before, n - count) for node, before, n in grown), (0, last, 0)), count
 
-    def _fill(self, state: np.ndarray, column: np.ndarray) -> None:
+    def _fill(self, state: np.ndarray, column: np.ndarray, running: np.ndarray) -> None:
+        """Compiles transitions; where the table gets full, states are numbered anew instead."""
         for s, k in np.unique(np.stack([state, column], axis=1), axis=0).tolist():
+            if len(self.entries) >= self.most:
+                return self._renew([running, *self.live])
             to, count = self._compile(s, self.chars[self.classes[k]])
+            if not -HALF <= count < HALF:
+                raise ValueError(f"a transition adds {count} tokens, which doesn't fit a cell")
             if (number := self.states.get(to)) is None:
                 number = self.states[to] = len(self.entries)
                 self.entries.append(to)
                 if number >= len(self.table):
                     self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-            self.table[s, k] = number * 64 + count + 32
+            self.table[s, k] = (number << BITS) + count + HALF
 
     def _columns(self, classes: np.ndarray) -> np.ndarray:
-        """Table columns of the classes; the start of a batch, so the table may be begun anew."""
-        if self.table.size > self.cells:
-            self._begin()
-        out = self.column[classes]
-        if (out < 0).any():
-            for k in np.unique(classes[out < 0]).tolist():
-                if len(self.classes) == self.table.shape[1]:
-                    self.table = np.concatenate([self.table, np.full_like(self.table, -1)], axis=1)
-                self.column[k] = len(self.classes)
-                self.classes.append(k)
-            out = self.column[classes]
-        return out
+        """Table columns of the classes, at the start of a batch."""
+        met = np.unique(classes)
+        more = len(self.classes) + int((self.column[met] < 0).sum())
+        width = max(64, 1 << (more - 1).bit_length())
+        if width > self.table.shape[1]:
+            if width * len(self.entries) > self.cells:
+                self._begin()
+                width = max(64, 1 << (len(met) - 1).bit_length())
+            if width > self.table.shape[1]:
+                wider = np.full((len(self.table), width), -1, dtype=np.int32)
+                wider[:, : self.table.shape[1]] = self.table
+                self.table, self.most = wider, max(self.cells // width, len(self.entries) + 256)
+        for k in met[self.column[met] < 0].tolist():
+            self.column[k] = len(self.classes)
+            self.classes.append(k)
+        return self.column[classes]
 
     # -- running --------------------------------------------------------------------------
     def _run(self, column: np.ndarray, part: np.ndarray, start: np.ndarray, size: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,18 +204,62 @@ class Transducer:
             k = column[at]
             now = np.where(part[at], 0, state[:n])
             to = self.table[now, k]
-            if (to < 0).any():
-                new = to < 0
-                self._fill(now[new], k[new])
+            while (new := to < 0).any():
+                self._fill(now[new], k[new], state)
+                now = np.where(part[at], 0, state[:n])
                 to = self.table[now, k]
-            state[:n] = to >> 6
-            count[:n] += (to & 63) - 32
+            state[:n] = to >> BITS
+            count[:n] += (to & (2 * HALF - 1)) - HALF
         exits, counts = np.empty_like(state), np.empty_like(count)
         exits[order], counts[order] = state, count
         return exits, counts
 
+    def _scan(self, run, sure: np.ndarray) -> np.ndarray:
+        """Counts of chunks from their entry states; ``run(chunks, entries)`` gives exits and counts."""
+        n = len(sure)
+        chunk, entry = np.arange(n), np.zeros(n, dtype=np.int64)
+        exits, counts = run(chunk, entry)
+        open_ = np.append(~sure, False)  # by chunk: the entry state isn't known to be the start state
+        if not open_.any():
+            return counts
+        lane = np.flatnonzero(open_[:-1] | open_[1:])  # the others' maps aren't composed
+        c, e, x, t = chunk[lane], entry[lane], exits[lane], counts[lane]
+        while True:  # the maps' entries: until the exits of each chunk are among the next one's
+            on = open_[c + 1]
+            need = np.unique(np.stack([c[on] + 1, x[on]], axis=1), axis=0)
+            pairs, back = np.unique(np.concatenate([np.stack([c, e], axis=1), need]), axis=0, return_inverse=True)
+            new = np.ones(len(pairs), dtype=bool)
+            new[back[: len(c)]] = False
+            if not new.any():
+                break
+            more, state = pairs[new].T.copy()
+            self.live = [e, x, state]  # run may number states anew
+            got, add = run(more, state)
+            self.live = []
+            c, e, x, t = np.concatenate([c, more]), np.concatenate([e, state]), np.concatenate([x, got]), np.concatenate([t, add])
+        # a map's row points to the row of the next chunk's map that its exit enters, the last ones to themselves
+        row_of = np.empty(len(pairs), dtype=np.int64)
+        row_of[back[: len(c)]] = np.arange(len(c))
+        follow = np.arange(len(c))
+        on = np.flatnonzero(open_[c + 1])
+        follow[on] = row_of[np.searchsorted(pairs[:, 0] * (1 << 32) + pairs[:, 1], (c[on] + 1) * (1 << 32) + x[on])]
+        wanted = np.flatnonzero(open_)
+        head = np.maximum.accumulate(np.where(~open_[:-1], np.arange(n), 0))[wanted]
+        first = np.full(n, -1, dtype=np.int64)  # of each sure chunk its only row
+        first[c[~open_[c]]] = np.flatnonzero(~open_[c])
+        at, left = first[head], wanted - head
+        while left.any():  # follow: maps over 1, 2, 4, ... chunks
+            odd = (left & 1).astype(bool)
+            at[odd] = follow[at[odd]]
+            left >>= 1
+            follow = follow[follow]
+        counts[wanted] = t[at]
+        return counts
+
     def count(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text."""
+        if len(self.entries) >= self.most:
+            self._enter([])
         raw = [(SPACE + t) if t else "" for t in texts]
         length = np.fromiter(map(len, raw), np.int64, len(raw))
         code = np.frombuffer("".join(raw).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -215,16 +290,7 @@ class Transducer:
             if begins[0] != 0:
                 begins = np.concatenate([[0], begins])
             size = np.diff(np.concatenate([begins, [len(keep)]]))
-            entry, sure = np.zeros(len(begins), dtype=np.int64), part[begins]
-            exits, counts = self._run(column, part, begins, size, entry)
-            open_ = np.flatnonzero(~sure)
-            while len(open_):
-                want = exits[open_ - 1]
-                open_now = open_[want != entry[open_]]
-                if not len(open_now):
-                    break
-                entry[open_now] = exits[open_now - 1]
-                exits[open_now], counts[open_now] = self._run(column, part, begins[open_now], size[open_now], entry[open_now])
+            counts = self._scan(lambda which, entry: self._run(column, part, begins[which], size[which], entry), part[begins])
             # counts hang on the chunk's first character: a chunk may reach into the next text only at a parting
             own = np.zeros(len(keep), dtype=np.int64)
             own[begins] = counts
@@ -234,13 +300,14 @@ class Transducer:
         return sums[ends] - sums[ends - length]
 
 
-@lru_cache(2)
 def transducer(path: str) -> Transducer:
-    return Transducer(path)
+    """One transducer a worker process, of the model used last."""
+    return held(("transducer", path), lambda: Transducer(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every text."""
+    """``id_col``, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit``) of every text; results
+    for odd inputs are those that the module states."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def start():
@@ -253,4 +320,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
 
         return make
 
-    return map_arrow(rows, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, over_limit boolean", start)
+    return map_arrow(rows, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_tokens bigint, over_limit boolean", start, holds=("transducer", path))
