@@ -36,26 +36,30 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
+BMP = 0x10000  # a class with higher code points is slow to miss, so texts without any get one without
+HIGHER = re.compile("[\U00010000-\U0010ffff]")
+
+
 def _ranges(wanted: list[bool]) -> str:
     """A character class of the code points wanted, as ranges."""
     change = np.flatnonzero(np.diff(np.array([False, *wanted, False], dtype=np.int8)))
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in change.reshape(-1, 2).tolist())
 
 
-@lru_cache(1)
-def _classes() -> tuple[str, str]:
-    """Character classes of letters and of numbers."""
-    kinds = [unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)]
+@lru_cache(2)
+def _classes(below: int = sys.maxunicode + 1) -> tuple[str, str]:
+    """Character classes of letters and of numbers, of code points below a number."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(below)]
     return _ranges([k == "L" for k in kinds]), _ranges([k == "N" for k in kinds])
 
 
-def letters() -> str:
+def letters(below: int = sys.maxunicode + 1) -> str:
     """The character class of letters (category L), as ranges."""
-    return _classes()[0]
+    return _classes(below)[0]
 
 
-@lru_cache(2)
-def _unsure(normal_forms: bool) -> str:
+@lru_cache(4)
+def _unsure(normal_forms: bool, below: int = sys.maxunicode + 1) -> str:
     """The characters on which versions of the Unicode tables may differ: those that Python's
     don't have and, where normal forms count, marks and composites that version 3.2 didn't have."""
     old = unicodedata.ucd_3_2_0
@@ -66,12 +70,13 @@ def _unsure(normal_forms: bool) -> str:
             return True
         return normal_forms and old.category(c) == "Cn" and (kind[0] == "M" or unicodedata.normalize("NFD", c) != c)
 
-    return _ranges([young(chr(c)) for c in range(sys.maxunicode + 1)])
+    return _ranges([young(chr(c)) for c in range(below)])
 
 
-def _pattern(kind: str, ascii_only: bool) -> re.Pattern:
-    letters, numbers = ("A-Za-z", "0-9") if ascii_only else _classes()
-    s, l, n = (" \\t-\\r" if ascii_only else SPACES), letters, numbers
+def _pattern(kind: str, below: int) -> re.Pattern:
+    """The words of texts whose code points are below a number."""
+    l, n = ("A-Za-z", "0-9") if below == 128 else _classes(below)
+    s = " \\t-\\r" if below == 128 else SPACES
     if kind == "byte":
         return re.compile(f" ?[{l}]+|{CONTRACTIONS}| ?[{n}]+| ?[^{s}{l}{n}]+|[{s}]+(?![^{s}])|[{s}]+")
     return re.compile(f"[{l}]+|{CONTRACTIONS}|[{n}]|[^{s}{l}{n}]+")
@@ -192,8 +197,8 @@ class Encoder:
         self.answer = np.zeros(1 << 20, dtype=bool)
         special = sorted(self.special, key=len, reverse=True)
         self.find_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.split, self.split_ascii = _pattern(self.kind, False), _pattern(self.kind, True)
-        self.unsure = re.compile(f"[{_unsure(self.suffix)}]")
+        self.split, self.split_bmp, self.split_ascii = (_pattern(self.kind, below) for below in (sys.maxunicode + 1, BMP, 128))
+        self.unsure, self.unsure_bmp = (re.compile(f"[{_unsure(self.suffix, below)}]") for below in (sys.maxunicode + 1, BMP))
         self.joined = spec.get("decoder") is None  # else the byte-level decoder
         self.names = {i: s for s, i in (vocab | self.special).items()} if self.joined else {}
         self._offsets(strings)
@@ -362,7 +367,7 @@ class Encoder:
         return text, False
 
     def _pieces(self, text: str, ascii_only: bool) -> list[str]:
-        return (self.split_ascii if ascii_only else self.split).findall(text)
+        return (self.split_ascii if ascii_only else self.split if HIGHER.search(text) else self.split_bmp).findall(text)
 
     def _by_library(self, text: str) -> list[str]:
         """The words of a text with unsure characters."""
@@ -377,7 +382,7 @@ class Encoder:
     def _units(self, text: str) -> list[np.ndarray]:
         """Numbers of the parts (between single spaces) of a text, or of its words where
         white space doesn't allow to look at parts by themselves."""
-        if not text.isascii() and self.unsure.search(text):
+        if not text.isascii() and (self.unsure if HIGHER.search(text) else self.unsure_bmp).search(text):
             words = self._by_library(text)
             return [np.fromiter(map(self.words.seen.__getitem__, words), np.int64, len(words)) + WORD]
         text, ascii_only = self._clean(text)

@@ -150,27 +150,49 @@ def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 
 
-_held: dict = {}  # what the worker process keeps from task to task
+#: Bytes of a batch that goes to Python, unless the session names its own: buffers of batches stand
+#: outside the JVM's heap, beside the workers.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+_held: dict = {}  # what the worker process keeps from task to task: one object at most
 
 
 def held(key: tuple, make):
-    """The object of this key, made if need be."""
+    """The object of this key, made if need be. A worker keeps the last one alone, so a
+    worker that serves several operators in turn doesn't add up their tables."""
     if key not in _held:
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
+def let_go(but: tuple | None = None) -> None:
+    """Drops what the worker keeps, unless its key is ``but``."""
+    if _held and but not in _held:
+        _held.clear()
+        give_back()
+
+
 def map_arrow(df: DataFrame, schema: str, start, by: str | None = "text", most: int = 2 << 20, holds: tuple | None = None) -> DataFrame:
     """``df`` through Python by Arrow batches. ``start()`` is called once a task and returns
     the function from a piece of a batch (about ``most`` bytes of column ``by``) to output arrays in
     the order of ``schema``; where it has a ``finish``, that gives a last set of arrays. ``holds``:
-    the key of ``held`` that the tasks use."""
+    the key of ``held`` that the tasks use; anything else that the worker keeps is dropped first."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
+        let_go(holds)
         make = start()
         for batch in batches:
             for piece in slices(batch, by, most) if by else [batch]:

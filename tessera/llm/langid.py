@@ -30,19 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Seen, letters
+from .bpe import BMP, HIGHER, Seen, letters
 from .common import crc_mod, held, map_arrow, mix64, spans
 
 WHOLE, ORDERS = 0, (5, 4, 3, 2, 1)
 EVIDENCE = 20
 UNKNOWN = "und"
-LETTERS, ASCII_LETTERS = re.compile(f"[{letters()}]+"), re.compile("[a-z]+")
+LETTERS, BMP_LETTERS, ASCII_LETTERS = re.compile(f"[{letters()}]+"), re.compile(f"[{letters(BMP)}]+"), re.compile("[a-z]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
     """The runs of letters of a text in lower case."""
-    return (ASCII_LETTERS if text.isascii() else LETTERS).findall(text)
+    return (ASCII_LETTERS if text.isascii() else LETTERS if HIGHER.search(text) else BMP_LETTERS).findall(text)
 
 
 def keys(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
