@@ -11,8 +11,9 @@ pieces of that size): a rank is the number of such pieces in earlier partitions
 pieces plus that in its own, so no task gathers a size.
 
 Defined results: null text is empty (the end id alone, length 1); rows with equal or null ids
-are packed each by itself; an empty table gives an empty one; longer documents are cut into
-pieces of full capacity and a rest. Other columns of the input are not carried.
+are packed each by itself; an empty table gives an empty one; longer documents, however long, are cut into
+pieces of full capacity and a rest; pieces of one length are interchangeable, so ties are resolved by the partition and
+place they come from. Other columns of the input, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import crc32_ids, map_arrow, written
+from .common import crc32_ids, drop_written, map_arrow, written
 
+#: Up to so many rows of a plan (48 bytes each) are broadcast; more are joined.
+BROADCAST_ROWS = 200_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
 
@@ -177,12 +180,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in per_part.groupBy("length").agg(F.sum("n")).collect():  # a row for each size
         counts[size] = n
-    plan = spark.createDataFrame(Plan(counts).rows, "size bigint, lo bigint, hi bigint, first bigint, each bigint, at bigint")
+    rows = Plan(counts).rows
+    n_rows, plan = len(rows), spark.createDataFrame(rows, "size bigint, lo bigint, hi bigint, first bigint, each bigint, at bigint")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_part.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     # The plan has a few rows for each of at most `capacity` sizes, however many pieces there are.
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    plan = F.broadcast(plan) if n_rows <= BROADCAST_ROWS else plan
+    placed = ranked.join(plan, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     step = F.col("rank") - F.col("lo")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
@@ -193,4 +198,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_pieces(written(cut_pieces(docs, path, capacity, end_id), "pieces"), capacity)
+    pieces = written(cut_pieces(docs, path, capacity, end_id), "pieces")
+    out = written(pack_pieces(pieces, capacity), "packed")
+    drop_written(pieces)
+    return out

@@ -8,8 +8,9 @@ sums for itself; isotonic regression on rows set apart turns its values into pro
 The fit reads at most about ``rows`` labelled documents, chosen by a hash of the id; all texts
 are scored in whole. Defined results: null text counts as empty and is scored; without a
 labelled row, or with rows of one label alone, every text gets the share of label 1 (0.5 without
-any); rows with a null label aren't learned from; repeated rows and null ids are kept; an empty
-table gives an empty one; other columns are not carried by ``predict``, and all of them by ``keep``.
+any); rows with a null label aren't learned from; repeated rows, repeated ids and null ids are kept, and each
+label of a repeated id counts; equal texts and ties have equal scores; very long texts are measured in whole; an empty
+table gives an empty one; other columns, whatever their names, are not carried by ``predict``, and all of them by ``keep``.
 """
 
 from __future__ import annotations
@@ -84,8 +85,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col("quality").isNotNull() & (crc_mod("doc_id", 4) != 2)).select(F.col("doc_id").alias("label_id"), (F.col("quality") >= 1).cast("double").alias("y"))
     n = known.count()
     chosen = known.where(F.pmod(F.xxhash64("label_id", F.lit(seed)), F.lit(1_000_000)) < 1_000_000 * min(1.0, rows / max(1, n)))
-    # At most about `rows` pairs of an id and a number, so the side that is broadcast is bounded.
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    # About `rows` pairs of an id and a number; repeated ids of labels may make them more.
+    chosen = F.broadcast(chosen) if chosen.count() <= 2 * rows else chosen
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, F.col("id") == F.col("label_id"))
     found = found.select(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(5)).cast("int").alias("fold"), "y", "text")
     stats = map_arrow(found, "fold int, y double, x array<double>", lambda: lambda b: [b.column("fold"), b.column("y"), [statistics(t) for t in b.column("text").to_pylist()]])
     from .common import drop_written, written
@@ -129,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scores(model: dict, texts: list[str | None]) -> np.ndarray:
+    """The probability of label 1 of each text."""
     if "weights" not in model:
         return np.full(len(texts), model["share"])
     value = _fourier(model, np.array([statistics(t) for t in texts])) @ model["weights"]

@@ -12,43 +12,53 @@ from .common import table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets, components and representatives of all documents."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
     return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
     return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
     return transducer.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and their likeness."""
     return parsing.compare_edited(table(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
     return token_files.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of what they decode to."""
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
     docs = table(spark, sf_dir, "documents")
     return quality.predict(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 

@@ -9,7 +9,9 @@ all files before it, is the prefix sum of the counts in the manifest.
 
 A task that is run again writes files with new names; only the files that the written
 manifest names count. Defined results: null text is empty (the end id alone); null document
-ids come first; rows with the same id are ordered by their text; an empty table gives no files.
+ids come first; rows with the same id are ordered by their text (and dealt to one task, which streams them); equal
+rows follow one another; very long texts are written in whole; other columns, whatever their names, are not
+read; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -80,21 +82,31 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = 1, to: st
     return files
 
 
-def mapped(at: str, kind: str) -> np.ndarray:
-    """A file as an array: memory-mapped where the file system is local."""
-    from pyarrow import fs as pafs
+class Flat:
+    """A file as an array: memory-mapped where the file system is local, else read as far as is asked for."""
 
-    fs, path = open_fs(at)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r")
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+    def __init__(self, at: str, kind: str):
+        from pyarrow import fs as pafs
+
+        fs, path = open_fs(at)
+        self.kind, self.file, self.array = np.dtype(kind), None, None
+        if not isinstance(fs, pafs.LocalFileSystem):
+            self.file = fs.open_input_file(path)
+        elif fs.get_file_info(path).size:
+            self.array = np.memmap(path, dtype=kind, mode="r")
+
+    def take(self, begin: int, end: int) -> np.ndarray:
+        """Entries of the array."""
+        if self.file is not None:
+            size = self.kind.itemsize
+            return np.frombuffer(self.file.read_at((end - begin) * size, begin * size), dtype=self.kind)
+        return self.array[begin:end] if self.array is not None else np.empty(0, dtype=self.kind)
 
 
 def read_token_files(spark: SparkSession, files: list[dict], each, schema: str) -> DataFrame:
     """Documents of the files. ``each(ids)`` gives a document's further columns from its ids;
     ``schema`` names them. Columns: doc_id, start (ids of all documents before it) and these."""
-    listing = spark.createDataFrame([(f["name"], f["kind"], f["n_docs"], f["base"]) for f in files], "name string, kind string, n_docs bigint, base bigint").repartition(max(1, len(files)))
+    listing = spark.createDataFrame([(i, f["name"], f["kind"], f["n_docs"], f["base"]) for i, f in enumerate(files)], "i int, name string, kind string, n_docs bigint, base bigint").repartitionById(max(1, len(files)), F.col("i"))
 
     def start():
         import pyarrow as pa
@@ -102,12 +114,12 @@ def read_token_files(spark: SparkSession, files: list[dict], each, schema: str)
         def make(batch):
             doc_id, null, begin, more = [], [], [], []
             for f in batch.to_pylist():
-                ids, raw, n = mapped(f["name"] + ".ids", f["kind"]), mapped(f["name"] + ".idx", "u1"), f["n_docs"]
-                offsets = raw[: 8 * (n + 1)].view("<i8")
-                doc_id.append(np.array(raw[8 * (n + 1) : 8 * (2 * n + 1)].view("<i8")))
-                null.append(np.array(raw[8 * (2 * n + 1) :], dtype=bool))
+                ids, index, n = Flat(f["name"] + ".ids", f["kind"]), Flat(f["name"] + ".idx", "u1"), f["n_docs"]
+                offsets = index.take(0, 8 * (n + 1)).view("<i8")
+                doc_id.append(np.array(index.take(8 * (n + 1), 8 * (2 * n + 1)).view("<i8")))
+                null.append(np.array(index.take(8 * (2 * n + 1), 8 * (2 * n + 1) + n), dtype=bool))
                 begin.append(f["base"] + np.array(offsets[:-1]))
-                more.extend(each(ids[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+                more.extend(each(ids.take(a, b)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
             return [pa.array(np.concatenate(doc_id), mask=np.concatenate(null)), np.concatenate(begin), *map(list, zip(*more))]
 
         return make

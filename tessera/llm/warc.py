@@ -1,17 +1,21 @@
 """WARC archives compressed with a dictionary of their own, and their reader.
 
-Each task writes one archive. It trains a Zstandard dictionary on its first records (up to
-SAMPLE_BYTES), writes it in a leading skippable frame, and compresses every record as a frame of
-its own with it, so a reader can start at any record once it has the dictionary. Of records with
+A Zstandard dictionary is trained on records of payloads drawn by their digests from the whole
+table, about SAMPLE_BYTES of them (every payload, if there are no more). Each task writes one
+archive: the dictionary in a leading skippable frame, a warcinfo record, and every record as a frame of
+its own compressed with it, so a reader can start at any record once it has the dictionary. Where the sample
+is too small to train on, the dictionary is the sample's content itself. Of records with
 equal payloads (by SHA-1) the one with the smallest page_id is a response that holds the payload; the
 others are revisits that refer to it and hold the HTTP headers alone.
 
 Only files that the written manifest names count, so a task that runs again leaves no record
 twice. Reading checks every response against its digest. Defined results: null html is
 an empty payload; a null url is written as ``urn:tessera:none``; rows that repeat the smallest
-page_id of their payload are all responses; rows with a null page_id are revisits of their
-payload's smallest page_id, or responses if it has none; an empty table gives no archive; other
-columns of the input are not read; payloads of under ``least_bytes`` are always responses.
+page_id of their payload are all responses (a record's id is made of page_id and digest, so rows equal
+in both have equal ones); rows with a null page_id are revisits of their
+payload's smallest page_id, or responses if it has none; very long payloads are records as others are; of
+equal page_ids the least url stands for the response; an empty table gives no archive; other
+columns of the input, whatever their names, are not read; payloads of under ``least_bytes`` are always responses.
 """
 
 from __future__ import annotations
@@ -29,18 +33,47 @@ from pyspark.sql import functions as F
 from .common import drop_written, map_arrow, new_path, open_fs, written
 
 SKIPPABLE = 0x184D2A5D  # the magic number of a frame with a dictionary
-SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1 << 20, 1 << 15, 3
+SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2 << 20, 1 << 15, 3
+PIECE = 1 << 16  # of a long payload in the sample, from a place that its digest tells
+#: Up to so many digests that several pages share (about 150 bytes each) are broadcast; more are joined.
+BROADCAST_DIGESTS = 50_000
 DATE = "1970-01-01T00:00:00Z"  # pages have no time of their own
 ID = "urn:tessera:page:"
 
 
-def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html and, for revisits, first (page_id and url of the response)."""
+def _rows(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    first = rows.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"))
+    return rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
+
+
+def digests(pages: DataFrame) -> DataFrame:
+    """digest, bytes, number of pages and first (page_id and url of the response) of every payload."""
+    return _rows(pages).groupBy("digest").agg(F.max(F.octet_length("html")).alias("bytes"), F.count("*").alias("pages"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"))
+
+
+def roles(pages: DataFrame, payloads: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """page_id, url, html and, for revisits, first (page_id and url of the response); ``payloads``: written digests."""
+    shared = payloads.where("pages > 1").select("digest", "first")
+    if shared.count() <= BROADCAST_DIGESTS:
+        shared = F.broadcast(shared)
     again = (F.octet_length("html") >= least_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return rows.join(first, "digest").select("page_id", "url", "html", F.when(again, F.col("first.page_id")).alias("first_id"), F.when(again, F.col("first.url")).alias("first_url"))
+    return _rows(pages).join(shared, "digest", "left").select("page_id", "url", "html", F.when(again, F.col("first.page_id")).alias("first_id"), F.when(again, F.col("first.url")).alias("first_url"))
+
+
+def dictionary(pages: DataFrame, payloads: DataFrame) -> bytes:
+    """A dictionary from records of the payloads whose digests fall under a bound."""
+    total = payloads.agg(F.sum(F.least("bytes", F.lit(PIECE)) + 300)).first()[0] or 0  # about what their records take
+    if not total:
+        return b""
+    draw = F.conv(F.hex(F.substring("digest", 1, 6)), 16, 10).cast("double") / (1 << 48)
+    chosen = _rows(pages).where(draw < SAMPLE_BYTES / total)
+    begin = F.greatest(F.lit(1), (draw * (F.length("html") - PIECE)).cast("int"))
+    rows = chosen.groupBy("digest").agg(F.min(F.struct("page_id", "url", F.substring("html", begin, F.lit(PIECE)).alias("html"))).alias("x")).select("x.*")
+    records_ = sorted(record(r.page_id or 0, r.url, r.html, None, None) for r in rows.collect())  # about SAMPLE_BYTES
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, records_)) // 8)), records_).as_bytes()
+    except zstandard.ZstdError:  # too few records to learn from
+        return b"".join(records_)[-DICTIONARY_BYTES:]
 
 
 def record(page_id: int | None, url: str | None, html: str, first_id: int | None, first_url: str | None) -> bytes:
@@ -48,54 +81,41 @@ def record(page_id: int | None, url: str | None, html: str, first_id: int | None
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if first_id is not None else http + payload
-    own = f"{ID}{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
+    own = f"{ID}{page_id}:{digest}" if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
     clean = lambda u: "urn:tessera:none" if u is None else u.replace("\r", "%0D").replace("\n", "%0A")
     head = ["WARC/1.1", f"WARC-Type: {'response' if first_id is None else 'revisit'}", f"WARC-Record-ID: <{own}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if first_id is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{ID}{first_id}>", f"WARC-Refers-To-Target-URI: {clean(first_url)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{ID}{first_id}:{digest}>", f"WARC-Refers-To-Target-URI: {clean(first_url)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+def information() -> bytes:
+    """The record at the head of an archive."""
+    block = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
 class Archive:
-    """Writes one archive; holds back records until there are enough for the dictionary."""
+    """Writes one archive."""
 
-    def __init__(self, stream):
-        self.stream, self.held, self.size, self.n, self.compressor = stream, [], 0, 0, None
+    def __init__(self, stream, dictionary: bytes):
+        self.stream, self.n = stream, 0
+        stream.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        stream.write(self.compressor.compress(information()))
 
     def add(self, raw: bytes) -> None:
         self.n += 1
-        if self.compressor is not None:
-            self.stream.write(self.compressor.compress(raw))
-            return
-        self.held.append(raw)
-        self.size += len(raw)
-        if self.size >= SAMPLE_BYTES:
-            self._begin()
-
-    def _begin(self) -> None:
-        dictionary = None
-        try:
-            dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, self.size // 8)), [r[: SAMPLE_BYTES // 8] for r in self.held])
-        except zstandard.ZstdError:
-            pass  # too few records to learn from: the archive goes without a dictionary
-        if dictionary is not None:
-            raw = dictionary.as_bytes()
-            self.stream.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
-        held, self.held = self.held, []
-        for r in held:
-            self.stream.write(self.compressor.compress(r))
-
-    def close(self) -> None:
-        if self.compressor is None:
-            self._begin()
-        self.stream.close()
+        self.stream.write(self.compressor.compress(raw))
 
 
 def write_archives(pages: DataFrame, to: str | None = None, least_bytes: int = 0) -> list[dict]:
-    """Writes the archives; returns path and number of records of each."""
+    """Writes the archives; returns path and number of records (without the first) of each."""
     to = to or new_path(pages.sparkSession, "warc")
+    payloads = written(digests(pages), "digests")
+    learned = dictionary(pages, payloads)
 
     def start():
         fs, folder = open_fs(to)
@@ -105,22 +125,22 @@ def write_archives(pages: DataFrame, to: str | None = None, least_bytes: int = 0
         def make(batch):
             if not opened:
                 fs.create_dir(folder, recursive=True)
-                opened.append(Archive(fs.open_output_stream(f"{folder}/{name}")))
+                opened.append(Archive(fs.open_output_stream(f"{folder}/{name}"), learned))
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "first_url"))):
                 opened[0].add(record(*row))
 
         def finish():
             if not opened:
                 return None
-            opened[0].close()
+            opened[0].stream.close()
             return [[f"{to}/{name}"], [opened[0].n]]
 
         make.finish = finish
         return make
 
-    manifest = written(map_arrow(roles(pages, least_bytes), "path string, records bigint", start, by="html"), "warc-manifest")
+    manifest = written(map_arrow(roles(pages, payloads, least_bytes), "path string, records bigint", start, by="html"), "warc-manifest")
     files = [r.asDict() for r in manifest.orderBy("path").collect()]  # a row an archive
-    drop_written(manifest)
+    drop_written(manifest, payloads)
     return files
 
 
@@ -144,12 +164,15 @@ def records(stream, chunk: int = 1 << 15):
 
 
 def parse(raw: bytes) -> dict:
-    """Fields and payload (None in revisits) of a record; its digest is checked."""
+    """Fields and payload (None in revisits) of a record; its digest is checked. A warcinfo record
+    has its fields alone."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if first != "WARC/1.1":
         raise ValueError("not a WARC record")
     out = dict(line.split(": ", 1) for line in lines)
+    if out["WARC-Type"] == "warcinfo":
+        return out
     http, _, body = rest[: int(out["Content-Length"])].partition(b"\r\n\r\n")
     size = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"]
     digest = out["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -161,13 +184,13 @@ def parse(raw: bytes) -> dict:
 
 def _page(urn: str | None) -> int | None:
     urn = (urn or "").strip("<>")
-    return int(urn.removeprefix(ID)) if urn.startswith(ID) else None
+    return int(urn.removeprefix(ID).split(":")[0]) if urn.startswith(ID) else None
 
 
 def read_archives(spark: SparkSession, files: list[dict], payload: bool = False) -> DataFrame:
     """One row a record: page_id, payload_bytes, payload_digest, record_type, refers_to and,
     where asked for, url and payload (null in revisits)."""
-    listing = spark.createDataFrame([(f["path"], f["records"]) for f in files], "path string, records bigint").repartition(max(1, len(files)))
+    listing = spark.createDataFrame([(i, f["path"], f["records"]) for i, f in enumerate(files)], "i int, path string, records bigint").repartitionById(max(1, len(files)), F.col("i"))
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", url string, payload binary" * payload
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -184,6 +207,8 @@ def read_archives(spark: SparkSession, files: list[dict], payload: bool = False)
             with fs.open_input_stream(at) as stream:
                 for raw in records(stream):
                     r = parse(raw)
+                    if r["WARC-Type"] == "warcinfo":
+                        continue
                     row = [_page(r["WARC-Record-ID"]), r["bytes"], r["digest"], r["WARC-Type"], _page(r.get("WARC-Refers-To"))]
                     if payload:
                         row += [r["WARC-Target-URI"], r["payload"]]
