@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, minhash, packing, quality
-from tessera.llm.common import table, written
+from tessera.llm.common import drop_written, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; where rows repeat
     an id, they are told apart by their sets too. Rows with a null id have nothing to be told apart
     by and stay."""
-    found = written(minhash.near_duplicates(docs, with_set=True), "near-duplicates")
+    found = minhash.near_duplicates(docs, with_set=True)
     n, n_ids = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     if n == n_ids:
         gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages after one another; a stage's table goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        after = written(stage(spark, docs, sf_dir), name)
+        drop_written(docs)
+        docs = after
+    return docs
