@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 def crop_features(pixels: np.ndarray) -> tuple[float, float, float, float]:
     """sharpness, contrast, brightness, coverage of an RGBA image. Sharpness is the variance
-    of the Laplacian where a pixel and its four neighbours are in the mask; all are 0 for a mask
-    of under four pixels or a side of under three."""
+    of the Laplacian where a pixel and its four neighbours are in the mask; all but the coverage are 0
+    for a mask of under four pixels or a side of under three, and the coverage for an image without pixels."""
     rgb, mask = pixels[..., :3].astype(float), pixels[..., 3] > 0 if pixels.shape[-1] == 4 else np.ones(pixels.shape[:2], bool)
     if mask.sum() < 4 or min(mask.shape) < 3:
-        return 0.0, 0.0, 0.0, 0.0
+        return 0.0, 0.0, 0.0, float(mask.mean()) if mask.size else 0.0
     gray = rgb @ np.array([0.299, 0.587, 0.114])
     c = gray[1:-1, 1:-1]
     around = gray[:-2, 1:-1] + gray[2:, 1:-1] + gray[1:-1, :-2] + gray[1:-1, 2:] - 4 * c
