@@ -1,68 +1,182 @@
 """Boosted trees as surrogates: folds by group, attributions, their stability and mediation.
 
-Trees are fitted by Spark's own boosting, whose histograms are distributed; what the driver holds is
-a model (at most 2 ** depth leaves a tree). Attributions are exact Shapley values of each tree's
+Trees are grown on histograms of binned features for the logistic loss, with a penalty on leaf
+values. A fit reads at most about ``Settings.rows`` rows, chosen by a hash of their values, and is one task;
+the fits of folds and resamples are tasks beside one another. All rows are scored. What the driver
+holds is models (at most 2 ** depth leaves a tree). Attributions are exact Shapley values of each tree's
 paths with cover shares as the background, found in Arrow batches."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import pickle
 from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gates import Refused
 from .sampling import bootstrap_groups, group_folds
 from .statistics import importance_ranking, ranking_measures
 
-TOGETHER = 6  # models fitted at a time
+LEAST_HESSIAN = 1e-3
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Of the boosting; it has no penalty on leaf values."""
+    """Of the boosting, and the most rows that one fit reads."""
 
     iterations: int = 300
     rate: float = 0.05
     depth: int = 4
     least_rows: int = 50
+    l2: float = 1.0
+    bins: int = 255
+    rows: int = 1_000_000
     seed: int = 42
 
 
-def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    """A null or NaN feature is an error; no row is left out for it."""
-    return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="error").transform(df)
+class Boosted:
+    """Trees over features. ``leaves`` of all trees: value in log odds, and per feature on the path
+    its bounds and cover share: (feature, above, at most, share)."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, settings: Settings):
+        share = float(np.average(y, weights=weight))
+        self.start, self.leaves = float(np.log(share / (1 - share))), []
+        cuts = [self._cuts(c, settings.bins) for c in x.T]
+        binned = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T)], axis=1)
+        margin = np.full(len(y), self.start)
+        for _ in range(settings.iterations):
+            p = 1 / (1 + np.exp(-margin))
+            margin += self._tree(binned, cuts, weight * (p - y), weight * p * (1 - p), weight, settings)
+
+    @staticmethod
+    def _cuts(values: np.ndarray, bins: int) -> np.ndarray:
+        """Upper bounds of all bins but the last."""
+        own = np.unique(values)
+        if len(own) > bins:
+            own = np.unique(np.quantile(values, np.linspace(0, 1, bins + 1)[1:-1], method="midpoint"))
+            return own
+        return (own[1:] + own[:-1]) / 2
+
+    def _tree(self, binned: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, weight: np.ndarray, s: Settings) -> np.ndarray:
+        """Grows a tree level by level; what it adds to each row's margin."""
+        node = np.zeros(len(g), dtype=np.int64)  # -1: in a leaf already
+        out = np.zeros(len(g))
+        paths: dict[int, dict[int, tuple[float, float, float]]] = {0: {}}
+        for level in range(s.depth + 1):
+            inside = node >= 0
+            n = max(paths, default=-1) + 1
+            if not inside.any() or not n:
+                break
+            rows, at = np.flatnonzero(inside), node[inside]
+            totals = [np.bincount(at, weights=v[rows], minlength=n) for v in (g, h, weight)]
+            best = np.zeros(n)
+            choice = np.full((n, 2), -1)
+            for f, c in enumerate(cuts if level < s.depth else []):
+                if not len(c):
+                    continue
+                width = len(c) + 1
+                key = at * width + binned[rows, f]
+                gl, hl, cl = (np.cumsum(np.bincount(key, weights=v[rows], minlength=n * width).reshape(n, width), axis=1)[:, :-1] for v in (g, h, weight))
+                gr, hr, cr = (t[:, None] - left for t, left in zip(totals, (gl, hl, cl)))
+                gain = gl**2 / (hl + s.l2) + gr**2 / (hr + s.l2) - (totals[0] ** 2 / (totals[1] + s.l2))[:, None]
+                gain[(np.minimum(cl, cr) < s.least_rows) | (np.minimum(hl, hr) < LEAST_HESSIAN)] = -np.inf
+                top = gain.argmax(axis=1)
+                better = gain[np.arange(n), top] > best + 1e-12
+                best[better] = gain[np.arange(n), top][better]
+                choice[better] = np.stack([np.full(n, f), top], axis=1)[better]
+            after: dict[int, dict] = {}
+            for k, path in paths.items():
+                f, cut = choice[k]
+                own = rows[at == k]
+                if f < 0:
+                    value = -s.rate * totals[0][k] / (totals[1][k] + s.l2)
+                    out[own] = value
+                    node[own] = -1
+                    self.leaves.append((float(value), [(i, *b) for i, b in sorted(path.items())]))
+                    continue
+                left = binned[own, f] <= cut
+                node[own] = 2 * k + ~left
+                lo, hi, share = path.get(int(f), (-np.inf, np.inf, 1.0))
+                edge, part = float(cuts[f][cut]), float(weight[own[left]].sum() / totals[2][k])
+                after[2 * k] = path | {int(f): (lo, min(hi, edge), share * part)}
+                after[2 * k + 1] = path | {int(f): (max(lo, edge), hi, share * (1 - part))}
+            paths = after
+        return out
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), self.start)
+        for value, conditions in self.leaves:
+            inside = np.ones(len(x), dtype=bool)
+            for f, lo, hi, _ in conditions:
+                inside &= (x[:, f] > lo) & (x[:, f] <= hi)
+            out[inside] += value
+        return out
+
+
+def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
+    x = pdf[features].to_numpy(float)
+    if not np.isfinite(x).all():
+        raise ValueError("a feature is null, NaN or infinite")
+    return x
+
+
+def _rows(df: DataFrame, features: list[str], label: str, settings: Settings, *more: str) -> DataFrame:
+    """Labelled rows as doubles, about ``settings.rows`` of them. A label of one value alone is refused."""
+    rows = df.where(F.col(label).isNotNull()).select(*more, *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("_y"))
+    low, high, n = rows.agg(F.min("_y"), F.max("_y"), F.count("*")).first()
+    if low == high:
+        raise Refused("the label has one value or no rows")
+    chosen = F.pmod(F.xxhash64(F.lit(settings.seed), *rows.columns), F.lit(1_000_000)) < 1_000_000 * min(1.0, settings.rows / n)
+    return rows.where(chosen) if n > settings.rows else rows
+
+
+def _fits(rows: DataFrame, features: list[str], settings: Settings, each, schema: str) -> DataFrame:
+    """``each(number, model, x, weight)`` for the model of every number in column _fit; it
+    returns a frame. A fit whose label has one value alone is an error."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*features, "_y"])  # the same sums however rows came in
+        x, y, weight = _matrix(pdf, features), pdf["_y"].to_numpy(), pdf["_times"].to_numpy(float)
+        if y.min() == y.max():
+            raise ValueError("the label has one value")
+        return each(int(pdf["_fit"].iloc[0]), Boosted(x, y, weight, settings), x, weight)
 
+    return rows.groupBy("_fit").applyInPandas(run, schema)
 
-def fit(df: DataFrame, features: list[str], label: str, settings: Settings = Settings(), weight: str | None = None) -> GBTClassificationModel:  # noqa: B008
+
+def _models(rows: DataFrame, features: list[str], settings: Settings) -> dict[int, Boosted]:
+    keep = lambda i, model, x, w: pd.DataFrame({"fit": [i], "model": [pickle.dumps(model)]})
+    return {r.fit: pickle.loads(r.model) for r in _fits(rows, features, settings, keep, "fit int, model binary").collect()}  # a row a fit
+
+
+def fit(df: DataFrame, features: list[str], label: str, settings: Settings = Settings(), weight: str | None = None) -> Boosted:  # noqa: B008
     """Rows of a null label are left out; a label of one value alone is refused."""
-    rows = df.where(F.col(label).isNotNull())
-    low, high = rows.agg(F.min(label), F.max(label)).first()
-    if low == high:
-        raise Refused("the label has one value or no rows")
-    gbt = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=settings.iterations, stepSize=settings.rate, maxDepth=settings.depth, minInstancesPerNode=settings.least_rows, seed=settings.seed)
-    return (gbt.setWeightCol(weight) if weight else gbt).fit(_assembled(rows, features))
+    rows = _rows(df, features, label, settings, (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_times"))
+    return _models(rows.withColumn("_fit", F.lit(0)), features, settings)[0]
 
 
-def scores(model: GBTClassificationModel, df: DataFrame, features: list[str]) -> DataFrame:
+def scores(model: Boosted, df: DataFrame, features: list[str]) -> DataFrame:
     """Adds ``score``, the probability of label 1."""
-    out = model.transform(_assembled(df, features))
-    return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(score=1 / (1 + np.exp(-model.margins(_matrix(pdf, features)))))
+
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
 
 
 def cross_validate(df: DataFrame, features: list[str], label: str, group: str, k: int = 5, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Average precision and ROC area of each fold, whose rows a model of the others scores; no group is in two folds."""
     folded = group_folds(df.where(F.col(label).isNotNull()), group, k, settings.seed)
-    with ThreadPoolExecutor(TOGETHER) as pool:
-        fitted = list(pool.map(lambda i: fit(folded.where(F.col("fold") != i), features, label, settings), range(k)))
-    parts = [ranking_measures(scores(m, folded.where(F.col("fold") == i), features), "score", label).select(F.lit(i).alias("fold"), "*") for i, m in enumerate(fitted)]
+    rows = _rows(folded, features, label, settings, "fold", F.lit(1.0).alias("_times"))
+    others = rows.withColumn("_fit", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("_fit != fold").drop("fold")
+    fitted = _models(others, features, settings)
+    parts = [ranking_measures(scores(m, folded.where(F.col("fold") == i), features), "score", label).select(F.lit(i).alias("fold"), "*") for i, m in sorted(fitted.items())]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -77,34 +191,9 @@ def require_precision(folds: DataFrame, least: float = 0.78) -> float:
     return mean
 
 
-def _leaves(node, path: tuple = ()) -> list[tuple[float, tuple]]:
-    """(value, path) of each leaf; a step of a path is (feature, threshold, goes left, share of cover)."""
-    if node.subtreeDepth() == 0:
-        return [(node.prediction(), path)]
-    split, own = node.split(), node.impurityStats().count()
-    at, sides = (split.featureIndex(), split.threshold()), ((node.leftChild(), True), (node.rightChild(), False))
-    counts = [c.impurityStats().count() for c, _ in sides]
-    return [leaf for (child, left), n in zip(sides, counts) for leaf in _leaves(child, (*path, (*at, left, n / (own or 1))))]
-
-
-def paths(model: GBTClassificationModel) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """Leaves of all trees: value in log odds, and per feature on the path its bounds and cover
-    share: (feature, above, at most, share)."""
-    out = []
-    for weight, tree in zip(model.treeWeights, model._java_obj.trees()):
-        root = tree.rootNode()
-        for value, steps in _leaves(root):
-            by: dict[int, list[float]] = {}
-            for f, threshold, left, share in steps:
-                lo, hi, z = by.get(f, [-np.inf, np.inf, 1.0])
-                by[f] = [lo, min(hi, threshold), z * share] if left else [max(lo, threshold), hi, z * share]
-            out.append((2.0 * weight * value, [(f, *b) for f, b in sorted(by.items())]))  # margins are half log odds
-    return out
-
-
 def shapley(leaves: list, x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Attributions (a row for each of x) and the expected value; a row's sum and the
-    expected value give its log odds.
+    """Attributions (a row for each of x) and the expected value of the leaves; a row's sum and the
+    expected value give what the trees add to the log odds that the model starts with.
 
     A leaf is a game of the features on its path: a known feature gives 1 or 0 as the row keeps its
     bounds, an unknown one the cover share. Sums over coalitions come from a polynomial whose
@@ -126,13 +215,13 @@ def shapley(leaves: list, x: np.ndarray) -> tuple[np.ndarray, float]:
     return phi, base
 
 
-def attributions(model: GBTClassificationModel, df: DataFrame, features: list[str]) -> DataFrame:
+def attributions(model: Boosted, df: DataFrame, features: list[str]) -> DataFrame:
     """feature, x, phi: a row for each row of ``df`` and feature."""
-    leaves = paths(model)
+    leaves = model.leaves
 
     def run(batches):
         for pdf in batches:
-            x = pdf.to_numpy(float)
+            x = _matrix(pdf, features)
             phi, _ = shapley(leaves, x)
             yield pd.DataFrame({"feature": np.tile(features, len(x)), "x": x.ravel(), "phi": phi.ravel()})
 
@@ -148,15 +237,17 @@ def ranking(df: DataFrame, features: list[str], label: str, settings: Settings =
 def stability(df: DataFrame, features: list[str], label: str, group: str, replicates: int, top: int, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Mean and spread of each feature's position over resamples of groups, and how often it is
     among the first ``top``. A group drawn several times weighs as much."""
-    draws = bootstrap_groups(df, group, replicates, settings.seed)
+    draws = bootstrap_groups(df.select(group), group, replicates, settings.seed).select(group, F.col("replicate").alias("_fit"), F.col("times").cast("double").alias("_times"))
+    rows = _rows(df, features, label, settings, group).join(draws, group).drop(group)
 
-    def one(i: int) -> list[tuple]:
-        rows = df.join(draws.where(F.col("replicate") == i).select(group, F.col("times").cast("double").alias("_times")), group)
-        return [(i, r["feature"], r["position"]) for r in ranking(rows, features, label, settings, "_times").collect()]  # a row a feature
+    def importance(i: int, model: Boosted, x: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
+        total = np.zeros(len(features))
+        for at in range(0, len(x), 10_000):
+            total += weight[at : at + 10_000] @ np.abs(shapley(model.leaves, x[at : at + 10_000])[0])
+        return pd.DataFrame({"replicate": i, "feature": features, "importance": total / weight.sum()})
 
-    with ThreadPoolExecutor(TOGETHER) as pool:
-        found = [r for part in pool.map(one, range(replicates)) for r in part]
-    p = df.sparkSession.createDataFrame(found, "replicate int, feature string, position int")
+    found = _fits(rows, features, settings, importance, "replicate int, feature string, importance double")
+    p = found.withColumn("position", F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("importance"), "feature")))  # a row a feature
     return p.groupBy("feature").agg(F.avg("position").alias("mean_position"), F.coalesce(F.stddev_samp("position"), F.lit(0.0)).alias("sd_position"), F.avg((F.col("position") <= top).cast("double")).alias("top_share"))
 
 

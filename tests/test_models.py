@@ -39,10 +39,10 @@ def test_attributions_are_shapley_values_and_sum_to_the_log_odds(table):
     model = models.fit(table, ["a", "b", "c"], "y", SMALL)
     rows = models.scores(model, table, ["a", "b", "c"]).limit(40).toPandas()
     x = rows[["a", "b", "c"]].to_numpy()
-    leaves = models.paths(model)
+    leaves = model.leaves
     phi, base = models.shapley(leaves, x)
     p = rows["score"].to_numpy()
-    assert np.allclose(phi.sum(axis=1) + base, np.log(p / (1 - p)), atol=1e-9)
+    assert np.allclose(phi.sum(axis=1) + base, np.log(p / (1 - p)) - model.start, atol=1e-9)
     for i in range(5):
         assert np.allclose(phi[i], by_coalitions(leaves, x[i], 3), atol=1e-9)
 
