@@ -63,10 +63,46 @@ def residuals(df: DataFrame, x: Column, y: Column, keep: list[str]) -> DataFrame
     return df.crossJoin(F.broadcast(fit)).select(*keep, (y - (F.col("a") + F.col("b") * x)).alias("residual"))
 
 
-def feasible(counts: DataFrame, box_key: list[str], least: int) -> DataFrame:
-    """Per box: whether every scale has enough members in every pool group, and the bottleneck."""
-    low = F.least("n_matched", "n_shrunk")
-    return counts.groupBy(*box_key).agg(F.min(low).alias("bottleneck")).withColumn("feasible", F.col("bottleneck") >= least)
+SCALES = ("matched", "shrunk", "enlarged")
+
+
+def cell_counts(boxes: DataFrame, counts: DataFrame, box_key: list[str], group: list[str], levels: dict[str, list], scales: tuple[str, ...] = SCALES) -> DataFrame:
+    """Members for every box, pool group and scale: a row each, 0 where the pool has none.
+
+    ``counts`` is what ``range_counts`` gives; ``levels`` names the values that each column of the pool group
+    has by design, so a group that the pool lacks counts too."""
+    grid = boxes.select(*box_key).distinct()
+    for column in group:
+        grid = grid.withColumn(column, F.explode(F.array(*map(F.lit, levels[column]))))
+    full = grid.join(counts, [*box_key, *group], "left")
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.coalesce(f"n_{s}", F.lit(0)).cast("bigint").alias("n")) for s in scales])).alias("x")
+    return full.select(*box_key, *group, each).select(*box_key, *group, "x.scale", "x.n")
+
+
+def feasible(cells: DataFrame, box_key: list[str], least: int) -> DataFrame:
+    """Per box: whether every cell and pool group has at least ``least`` members, and the fewest."""
+    return cells.groupBy(*box_key).agg(F.min("n").alias("bottleneck")).withColumn("feasible", F.col("bottleneck") >= least)
+
+
+def feasible_by_cell(cells: DataFrame, box_key: list[str], source: str, cell: list[str], least: int) -> DataFrame:
+    """Per cell (scale and further columns): boxes for which each of its sources has enough members, whatever
+    the other cells have."""
+    per_box = cells.groupBy(*box_key, *cell).agg(F.min("n").alias("_n"))
+    return per_box.groupBy(*cell).agg(F.count(F.when(F.col("_n") >= least, 1)).alias("n_feasible"))
+
+
+def bottlenecks(cells: DataFrame, box_key: list[str], source: str, cell: list[str], least: int) -> DataFrame:
+    """Per cell and source the fewest members among the boxes that are feasible in all cells; 0 without any."""
+    ok = feasible(cells, box_key, least).where("feasible").select(*box_key, F.lit(True).alias("_ok"))
+    n = cells.join(ok, box_key, "left").groupBy(*cell, source).agg(F.min(F.when(F.col("_ok"), F.col("n"))).alias("n"))
+    return n.select(*cell, source, F.coalesce("n", F.lit(0)).cast("bigint").alias("bottleneck"))
+
+
+def median_split(df: DataFrame, column: str, among: Column | None = None, name: str = "level", high: str = "high", low: str = "low") -> DataFrame:
+    """Adds whether a value is over the median of the rows ``among`` (of all without it); the median is
+    0 of nothing."""
+    mid = df.agg(F.coalesce(F.median(F.col(column) if among is None else F.when(among, F.col(column))), F.lit(0.0)).alias("_mid"))  # one row
+    return df.crossJoin(F.broadcast(mid)).withColumn(name, F.when(F.col(column) > F.col("_mid"), high).when(F.col(column).isNotNull(), low)).drop("_mid")
 
 
 def grid_counts(df: DataFrame, dims: list[str]) -> DataFrame:
@@ -85,14 +121,14 @@ def same_keys(df: DataFrame, cell: str, key: str) -> DataFrame:
 
 def series(df: DataFrame, run: list[str], step: str, value: str) -> DataFrame:
     """Peak (the first of equals), last value, normalised area under the curve by trapezoids,
-    and whether the steps are 1..n."""
+    and whether the steps are 1..n, each once."""
     w = Window.partitionBy(*run).orderBy(step)
     rows = df.withColumn("_dx", F.col(step) - F.lag(step).over(w)).withColumn("_y", (F.col(value) + F.lag(value).over(w)) / 2)
     out = rows.groupBy(*run).agg(
         F.max_by(step, F.struct(value, -F.col(step))).alias("peak_step"), F.max(value).alias("peak"), F.max_by(value, step).alias("last"),
-        F.sum(F.col("_dx") * F.col("_y")).alias("_area"), (F.max(step) - F.min(step)).alias("_span"), F.count("*").alias("n"), F.min(step).alias("_lo"), F.max(step).alias("_hi"),
+        F.sum(F.col("_dx") * F.col("_y")).alias("_area"), (F.max(step) - F.min(step)).alias("_span"), F.count("*").alias("n"), F.count_distinct(step).alias("_steps"), F.min(step).alias("_lo"), F.max(step).alias("_hi"),
     )
-    return out.select(*run, "peak_step", "peak", "last", F.coalesce(F.try_divide("_area", "_span"), F.col("last")).alias("auc"), ((F.col("_lo") == 1) & (F.col("_hi") == F.col("n"))).alias("complete"))
+    return out.select(*run, "peak_step", "peak", "last", F.coalesce(F.try_divide("_area", "_span"), F.col("last")).alias("auc"), ((F.col("_lo") == 1) & (F.col("_hi") == F.col("n")) & (F.col("_steps") == F.col("n"))).alias("complete"))
 
 
 def between_share(df: DataFrame, group: str, value: Column) -> DataFrame:

@@ -43,17 +43,34 @@ def resolved(manifest: DataFrame, files: DataFrame, key: str, content: str) -> D
     return manifest.join(have, key, "left").withColumn("state", state).drop("_have", "_there")
 
 
-def extraction_manifest(boxes: DataFrame, images: DataFrame, image: str = "image") -> DataFrame:
-    """Boxes cut to their image, with status ok, degenerate (nothing left of it) or image
-    missing; labels without an image have one row with box_index -1 and no box.
+def sizes_agree(width: str, height: str, stated_width: str, stated_height: str) -> Column:
+    """Whether an annotation states the image's own size: true, false, or null where it states none
+    (or there is no image)."""
+    return (F.col(width) == F.col(stated_width)) & (F.col(height) == F.col(stated_height))
 
-    ``boxes`` has the image, box_index and x0..y1; ``images`` the image, width and height."""
+
+def extraction_manifest(boxes: DataFrame, images: DataFrame, image: str = "image", lost: str = "image missing", stated: tuple[str, str] | None = None) -> DataFrame:
+    """Boxes cut to their image, with status ok, degenerate (nothing left of it) or ``lost``;
+    labels without an image have one row with box_index -1 and no box. ``lost`` names the reason: a lookup of files by
+    path and one in an index by stem lose images in different ways.
+
+    ``boxes`` has the image, box_index and x0..y1; ``images`` the image, width and height. ``stated`` names the columns
+    of the size that an annotation states; ``size_agrees`` then says whether it is the image's (null if it
+    states none or there is no image)."""
     rows = boxes.join(images.select(image, "width", "height"), image, "left")
     *box, state = g.clipped(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height")])
-    found = rows.where("width is not null").select(image, "box_index", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))], state.alias("status"))
-    lost = rows.where("width is null").select(image).distinct()
+    agrees = [] if stated is None else [sizes_agree("width", "height", *stated).alias("size_agrees")]
+    found = rows.where("width is not null").select(image, "box_index", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))], state.alias("status"), *agrees)
     none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("x0", "y0", "x1", "y1")]
-    return found.unionByName(lost.select(image, F.lit(-1).cast(found.schema["box_index"].dataType).alias("box_index"), *none, F.lit("image missing").alias("status")))
+    unknown = [F.lit(None).cast("boolean").alias("size_agrees")][: len(agrees)]
+    missing = rows.where("width is null").select(image).distinct()
+    return found.unionByName(missing.select(image, F.lit(-1).cast(found.schema["box_index"].dataType).alias("box_index"), *none, F.lit(lost).alias("status"), *unknown))
+
+
+def registered_only(boxes: DataFrame, registered: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The boxes of a registered list of keys, and the others, which stay as they are."""
+    keys = registered.select(*key).distinct()
+    return boxes.join(keys, key, "left_semi"), boxes.join(keys, key, "left_anti")
 
 
 def coverage_lookup(extracted: DataFrame, name: str, coverage: str, flag: Column, order: str) -> DataFrame:
@@ -61,10 +78,12 @@ def coverage_lookup(extracted: DataFrame, name: str, coverage: str, flag: Column
     return last_wins(extracted.where(flag & F.col(coverage).isNotNull() & F.col(name).isNotNull()).select(name, coverage, order), name, order).select(name, coverage)
 
 
-def quality_manifest(files: DataFrame, coverage: DataFrame, name: str, min_side: Column, least_side: float, least_mask: float, mask_required: bool) -> DataFrame:
+def quality_manifest(files: DataFrame, coverage: DataFrame, name: str | list[str], min_side: Column, least_side: float, least_mask: float, mask_required: bool) -> DataFrame:
     """Files with keep and reason, by side and by the coverage of their name."""
-    measure = next(c for c in coverage.columns if c != name)
-    return files.join(coverage, name, "left").withColumn("_v", quality_reason(min_side, F.col(measure), least_side, least_mask, mask_required)).select(*files.columns, measure, "_v.keep", "_v.reason")
+    keys = [name] if isinstance(name, str) else name
+    measure = next(c for c in coverage.columns if c not in keys)
+    files = files.drop(measure)
+    return files.join(coverage, keys, "left").withColumn("_v", quality_reason(min_side, F.col(measure), least_side, least_mask, mask_required)).select(*files.columns, measure, "_v.keep", "_v.reason")
 
 
 def kept_yield(manifest: DataFrame, by: list[str]) -> DataFrame:

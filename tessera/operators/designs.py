@@ -73,15 +73,61 @@ def complete_runs(metrics: DataFrame, run: str, step: str, epochs: int, checkpoi
     return j.select(run, "n", ((F.col("n") == epochs) & (F.col("_last") == epochs) & F.coalesce("_saved", F.lit(False))).alias("complete"))
 
 
-# The contrasts of a budget by arm design, as coefficients of its cells.
-CONTRASTS = {
-    "P11": {("S2", "M50"): 1.0, ("S2", "C"): -1.0},
-    "P12": {("S2", "M50"): 0.5, ("S2", "C"): -0.5},
-    "P13": {("S2", "M50"): 1.0, ("S2", "C"): -1.0, ("S1", "M50"): -1.0, ("S1", "C"): 1.0},
-    "F2d": {("S1", "M50"): 1.0, ("S1", "C"): -1.0},
+def training_arguments(protocol: dict, n_images: int, arm: str, seed: int) -> dict:
+    """Arguments of a training run of an arm: the warm-up as epochs of the arm's own length, so that every arm has as many
+    warm-up steps; no early stopping within the epochs; and the checkpoint fixed beforehand. ``protocol``
+    has weights, epochs, batch, image_size, optimizer, rate, final_rate, cosine, warmup_steps, close_mosaic, cache, checkpoint_epoch."""
+    if min(n_images, protocol["batch"]) < 1:
+        raise Refused("images and batch must be positive")
+    names = {"weights": "model", "epochs": "epochs", "batch": "batch", "image_size": "imgsz", "optimizer": "optimizer", "rate": "lr0", "final_rate": "lrf", "cosine": "cos_lr", "close_mosaic": "close_mosaic", "cache": "cache"}
+    out = {to: protocol[own] for own, to in names.items()}
+    warmup = protocol["warmup_steps"] * protocol["batch"] / n_images
+    return out | {"patience": protocol["epochs"] + 1, "warmup_epochs": warmup, "seed": seed, "name": f"{arm}_seed{seed}", "checkpoint_epoch": protocol["checkpoint_epoch"]}
+
+
+# The contrasts of a budget by arm design by family, each with its measure and the coefficients of its cells.
+FAMILIES = {
+    "F1": {
+        "P11": ("recall", {("S2", "M50"): 1.0, ("S2", "C"): -1.0}),
+        "P12": ("recall", {("S2", "M50"): 0.5, ("S2", "C"): -0.5}),
+        "P13": ("recall", {("S2", "M50"): 1.0, ("S2", "C"): -1.0, ("S1", "M50"): -1.0, ("S1", "C"): 1.0}),
+    },
+    "F2": {
+        "F2a": ("small", {("S2", "M50"): 1.0, ("S2", "C"): -1.0}),
+        "F2b": ("map50", {("S2", "M50"): 1.0, ("S2", "C"): -1.0}),
+        "F2c": ("auc", {("S2", "M50"): 1.0, ("S2", "C"): -1.0}),
+        "F2d": ("recall", {("S1", "M50"): 1.0, ("S1", "C"): -1.0}),
+    },
+    "F3": {
+        "F3a": ("recall", {("S2", "M25"): 1.0, ("S2", "M50"): -1.0}),
+        "F3b": ("recall", {("S2", "M25"): 1.0, ("S2", "C"): -1.0}),
+        "F3c": ("recall", {("S2", "C"): 0.5, ("S2", "M25"): -1.0, ("S2", "M50"): 0.5}),
+        "F3d": ("recall", {("S1", "C"): 0.5, ("S1", "M25"): -1.0, ("S1", "M50"): 0.5}),
+    },
+}
+ADJUSTED = ("F1", "F2")  # families whose p values are corrected; the others describe
+CONTRASTS = {name: weights for family in FAMILIES.values() for name, (_, weights) in family.items()}
+
+# The contrasts of scale by contrast cells and a control arm, as coefficients of the arms.
+CELLS = ("matched__high", "matched__low", "shrunk__high", "shrunk__low")
+CELL_FAMILIES = {
+    "F1": {"P5b": dict(zip(CELLS, (0.5, 0.5, -0.5, -0.5))), "P8": dict(zip(CELLS, (0.5, -0.5, 0.5, -0.5)))},
+    "F3": {"P9": dict(zip(CELLS, (1.0, -1.0, -1.0, 1.0))), **{f"P10_{c}": {c: 1.0, "control": -1.0} for c in CELLS}, "P10_mean": {**dict.fromkeys(CELLS, 0.25), "control": -1.0}},
 }
 
 
 def contrasts(spark: SparkSession, names: list[str] = list(CONTRASTS)) -> DataFrame:  # noqa: B006
     """Columns contrast, budget, arm, weight, to be joined with a table of results."""
     return spark.createDataFrame([(n, b, a, w) for n in names for (b, a), w in CONTRASTS[n].items()], "contrast string, budget string, arm string, weight double")
+
+
+def family_coefficients(spark: SparkSession) -> DataFrame:
+    """Columns family, contrast, measure, budget, arm, weight of all families of the budget by arm design."""
+    rows = [(f, n, m, b, a, w) for f, family in FAMILIES.items() for n, (m, weights) in family.items() for (b, a), w in weights.items()]
+    return spark.createDataFrame(rows, "family string, contrast string, measure string, budget string, arm string, weight double")
+
+
+def cell_coefficients(spark: SparkSession) -> DataFrame:
+    """Columns family, contrast, arm, weight of the cells and the control arm."""
+    rows = [(f, n, a, w) for f, family in CELL_FAMILIES.items() for n, weights in family.items() for a, w in weights.items()]
+    return spark.createDataFrame(rows, "family string, contrast string, arm string, weight double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,18 @@ def overlaps(sets: DataFrame, against: DataFrame, tag: str, key: str) -> DataFra
     return sets.join(against.select(key).distinct(), key, "left_semi").groupBy(tag).agg(F.count_distinct(key).alias("n_shared"), F.min(key).alias("first_shared"))
 
 
+def overlaps_of_all(sets: DataFrame, tag: str, key: str, most: int) -> DataFrame:
+    """For each two tagged sets that share keys: how many, and the first ``most`` of them. Sets meet by key; a
+    key is in as many rows as there are sets, which are few."""
+    rows = sets.select(tag, key).where(F.col(key).isNotNull()).distinct()
+    pairs = rows.join(rows.select(F.col(tag).alias("other"), key), key).where(F.col(tag) != F.col("other"))
+    w = Window.partitionBy(tag, "other", "_part").orderBy(key)
+    # the first ones of each part of a pair's keys, so no pair of large sets is sorted in one task
+    first = pairs.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(64))).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most)
+    shared = first.groupBy(tag, "other").agg(F.slice(F.array_sort(F.collect_list(key)), 1, most).alias("shared"))  # 64 * most of a pair
+    return pairs.groupBy(tag, "other").agg(F.count("*").alias("n_shared")).join(shared, [tag, "other"])
+
+
 def same_rows(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Per column: compared rows and those that differ; NaN equals NaN, null equals null."""
     pairs = a.select(key, *[F.col(c).alias(f"a_{c}") for c in columns]).join(b.select(key, *[F.col(c).alias(f"b_{c}") for c in columns]), key, "full_outer")
@@ -127,24 +140,31 @@ def centroid(vectors: DataFrame, vector_col: str) -> DataFrame:
 
 def greedy_match(predictions: DataFrame, truth: DataFrame, scene: str = "scene", least: float = 0.5) -> DataFrame:
     """One-to-one matches within a scene: objects in their order each take the unused
-    prediction of highest confidence that overlaps them enough."""
-    both = truth.select(scene, F.col("idx"), "x0", "y0", "x1", "y1", F.lit(None).cast("double").alias("conf")).unionByName(predictions.select(scene, F.lit(None).cast("bigint").alias("idx"), "x0", "y0", "x1", "y1", "conf"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        gt = pdf[pdf["conf"].isna()].sort_values("idx")
-        p = pdf[pdf["conf"].notna()].sort_values(["conf", "x0", "y0"], ascending=[False, True, True])
-        box, free, out = p[["x0", "y0", "x1", "y1"]].to_numpy(float), np.ones(len(p), dtype=bool), []
-        for x0, y0, x1, y1 in gt[["x0", "y0", "x1", "y1"]].to_numpy(float):
-            w = np.clip(np.minimum(x1, box[:, 2]) - np.maximum(x0, box[:, 0]), 0, None)
-            h = np.clip(np.minimum(y1, box[:, 3]) - np.maximum(y0, box[:, 1]), 0, None)
-            union = (x1 - x0) * (y1 - y0) + (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1]) - w * h
-            ok = np.flatnonzero(free & (union > 0) & (w * h >= least * union))
-            if len(ok):
-                free[ok[0]] = False
-            out.append(bool(len(ok)))
-        return pd.DataFrame({scene: gt[scene], "idx": gt["idx"], "detected": out})
-
-    return both.groupBy(scene).applyInPandas(match, f"{scene} {dict(truth.dtypes)[scene]}, idx bigint, detected boolean")
+    prediction of highest confidence (then by place) that overlaps them enough: scene, idx, detected.
+
+    Spark joins the pairs that overlap; a task then goes through its scenes' pairs in order and remembers
+    the predictions taken in the scene at hand."""
+    order = Window.partitionBy(scene).orderBy(F.desc("conf"), "x0", "y0")
+    p = predictions.select(scene, F.row_number().over(order).cast("bigint").alias("_rank"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    hit = iou(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"_{c}") for c in ("x0", "y0", "x1", "y1"))) >= least
+    pairs = truth.select(scene, F.col("idx").cast("bigint").alias("idx"), "x0", "y0", "x1", "y1").join(p, scene).where(hit).select(scene, "idx", "_rank")
+
+    def take(batches):
+        view, last, used = object(), None, set()
+        for batch in batches:
+            scenes, idx = [], []
+            for s, i, r in zip(*(batch.column(c).to_pylist() for c in (scene, "idx", "_rank"))):
+                if s != view:
+                    view, last, used = s, None, set()
+                if i != last and r not in used:
+                    used.add(r)
+                    last = i
+                    scenes.append(s)
+                    idx.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(scenes, batch.schema.field(scene).type), pa.array(idx, pa.int64())], names=[scene, "idx"])
+
+    taken = pairs.repartition(scene).sortWithinPartitions(scene, "idx", "_rank").mapInArrow(take, f"{scene} {dict(truth.dtypes)[scene]}, idx bigint")
+    return truth.select(scene, F.col("idx").cast("bigint").alias("idx")).join(taken.withColumn("_taken", F.lit(True)), [scene, "idx"], "left").select(scene, "idx", F.coalesce("_taken", F.lit(False)).alias("detected"))
 
 
 def best_match(boxes: DataFrame, candidates: DataFrame, key: list[str], idx: str, scene: str = "scene", least: float = 0.5) -> DataFrame:

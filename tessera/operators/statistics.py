@@ -65,6 +65,37 @@ def holm(df: DataFrame, family: str, name: str, p: str = "p") -> DataFrame:
     return rows.withColumn("p_holm", F.max("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
+def families(cube: DataFrame, coefficients: DataFrame, keys: list[str], adjusted: tuple[str, ...], seed: str = "seed", value: str = "value") -> DataFrame:
+    """Every contrast of every family with its interval, tests and verdict; p values of the ``adjusted``
+    families are corrected by Holm within the family, the others' have none."""
+    names = coefficients.select("contrast", "family").distinct()
+    found = verdict_by_intervals(intervals(contrast_summary(contrast_values(cube, coefficients.drop("family"), keys, seed, value), seed)))
+    found = found.join(F.broadcast(names), "contrast")  # a row a contrast
+    corrected = holm(found.where(F.col("family").isin(*adjusted)), "family", "contrast").select("contrast", "p_holm")
+    return found.join(corrected, "contrast", "left")
+
+
+def sign_families(cube: DataFrame, coefficients: DataFrame, keys: list[str], adjusted: tuple[str, ...], seed: str = "seed", value: str = "value") -> DataFrame:
+    """The same with verdicts by signs and the floor, and plain p values."""
+    names = coefficients.select("contrast", "family").distinct()
+    s = contrast_summary(contrast_values(cube, coefficients.drop("family"), keys, seed, value), seed)
+    found = verdict_by_signs(s).withColumn("p", t_two_sided(F.col("t"), (F.col("n") - 1).cast("double"))).join(F.broadcast(names), "contrast")  # a row a contrast
+    corrected = holm(found.where(F.col("family").isin(*adjusted)), "family", "contrast").select("contrast", "p_holm")
+    return found.join(corrected, "contrast", "left")
+
+
+def group_means(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Means over seeds, a row a group."""
+    return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def unpaired_difference(df: DataFrame, which: Column, other: DataFrame, value: str, scale: float = 100.0) -> DataFrame:
+    """Mean of chosen rows, mean of another table's, and their difference in points: a check of plausibility,
+    not a paired contrast."""
+    one = df.where(which).agg(F.avg(value).alias("mean"))
+    return one.crossJoin(F.broadcast(other.agg(F.avg(value).alias("other_mean")))).withColumn("difference", (F.col("mean") - F.col("other_mean")) * scale)
+
+
 def anova(cube: DataFrame, a: str, b: str, block: str, value: str, scale: float = 100.0) -> DataFrame:
     """Two factors and a block in a balanced table: one row a term with ss, df, f and p.
 

@@ -167,12 +167,15 @@ def object_crops(db: Tables) -> DataFrame:
     return cat.object_crops(db.part.select(i.alias("image"), F.lit(0).alias("box_index"), (i % 97 / 97.0).alias("cx"), (i % 89 / 89.0).alias("cy"), (s / 500.0).alias("w"), (s % 13 / 200.0).alias("h"), F.lit(640).alias("width"), F.lit(480).alias("height")))
 
 
-@query(f"""WITH {BOX_SQL}, c AS (SELECT *, (x0 * 1000 + y0 * 10)::BIGINT AS id FROM d WHERE seed = 1), p AS (SELECT b.*, d.id, {IOU_SQL} AS o FROM b LEFT JOIN c AS d ON d.scene = b.scene),
-m AS (SELECT *, max(o) OVER (PARTITION BY scene, partkey, suppkey, line, w, price, shipped, source) AS most FROM p)
-SELECT scene, partkey, suppkey, line, w, price, source, min(id) FILTER (o >= 0.5 AND o = most) AS match, round(max(o) FILTER (o >= 0.5), 6) AS overlap FROM m GROUP BY scene, partkey, suppkey, line, w, price, shipped, source""")
+@query(f"""WITH {BOX_SQL}, c AS (SELECT *, (x0 * 1000 + y0 * 10)::BIGINT AS id FROM d), p AS (SELECT b.*, s.seed, d.id, {IOU_SQL} AS o FROM b CROSS JOIN (SELECT unnest([0, 1, 2]) AS seed) s LEFT JOIN c AS d ON d.scene = b.scene AND d.seed = s.seed),
+m AS (SELECT *, max(o) OVER (PARTITION BY scene, seed, partkey, suppkey, line, w, price, shipped, source) AS most FROM p)
+SELECT scene, seed, partkey, suppkey, line, w, price, source, min(id) FILTER (o >= 0.5 AND o = most) AS match, round(max(o) FILTER (o >= 0.5), 6) AS overlap FROM m GROUP BY scene, seed, partkey, suppkey, line, w, price, shipped, source""")
 def best_match(db: Tables) -> DataFrame:
-    d = detections(db).where("seed = 1").withColumn("id", (F.col("x0") * 1000 + F.col("y0") * 10).cast("bigint"))
-    return rounded(joins.best_match(boxes(db), d, BOX, "id").drop("shipped"), "overlap")
+    """Of every detector the detection that overlaps a box most."""
+    name = F.concat_ws("/", "scene", "seed").alias("view")
+    d = detections(db).select("*", (F.col("x0") * 1000 + F.col("y0") * 10).cast("bigint").alias("id"), name)
+    b = boxes(db).select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("seed")).select("*", name)
+    return rounded(joins.best_match(b, d, ["view", "seed", *BOX], "id", "view").drop("shipped", "view"), "overlap")
 
 
 def pick_pool(db: Tables) -> DataFrame:
@@ -180,14 +183,8 @@ def pick_pool(db: Tables) -> DataFrame:
     return db.lineitem.select(F.col("l_returnflag").alias("source"), F.col("l_extendedprice").alias("area"), key.alias("k"))
 
 
-@query("WITH p AS (SELECT l_returnflag AS source, l_extendedprice AS area, l_orderkey || '/' || l_partkey || '/' || l_suppkey || '/' || l_linenumber || '/' || l_quantity::INT AS k FROM lineitem), q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY area, " + DRAW_SQL.format("'3:' || k") + " % 64, k) - 1 AS position FROM p), n AS (SELECT o_orderkey, s.source, (SELECT count(*) FROM p WHERE p.source = s.source AND p.area < b.area / 2) AS first, (SELECT count(*) FROM p WHERE p.source = s.source AND p.area BETWEEN b.area / 2 AND b.area * 2) AS n FROM (SELECT o_orderkey, o_totalprice / 5 AS area FROM orders WHERE o_totalprice BETWEEN 20000 AND 200000) b, (SELECT DISTINCT source FROM p) s), o AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY source) - 1 AS i, count(*) OVER (PARTITION BY o_orderkey) AS m FROM n), t AS (SELECT o_orderkey, source, first + " + DRAW_SQL.format("'3:member:' || o_orderkey") + " % n AS position FROM o WHERE i = " + DRAW_SQL.format("'3:source:' || o_orderkey") + " % m) SELECT o_orderkey, t.source, q.k AS picked FROM t JOIN q ON q.source = t.source AND q.position = t.position")
-def balanced_pick(db: Tables) -> DataFrame:
-    asks = db.orders.where("o_totalprice between 20000 and 200000").select("o_orderkey", (F.col("o_totalprice") / 5).alias("area"))
-    return joins.balanced_pick(asks, pick_pool(db), ["o_orderkey"], "source", "k", "matched", 3)
-
-
 @query("WITH p AS (SELECT l_returnflag AS source, l_extendedprice AS area, l_orderkey || '/' || l_partkey || '/' || l_suppkey || '/' || l_linenumber || '/' || l_quantity::INT AS k FROM lineitem), q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY area, " + DRAW_SQL.format("'3:' || k") + " % 64, k) - 1 AS position FROM p), n AS (SELECT o_orderkey, s.source, (SELECT count(*) FROM p WHERE p.source = s.source AND p.area < b.area / 2) AS first, (SELECT count(*) FROM p WHERE p.source = s.source AND p.area BETWEEN b.area / 2 AND b.area * 2) AS n FROM (SELECT o_orderkey, o_totalprice / 5 AS area FROM orders) b, (SELECT DISTINCT source FROM p) s), o AS (SELECT *, min(n) OVER (PARTITION BY o_orderkey) AS fewest, row_number() OVER (PARTITION BY o_orderkey ORDER BY source) - 1 AS i, count(*) OVER (PARTITION BY o_orderkey) AS m FROM n), t AS (SELECT o_orderkey, source, first + " + DRAW_SQL.format("'3:member:' || o_orderkey") + " % n AS position FROM o WHERE i = " + DRAW_SQL.format("'3:source:' || o_orderkey") + " % m AND fewest >= 2) SELECT orders.o_orderkey, t.source, q.k AS picked FROM orders LEFT JOIN t ON t.o_orderkey = orders.o_orderkey LEFT JOIN q ON q.source = t.source AND q.position = t.position")
-def balanced_pick_all(db: Tables) -> DataFrame:
+def balanced_pick(db: Tables) -> DataFrame:
     """A pick for every order; null where a source has fewer than two eligible members."""
     return joins.balanced_pick(db.orders.select("o_orderkey", (F.col("o_totalprice") / 5).alias("area")), pick_pool(db), ["o_orderkey"], "source", "k", "matched", 3, refuse=False)
 
@@ -245,6 +242,27 @@ def determinism(db: Tables) -> DataFrame:
     return gates.same_runs(joins.same_rows(a, b, "o_orderkey", ["price"]), gates.unexpected(doc, "run", "doc", {"steps": 5}))
 
 
+@query("WITH v AS (SELECT c_custkey AS image, c_nationkey AS box, c_custkey % 3 != 0 AS listed FROM customer) SELECT image, box, listed AS registered FROM v")
+def registered_boxes(db: Tables) -> DataFrame:
+    """Boxes of a registered list, and those that stay as they are."""
+    rows = db.customer.select(F.col("c_custkey").alias("image"), F.col("c_nationkey").alias("box"))
+    inside, outside = cat.registered_only(rows, rows.where("image % 3 != 0"), ["image", "box"])
+    return inside.withColumn("registered", F.lit(True)).unionByName(outside.withColumn("registered", F.lit(False)))
+
+
+@query("""WITH i AS (SELECT o_custkey AS image, 640 AS width, 480 AS height FROM orders WHERE o_custkey % 4 != 0 GROUP BY 1), b AS (SELECT o_custkey AS image, o_orderkey AS box_index, (o_orderkey % 700 - 20)::INT AS x0, (o_orderkey % 500 - 10)::INT AS y0, CASE o_orderkey % 3 WHEN 0 THEN 640 WHEN 1 THEN 800 END AS w, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE 480 END AS h FROM orders),
+f AS (SELECT b.*, i.width, greatest(0, x0) AS a, greatest(0, y0) AS c, least(640, x0 + 40) AS e, least(480, y0 + 30) AS g FROM b LEFT JOIN i USING (image))
+SELECT image, box_index, a AS x0, c AS y0, e AS x1, g AS y1, CASE WHEN e <= a OR g <= c THEN 'degenerate' ELSE 'ok' END AS status, w = 640 AND h = 480 AS size_agrees FROM f WHERE width IS NOT NULL
+UNION ALL SELECT DISTINCT image, -1, NULL::INT, NULL::INT, NULL::INT, NULL::INT, 'not in the index', NULL::BOOLEAN FROM f WHERE width IS NULL""")
+def stated_sizes(db: Tables) -> DataFrame:
+    """Extraction whose annotations state a size: the image's, another one, or none."""
+    o, k = db.orders, F.col("o_orderkey")
+    x0, y0 = (k % 700 - 20).cast("int"), (k % 500 - 10).cast("int")
+    b = o.select(F.col("o_custkey").alias("image"), k.alias("box_index"), x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 30).alias("y1"), F.when(k % 3 == 0, 640).when(k % 3 == 1, 800).alias("stated_width"), F.when(k % 3 != 2, 480).alias("stated_height"))
+    i = o.where("o_custkey % 4 != 0").select(F.col("o_custkey").alias("image"), F.lit(640).alias("width"), F.lit(480).alias("height")).distinct()
+    return cat.extraction_manifest(b, i, lost="not in the index", stated=("stated_width", "stated_height"))
+
+
 @query("SELECT DISTINCT o_custkey AS base FROM orders")
 def base_images(db: Tables) -> DataFrame:
     return db.orders.select(F.col("o_custkey").alias("base")).distinct()

@@ -9,6 +9,7 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..functions.vectors import dot, unit
 from ..operators import aggregates as agg
+from ..operators import catalogs as cat
 from ..operators import gates, joins, sampling, windows
 from .registry import Tables, query
 
@@ -141,9 +142,38 @@ def range_counts(db: Tables) -> DataFrame:
     return _range(db)
 
 
-@query(f"{RANGE_SQL} SELECT o_orderkey, min(least(n_matched, n_shrunk)) AS bottleneck, min(least(n_matched, n_shrunk)) >= 100 AS feasible FROM r GROUP BY 1")
+# Feasibility by its meaning: every order meets every source (one of them, X, isn't in the pool at all in the second
+# query), contrast and scale; a cell without members counts as 0.
+CELLS_SQL = """, k AS (SELECT o_orderkey, s.source, c.contrast, z.scale FROM (SELECT DISTINCT o_orderkey FROM orders), (SELECT unnest({sources}) AS source) s, (SELECT unnest(['high', 'low']) AS contrast) c, (SELECT unnest(['matched', 'shrunk', 'enlarged']) AS scale) z),
+cells AS (SELECT k.*, coalesce(CASE k.scale WHEN 'matched' THEN n_matched WHEN 'shrunk' THEN n_shrunk ELSE n_enlarged END, 0)::BIGINT AS n FROM k LEFT JOIN r ON r.o_orderkey = k.o_orderkey AND r.source = k.source AND r.contrast = k.contrast),
+f AS (SELECT o_orderkey, min(n) AS bottleneck FROM cells GROUP BY 1)"""
+LEVELS = {"source": ["A", "N", "R"], "contrast": ["high", "low"]}
+SOURCES_SQL = "['A', 'N', 'R']"
+
+
+def _cells(db: Tables, **levels: list) -> DataFrame:
+    return agg.cell_counts(db.orders, _range(db), ["o_orderkey"], ["source", "contrast"], LEVELS | levels)
+
+
+@query(f"{RANGE_SQL}{CELLS_SQL.format(sources=SOURCES_SQL)} SELECT o_orderkey, bottleneck, bottleneck >= 1 AS feasible FROM f")
 def feasible_boxes(db: Tables) -> DataFrame:
-    return agg.feasible(_range(db), ["o_orderkey"], 100)
+    return agg.feasible(_cells(db), ["o_orderkey"], 1)
+
+
+@query(f"""{RANGE_SQL}{CELLS_SQL.format(sources="['A', 'N', 'X']")} SELECT o_orderkey, bottleneck, bottleneck >= 1 AS feasible FROM f""")
+def feasible_without_source(db: Tables) -> DataFrame:
+    """A source of the design that the pool lacks makes every order infeasible."""
+    return agg.feasible(_cells(db, source=["A", "N", "X"]), ["o_orderkey"], 1)
+
+
+@query(f"{RANGE_SQL}{CELLS_SQL.format(sources=SOURCES_SQL)} SELECT scale, contrast, count(*) FILTER (n >= 2) AS n_feasible FROM (SELECT o_orderkey, scale, contrast, min(n) AS n FROM cells GROUP BY ALL) GROUP BY ALL")
+def feasible_by_cell(db: Tables) -> DataFrame:
+    return agg.feasible_by_cell(_cells(db), ["o_orderkey"], "source", ["scale", "contrast"], 2)
+
+
+@query(f"{RANGE_SQL}{CELLS_SQL.format(sources=SOURCES_SQL)} SELECT scale, contrast, source, coalesce(min(n) FILTER (o_orderkey IN (SELECT o_orderkey FROM f WHERE bottleneck >= 2)), 0) AS bottleneck FROM cells GROUP BY ALL")
+def bottleneck_by_cell(db: Tables) -> DataFrame:
+    return agg.bottlenecks(_cells(db), ["o_orderkey"], "source", ["scale", "contrast"], 2)
 
 
 @query(f"WITH {POOL_SQL}, s AS (SELECT DISTINCT source FROM pool), c AS (SELECT DISTINCT contrast FROM pool), n AS (SELECT source, contrast, count(*) AS n FROM pool GROUP BY ALL) SELECT s.source, c.contrast, coalesce(n.n, 0) AS n FROM s CROSS JOIN c LEFT JOIN n ON n.source = s.source AND n.contrast = c.contrast")
@@ -153,8 +183,7 @@ def pool_grid(db: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, s_acctbal, CASE WHEN s_acctbal > (SELECT median(s_acctbal) FROM supplier) THEN 'high' ELSE 'low' END AS level FROM supplier")
 def median_split(db: Tables) -> DataFrame:
-    mid = db.supplier.agg(F.median("s_acctbal").alias("mid"))
-    return db.supplier.crossJoin(F.broadcast(mid)).select("s_suppkey", "s_acctbal", F.when(F.col("s_acctbal") > F.col("mid"), "high").otherwise("low").alias("level"))
+    return agg.median_split(db.supplier.select("s_suppkey", "s_acctbal"), "s_acctbal")
 
 
 DRAW_SQL = "('0x' || substr(sha256({0}), 1, 8))::BIGINT"
@@ -246,7 +275,7 @@ def scale_residuals(db: Tables) -> DataFrame:
 SERIES_SQL = "e AS (SELECT event_type, (day(ts))::INT AS step, round(avg(value), 6) AS v FROM events GROUP BY ALL)"
 
 
-@query(f"WITH {SERIES_SQL}, p AS (SELECT *, step - lag(step) OVER w AS dx, (v + lag(v) OVER w) / 2 AS y FROM e WINDOW w AS (PARTITION BY event_type ORDER BY step)) SELECT event_type, (arg_max(step, v - step * 1e-12))::INT AS peak_step, max(v) AS peak, arg_max(v, step) AS last, round(coalesce(sum(dx * y) / nullif(max(step) - min(step), 0), arg_max(v, step)), 6) AS auc, min(step) = 1 AND max(step) = count(*) AS complete FROM p GROUP BY event_type")
+@query(f"WITH {SERIES_SQL}, p AS (SELECT *, step - lag(step) OVER w AS dx, (v + lag(v) OVER w) / 2 AS y FROM e WINDOW w AS (PARTITION BY event_type ORDER BY step)) SELECT event_type, (arg_max(step, v - step * 1e-12))::INT AS peak_step, max(v) AS peak, arg_max(v, step) AS last, round(coalesce(sum(dx * y) / nullif(max(step) - min(step), 0), arg_max(v, step)), 6) AS auc, list_sort(list(step)) = range(1, count(*) + 1) AS complete FROM p GROUP BY event_type")
 def run_series(db: Tables) -> DataFrame:
     e = db.events.groupBy("event_type", F.dayofmonth("ts").alias("step")).agg(F.round(F.avg("value"), 6).alias("v"))
     return agg.series(e, ["event_type"], "step", "v").withColumn("auc", F.round("auc", 6))
@@ -302,7 +331,7 @@ def group_folds(db: Tables) -> DataFrame:
     return sampling.group_folds(db.events, "user_id", 5).select("event_id", "fold")
 
 
-@query(None)
+@query("WITH g AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id, row_number() OVER (ORDER BY " + DRAW_SQL.format("'3:' || user_id") + " % 256, user_id) - 1 AS row FROM g), t AS (SELECT count(*) AS total FROM g), r AS (SELECT (id % 30)::INT AS replicate, " + DRAW_SQL.format("'3:' || id") + " % total AS row FROM (SELECT unnest(range(30 * total)) AS id, total FROM t)) SELECT replicate, user_id, count(*) AS times FROM r JOIN n ON n.row = r.row GROUP BY ALL")
 def bootstrap_groups(db: Tables) -> DataFrame:
     return sampling.bootstrap_groups(db.events, "user_id", 30, 3)
 
@@ -330,8 +359,57 @@ def run_states(db: Tables) -> DataFrame:
     return gates.states(plan, seen, ["b", "seed"])
 
 
-@query(None)
+# One-to-one matches by their meaning: an object takes, of the predictions that overlap it and that no object before it took, the
+# first by falling confidence (then by place).
+GREEDY_SQL = f"""{BOX_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY line, partkey, suppkey, w, price) - 1 AS idx FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY scene, seed ORDER BY conf DESC, x0, y0) AS i FROM d),
+e AS (SELECT b.scene, s.seed, b.idx, list(d.i ORDER BY d.i) FILTER (d.i IS NOT NULL) AS fits FROM o AS b CROSS JOIN (SELECT unnest([0, 1, 2]) AS seed) s LEFT JOIN p AS d ON d.scene = b.scene AND d.seed = s.seed AND {IOU_SQL} >= 0.5 GROUP BY b.scene, s.seed, b.idx),
+m AS (SELECT scene, seed, idx, fits[1] AS pick, list_filter([fits[1]], lambda x: x IS NOT NULL) AS used FROM e WHERE idx = 0
+ UNION ALL SELECT e.scene, e.seed, e.idx, list_filter(e.fits, lambda x: NOT list_contains(m.used, x))[1] AS pick, list_concat(m.used, list_filter([list_filter(e.fits, lambda x: NOT list_contains(m.used, x))[1]], lambda x: x IS NOT NULL)) AS used FROM m JOIN e ON e.scene = m.scene AND e.seed = m.seed AND e.idx = m.idx + 1)"""
+
+
+def detected(db: Tables, truth: DataFrame) -> DataFrame:
+    """scene, seed, idx and whether each detector finds the object, one to one within a scene."""
+    name = F.concat_ws("/", "scene", "seed").alias("view")
+    seeds = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("seed")
+    views = truth.select("*", seeds).select("*", name)
+    found = joins.greedy_match(detections(db).select("*", name), views.select("view", "idx", "x0", "y0", "x1", "y1"), "view")
+    return views.select("scene", "seed", "idx", "view").join(found, ["view", "idx"]).drop("view")
+
+
+def numbered_boxes(rows: DataFrame) -> DataFrame:
+    return windows.place_in_group(rows, "scene", ["line", "partkey", "suppkey", "w", "price"]).withColumn("idx", F.col("place").cast("bigint")).drop("place")
+
+
+@query(f"WITH RECURSIVE {GREEDY_SQL} SELECT seed, idx = 0 AS first, count(*) AS n, round(avg((pick IS NOT NULL)::INT), 6) AS recall FROM m GROUP BY ALL")
 def greedy_recall(db: Tables) -> DataFrame:
-    truth = windows.place_in_group(boxes(db), "scene", ["line", "partkey", "suppkey", "w", "price"]).select("scene", F.col("place").cast("bigint").alias("idx"), "x0", "y0", "x1", "y1")
-    m = joins.greedy_match(detections(db).where("seed = 0"), truth)
-    return m.groupBy((F.col("idx") == 0).alias("first")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("detected").cast("int")), 6).alias("recall"))
+    m = detected(db, numbered_boxes(boxes(db)))
+    return m.groupBy("seed", (F.col("idx") == 0).alias("first")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("detected").cast("int")), 6).alias("recall"))
+
+
+# Recall by size: the letterboxed area of a 640 by 480 image is the box's own, of 1 at least.
+@query(f"WITH RECURSIVE {GREEDY_SQL} SELECT seed, greatest(1, (x1 - x0) * (y1 - y0)) < 256 AS small, count(*) AS n, round(avg((pick IS NOT NULL)::INT), 6) AS recall FROM m JOIN o ON o.scene = m.scene AND o.idx = m.idx GROUP BY ALL")
+def recall_by_size(db: Tables) -> DataFrame:
+    """Greedy one-to-one recall of each detector on small and other boxes."""
+    truth = numbered_boxes(cat.truth_boxes(boxes(db).withColumn("width", F.lit(640)).withColumn("height", F.lit(480)), 256.0))
+    rows = truth.select("scene", "idx", "small").join(detected(db, truth), ["scene", "idx"])
+    return rows.groupBy("seed", "small").agg(F.count("*").alias("n"), F.round(F.avg(F.col("detected").cast("int")), 6).alias("recall"))
+
+
+@query("WITH p AS (SELECT s_suppkey, p_partkey, " + DRAW_SQL.format("'13:' || s_suppkey || ':' || k") + " % (SELECT count(*) FROM part) AS row, k FROM supplier, (SELECT unnest(range(4)) AS k), (SELECT 0 AS p_partkey)), n AS (SELECT p_partkey, row_number() OVER (ORDER BY " + DRAW_SQL.format("'13:' || p_partkey") + " % 256, p_partkey) - 1 AS row FROM part) SELECT p.s_suppkey, p.k::INT AS variation, n.p_partkey FROM p JOIN n ON n.row = p.row")
+def uniform_draws(db: Tables) -> DataFrame:
+    asks = db.supplier.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("variation"))
+    return sampling.uniform_draws(asks, db.part.select("p_partkey"), ["s_suppkey", "variation"], "p_partkey", 13)
+
+
+@query("WITH s AS (SELECT p_brand AS source, row_number() OVER (PARTITION BY p_brand ORDER BY " + DRAW_SQL.format("'2:' || p_partkey") + " % 256, p_partkey) - 1 AS row, p_retailprice AS area FROM part), t AS (SELECT row_number() OVER (ORDER BY " + DRAW_SQL.format("'2:' || s_suppkey") + " % 256, s_suppkey) - 1 AS row, greatest(s_acctbal, 0) AS area FROM supplier), g AS (SELECT source, count(*) AS ns, (SELECT count(*) FROM t) AS nt FROM s GROUP BY 1), r AS (SELECT source, " + DRAW_SQL.format("'8:s:' || source || ':' || i") + " % ns AS a, " + DRAW_SQL.format("'8:t:' || source || ':' || i") + " % nt AS b FROM g, range(500) x(i)), f AS (SELECT r.source, t.area / s.area AS f, s.area > 0 AND t.area > 0 AS ok FROM r JOIN s ON s.source = r.source AND s.row = r.a JOIN t ON t.row = r.b), c AS (SELECT source, count(*) FILTER (ok AND f BETWEEN 0.5 AND 2) AS m, count(*) FILTER (ok AND f < 0.5) AS s, count(*) FILTER (ok AND f > 2) AS e FROM f GROUP BY 1) SELECT source, scale, n, n * 100.0::DOUBLE / 500 AS pct FROM (SELECT source, 'matched' AS scale, m AS n FROM c UNION ALL SELECT source, 'shrunk', s FROM c UNION ALL SELECT source, 'enlarged', e FROM c)")
+def pairing_by_source(db: Tables) -> DataFrame:
+    s = sampling.dense_numbers(db.part.select(F.col("p_brand").alias("source"), "p_partkey", F.col("p_retailprice").alias("area")), "p_partkey", 2, ["source"], "row")
+    t = sampling.dense_numbers(db.supplier.select("s_suppkey", F.greatest("s_acctbal", F.lit(0.0)).alias("area")), "s_suppkey", 2, name="row")
+    return sampling.pairing_by(s.select("source", "row", "area"), t.select("row", "area"), "source", 500, 8)
+
+
+@query("WITH s AS (SELECT DISTINCT source, md5(text) AS h FROM documents), a AS (SELECT source AS other, h FROM s) SELECT s.source, a.other, count(*) AS n_shared, list(s.h ORDER BY s.h)[:5] AS shared FROM s JOIN a ON a.h = s.h AND a.other != s.source GROUP BY ALL".replace("list(s.h ORDER BY s.h)[:5] AS shared", "array_to_string(list(s.h ORDER BY s.h)[:5], ',') AS shared"))
+def overlap_of_sets(db: Tables) -> DataFrame:
+    d = db.documents.select("source", F.md5(F.col("text").cast("binary")).alias("h"))
+    return joins.overlaps_of_all(d, "source", "h", 5).withColumn("shared", F.array_join("shared", ","))

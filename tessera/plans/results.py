@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import joins
+from ..operators import designs, joins
 from ..operators import statistics as st
 from .registry import Tables, query
 
@@ -57,15 +57,14 @@ def holm_correction(db: Tables) -> DataFrame:
     return rounded(st.holm(p, "family", "name"), "p_holm")
 
 
-@query(f"""WITH {CUBE_SQL}, x AS (SELECT budget, arm, seed, value * 100 AS v FROM cube WHERE budget != 'P' AND arm IN ('1', '2', '3')), m AS (SELECT avg(v) AS mu, sum((v - (SELECT avg(v) FROM x))^2) AS tot FROM x),
+@query(f"""WITH {CUBE_SQL}, x AS (SELECT budget, arm, seed, value * 100 AS v FROM cube), m AS (SELECT avg(v) AS mu, sum((v - (SELECT avg(v) FROM x))^2) AS tot FROM x),
 a AS (SELECT sum(n * (g - mu)^2) AS ss, count(*) - 1 AS df FROM (SELECT avg(v) AS g, count(*) AS n FROM x GROUP BY budget), m), b AS (SELECT sum(n * (g - mu)^2) AS ss, count(*) - 1 AS df FROM (SELECT avg(v) AS g, count(*) AS n FROM x GROUP BY arm), m),
 ab AS (SELECT sum(n * (g - mu)^2) AS ss, count(*) - 1 AS df FROM (SELECT avg(v) AS g, count(*) AS n FROM x GROUP BY budget, arm), m), s AS (SELECT sum(n * (g - mu)^2) AS ss, count(*) - 1 AS df FROM (SELECT avg(v) AS g, count(*) AS n FROM x GROUP BY seed), m),
 e AS (SELECT tot - ab.ss - s.ss AS ss, ab.df * s.df AS df FROM m, ab, s),
 u AS (SELECT 'budget' AS term, ss, df FROM a UNION ALL SELECT 'arm', ss, df FROM b UNION ALL SELECT 'budget:arm', ab.ss - a.ss - b.ss, a.df * b.df FROM a, b, ab UNION ALL SELECT 'seed', ss, df FROM s UNION ALL SELECT 'error', ss, df FROM e)
 SELECT term, round(u.ss, 5) AS ss, u.df::BIGINT AS df, CASE WHEN term != 'error' THEN round((u.ss / u.df) / (e.ss / e.df), 5) END AS f FROM u, e""")
 def anova_two_factors(db: Tables) -> DataFrame:
-    c = cube(db).where("budget != 'P' and arm in ('1', '2', '3')")
-    return st.anova(c, "budget", "arm", "seed", "value").select("term", F.round("ss", 5).alias("ss"), "df", F.round("f", 5).alias("f"))
+    return st.anova(cube(db), "budget", "arm", "seed", "value").select("term", F.round("ss", 5).alias("ss"), "df", F.round("f", 5).alias("f"))
 
 
 RANK_SQL = "r AS (SELECT n_chars AS s, sum(quality)::BIGINT AS pos, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1), c AS (SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn FROM r WINDOW w AS (ORDER BY s DESC))"
@@ -94,3 +93,55 @@ def cluster_importance(db: Tables) -> DataFrame:
 @query(f"WITH {CUBE_SQL} SELECT a.budget, a.seed, round(a.value - b.value, 6) AS difference FROM cube a JOIN cube b ON a.budget = b.budget AND a.seed = b.seed WHERE a.arm = '1' AND b.arm = '5'")
 def paired_differences(db: Tables) -> DataFrame:
     return rounded(joins.paired_differences(cube(db), ["budget", "seed"], "arm", "value", "1", "5"), "difference")
+
+
+# A table of results with the arms and measures of the families: budgets, arms and seeds from keys, measures from amounts.
+FAMILY_CUBE_SQL = "y AS (SELECT CASE o_orderkey % 2 WHEN 0 THEN 'S1' ELSE 'S2' END AS budget, CASE o_custkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'M25' ELSE 'M50' END AS arm, ((o_orderkey // 2) % 5)::INT AS seed, avg(o_totalprice) / 1e6 AS recall, avg(o_totalprice * (o_custkey % 7)) / 1e7 AS small, max(o_totalprice) / 1e6 AS map50, avg(o_custkey) / 1e5 AS auc FROM orders GROUP BY ALL)"
+COEFFICIENT_SQL = "k(family, contrast, measure, budget, arm, weight) AS (VALUES " + ", ".join(str((f, n, m, b, a, w)) for f, family in designs.FAMILIES.items() for n, (m, weights) in family.items() for (b, a), w in weights.items()) + ")"
+
+
+def family_cube(db: Tables) -> DataFrame:
+    """Long: measure, budget, arm, seed, value."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    wide = db.orders.groupBy(F.when(k % 2 == 0, "S1").otherwise("S2").alias("budget"), F.when(c % 3 == 0, "C").when(c % 3 == 1, "M25").otherwise("M50").alias("arm"), (F.floor(k / 2) % 5).cast("int").alias("seed")).agg(
+        (F.avg("o_totalprice") / 1e6).alias("recall"), (F.avg(F.col("o_totalprice") * (c % 7)) / 1e7).alias("small"), (F.max("o_totalprice") / 1e6).alias("map50"), (F.avg("o_custkey") / 1e5).alias("auc"),
+    )
+    return wide.unpivot(["budget", "arm", "seed"], ["recall", "small", "map50", "auc"], "measure", "value")
+
+
+@query(f"""WITH {FAMILY_CUBE_SQL}, l AS (UNPIVOT y ON recall, small, map50, auc INTO NAME measure VALUE value), {COEFFICIENT_SQL}, v AS (SELECT family, contrast, seed, sum(weight * value * 100) AS d FROM l JOIN k USING (measure, budget, arm) GROUP BY ALL),
+s AS (SELECT family, contrast, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM v GROUP BY ALL), i AS (SELECT *, mean - 2.7764451051977987 * sd / sqrt(n) AS lo95, mean + 2.7764451051977987 * sd / sqrt(n) AS hi95, mean - 2.13184678632665 * sd / sqrt(n) AS lo90, mean + 2.13184678632665 * sd / sqrt(n) AS hi90 FROM s)
+SELECT family, contrast, n, round(mean, 6) AS mean, round(lo95, 5) AS lo95, round(hi95, 5) AS hi95, CASE WHEN hi95 < 0 THEN 'worse' WHEN lo95 > 0 THEN 'better' WHEN lo90 > -1 AND hi90 < 1 THEN 'equivalent' ELSE 'inconclusive' END AS verdict, family IN ('F1', 'F2') AS corrected FROM i""")
+def contrast_families(db: Tables) -> DataFrame:
+    """Every contrast of the confirming, secondary and describing families."""
+    f = st.families(family_cube(db), designs.family_coefficients(db.spark), ["measure", "budget", "arm"], designs.ADJUSTED)
+    return f.select("family", "contrast", "n", F.round("mean", 6).alias("mean"), F.round("lo95", 5).alias("lo95"), F.round("hi95", 5).alias("hi95"), "verdict", F.col("p_holm").isNotNull().alias("corrected"))
+
+
+CELL_SQL = "z AS (SELECT CASE o_custkey % 5 WHEN 0 THEN 'matched__high' WHEN 1 THEN 'matched__low' WHEN 2 THEN 'shrunk__high' WHEN 3 THEN 'shrunk__low' ELSE 'control' END AS arm, (o_orderkey % 3)::INT AS seed, avg(o_totalprice) / 1e6 AS value FROM orders GROUP BY ALL)"
+CELL_COEFFICIENT_SQL = "k(family, contrast, arm, weight) AS (VALUES " + ", ".join(str((f, n, a, w)) for f, family in designs.CELL_FAMILIES.items() for n, weights in family.items() for a, w in weights.items()) + ")"
+
+
+@query(f"""WITH {CELL_SQL}, {CELL_COEFFICIENT_SQL}, v AS (SELECT family, contrast, seed, sum(weight * value * 100) AS d FROM z JOIN k USING (arm) GROUP BY ALL), w AS (SELECT *, sum(d) OVER (PARTITION BY contrast) AS t FROM v),
+s AS (SELECT family, contrast, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, count(*) FILTER (sign(d) = sign(t)) AS same FROM w GROUP BY ALL)
+SELECT family, contrast, n, round(mean, 6) AS mean, round(sd, 6) AS sd, CASE WHEN abs(mean) > 2 AND same = n THEN 'real' WHEN same >= ceil(n * 2 / 3) THEN 'direction' ELSE 'noise' END AS verdict, family = 'F1' AS corrected FROM s""")
+def cell_contrasts(db: Tables) -> DataFrame:
+    """Scale, contrast, their interaction, and every cell and their mean against the control."""
+    c, names = F.col("o_custkey") % 5, [*designs.CELLS, "control"]
+    cells = db.orders.groupBy(F.element_at(F.array(*map(F.lit, names)), (c + 1).cast("int")).alias("arm"), (F.col("o_orderkey") % 3).cast("int").alias("seed")).agg((F.avg("o_totalprice") / 1e6).alias("value"))
+    f = st.sign_families(cells, designs.cell_coefficients(db.spark), ["arm"], ("F1",))
+    return f.select("family", "contrast", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "verdict", F.col("p_holm").isNotNull().alias("corrected"))
+
+
+@query(f"WITH {FAMILY_CUBE_SQL} SELECT round(avg(recall) FILTER (budget = 'S2' AND arm = 'C'), 6) AS mean, round((SELECT avg(c_acctbal) / 1e5 FROM customer), 6) AS other_mean, round((avg(recall) FILTER (budget = 'S2' AND arm = 'C') - (SELECT avg(c_acctbal) / 1e5 FROM customer)) * 100, 6) AS difference FROM y")
+def control_plausibility(db: Tables) -> DataFrame:
+    """The control's mean beside that of an earlier experiment."""
+    rows = family_cube(db).where("measure = 'recall'")
+    other = db.customer.select((F.col("c_acctbal") / 1e5).alias("value"))
+    return rounded(st.unpaired_difference(rows, (F.col("budget") == "S2") & (F.col("arm") == "C"), other, "value"), "mean", "other_mean", "difference")
+
+
+@query(f"WITH {FAMILY_CUBE_SQL} SELECT budget, arm, round(avg(recall), 6) AS recall, round(avg(auc), 6) AS auc FROM y GROUP BY ALL")
+def means_by_arm(db: Tables) -> DataFrame:
+    wide = family_cube(db).groupBy("budget", "arm", "seed").pivot("measure", ["recall", "auc"]).agg(F.first("value"))
+    return rounded(st.group_means(wide, ["budget", "arm"], ["recall", "auc"]), "recall", "auc")

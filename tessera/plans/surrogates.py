@@ -6,9 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import joins, models, windows
-from ..operators.catalogs import truth_boxes
-from .core import boxes, detections
+from ..operators import models
 from .registry import Tables, query
 
 SETTINGS = models.Settings()
@@ -41,13 +39,3 @@ def surrogate_stability(db: Tables) -> DataFrame:
 @query(None)
 def mediation_test(db: Tables) -> DataFrame:
     return models.mediation(measured(db), ["length", "digits"], ["words", "lines"], ["length"], "quality", SETTINGS)
-
-
-@query(None)
-def recall_by_size(db: Tables) -> DataFrame:
-    """Greedy one-to-one recall of the first detector on small and other boxes."""
-    b = truth_boxes(boxes(db).withColumn("width", F.lit(640)).withColumn("height", F.lit(480)), 256.0)
-    truth = windows.place_in_group(b, "scene", ["line", "partkey", "suppkey", "w", "price"]).withColumn("idx", F.col("place").cast("bigint"))
-    found = joins.greedy_match(detections(db).where("seed = 0"), truth.select("scene", "idx", "x0", "y0", "x1", "y1"))
-    rows = truth.select("scene", "idx", "small").join(found, ["scene", "idx"])
-    return rows.groupBy("small").agg(F.count("*").alias("n"), F.round(F.avg(F.col("detected").cast("int")), 6).alias("recall"))
