@@ -45,7 +45,8 @@ def run_plan(budgets: DataFrame, arm_names: list[str], seeds: list[int], length:
 
 
 def trainlist(real: DataFrame, synthetic: DataFrame, path: str, repeat_real: int) -> DataFrame:
-    """Each real path ``repeat_real`` times and each synthetic one once: columns path, real.
+    """Each real path ``repeat_real`` times and each synthetic one once: columns path, real, turn. In the order of
+    turn (then path) the real ones come first, all of them as often as they repeat, then the synthetic ones.
 
     Refused: a repeat count below 1, a path twice in a list, a path in both."""
     if repeat_real < 1:
@@ -56,7 +57,7 @@ def trainlist(real: DataFrame, synthetic: DataFrame, path: str, repeat_real: int
     if not real.join(synthetic.select(path), path, "left_semi").isEmpty():
         raise Refused("a path is real and synthetic")
     times = F.explode(F.sequence(F.lit(1), F.lit(repeat_real)))
-    return real.select(path, F.lit(True).alias("real"), times.alias("_t")).drop("_t").unionByName(synthetic.select(path, F.lit(False).alias("real")))
+    return real.select(path, F.lit(True).alias("real"), times.alias("turn")).unionByName(synthetic.select(path, F.lit(False).alias("real"), F.lit(repeat_real + 1).alias("turn")))
 
 
 def trainlist_counts(rows: DataFrame) -> DataFrame:

@@ -20,10 +20,25 @@ def yolo(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("image", F.col("x.i").alias("box_index"), "valid_index", F.col("x.f")[0].alias("category"), *[number(i).alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 2)])
 
 
-def yolo_pixels(spark: SparkSession, path: str, sizes: DataFrame) -> DataFrame:
-    """The boxes in pixels; ``sizes`` has image, width, height."""
+def yolo_pixels(spark: SparkSession, path: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """The boxes in pixels; ``sizes`` has image, width, height. With ``how`` left, boxes of no image stay, without places."""
     box = yolo_to_pixels(*[F.col(c) for c in ("cx", "cy", "w", "h", "width", "height")])
-    return yolo(spark, path).join(sizes, "image").select("image", "box_index", "category", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))])
+    return yolo(spark, path).join(sizes, "image", how).select("image", "box_index", "category", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))])
+
+
+def yolo_shares(spark: SparkSession, path: str) -> DataFrame:
+    """image, box_index, pos_v (the centre's height) and area (share of the image) of the valid lines."""
+    return yolo(spark, path).select("image", "box_index", F.col("cy").alias("pos_v"), (F.col("w") * F.col("h")).alias("area"))
+
+
+def absolute_sizes(spark: SparkSession, path: str, images: DataFrame, endings: tuple[str, ...] = (".png", ".jpg", ".jpeg")) -> DataFrame:
+    """Widths and heights of boxes in pixels; boxes without an extent are left out. ``images`` has name (of the
+    file), width and height; of several files of one stem that of the first ending counts, others don't."""
+    stem, ending = file_stem(F.col("name")), F.lower(F.regexp_extract("name", r"\.[^.]*$", 0))
+    place = F.array_position(F.array(*map(F.lit, endings)), ending)
+    sizes = images.where(place > 0).groupBy(stem.alias("image")).agg(F.min(F.struct(place.alias("place"), "name", "width", "height")).alias("_x")).select("image", "_x.width", "_x.height")
+    rows = yolo(spark, path).join(sizes, "image")
+    return rows.select("image", "box_index", F.rint(F.col("w") * F.col("width")).cast("int").alias("bw"), F.rint(F.col("h") * F.col("height")).cast("int").alias("bh")).where("bw > 0 and bh > 0")
 
 
 def voc(spark: SparkSession, path: str) -> DataFrame:

@@ -39,9 +39,9 @@ def write_manifest(df: DataFrame, path: str, append: bool = False, form: str = "
     (writer.option("header", True) if form == "csv" else writer).save(path)
 
 
-def write_trainlist(df: DataFrame, path: str, column: str) -> None:
-    """One path a line, repeats kept, in order over the files."""
-    df.select(F.col(column).cast("string").alias("value")).orderBy("value").write.mode("errorifexists").text(path)
+def write_trainlist(df: DataFrame, path: str, column: str, order: tuple[str, ...] = ()) -> None:
+    """One path a line, repeats kept, in order over the files: by the ``order`` columns, then by path."""
+    df.select(F.col(column).cast("string").alias("value"), *order).orderBy(*order, "value").select("value").write.mode("errorifexists").text(path)
 
 
 def listed(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -90,6 +90,35 @@ def write_vectors(df: DataFrame, path: str, id_col: str, vector_col: str) -> Non
     df.withColumn(vector_col, F.col(vector_col).cast("array<float>")).sortWithinPartitions(id_col).write.mode("errorifexists").parquet(path)
 
 
+def read_vectors(spark: SparkSession, path: str, index: DataFrame, id_col: str, vector_col: str, dim: int | None = None) -> DataFrame:
+    """The vectors of an index, with its columns; Refused where the index names a vector that isn't there, or
+    where one has another length than ``dim`` (the most frequent one, if it isn't given)."""
+    rows = index.join(spark.read.parquet(path).select(id_col, F.col(vector_col).alias(vector_col)), id_col, "left")
+    size = F.size(vector_col)
+    want = F.lit(dim) if dim is not None else F.col("_dim")
+    common = rows.agg(F.mode(F.when(F.col(vector_col).isNotNull(), size)).alias("_dim"))  # one row
+    lost, odd = rows.crossJoin(F.broadcast(common)).agg(F.count(F.when(F.col(vector_col).isNull(), 1)), F.count(F.when(F.col(vector_col).isNotNull() & (size != want), 1))).first()
+    if lost or odd:
+        raise Refused(f"{lost} vectors are missing, {odd} have another length")
+    return rows
+
+
+def materialise(files: DataFrame, key: str, content: str, expected: DataFrame, digest: str, path: str) -> DataFrame:
+    """Writes files of an expected manifest and checks what was written: key, n_bytes, sha256. Refused before
+    anything is written if a key of the manifest has no file or several; Refused afterwards
+    if a digest read back isn't the expected one."""
+    rows = expected.select(key, F.col(digest).alias("_want")).join(files.select(key, content), key, "left")
+    bad = rows.groupBy(key).agg(F.count(content).alias("n")).where("n != 1").orderBy(key).limit(5).collect()
+    if bad:
+        raise Refused(f"not one file each: {[r[0] for r in bad]}")
+    rows.select(key, F.col(content).cast("binary").alias(content)).write.mode("errorifexists").parquet(path)
+    back = files.sparkSession.read.parquet(path).select(key, F.octet_length(content).alias("n_bytes"), F.sha2(F.col(content), 256).alias("sha256"))
+    wrong = back.join(expected.select(key, F.col(digest).alias("_want")), key).where("sha256 != _want").orderBy(key).limit(5).collect()
+    if wrong:
+        raise Refused(f"changed while written: {[r[0] for r in wrong]}")
+    return back
+
+
 def markdown_table(df: DataFrame, formats: dict[str, str], most: int = 1000) -> str:
     """A small report as Markdown; formats are those of Python by column, nulls are dashes. A report of
     more than ``most`` rows is refused."""

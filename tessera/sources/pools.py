@@ -7,11 +7,13 @@ boxes to one of the same boxes with a crop's key each (null: the box stays as it
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -47,7 +49,8 @@ def unpack(spark: SparkSession, archive: str, folder: str) -> DataFrame:
                 fs, at = _fs(path)
                 to_fs, to = _fs(folder)
                 stem, rows = path.rsplit("/", 1)[-1], []
-                with fs.open_input_file(at) as f, zipfile.ZipFile(f) as z:
+                # the reader of archives seeks before the start of small files, which this file system refuses
+                with fs.open_input_file(at) as f, zipfile.ZipFile(f if f.size() > 1 << 17 else io.BytesIO(f.read())) as z:
                     for info in z.infolist():
                         parts = info.filename.split("/")
                         if info.is_dir() or ".." in parts:
@@ -147,10 +150,11 @@ def crops(rows: DataFrame, segmenter: Segmenter | None = None) -> DataFrame:
     return rows.mapInPandas(run, "image string, box_index int, width int, height int, coverage double, content binary")
 
 
-def load_source(spark: SparkSession, source: str, archive: str, work: str, to: str, image_folder: str, label_folder: str, least_side: float, least_mask: float = 0.0, segmenter: Segmenter | None = None, read: Callable[[SparkSession, str, DataFrame], DataFrame] = labels.yolo_pixels) -> tuple[DataFrame, DataFrame]:
+def load_source(spark: SparkSession, source: str, archive: str, work: str, to: str, image_folder: str, label_folder: str, least_side: float, least_mask: float = 0.0, segmenter: Segmenter | None = None, read: Callable[[SparkSession, str, DataFrame], DataFrame] = partial(labels.yolo_pixels, how="left")) -> tuple[DataFrame, DataFrame]:
     """From a source's archive to an archive of its good crops: the archive and the manifest of all boxes.
 
-    ``read`` maps a folder of labels and the sizes of images (image, width, height) to boxes (image, box_index, x0..y1).
+    ``read`` maps a folder of labels and the sizes of images (image, width, height) to boxes (image, box_index, x0..y1),
+    those of no image too.
     The manifest has source, image, box_index, status (of ``extraction_manifest``), width, height, coverage, keep, reason."""
     folder = f"{work}/{uuid.uuid4().hex}"
     if unpack(spark, archive, folder).count() == 0:

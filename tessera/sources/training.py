@@ -50,7 +50,7 @@ def prepare_arms(real: DataFrame, synthetic: dict[str, DataFrame], arms: DataFra
     out = []
     for arm, rows in lists.items():
         at = f"{folder}/lists/{arm}"
-        write_trainlist(rows, at, path)
+        write_trainlist(rows, at, path, ("turn",))
         back = spark.read.text(at)
         real_paths = real.select(F.col(path).cast("string").alias("value"), F.lit(True).alias("real"))
         c = trainlist_counts(back.join(real_paths, "value", "left").select(F.coalesce("real", F.lit(False)).alias("real"))).first()
