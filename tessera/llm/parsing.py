@@ -5,15 +5,20 @@ one) are cut into phrases. Deterministic coin tossing labels each name by the lo
 which it differs from its left neighbour and that bit's value; three rounds leave labels under
 8, and names whose label is a local maximum begin phrases. Where a phrase begins depends on
 a few names around it alone, so equal substrings have equal phrases within, at any offset. A
-phrase's name is a hash of its names and lengths; phrase names are the next level's input. The
-fingerprint is the K smallest hashes of all phrases of levels 2 to 5 (of a text of one phrase: that
-one), each name with its number among equal ones, and the likeness of two fingerprints estimates the Jaccard similarity of their
+phrase's name is a hash of its names and lengths; phrase names are the next level's input, up to
+the level where one phrase is the whole text. A phrase has two names at least, so a text of n characters
+has at most log2(n) levels. The fingerprint is the K smallest hashes of all phrases from level 2 on (of a
+text of one phrase on level 1: that one), each name with its number among equal ones, and the likeness of two fingerprints estimates the Jaccard similarity of their
 sets of phrases from the K smallest of their union.
 
+Documents and their next ones meet by ranges of ids that hold about RANGE_BYTES of texts each, at
+most RANGES of them; a range's rows are sorted, streamed and followed by the first row of the next range.
+
 Defined results: null text is empty, whose fingerprint is the empty string; likeness of two
 empty ones is 1, of an empty and another one 0; an empty table gives an empty one; rows with
-a null id come first, rows with one id are ordered by their text; the last document's next is
-the first; other columns of the input are not read.
+a null id come first, with those of the least number there is; rows with one id are ordered by a hash of
+their text, so they too are dealt to several ranges, and equal rows follow one another; the last document's next is
+the first; very long texts are parsed in whole; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix64
+from .common import drop_written, map_arrow, mix64, written
 
-K, DIGITS, LEVELS, FROM_LEVEL = 64, 12, 5, 2
+K, FROM_LEVEL = 64, 2
+#: Bytes of texts in a range, and the most ranges (16 bytes each on the driver and in every worker).
+RANGE_BYTES, RANGES = 8 << 20, 100_000
 _ONE, _LOW48 = np.uint64(1), np.uint64((1 << 48) - 1)
 ROWS = 50_000
 _POWER = mix64(np.arange(1, 4097)) | _ONE
@@ -96,15 +103,18 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     begins = np.cumsum(lengths) - lengths
     names = mix64(code.astype(np.uint64) + _ONE)
     gathered = []
-    for level in range(1, LEVELS + 1):
+    text, level = np.arange(len(which)), 0
+    while len(text):
         names, begins = _level(names, begins)
+        level += 1
         count = np.diff(np.append(begins, len(names)))
-        row = np.repeat(np.arange(len(which)), count)
-        if level >= FROM_LEVEL:
-            gathered.append((row, names))
-        else:  # texts of one phrase already: that phrase stands for them
-            alone = count[row] == 1
-            gathered.append((row[alone], names[alone]))
+        row = np.repeat(np.arange(len(text)), count)
+        # on the levels that aren't gathered, texts of one phrase already: that phrase stands for them
+        take = np.ones(len(names), dtype=bool) if level >= FROM_LEVEL else count[row] == 1
+        gathered.append((text[row[take]], names[take]))
+        more = count > 1  # texts of one phrase are done
+        names, text = names[more[row]], text[more]
+        begins = np.cumsum(count[more]) - count[more]
     row, name = (np.concatenate(x) for x in zip(*gathered))
     # one sorted word for each phrase: 16 bits for the text (a batch has fewer), 48 for the name
     key = np.sort(row.astype(np.uint64) << np.uint64(48) | mix64(name) >> np.uint64(16))
@@ -126,7 +136,7 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
 
 
 def text_of(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u8").tobytes().hex() if not len(fingerprint) else "".join(f"{x:012x}" for x in fingerprint.tolist())
+    return "".join(f"{x:012x}" for x in fingerprint.tolist())
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
@@ -145,44 +155,39 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint of every text."""
+    """doc_id, fingerprint of every text, one row a row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_arrow(rows, "doc_id bigint, fingerprint string", lambda: lambda b: [b.column("id"), [text_of(f) for f in fingerprints([t or "" for t in b.column("text").to_pylist()])]])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows dealt out by ranges of ids, in order, each range followed by the rows with the
-    id that begins the next one: bucket, copy, id, text. Documents move once."""
+    """Rows (id, text, copy) dealt out by ranges of ids, a partition each, in order; behind its own
+    rows a range has those that may come next, with copy 1. Documents move once."""
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.select(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts[: n - 1]))
-    # the number of cuts up to the id, by halving
-    bucket = F.lit(0)
-    if cuts:
-        def below(lo: int, hi: int):
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col("id") >= cuts[mid], below(mid + 1, hi)).otherwise(below(lo, mid))
-
-        bucket = F.when(F.col("id").isNull(), 0).otherwise(below(0, len(cuts)))
-    own = docs.withColumn("bucket", bucket)
-    heads = sorted((r.bucket, r.nulls, r.first) for r in own.groupBy("bucket").agg(F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("nulls")).collect())  # a row a bucket
-    copies = []
-    for k, (_, nulls, first) in enumerate(heads):
-        before = heads[k - 1][0]
-        copies.append(F.when(F.col("id").isNull() if nulls else F.col("id") == first, F.array(F.lit(before))))
-    again = F.coalesce(*copies) if copies else F.lit(None).cast("array<int>")
-    if copies:
-        if len(heads) == 1:
-            again = F.array(F.lit(heads[0][0]))
-            again = F.when(F.col("id").isNull() if heads[0][1] else F.col("id") == heads[0][2], again)
-        to = F.concat(F.array(F.struct(F.col("bucket"), F.lit(0).alias("copy"))), F.coalesce(F.transform(again, lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("copy"))), F.array().cast("array<struct<bucket:int,copy:int>>")))
-        own = own.withColumn("to", F.explode(to)).select("to.bucket", "to.copy", "id", "text")
-    else:
-        own = own.select("bucket", F.lit(0).alias("copy"), "id", "text")
-    return own.repartitionById(max(n, 1), F.col("bucket")).sortWithinPartitions("bucket", "copy", "id", "text")
+    docs = docs.withColumn("key", F.coalesce("id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
+    slim = written(docs.select("key", "h", F.octet_length("text").alias("bytes")), "ids")
+    total = slim.agg(F.sum("bytes")).first()[0] or 0
+    n = min(RANGES, max(1, -(-total // RANGE_BYTES)))
+    at = slim.repartitionByRange(n, "key", "h").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "h")).alias("head"))
+    heads = sorted((r["head"].key, r["head"].h) for r in at.collect())  # a row a range
+    drop_written(slim)
+    key, h = (np.array([x[i] for x in heads], dtype=np.int64) for i in (0, 1))
+    shared = spark.sparkContext.broadcast((key, h))
+
+    @F.pandas_udf("bucket int, head boolean")
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        (key, h), own, fine = shared.value, ids.to_numpy(), hashes.to_numpy()
+        first, bucket = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
+        for i in np.flatnonzero(bucket > first).tolist():  # ranges that begin at this id
+            bucket[i] = first[i] + np.searchsorted(h[first[i] : bucket[i]], fine[i], "right")
+        bucket -= 1
+        return pd.DataFrame({"bucket": bucket.astype(np.int32), "head": (key[bucket] == own) & (h[bucket] == fine)})
+
+    last = max(0, len(heads) - 1)
+    own = F.struct(F.col("place.bucket").alias("bucket"), F.lit(0).alias("copy"))
+    before = F.struct(F.when(F.col("place.bucket") == 0, last).otherwise(F.col("place.bucket") - 1).alias("bucket"), F.lit(1).alias("copy"))
+    dealt = docs.withColumn("place", place("key", "h")).withColumn("to", F.explode(F.when(F.col("place.head"), F.array(own, before)).otherwise(F.array(own))))
+    return dealt.repartitionById(last + 1, F.col("to.bucket")).select("id", "text", F.col("to.copy").alias("copy"), "key", "h").sortWithinPartitions("copy", "key", "h", "text").select("id", "text", "copy")
 
 
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -197,26 +202,17 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def start():
         held: list[tuple] = []  # the last row, which waits for its next
 
-        def rows_of(pairs):
-            texts = [t for _, t, _ in pairs]
-            cut = [edited(t, f) for _, t, f in pairs]
-            # one more text: the next of the last
-            prints = fingerprints([*texts, *(f for _, _, f in pairs[-1:]), *cut])
-            n = len(texts)
-            own, mixed = prints[:n], prints[n + 1 :]
-            nexts = {}
-            near = []
-            for k, (_, _, f) in enumerate(pairs):
-                following = prints[n] if k == n - 1 else (own[k + 1] if texts[k + 1] is f else nexts.setdefault(f, None) or fingerprints([f])[0])
-                near.append(likeness(own[k], following))
-            return [[i for i, _, _ in pairs], [len(t) for t in texts], [hashlib.sha256(c.encode()).hexdigest() for c in cut], [text_of(f) for f in own], [text_of(f) for f in mixed], [likeness(x, y) for x, y in zip(own, mixed)], near]
-
         def make(batch):
-            rows = list(zip(batch.column("bucket").to_pylist(), batch.column("copy").to_pylist(), batch.column("id").to_pylist(), batch.column("text").to_pylist()))
-            both = held + rows
-            pairs = [(x[2], x[3], y[3]) for x, y in zip(both, both[1:]) if not x[1] and x[0] == y[0]]
-            held[:] = both[-1:]
-            return rows_of(pairs) if pairs else None
+            rows = held + list(zip(*(batch.column(c).to_pylist() for c in ("id", "text", "copy"))))
+            held[:] = rows[-1:]
+            n = sum(not copy for _, _, copy in rows[:-1])  # copies stand behind all others
+            if not n:
+                return None
+            ids, texts, _ = zip(*rows[: n + 1])
+            cut = [edited(t, f) for t, f in zip(texts, texts[1:])]
+            prints = fingerprints([*texts, *cut])
+            own, mixed = prints[: n + 1], prints[n + 1 :]
+            return [ids[:n], [len(t) for t in texts[:n]], [hashlib.sha256(c.encode()).hexdigest() for c in cut], [text_of(f) for f in own[:n]], [text_of(f) for f in mixed], [likeness(x, y) for x, y in zip(own, mixed)], [likeness(x, y) for x, y in zip(own, own[1:])]]
 
         return make
 
