@@ -9,7 +9,7 @@ from .common import drop_written, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Nodes of the links with the smallest node each can reach: ``node``, ``component``.
+    """Nodes of the links with the smallest node each can reach, as a written table: ``node``, ``component``.
 
     Links are undirected; loops and repeated links change nothing, links with a null end are
     left out. Each round ties every node's larger neighbours to the smallest node it sees
@@ -31,7 +31,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if new == state:
             break
         state = new
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
+    out = written(now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct()), "components")
+    drop_written(now)
+    return out
 
 
 def _state(links: DataFrame) -> tuple:

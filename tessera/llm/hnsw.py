@@ -1,30 +1,36 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs.
 
-Equal vectors stand for one node. Nodes are dealt to shards by hash; each shard gets a graph
-of layers, in the upper of which are ever fewer of its nodes, written to the shared folder.
-Neighbours are chosen so that none is nearer to another one chosen than to the node, then the
-nearest fill up, so dense groups stay tied to their surroundings. Every node queries every
-shard: down the layers, then with a beam over the lowest one. A beam that ends full of links
-is widened until it isn't. Before use each shard's beam is audited against brute force on a
-sample of nodes, and doubled until it finds enough; a shard whose audit fails with the widest
-beam is scanned in whole. Links are verified by cosine in double precision. A task counts a
-node's links itself and hands on only as many as connect what it has seen, so a group of g near
-vectors costs g rows, not g * g.
+Equal vectors stand for one node. Nodes are dealt to shards of bounded bytes by hash; each shard
+gets a graph of layers, in the upper of which are ever fewer of its nodes, written to the shared
+folder with its vectors. Neighbours are chosen so that none is nearer to another one chosen than to the node, then the
+nearest fill up, so dense groups stay tied to their surroundings. Every pair of shards is searched:
+the vectors of one query the graph of the other (of two, the one that comes at most half way round
+the circle of shards behind the other), down the layers, then with a beam over the lowest one, and what is found
+counts for both ends. A beam that ends full of links, or of nodes that are nearly links, is widened until it isn't; from
+one in WIDEST nodes of the shard on, the shard is scanned instead. A task loads one graph and streams the vectors of the other shards
+through it.
+
+Before use each shard's beam is audited against brute force: on nodes of the shard and of the whole
+table, without the node itself, and on vectors planted around nodes at all cosines from ``least`` to
+1. The beam is doubled until the queries' mean recall is AUDIT_RECALL; a shard whose audit fails with the
+widest beam is scanned in whole. The least recall is a column of the result. Links are verified by cosine
+in double precision. A task counts links itself and hands on only as many as connect what it has seen,
+so a group of g near vectors costs a task g rows, not g * g.
 
 Queries are answered many at a time: all beams of a block take their steps together.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing and are their own components; vectors of different lengths aren't linked; repeated rows
 count as other vectors that are linked (equal vectors have cosine 1); rows with a null id take
-part, their component is the smallest id they reach and they are never kept; an empty table
-gives an empty one; other columns of the input are not read.
+part, their component is the smallest id they reach and they are never kept; rows with one id are rows
+of their own; an empty table gives an empty one; other columns of the input, whatever their names, are not read. There are no texts
+and no ties: a cosine of exactly ``least`` is a link.
 """
 
 from __future__ import annotations
 
 import io
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +38,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, map_arrow, new_path, open_fs, written
+from .common import drop_written, give_back, map_arrow, new_path, open_fs, remove_path, written
 from .components import connected_components
 
 NEIGHBOURS, BUILD_BEAM, BEAM, STEP = 16, 48, 32, 4
-#: Rows of a shard, and the fewest shards (they don't grow with small inputs).
-SHARD_ROWS, LEAST_SHARDS = 200_000, 6
+#: Bytes of a shard's vectors, and the fewest shards (they don't grow with small inputs).
+SHARD_BYTES, LEAST_SHARDS = 32 << 20, 6
+#: Shards that a task streams through its graph, and bytes of their vectors at a time.
+STREAM, BLOCK_BYTES = 16, 1 << 20
+WIDEST = 32
 AUDIT, AUDIT_RECALL = 128, 0.999
 SLACK = 1e-4  # of cosines in single precision
+#: A beam is widened while its last node is no further than this from a link: among many nodes that
+#: are about as near, the few that are links are not on the way of a narrow beam.
+MARGIN = 0.05
 
 
 def _beams(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,24 +187,24 @@ class Graph:
             done += len(new)
         self.layers.append((members, near))
 
-    def search(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of q, node) with a cosine that may be at least ``least``. A beam full of
-        such nodes is widened."""
-        rows, found = [], []
+    def search(self, q: np.ndarray, least: float, beam: int):
+        """Yields pairs (rows of q, nodes) with cosines that may be at least ``least``, some rows at a
+        time. A beam full of such nodes, or of nodes within MARGIN of them, is widened; instead of a
+        width of one in WIDEST of the nodes or more, they are scanned."""
         _, near = self.layers[-1]
         block = self._block()
         for at in range(0, len(q), block):
             part = q[at : at + block]
-            left, width = np.arange(len(part)), min(beam, len(self.x))
-            entry = self._down(part)
-            while len(left):
+            left, width = np.arange(len(part)), beam
+            entry = self._down(part) if width < len(self.x) else None
+            while len(left) and (width == beam or WIDEST * width < len(self.x)) and width < len(self.x):
                 ids, sims = _beams(self.x, near, part[left], entry[left], width)
-                full = (sims[:, -1] >= least - SLACK) & (width < len(self.x))
+                full = sims[:, -1] >= least - MARGIN
                 r, c = np.nonzero((sims >= least - SLACK) & ~full[:, None])
-                rows.append(at + left[r])
-                found.append(ids[r, c])
-                left, width = left[full], min(4 * width, len(self.x))
-        return np.concatenate(rows), np.concatenate(found)
+                yield at + left[r], ids[r, c]
+                left, width = left[full], 4 * width
+            for r, c in scan(self.x, part[left], least):
+                yield at + left[r], c
 
     def _down(self, q: np.ndarray) -> np.ndarray:
         lowest = self.layers.pop()
@@ -202,15 +214,12 @@ class Graph:
             self.layers.append(lowest)
 
 
-def scan(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def scan(x: np.ndarray, q: np.ndarray, least: float):
     """The same pairs by brute force, in blocks."""
-    rows, found = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-    step = max(1, (8 << 20) // max(1, len(x)))
+    step = max(1, (2 << 20) // max(1, len(x)))
     for at in range(0, len(q), step):
         r, c = np.nonzero(q[at : at + step] @ x.T >= least - SLACK)
-        rows.append(at + r)
-        found.append(c)
-    return np.concatenate(rows), np.concatenate(found)
+        yield at + r, c
 
 
 def units(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -219,17 +228,21 @@ def units(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     def start():
         def make(batch):
-            keys, out = [], []
-            for v in batch.column("v").to_pylist():
-                x = np.array([np.nan if c is None else c for c in v or []]) + 0.0
-                peak = np.abs(x).max(initial=0.0)
-                if not len(x) or not np.isfinite(x).all() or not peak:
-                    keys.append(None)
-                    out.append(None)
-                    continue
-                x /= peak  # squares neither overflow nor vanish
-                keys.append(int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64)))
-                out.append((x / np.linalg.norm(x)).tobytes())
+            column = batch.column("v")
+            size = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            every = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is NaN
+            begins = np.cumsum(size) - size
+            keys, out = [None] * len(size), [None] * len(size)
+            for n in np.unique(size[size > 0]).tolist():
+                at = np.flatnonzero(size == n)
+                x = every[begins[at][:, None] + np.arange(n)] + 0.0
+                peak = np.abs(x).max(axis=1)
+                good = np.isfinite(x).all(axis=1) & (peak > 0)
+                at, x = at[good], x[good] / peak[good, None]  # squares neither overflow nor vanish
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                for i, own, u in zip(at.tolist(), x, unit):
+                    keys[i] = int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
+                    out[i] = u.tobytes()
             return [batch.column("id"), pa.array(keys, pa.int64()), pa.array(out, pa.binary())]
 
         return make
@@ -241,8 +254,46 @@ def _stack(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, dim)
 
 
-def build(nodes: DataFrame, shards: int, least: float, audit: list[bytes]) -> list[dict]:
-    """Writes a graph for each shard and vector length; returns what was written."""
+def recall(graph: Graph, queries: np.ndarray, own: np.ndarray, least: float, beam: int) -> float:
+    """Mean over the queries that have links of the share of them that is found; ``own``: the node
+    that a query is itself, or -1."""
+    shares = []
+    for at in range(0, len(queries), 16):
+        q, self_ = queries[at : at + 16], own[at : at + 16]
+        want = np.zeros((len(q), len(graph.x)), dtype=bool)
+        for r, c in scan(graph.x, q, least):
+            want[r, c] = self_[r] != c
+        links, found = want.sum(axis=1), np.zeros(len(q), dtype=np.int64)
+        for r, c in graph.search(q, least, beam):
+            np.add.at(found, r, want[r, c])
+        shares.append(found[links > 0] / links[links > 0])
+    shares = np.concatenate(shares)
+    return float(shares.mean()) if len(shares) else 1.0
+
+
+def audit(graph: Graph, queries: np.ndarray, own: np.ndarray, least: float) -> tuple[int, float]:
+    """The beam (0: the shard has to be scanned) and its recall."""
+    beam = BEAM
+    while beam < len(graph.x):
+        if (found := recall(graph, queries, own, least, beam)) >= AUDIT_RECALL:
+            return beam, found
+        beam *= 2
+    return 0, 1.0
+
+
+def planted(x: np.ndarray, least: float, rng: np.random.Generator) -> np.ndarray:
+    """Vectors around nodes, one each, at cosines from ``least`` to 1."""
+    near = x[rng.choice(len(x), AUDIT)]
+    aside = rng.normal(size=near.shape)
+    aside -= (aside * near).sum(axis=1, keepdims=True) * near
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+    cosine = rng.uniform(least, 1, (len(near), 1))
+    return cosine * near + np.sqrt(1 - cosine**2) * aside
+
+
+def build(nodes: DataFrame, shards: int, least: float, sample: list[bytes]) -> list[dict]:
+    """Writes a graph for each shard and vector length; returns what was written: path, shard,
+    size, beam and audited recall."""
     to = new_path(nodes.sparkSession, "graphs")
     rows = nodes.select("k", "n", "unit", F.length("unit").alias("size"), F.pmod(F.xxhash64("k", F.lit(4)), F.lit(shards)).cast("int").alias("shard"))
 
@@ -251,110 +302,164 @@ def build(nodes: DataFrame, shards: int, least: float, audit: list[bytes]) -> li
         table = table.sort_by("k")
         size, shard = table.column("size")[0].as_py(), table.column("shard")[0].as_py()
         exact = _stack(table.column("unit"), size // 8)
+        k, n = table.column("k").to_numpy(), table.column("n").to_numpy()
         graph = Graph(exact)
         rng = np.random.default_rng(shard)
-        samples = [np.frombuffer(a, dtype=np.float64) for a in audit if len(a) == size]
-        q = np.concatenate([np.array(samples).reshape(-1, size // 8), exact[rng.choice(len(exact), min(AUDIT, len(exact)), replace=False)]]).astype(np.float32)
-        want = set(zip(*(p.tolist() for p in scan(graph.x, q, least))))
-        beam, recall = BEAM, 0.0
-        while True:
-            got = set(zip(*(p.tolist() for p in graph.search(q, least, beam))))
-            recall = len(got & want) / max(1, len(want))
-            if not want or recall >= AUDIT_RECALL or beam >= len(exact):
-                break
-            beam *= 2
-        passed = not want or recall >= AUDIT_RECALL
+        at = rng.choice(len(exact), min(AUDIT, len(exact)), replace=False)
+        there = {x.tobytes(): i for i, x in enumerate(exact)}
+        samples = [a for a in sample if len(a) == size]
+        queries = np.concatenate([exact[at], np.array([np.frombuffer(a) for a in samples]).reshape(-1, size // 8), planted(exact, least, rng)])
+        own = np.concatenate([at, [there.get(a, -1) for a in samples], np.full(AUDIT, -1)]).astype(np.int64)
+        beam, found = audit(graph, queries.astype(np.float32), own, least)
         fs, folder = open_fs(to)
         fs.create_dir(folder, recursive=True)
         name = f"{shard}-{size}-{uuid.uuid4().hex}.npz"
         raw = io.BytesIO()
         parts = {f"members{i}": m for i, (m, _) in enumerate(graph.layers)} | {f"near{i}": near.astype(np.int32) for i, (_, near) in enumerate(graph.layers)}
-        np.savez(raw, exact=exact, k=table.column("k").to_numpy(), n=table.column("n").to_numpy(), **parts)
+        np.savez(raw, exact=exact, k=k, n=n, **parts)
+        del graph, there
         with fs.open_output_stream(f"{folder}/{name}") as f:
-            f.write(raw.getvalue())
-        return pa.table({"path": [f"{to}/{name}"], "size": pa.array([size], pa.int32()), "beam": pa.array([beam if passed else 0], pa.int32()), "recall": [recall]})
+            f.write(raw.getbuffer())
+        del raw
+        give_back()
+        return pa.table({"path": [f"{to}/{name}"], "shard": pa.array([shard], pa.int32()), "size": pa.array([size], pa.int32()), "beam": pa.array([beam], pa.int32()), "recall": [found]})
 
-    made = written(rows.groupBy("shard", "size").applyInArrow(run, "path string, size int, beam int, recall double"), "graphs")
-    out = [r.asDict() for r in made.orderBy("path").collect()]  # a row a shard
+    made = written(rows.groupBy("shard", "size").applyInArrow(run, "path string, shard int, size int, beam int, recall double"), "graphs")
+    out = [r.asDict() for r in made.orderBy("size", "shard").collect()]  # a row a shard
     drop_written(made)
     return out
 
 
-@lru_cache(1)
-def _load(path: str) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+def _vectors(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors, keys and numbers of equal ones of a shard."""
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as f:
+        data = np.load(f)
+        return data["exact"], data["k"], data["n"]
+
+
+def _graph(path: str, exact: np.ndarray) -> Graph:
     fs, at = open_fs(path)
     with fs.open_input_file(at) as f:
-        data = np.load(io.BytesIO(f.read()))
+        data = np.load(f)
         graph = Graph.__new__(Graph)
-        exact = data["exact"]
         graph.x = exact.astype(np.float32)
-        graph.layers = [(data[f"members{i}"], data[f"near{i}"].astype(np.int64)) for i in range(sum(k.startswith("near") for k in data.files))]
-        return graph, exact, data["k"], data["n"]
+        graph.layers = [(data[f"members{i}"], data[f"near{i}"]) for i in range(sum(k.startswith("near") for k in data.files))]
+        return graph
 
 
-def links_of(nodes: DataFrame, graphs: list[dict], least: float) -> DataFrame:
-    """For every node its number of linked vectors in other nodes, as rows (a, null, n), and
-    links (a, b, 0) that connect all that are linked."""
+class Forest:
+    """Trees over numbered nodes; tells which links are needed to connect what is linked."""
 
-    def start():
-        def make(batch):
-            k, unit = batch.column("k").to_numpy(), batch.column("unit").to_pylist()
-            size = np.fromiter(map(len, unit), np.int64, len(unit))
-            degree = np.zeros(len(k), dtype=np.int64)
-            top: dict[int, int] = {}
-            links: list[tuple[int, int]] = []
-
-            def root(c: int) -> int:
-                while (up := top.get(c, c)) != c:
-                    top[c] = top.get(up, up)
-                    c = up
-                return c
-
-            for g in graphs:
-                own = np.flatnonzero(size == g["size"])
-                if not len(own):
-                    continue
-                graph, exact, keys, count = _load(g["path"])
-                q = np.frombuffer(b"".join(unit[i] for i in own), dtype=np.float64).reshape(len(own), -1)
-                q32 = q.astype(np.float32)
-                r, c = graph.search(q32, least, g["beam"]) if g["beam"] else scan(graph.x, q32, least)
-                ok = keys[c] != k[own[r]]
-                r, c = r[ok], c[ok]
-                for at in range(0, len(r), 1 << 16):
-                    cosine = np.einsum("ij,ij->i", q[r[at : at + (1 << 16)]], exact[c[at : at + (1 << 16)]])
-                    good = np.flatnonzero(cosine >= least) + at
-                    np.add.at(degree, own[r[good]], count[c[good]])
-                    for a, b in zip(k[own[r[good]]].tolist(), keys[c[good]].tolist()):
-                        if (x := root(a)) != (y := root(b)):
-                            top[max(x, y)] = min(x, y)
-                            links.append((a, b))
-            a = np.array([p[0] for p in links] , dtype=np.int64)
-            b = np.array([p[1] for p in links], dtype=np.int64)
-            return [np.concatenate([k, a]), pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(b)]), np.concatenate([degree, np.zeros(len(a), dtype=np.int64)])]
-
-        return make
+    def __init__(self, n: int):
+        self.root = np.arange(n)
 
-    return map_arrow(nodes.select("k", "unit"), "a bigint, b bigint, n bigint", start, by="unit")
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of links that join trees, one for each tree joined to another."""
+        used = [np.empty(0, dtype=np.int64)]
+        left = np.arange(len(a))
+        while True:
+            x, y = self.root[a[left]], self.root[b[left]]
+            apart = x != y
+            left, x, y = left[apart], x[apart], y[apart]
+            if not len(left):
+                return np.concatenate(used)
+            top, first = np.unique(np.maximum(x, y), return_index=True)
+            used.append(left[first])
+            self.root[top] = np.minimum(x, y)[first]  # always to a smaller root, so there are no rings
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+
+def pairs_of_shards(graphs: list[dict]) -> list[tuple[int, dict, list[str]]]:
+    """Tasks: a number, a graph, and the files of the shards whose vectors query it."""
+    out = []
+    for size in sorted({g["size"] for g in graphs}):
+        own = [g for g in graphs if g["size"] == size]
+        n = len(own)
+        for i, g in enumerate(own):
+            # the shards behind it, half way round; of two that face each other, the first is asked
+            others = [own[(i + d) % n]["path"] for d in range(n // 2 + 1) if 2 * d != n or i < (i + d) % n]
+            out.extend((g, others[at : at + STREAM]) for at in range(0, len(others), STREAM))
+    return [(i, g, others) for i, (g, others) in enumerate(out)]
+
+
+def links_of(spark, graphs: list[dict], least: float) -> DataFrame:
+    """Rows (a, null, n): a node has n linked vectors in other nodes (to be summed), and
+    (a, b, 0): links that connect all that are linked."""
+    tasks = pairs_of_shards(graphs)
+    listing = spark.createDataFrame([(i, g["path"], g["beam"], others) for i, g, others in tasks], "i int, path string, beam int, others array<string>").repartitionById(max(1, len(tasks)), F.col("i"))
+
+    def search(path: str, beam: int, others: list[str]):
+        exact, k, n = _vectors(path)
+        graph = _graph(path, exact)
+        degree = np.zeros(len(k), dtype=np.int64)
+        for other in others:
+            q, qk, qn = (exact, k, n) if other == path else _vectors(other)
+            forest = Forest(len(k) + len(qk))  # the shard's nodes, then the other's
+            q_degree, links = np.zeros(len(qk), dtype=np.int64), []
+            step = max(1, BLOCK_BYTES // (8 * q.shape[1]))
+            for at in range(0, len(q), step):
+                part = q[at : at + step]
+                q32 = part.astype(np.float32)
+                for r, c in graph.search(q32, least, beam) if beam else scan(graph.x, q32, least):
+                    if other == path:  # a pair within the shard counts from its first node
+                        r, c = r[c > r + at], c[c > r + at]
+                    for cut in range(0, len(r), 1 << 15):
+                        ri, ci = r[cut : cut + (1 << 15)], c[cut : cut + (1 << 15)]
+                        good = np.einsum("ij,ij->i", part[ri], exact[ci]) >= least
+                        ri, ci = ri[good] + at, ci[good]
+                        np.add.at(q_degree, ri, n[ci])
+                        np.add.at(degree, ci, qn[ri])
+                        used = forest.add(ri if other == path else ri + len(k), ci)
+                        links.append(np.stack([qk[ri[used]], k[ci[used]]]))
+            some = np.flatnonzero(q_degree)
+            yield qk[some], None, q_degree[some]
+            if links:
+                a, b = np.concatenate(links, axis=1)
+                yield a, b, np.zeros(len(a), dtype=np.int64)
+        some = np.flatnonzero(degree)
+        yield k[some], None, degree[some]
+
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+        for batch in batches:
+            for task in batch.to_pylist():
+                for a, b, n in search(task["path"], task["beam"], task["others"]):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(n)], schema=schema)
+                give_back()
+
+    return listing.mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9) -> DataFrame:
-    """vec_id, n_links (other vectors linked), component_id (smallest id reachable), kept."""
+    """vec_id, n_links (other vectors linked), component_id (smallest id reachable), kept, and
+    audit_recall (the least that an audit of the vector's length found; null without one)."""
     spark = vectors.sparkSession
     rows = written(units(vectors, id_col, vector_col), "units")
     nodes = rows.where("k is not null").groupBy("k").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.any_value("unit").alias("unit"))
     nodes = written(nodes, "nodes")
-    total = nodes.count()
-    shards = max(LEAST_SHARDS, -(-total // SHARD_ROWS))
-    audit = [bytes(r.unit) for r in nodes.select("unit").orderBy(F.xxhash64("k", F.lit(44))).limit(AUDIT).collect()]
-    graphs = build(nodes, shards, least, audit)
-    blocks = nodes.repartition(max(LEAST_SHARDS * 2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
-    found = written(links_of(blocks, graphs, least), "links")
-    joined = written(connected_components(found.where("b is not null").select("a", "b")), "components")
+    total = nodes.agg(F.sum(F.length("unit"))).first()[0] or 0
+    shards = max(LEAST_SHARDS, -(-total // SHARD_BYTES))
+    sample = [bytes(r.unit) for r in nodes.select("unit").orderBy(F.xxhash64("k", F.lit(44))).limit(AUDIT).collect()]
+    graphs = build(nodes, shards, least, sample)
+    found = written(links_of(spark, graphs, least), "links")
+    if graphs:
+        remove_path(spark, graphs[0]["path"].rsplit("/", 1)[0])
+    joined = connected_components(found.where("b is not null").select("a", "b"))
     named = joined.join(nodes.select(F.col("k").alias("node"), "first"), "node")
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
     component = named.join(smallest, "component").select(F.col("node").alias("k"), "smallest")
-    degree = found.where("b is null").select(F.col("a").alias("k"), F.col("n").alias("others"))
-    by_node = nodes.select("k", "first", "n").join(degree, "k", "left").join(component, "k", "left").select("k", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component_id"))
-    out = rows.select("vec_id", "k").join(by_node, "k", "left")
-    own = F.when(F.col("k").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
+    degree = found.where("b is null").groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("others"))
+    recall = {}
+    for g in graphs:
+        recall[g["size"]] = min(g["recall"], recall.get(g["size"], 1.0))
+    audited = spark.createDataFrame(list(recall.items()), "size int, audit_recall double")
+    by_node = nodes.select("k", "first", "n", F.length("unit").alias("size")).join(degree, "k", "left").join(component, "k", "left").join(audited, "size", "left").select("k", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component_id"), "audit_recall")
+    # rows without a vector to link aren't joined: as null keys they would all go to one task
+    linked = rows.where("k is not null").select("vec_id", "k").join(by_node, "k").select("vec_id", F.col("n_links").cast("bigint").alias("n_links"), "component_id", "audit_recall")
+    alone = rows.where("k is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("audit_recall"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    out = written(linked.union(alone).select("vec_id", "n_links", "component_id", kept, "audit_recall"), "near-vectors")
+    drop_written(rows, nodes, found, joined)
+    return out
