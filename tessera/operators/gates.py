@@ -32,11 +32,16 @@ def guard_split(split: str, allowed: bool = False) -> None:
         raise Refused("the training split needs an explicit permission")
 
 
-def once(spark: SparkSession, lock: str, content: DataFrame) -> None:
-    """Writes the lock; a second time is refused."""
+def unlocked(spark: SparkSession, lock: str) -> None:
+    """Refused where the lock exists."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(lock)
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         raise Refused(f"{lock} exists")
+
+
+def once(spark: SparkSession, lock: str, content: DataFrame) -> None:
+    """Writes the lock; a second time is refused."""
+    unlocked(spark, lock)
     content.write.mode("errorifexists").json(lock)
 
 

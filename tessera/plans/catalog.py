@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import aggregates as agg
 from ..operators import catalogs as cat
-from ..operators import designs, gates, joins
+from ..operators import designs, gates, joins, reports
 from ..operators import statistics as st
 from ..sources import training
 from .core import BOX, BOX_SQL, DRAW_SQL, IOU_SQL, boxes, detections
 from .registry import Tables, query
-from .results import SUMMARY_SQL, rounded, values
+from .results import CELL_COEFFICIENT_SQL, CELL_SQL, SUMMARY_SQL, cells, rounded, values
 
 
 @query("SELECT p_partkey, round((a + c) / 2 / 640.0::DOUBLE, 8) AS cx, round((b + d) / 2 / 480.0::DOUBLE, 8) AS cy, round((c - a) / 640.0::DOUBLE, 8) AS w, round((d - b) / 480.0::DOUBLE, 8) AS h FROM (SELECT p_partkey, (p_partkey % 97)::DOUBLE AS a, (p_partkey % 89)::DOUBLE AS b, (p_partkey % 97 + p_size)::DOUBLE AS c, (p_partkey % 89 + p_size * 2)::DOUBLE AS d FROM part)")
@@ -273,3 +273,34 @@ def weights_compared(db: Tables) -> DataFrame:
     a, b = (db.customer.select("c_custkey", F.array(v.cast("double")).alias("v")) for v in (F.col("c_acctbal"), F.greatest("c_acctbal", F.lit(0))))
     w = training.weights_compared(a, b, "c_custkey", "v")
     return w.select("identical", "n_tensors", "n_different", F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
+
+
+@query("WITH w AS (SELECT DISTINCT o_orderpriority, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey != 3)), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY " + DRAW_SQL.format("'21:' || o_orderpriority || ':' || o_custkey") + ", o_custkey) AS ordinal FROM w), d AS (SELECT * FROM r WHERE ordinal <= 8) SELECT o_orderpriority, o_custkey, ordinal::INT AS ordinal, ordinal <= 3 AS \"inner\", (SELECT sha256(string_agg(o_orderpriority || chr(9) || ordinal || chr(9) || o_custkey || chr(10), '' ORDER BY o_orderpriority, ordinal)) FROM d) AS digest FROM d")
+def sampled_set(db: Tables) -> DataFrame:
+    """A sampled list with the digest that seals it."""
+    outputs = db.orders.select("o_orderpriority", "o_custkey").distinct()
+    parts = outputs.join(db.customer.where("c_nationkey != 3").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    drawn, digest = reports.sampled_set(outputs, parts, "o_orderpriority", "o_custkey", 8, 21, 3)
+    return drawn.select("o_orderpriority", "o_custkey", "ordinal", "inner", F.lit(digest).alias("digest"))
+
+
+@query("""WITH c AS (SELECT p_partkey, arg_max(p_retailprice, p_size) AS price FROM part WHERE p_size > 5 GROUP BY 1), t AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, bool_or(l_discount > 0.05) OVER (PARTITION BY l_orderkey, l_linenumber) AS y FROM lineitem WHERE l_returnflag != 'N'),
+x AS (SELECT t.*, c.p_partkey IS NOT NULL AS found, ln(c.price) AS f, ln(greatest(l_quantity, 1e-12)) AS s, l_linenumber::DOUBLE AS m FROM t LEFT JOIN c ON c.p_partkey = t.l_partkey), f AS (SELECT coalesce(regr_intercept(m, s), avg(m)) AS a, coalesce(regr_slope(m, s), 0) AS b FROM x)
+SELECT found, y, count(*) AS n, count(DISTINCT l_partkey) AS n_crops, round(avg(f), 6) AS feature, round(avg(abs(m - (a + b * s))), 6) AS residual FROM x, f GROUP BY ALL""")
+def feature_table(db: Tables) -> DataFrame:
+    """Line items as pastes, parts as crops, a discount as target."""
+    rows = db.lineitem.where("l_returnflag != 'N'").select("l_partkey", "l_linenumber", "l_quantity", F.concat_ws("/", "l_orderkey", "l_linenumber").alias("paste"), (F.col("l_discount") > 0.05).alias("y"))
+    labelled = rows.select("paste", "y").groupBy("paste").agg(F.max("y").alias("y"))
+    compute = lambda crops: crops.select("l_partkey", F.ln("price").alias("f"))
+    crops = db.part.where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("price"), "p_size")
+    t = reports.feature_table(rows.drop("y"), crops, "l_partkey", "p_size", labelled, ["paste"], compute, F.ln(F.greatest("l_quantity", F.lit(1e-12))), F.col("l_linenumber").cast("double"))
+    return rounded(t.groupBy("found", "y").agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("n_crops"), F.avg("f").alias("feature"), F.avg(F.abs("residual")).alias("residual")), "feature", "residual")
+
+
+@query(f"""WITH {CELL_SQL}, {CELL_COEFFICIENT_SQL}, v AS (SELECT family, contrast, seed, sum(weight * value * 100) AS d FROM z JOIN k USING (arm) GROUP BY ALL) SELECT family, contrast, count(*) AS n, round(avg(d), 6) AS mean FROM v GROUP BY ALL""")
+def closed_evaluation(db: Tables) -> DataFrame:
+    """Contrasts over a closed list of models: every arm and seed once."""
+    rows = cells(db).withColumn("model", F.concat_ws("_seed", "arm", "seed"))
+    models = [f"{a}_seed{s}" for a in (*designs.CELLS, "control") for s in range(3)]
+    f = reports.closed_evaluation(rows, "model", models, designs.cell_coefficients(db.spark), ["arm"], ("F1",))
+    return f.select("family", "contrast", "n", F.round("mean", 6).alias("mean"))

@@ -122,14 +122,18 @@ CELL_SQL = "z AS (SELECT CASE o_custkey % 5 WHEN 0 THEN 'matched__high' WHEN 1 T
 CELL_COEFFICIENT_SQL = "k(family, contrast, arm, weight) AS (VALUES " + ", ".join(str((f, n, a, w)) for f, family in designs.CELL_FAMILIES.items() for n, weights in family.items() for a, w in weights.items()) + ")"
 
 
+def cells(db: Tables) -> DataFrame:
+    """arm, seed, value of the cells and the control."""
+    c, names = F.col("o_custkey") % 5, [*designs.CELLS, "control"]
+    return db.orders.groupBy(F.element_at(F.array(*map(F.lit, names)), (c + 1).cast("int")).alias("arm"), (F.col("o_orderkey") % 3).cast("int").alias("seed")).agg((F.avg("o_totalprice") / 1e6).alias("value"))
+
+
 @query(f"""WITH {CELL_SQL}, {CELL_COEFFICIENT_SQL}, v AS (SELECT family, contrast, seed, sum(weight * value * 100) AS d FROM z JOIN k USING (arm) GROUP BY ALL), w AS (SELECT *, sum(d) OVER (PARTITION BY contrast) AS t FROM v),
 s AS (SELECT family, contrast, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd, count(*) FILTER (sign(d) = sign(t)) AS same FROM w GROUP BY ALL)
 SELECT family, contrast, n, round(mean, 6) AS mean, round(sd, 6) AS sd, CASE WHEN abs(mean) > 2 AND same = n THEN 'real' WHEN same >= ceil(n * 2 / 3) THEN 'direction' ELSE 'noise' END AS verdict, family = 'F1' AS corrected FROM s""")
 def cell_contrasts(db: Tables) -> DataFrame:
     """Scale, contrast, their interaction, and every cell and their mean against the control."""
-    c, names = F.col("o_custkey") % 5, [*designs.CELLS, "control"]
-    cells = db.orders.groupBy(F.element_at(F.array(*map(F.lit, names)), (c + 1).cast("int")).alias("arm"), (F.col("o_orderkey") % 3).cast("int").alias("seed")).agg((F.avg("o_totalprice") / 1e6).alias("value"))
-    f = st.sign_families(cells, designs.cell_coefficients(db.spark), ["arm"], ("F1",))
+    f = st.sign_families(cells(db), designs.cell_coefficients(db.spark), ["arm"], ("F1",))
     return f.select("family", "contrast", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "verdict", F.col("p_holm").isNotNull().alias("corrected"))
 
 

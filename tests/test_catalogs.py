@@ -106,3 +106,66 @@ def test_determinism_verdict(spark):
     doc = spark.createDataFrame([("r", '{"steps": 5}')], "run string, doc string")
     assert gates.same_runs(joins.same_rows(one, one, "k", ["v"]), gates.unexpected(doc, "run", "doc", {"steps": 5})).first().verdict == "GO"
     assert gates.same_runs(joins.same_rows(one, one, "k", ["v"]), gates.unexpected(doc, "run", "doc", {"steps": 5, "epochs": 1})).first().verdict == "NO-GO"
+
+
+def test_reports_refuse_odd_lists(spark, tmp_path):
+    from tessera.operators import designs, reports
+
+    rows = [(a, s, 0.1 * s + len(a)) for a in (*designs.CELLS, "control") for s in range(3)]
+    metrics = spark.createDataFrame([(f"{a}{s}", a, s, v) for a, s, v in rows], "model string, arm string, seed int, value double")
+    models = [f"{a}{s}" for a, s, _ in rows]
+    run = lambda m, names, lock=None: reports.closed_evaluation(m, "model", names, designs.cell_coefficients(spark), ["arm"], ("F1",), lock)
+    assert run(metrics, models, str(tmp_path / "lock")).count() == 8
+    for m, names, lock in ((metrics, models, str(tmp_path / "lock")), (metrics, models[1:], None), (metrics.union(metrics.limit(1)), models, None), (metrics.limit(3), models, None)):
+        with pytest.raises(gates.Refused):
+            run(m, names, lock)
+    outputs = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1)], "cell string, k int")
+    drawn, digest = reports.sampled_set(outputs.where("cell = 'a'"), outputs, "cell", "k", 4, 1)
+    assert drawn.count() == 4 and len(digest) == 64 and digest == reports.sampled_set(outputs.where("cell = 'a'").repartition(5), outputs, "cell", "k", 4, 1)[1]
+    with pytest.raises(gates.Refused):
+        reports.sampled_set(outputs, outputs, "cell", "k", 4, 1)
+
+
+def test_letterboxed_and_pool(spark, tmp_path):
+    from tessera.operators import reports
+
+    b = reports.letterboxed(spark.createDataFrame([(0, 0, 20, 10, 1280, 720), (5, 5, 5, 9, 640, 640)], "x0 int, y0 int, x1 int, y1 int, width int, height int")).collect()
+    assert [(r.area, r.boxed_area) for r in b] == [(200.0, 50.0), (4.0, 4.0)]
+    (tmp_path / "pool.csv").write_text("name,source,width,height,contrast\na,S,4,5,1.5\nb,S,4,5,\nc,T,0,5,2\n")
+    assert [(r.name, r.area) for r in reports.cell_pool(spark, str(tmp_path / "pool.csv")).collect()] == [("a", 20.0)]
+
+
+def test_cells_that_the_pool_lacks_count_as_none(spark):
+    """Fixed cases: a pool with one group of each source alone, and a giant box that no member is larger than twice of."""
+    from tessera.operators import aggregates, joins
+
+    levels = {"source": ["A", "B"], "contrast": ["hi", "lo"]}
+    pool = spark.createDataFrame([("A", "hi", 10.0), ("B", "lo", 10.0)], "source string, contrast string, area double")
+    boxes = spark.createDataFrame([(1, 10.0)], "box int, area double")
+    cells = aggregates.cell_counts(boxes, joins.range_counts(boxes, pool, ["box"], ["source", "contrast"]), ["box"], ["source", "contrast"], levels, ("matched",))
+    assert {(r.source, r.contrast): r.n for r in cells.collect()} == {("A", "hi"): 1, ("B", "lo"): 1, ("A", "lo"): 0, ("B", "hi"): 0}
+    assert [r.feasible for r in aggregates.feasible(cells, ["box"], 1).collect()] == [False]
+    full = spark.createDataFrame([(s, c, a) for s in "AB" for c in ("hi", "lo") for a in (10.0, 100.0, 1000.0, 10000.0)], "source string, contrast string, area double")
+    boxes = spark.createDataFrame([(1, 500.0), (2, 1e6)], "box int, area double")
+    cells = aggregates.cell_counts(boxes, joins.range_counts(boxes, full, ["box"], ["source", "contrast"]), ["box"], ["source", "contrast"], levels)
+    assert {r.box: r.feasible for r in aggregates.feasible(cells, ["box"], 1).collect()} == {1: True, 2: False}
+    by = {(r.scale, r.contrast): r.n_feasible for r in aggregates.feasible_by_cell(cells, ["box"], "source", ["scale", "contrast"], 1).collect()}
+    assert by["shrunk", "hi"] == 1 and by["enlarged", "hi"] == 2
+    assert {r.bottleneck for r in aggregates.bottlenecks(cells, ["box"], "source", ["scale"], 1).collect()} == {1, 2}
+
+
+def test_series_with_a_repeated_step_is_not_complete(spark):
+    from tessera.operators import aggregates
+
+    rows = spark.createDataFrame([("a", s, 1.0) for s in (1, 2, 2, 4)] + [("b", s, 1.0) for s in (1, 2, 3)], "run string, step int, v double")
+    assert {r.run: r.complete for r in aggregates.series(rows, ["run"], "step", "v").collect()} == {"a": False, "b": True}
+
+
+def test_coverage_of_a_small_mask():
+    import numpy as np
+
+    from tessera.operators.images import crop_features
+
+    p = np.zeros((4, 4, 4), np.uint8)
+    p[0, 0, 3] = 255
+    assert crop_features(p) == (0.0, 0.0, 0.0, 1 / 16)
