@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bounds import small
+
 PERCENTS = (5, 10, 25, 75, 90, 95)
 
 
@@ -109,7 +111,7 @@ def grid_counts(df: DataFrame, dims: list[str]) -> DataFrame:
     """Counts over the full grid of the dimensions' values; zero counts stay."""
     grid = df.select(dims[0]).distinct()
     for d in dims[1:]:
-        grid = grid.crossJoin(F.broadcast(df.select(d).distinct()))
+        grid = grid.crossJoin(small(df.select(d).distinct()))
     return grid.join(df.groupBy(*dims).agg(F.count("*").alias("n")), dims, "left").select(*dims, F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -147,7 +149,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def by_cluster(ranking: DataFrame, clusters: DataFrame) -> DataFrame:
     """Importance summed by cluster (a feature without one stands alone), ranked anew."""
-    named = ranking.join(F.broadcast(clusters), "feature", "left").groupBy(F.coalesce("cluster", "feature").alias("cluster")).agg(F.sum("importance").alias("importance"))
+    named = ranking.join(clusters, "feature", "left").groupBy(F.coalesce("cluster", "feature").alias("cluster")).agg(F.sum("importance").alias("importance"))
     return named.withColumn("position", F.row_number().over(Window.orderBy(F.desc("importance"), "cluster")))  # a row a cluster
 
 

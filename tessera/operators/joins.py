@@ -11,15 +11,26 @@ from pyspark.sql import functions as F
 from ..functions.geometry import iou
 from ..functions.text import draw
 from ..functions.vectors import unit
+from .bounds import small
+
+
+MOST_SEEDS = 64  # maxima that one aggregate keeps side by side
 
 
 def best_overlap(boxes: DataFrame, detections: DataFrame, key: list[str], scene: str = "scene", seed: str = "seed", least: float = 0.5) -> DataFrame:
     """Per box and seed the highest confidence among detections of its scene that overlap it
-    enough, 0 without one. One shuffle on the scene serves join and aggregate."""
+    enough, 0 without one. Boxes meet the detections of all seeds once, a maximum for each seed is kept
+    beside the others; of more than MOST_SEEDS seeds, boxes are copied to them."""
     seeds = detections.select(seed).distinct()
+    values = [r[0] for r in seeds.orderBy(seed).limit(MOST_SEEDS + 1).collect()]
     d = detections.select(F.col(scene).alias("_scene"), F.col(seed).alias("_seed"), "conf", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
     hit = iou(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"_{c}") for c in ("x0", "y0", "x1", "y1"))) >= least
-    grown = boxes.join(F.broadcast(seeds.withColumnRenamed(seed, "_of")))  # a few seeds
+    if len(values) <= MOST_SEEDS:
+        best = [F.coalesce(F.max(F.when(F.col("_seed").eqNullSafe(F.lit(v)), F.col("conf"))), F.lit(0.0)).alias(f"_m{i}") for i, v in enumerate(values)]
+        wide = boxes.join(d, (F.col(scene) == F.col("_scene")) & hit, "left").groupBy(*key).agg(*(best or [F.lit(None).alias("_none")]))
+        each = [F.struct(F.lit(v).cast(detections.schema[seed].dataType).alias(seed), F.col(f"_m{i}").alias("conf_max")) for i, v in enumerate(values)]
+        return wide.select(*key, F.explode(F.array(*each)).alias("_x")).select(*key, "_x.*") if each else wide.where("false").select(*key, F.lit(None).cast(detections.schema[seed].dataType).alias(seed), F.lit(0.0).alias("conf_max"))
+    grown = boxes.crossJoin(small(seeds.withColumnRenamed(seed, "_of")))
     joined = grown.join(d, (F.col(scene) == F.col("_scene")) & (F.col("_of") == F.col("_seed")) & hit, "left")
     return joined.groupBy(*key, F.col("_of").alias(seed)).agg(F.coalesce(F.max("conf"), F.lit(0.0)).alias("conf_max"))
 
@@ -31,7 +42,7 @@ def range_counts(boxes: DataFrame, pool: DataFrame, box_key: list[str], group: l
     boxes with members. A box's two bounds are looked up in the same order of areas."""
     members = pool.select(*group, F.col(pool_area).alias("at")).groupBy(*group, "at").agg(F.count("*").alias("n"))
     groups = pool.select(*group).distinct()
-    asks = boxes.select(F.col(area).alias("a")).distinct().crossJoin(F.broadcast(groups))  # the pool has few groups
+    asks = boxes.select(F.col(area).alias("a")).distinct().crossJoin(small(groups))
     marks = (
         members.select(*group, "at", "n", F.lit(1).alias("turn"), F.lit(None).cast("double").alias("a"), F.lit("").alias("side"))
         .unionByName(asks.select(*group, (F.col("a") / 2).alias("at"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("turn"), "a", F.lit("lo").alias("side")))
@@ -46,7 +57,7 @@ def range_counts(boxes: DataFrame, pool: DataFrame, box_key: list[str], group: l
     counted = sliced.join(base, [*group, "slice"]).withColumn("upto", F.col("base") + F.sum("n").over(inside))
     bounds = counted.where("side != ''").groupBy(*group, "a").agg(F.max(F.when(F.col("side") == "lo", F.col("upto"))).alias("under"), F.max(F.when(F.col("side") == "hi", F.col("upto"))).alias("within"))
     totals = pool.groupBy(*group).agg(F.count("*").alias("total"))
-    out = boxes.select(*box_key, F.col(area).alias("a")).join(bounds, "a").join(F.broadcast(totals), group)
+    out = boxes.select(*box_key, F.col(area).alias("a")).join(bounds, "a").join(small(totals), group)
     return out.select(*box_key, *group, (F.col("within") - F.col("under")).alias("n_matched"), (F.col("total") - F.col("within")).alias("n_shrunk"), F.col("under").alias("n_enlarged"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import draw
+from .bounds import small
 
 
 def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int, nested: int | None = None) -> DataFrame:
@@ -14,12 +15,13 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: int, nested:
     draw before any window sees them."""
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_size"))
     d = draw(seed, F.col(stratum).cast("string"), F.col(key).cast("string"))
-    rows = df.join(F.broadcast(sizes), stratum).withColumn("_draw", d)  # a row a stratum
+    rows = df.join(small(sizes), stratum).withColumn("_draw", d)  # a row a stratum
     # Of a stratum of s rows about n + 6 sqrt(n) + 12 have a draw below this; should fewer than n, all are taken.
     likely = rows.where(F.col("_draw") <= (n + 6.0 * n**0.5 + 12) / F.col("_size") * 4294967296.0)
     enough = likely.groupBy(stratum).agg(F.count("*").alias("_likely"))
     short = sizes.join(enough, stratum, "left").where(F.coalesce("_likely", F.lit(0)) < F.least(F.lit(n), F.col("_size"))).select(stratum)
-    pool = likely.join(F.broadcast(short), stratum, "left_anti").unionByName(rows.join(F.broadcast(short), stratum, "left_semi"))
+    short = small(short)
+    pool = likely.join(short, stratum, "left_anti").unionByName(rows.join(short, stratum, "left_semi"))
     ranked = pool.withColumn("ordinal", F.row_number().over(Window.partitionBy(stratum).orderBy("_draw", key))).where(F.col("ordinal") <= n)
     return ranked.withColumn("inner", F.col("ordinal") <= (n if nested is None else nested)).drop("_size", "_draw")
 
@@ -60,7 +62,7 @@ def pairing_by(sources: DataFrame, targets: DataFrame, group: str, n: int, seed:
     sizes = sources.groupBy(group).agg(F.count("*").alias("_ns")).crossJoin(F.broadcast(targets.agg(F.count("*").alias("_nt")))).where("_nt > 0")  # a row a group
     name = [] if group == "_g" else [F.col(group).cast("string")]
     i = F.col("id").cast("string")
-    rolls = sources.sparkSession.range(n).crossJoin(F.broadcast(sizes)).select(group, (draw(seed, F.lit("s"), *name, i) % F.col("_ns")).alias("s"), (draw(seed, F.lit("t"), *name, i) % F.col("_nt")).alias("t"))
+    rolls = sources.sparkSession.range(n).crossJoin(small(sizes)).select(group, (draw(seed, F.lit("s"), *name, i) % F.col("_ns")).alias("s"), (draw(seed, F.lit("t"), *name, i) % F.col("_nt")).alias("t"))
     pairs = rolls.join(sources.select(group, F.col("row").alias("s"), F.col("area").alias("sa")), [group, "s"]).join(targets.select(F.col("row").alias("t"), F.col("area").alias("ta")), "t")
     factor = F.try_divide("ta", "sa")
     good = (F.col("sa") > 0) & (F.col("ta") > 0)

@@ -15,7 +15,7 @@ FLOOR_PP, MARGIN_PP, UNDERPOWERED_SD = 2.0, 1.0, 0.8
 
 def contrast_values(cube: DataFrame, coefficients: DataFrame, keys: list[str], seed: str = "seed", value: str = "value", scale: float = 100.0) -> DataFrame:
     """contrast, seed, difference (in points): coefficient times value, summed by seed."""
-    return cube.join(F.broadcast(coefficients), keys).groupBy("contrast", seed).agg(F.sum(F.col("weight") * F.col(value) * scale).alias("difference"))
+    return cube.join(coefficients, keys).groupBy("contrast", seed).agg(F.sum(F.col("weight") * F.col(value) * scale).alias("difference"))
 
 
 def contrast_summary(values: DataFrame, seed: str = "seed") -> DataFrame:
