@@ -134,8 +134,8 @@ def _rows(df: DataFrame, features: list[str], label: str, settings: Settings, *m
     return rows.where(chosen) if n > settings.rows else rows
 
 
-def _fits(rows: DataFrame, features: list[str], settings: Settings, each, schema: str) -> DataFrame:
-    """``each(number, model, x, weight)`` for the model of every number in column _fit; it
+def _fits(rows: DataFrame, n: int, features: list[str], settings: Settings, each, schema: str) -> DataFrame:
+    """``each(number, model, x, weight)`` for the model of every number in column _fit, below ``n``; it
     returns a frame. A fit whose label has one value alone is an error."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,18 +145,19 @@ def _fits(rows: DataFrame, features: list[str], settings: Settings, each, schema
             raise ValueError("the label has one value")
         return each(int(pdf["_fit"].iloc[0]), Boosted(x, y, weight, settings), x, weight)
 
-    return rows.groupBy("_fit").applyInPandas(run, schema)
+    # partitions of a given number aren't merged for being small, so fits are tasks beside one another
+    return rows.repartition(2 * n, "_fit").groupBy("_fit").applyInPandas(run, schema)
 
 
-def _models(rows: DataFrame, features: list[str], settings: Settings) -> dict[int, Boosted]:
+def _models(rows: DataFrame, n: int, features: list[str], settings: Settings) -> dict[int, Boosted]:
     keep = lambda i, model, x, w: pd.DataFrame({"fit": [i], "model": [pickle.dumps(model)]})
-    return {r.fit: pickle.loads(r.model) for r in _fits(rows, features, settings, keep, "fit int, model binary").collect()}  # a row a fit
+    return {r.fit: pickle.loads(r.model) for r in _fits(rows, n, features, settings, keep, "fit int, model binary").collect()}  # a row a fit
 
 
 def fit(df: DataFrame, features: list[str], label: str, settings: Settings = Settings(), weight: str | None = None) -> Boosted:  # noqa: B008
     """Rows of a null label are left out; a label of one value alone is refused."""
     rows = _rows(df, features, label, settings, (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_times"))
-    return _models(rows.withColumn("_fit", F.lit(0)), features, settings)[0]
+    return _models(rows.withColumn("_fit", F.lit(0)), 1, features, settings)[0]
 
 
 def scores(model: Boosted, df: DataFrame, features: list[str]) -> DataFrame:
@@ -175,7 +176,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, group: str, k
     folded = group_folds(df.where(F.col(label).isNotNull()), group, k, settings.seed)
     rows = _rows(folded, features, label, settings, "fold", F.lit(1.0).alias("_times"))
     others = rows.withColumn("_fit", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("_fit != fold").drop("fold")
-    fitted = _models(others, features, settings)
+    fitted = _models(others, k, features, settings)
     parts = [ranking_measures(scores(m, folded.where(F.col("fold") == i), features), "score", label).select(F.lit(i).alias("fold"), "*") for i, m in sorted(fitted.items())]
     out = parts[0]
     for p in parts[1:]:
@@ -246,7 +247,7 @@ def stability(df: DataFrame, features: list[str], label: str, group: str, replic
             total += weight[at : at + 10_000] @ np.abs(shapley(model.leaves, x[at : at + 10_000])[0])
         return pd.DataFrame({"replicate": i, "feature": features, "importance": total / weight.sum()})
 
-    found = _fits(rows, features, settings, importance, "replicate int, feature string, importance double")
+    found = _fits(rows, replicates, features, settings, importance, "replicate int, feature string, importance double")
     p = found.withColumn("position", F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("importance"), "feature")))  # a row a feature
     return p.groupBy("feature").agg(F.avg("position").alias("mean_position"), F.coalesce(F.stddev_samp("position"), F.lit(0.0)).alias("sd_position"), F.avg((F.col("position") <= top).cast("double")).alias("top_share"))
 
