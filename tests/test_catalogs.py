@@ -83,9 +83,9 @@ def test_balanced_pick_of_all_keeps_boxes_with_too_few(spark):
     assert picks[1][1][0] == picks[1][0] and 5 <= int(picks[1][1][1:]) <= 18 and 35 <= int(picks[4][1][1:]) <= 39
 
 
-def test_balanced_pick_all_has_every_order(spark, sf_dir):
+def test_balanced_pick_has_every_order(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    got = registry.QUERIES["balanced_pick_all"](spark, sf_dir)
+    got = registry.QUERIES["balanced_pick"](spark, sf_dir)
     high = orders.where("o_totalprice > 200000").select("o_orderkey")
     assert got.count() == orders.count() and high.count() > 0 and got.join(high, "o_orderkey").where("picked is not null").count() > 0
 
