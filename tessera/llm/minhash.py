@@ -14,8 +14,9 @@ full sets, and components come from alternating large-star and small-star.
 Defined results: a document without words (null or empty text) has an empty set, is linked
 with nothing and is its own component; repeated rows and rows with one id are kept, each with
 the component of its text; rows with a null id take part, with the smallest id they reach (null
-if none has one), and are never kept; an empty table gives an empty one; other columns of the
-input are not read. Sets are told apart by 64-bit sums of hashes.
+if none has one), and are never kept; very long texts are taken in whole; a similarity of exactly the
+threshold is a link; an empty table gives an empty one; other columns of the
+input, whatever their names, are not read. Sets are told apart by 64-bit sums of hashes.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import drop_written, give_back, map_arrow, mix64, written
+from .common import drop_written, give_back, let_go, map_arrow, mix64, small_batches, written
 from .components import connected_components
 
 WORDS, HASHES, BANDS = 5, 128, 32
 #: Of 128 equal minima a pair has at least so many, or isn't looked at: 5.3 standard deviations under 96.
 SIGNATURE_LEAST = 70
-BLOCK = 512
+BLOCK = 256
 #: Up to so many ids (8 bytes each) are broadcast to find their texts; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -68,6 +69,7 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
+    """The minima of a set under all hash functions."""
     x = (found >> np.uint64(32)).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(x), 2048):
@@ -143,21 +145,27 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return map_arrow(nodes.select("k", "sig"), "key bigint, k bigint", start, by="sig")
 
 
+def _with_sides(pairs: DataFrame, table: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Pairs (a, b, salt) with columns of the table (k, ...) for either end. A centre's pairs are dealt by the
+    salt too, and its row is copied to its salts, so a centre of many members isn't one task."""
+    one = pairs.select("a", "salt").distinct().join(table.select(F.col("k").alias("a"), *[F.col(c).alias(x) for c, (x, _) in columns.items()]), "a")
+    two = table.select(F.col("k").alias("b"), *[F.col(c).alias(y) for c, (_, y) in columns.items()])
+    return pairs.join(one, ["a", "salt"]).join(two, "b")
+
+
 def _near_by_signature(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that can be linked, by set sizes and signatures."""
-    one = nodes.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    two = nodes.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    rows = pairs.join(one, "a").join(two, "b").where("least(na, nb) * 100 >= greatest(na, nb) * 75").select("a", "b", "sa", "sb")
+    """Of pairs (a, b, salt) those that can be linked, by set sizes and signatures."""
+    rows = _with_sides(pairs, nodes, {"n": ("na", "nb"), "sig": ("sa", "sb")}).where("least(na, nb) * 100 >= greatest(na, nb) * 75").select("a", "b", "salt", "sa", "sb")
 
     def start():
         def make(batch):
             ok = (_matrix(batch.column("sa")) == _matrix(batch.column("sb"))).sum(axis=1) >= SIGNATURE_LEAST
             keep = batch.filter(pa.array(ok))
-            return [keep.column("a"), keep.column("b")]
+            return [keep.column("a"), keep.column("b"), keep.column("salt")]
 
         return make
 
-    return map_arrow(rows, "a bigint, b bigint", start, by="sa")
+    return map_arrow(rows, "a bigint, b bigint, salt bigint", start, by="sa")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -181,9 +189,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar enough."""
+    """Of pairs (a, b, salt) those whose full sets are similar enough: a, b."""
     sets = written(_sets(docs, nodes, pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()), "sets")
-    rows = pairs.join(sets.select(F.col("k").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("k").alias("b"), F.col("found").alias("fb")), "b")
+    rows = _with_sides(pairs, sets, {"found": ("fa", "fb")})
 
     def start():
         def make(batch):
@@ -209,6 +217,7 @@ def _grouped(rows: DataFrame, keys: tuple[str, ...], schema: pa.Schema, each) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     def run(batches):
+        let_go()
         held: list[pa.RecordBatch] = []  # rows of the group that isn't over yet
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy() for c in keys])
@@ -226,6 +235,7 @@ def _grouped(rows: DataFrame, keys: tuple[str, ...], schema: pa.Schema, each) ->
         give_back()
 
     names = ", ".join(f"{f.name} bigint" for f in schema)
+    small_batches(rows.sparkSession)
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, names)
 
 
@@ -249,16 +259,22 @@ def _near_pairs(group: pa.Table):
 
 
 def _left_over(docs: DataFrame, members: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one bucket, neither its centre, in different components. A
-    bucket of more than BLOCK members is compared block against block. A first pass finds the
+    """Links between members of one bucket, neither its centre, in different components. Those
+    outside the bucket's largest component are compared with one another and with its members, block against block. A first pass finds the
     rows that are near any other by signature; with their full sets, a second pass confirms the
     pairs. A task leaves out pairs that its own links already connect, so it gives fewer links
     than it has rows."""
     now = members.join(joined.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("component", F.coalesce("component", "k")).where("k != centre")
-    still = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size")).where("c0 != c1").select("key", F.expr(f"int(ceil(size / {BLOCK}))").alias("blocks"))
-    rest = now.join(still, "key").withColumn("block", F.expr("int(pmod(xxhash64(k), blocks))"))
+    still = now.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key")
+    rest = now.join(still, "key").select("key", "k", "component")
+    # members of a bucket's largest component meet the others alone, not one another
+    sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"))
+    sizes = sizes.select("key", F.col("top.component").alias("major"), F.expr(f"int(ceil((size - top.n) / {BLOCK}))").alias("minors"), F.expr(f"int(ceil(top.n / {BLOCK}))").alias("majors"))
+    with_sig = nodes.select("k", "sig")
+    placed = rest.join(with_sig, "k").join(sizes, "key").withColumn("in_major", F.expr("component = major"))  # before rows are copied to their blocks
+    placed = placed.withColumn("block", F.expr("int(if(in_major, minors + pmod(xxhash64(k), majors), pmod(xxhash64(k), minors)))"))
     keys = ("key", "lo", "hi")
-    dealt = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k", "component")
+    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, if(in_major, minors, minors + majors) - 1)"))).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k", "component", "sig")
 
     def find(group: pa.Table):
         found = np.zeros(group.num_rows, dtype=bool)
@@ -270,8 +286,7 @@ def _left_over(docs: DataFrame, members: DataFrame, nodes: DataFrame, joined: Da
             yield [near.column(c).combine_chunks() for c in ("key", "lo", "hi", "block", "k", "component")]
 
     names = ("key", "lo", "hi", "block", "k", "component")
-    with_sig = nodes.select("k", "sig")
-    near = written(_grouped(dealt.join(with_sig, "k").select(*[F.col(c).cast("bigint").alias(c) for c in names], "sig"), keys, pa.schema([(c, pa.int64()) for c in names]), find), "near")
+    near = written(_grouped(dealt.select(*[F.col(c).cast("bigint").alias(c) for c in names], "sig"), keys, pa.schema([(c, pa.int64()) for c in names]), find), "near")
     sets = written(_sets(docs, nodes, near.select("k").distinct()), "sets")
 
     def confirm(group: pa.Table):
@@ -309,23 +324,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = written(every, "nodes")
     bands = _bands(every)
     live = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(bands.join(live, "key"), "members")
+    met = written(bands.join(live, "key"), "members")
     # The centre of a bucket is the member that meets the most others over all bands: the text that the others are copies of.
-    meets = members.groupBy("k").agg(F.sum("size").alias("meets"))
-    centres = members.join(meets, "k").groupBy("key").agg(F.max(F.struct("meets", "k")).alias("top")).select("key", F.col("top.k").alias("centre"))
-    members = written(members.drop("size").join(centres, "key"), "members")
+    meets = met.groupBy("k").agg(F.sum("size").alias("meets"))
+    centres = met.select("key", "k").join(meets, "k").groupBy("key").agg(F.max(F.struct("meets", "k")).alias("top")).select("key", F.col("top.k").alias("centre"))
+    members = written(met.join(centres, "key"), "members")
+    drop_written(met)
     nodes = every.join(members.select("k").distinct(), "k", "left_semi")
     nodes = written(nodes, "candidates")
-    stars = written(_near_by_signature(members.where("k != centre").select(F.col("centre").alias("a"), F.col("k").alias("b")).distinct(), nodes), "pairs")
+    pairs = members.where("k != centre").groupBy(F.col("centre").alias("a"), F.col("k").alias("b")).agg(F.max("size").alias("size"))
+    pairs = pairs.select("a", "b", F.expr(f"pmod(xxhash64(b), int(ceil(size / {BLOCK})))").cast("bigint").alias("salt"))
+    stars = written(_near_by_signature(pairs, nodes), "pairs")
     links = _confirm(docs, nodes, stars, percent)
-    joined = written(connected_components(links), "components")
+    joined = connected_components(links)
     more = _left_over(docs, members, nodes, joined, percent)
     if not more.isEmpty():
-        joined = written(connected_components(links.union(more)), "components")
+        drop_written(joined)
+        joined = connected_components(links.union(more))
     named = joined.join(nodes.select(F.col("k").alias("node"), "first_doc"), "node")
     smallest = named.groupBy("component").agg(F.min("first_doc").alias("smallest"))
     by_node = named.join(smallest, "component").select(F.col("node").alias("k"), "smallest", "component")
     alone = every.select("k", "first_doc").join(by_node, "k", "left").select("k", F.coalesce("smallest", "first_doc").alias("component_id"), F.coalesce("component", "k").alias("part"))
-    result = rows.select("doc_id", F.col("n").alias("n_shingles"), "k").join(alone, "k", "left")
-    component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), *(["k", "part"] if with_set else []))
+    # rows without words aren't joined: as null keys they would all go to one task
+    own = rows.select("doc_id", F.col("n").alias("n_shingles"), "k")
+    named = own.where("k is not null").join(alone, "k").select("doc_id", "n_shingles", "component_id", "k", "part")
+    wordless = own.where("k is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "k", F.lit(None).cast("bigint").alias("part"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    out = written(named.union(wordless).select("doc_id", "n_shingles", "component_id", kept, *(["k", "part"] if with_set else [])), "near-duplicates")
+    drop_written(rows, every, members, nodes, stars, links, joined, more)
+    return out
