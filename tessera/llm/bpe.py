@@ -147,7 +147,7 @@ class Encoder:
     """Tables of one vocabulary. Symbols: a byte, plus 256 if it ends its word (in
     vocabularies that mark word ends). Tokens are numbered as in the vocabulary."""
 
-    def __init__(self, path: str, kept: int = 64 << 20):
+    def __init__(self, path: str, kept: int = 112 << 20):
         """``kept``: the words seen before are forgotten when they take more bytes than this."""
         self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
@@ -402,6 +402,10 @@ class Encoder:
         lead = "" if self.suffix else " "
         new, of_part, counts = self.parts.take(), [], []
         for part in new:
+            if part.isalpha():  # one word
+                of_part.append(self.words.seen[lead + part])
+                counts.append(1)
+                continue
             words = self._pieces(lead + part, part.isascii())
             of_part.extend(map(self.words.seen.__getitem__, words))
             counts.append(len(words))
