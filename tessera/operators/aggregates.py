@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bounds import small
+from .order_statistics import with_percentiles
 
 PERCENTS = (5, 10, 25, 75, 90, 95)
 
@@ -14,8 +15,8 @@ PERCENTS = (5, 10, 25, 75, 90, 95)
 def profile(df: DataFrame, measures: dict[str, Column], by: list[str] = []) -> DataFrame:  # noqa: B006
     """Count, mean, median, extremes and linear percentiles of measures, one row each."""
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("double").alias("value")) for k, v in measures.items()])).alias("m")).select(*by, "m.*")
-    p = [0.5, *(x / 100 for x in PERCENTS)]
-    out = long.groupBy(*by, "measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.array(*map(F.lit, p))).alias("p"))
+    out = long.groupBy(*by, "measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    out = with_percentiles(out, long, [*by, "measure"], F.col("value"), [0.5, *(x / 100 for x in PERCENTS)])
     return out.select(*by, "measure", "n", "mean", "min", "max", F.col("p")[0].alias("median"), *[F.col("p")[i + 1].alias(f"p{x}") for i, x in enumerate(PERCENTS)])
 
 
@@ -103,7 +104,8 @@ def bottlenecks(cells: DataFrame, box_key: list[str], source: str, cell: list[st
 def median_split(df: DataFrame, column: str, among: Column | None = None, name: str = "level", high: str = "high", low: str = "low") -> DataFrame:
     """Adds whether a value is over the median of the rows ``among`` (of all without it); the median is
     0 of nothing."""
-    mid = df.agg(F.coalesce(F.median(F.col(column) if among is None else F.when(among, F.col(column))), F.lit(0.0)).alias("_mid"))  # one row
+    one = df.sparkSession.range(1).select(F.lit(0).alias("_one"))
+    mid = with_percentiles(one, df, [], F.col(column) if among is None else F.when(among, F.col(column)), [0.5]).select(F.coalesce(F.col("p")[0], F.lit(0.0)).alias("_mid"))  # one row
     return df.crossJoin(F.broadcast(mid)).withColumn(name, F.when(F.col(column) > F.col("_mid"), high).when(F.col(column).isNotNull(), low)).drop("_mid")
 
 
@@ -172,7 +174,8 @@ def objects_per_image(df: DataFrame, image: str) -> DataFrame:
 def source_profile(manifests: DataFrame, source: str, extracted: Column, width: str, height: str) -> DataFrame:
     """Smaller sides of the crops of each source; sources of which nothing was extracted stay, with 0 crops."""
     side = F.when(extracted, F.least(width, height).cast("double"))
-    p = manifests.groupBy(source).agg(F.count(side).alias("n_crops"), F.percentile(side, F.array(*map(F.lit, (0.05, 0.1, 0.25, 0.5)))).alias("p"), F.min(side).alias("min"), F.max(side).alias("max"))
+    p = manifests.groupBy(source).agg(F.count(side).alias("n_crops"), F.min(side).alias("min"), F.max(side).alias("max"))
+    p = with_percentiles(p, manifests, [source], side, [0.05, 0.1, 0.25, 0.5])
     return p.select(source, "n_crops", "min", "max", *[F.col("p")[i].alias(n) for i, n in enumerate(("p5", "p10", "p25", "median"))])
 
 
@@ -180,14 +183,16 @@ def compare_geometry(boxes: DataFrame, feasible: str, area: str, boxed: str, sma
     """Boxes that stay and those that go: median areas, side of the median, share of small ones;
     the letterboxed measures are null if any box has none."""
     whole = F.count(boxed) == F.count("*")
-    mid = F.when(whole, F.median(boxed))
-    return boxes.groupBy(feasible).agg(F.count("*").alias("n"), F.median(area).alias("area"), mid.alias("boxed_area"), F.sqrt(mid).alias("boxed_side"), F.when(whole, F.avg((F.col(boxed) < small).cast("double"))).alias("small_share"))
+    out = boxes.groupBy(feasible).agg(F.count("*").alias("n"), whole.alias("_whole"), F.when(whole, F.avg((F.col(boxed) < small).cast("double"))).alias("small_share"))
+    out = with_percentiles(with_percentiles(out, boxes, [feasible], F.col(area), [0.5], "_area"), boxes, [feasible], F.col(boxed), [0.5], "_boxed")
+    mid = F.when(F.col("_whole"), F.col("_boxed")[0])
+    return out.select(feasible, "n", F.col("_area")[0].alias("area"), mid.alias("boxed_area"), F.sqrt(mid).alias("boxed_side"), "small_share")
 
 
 def audit_pastes(pastes: DataFrame, cell: str, box: list[str], wrong: dict[str, Column], factor: str) -> DataFrame:
     """Per cell: pastes, distinct boxes, rows that a check finds wrong, and spread of the factor."""
-    spread = F.percentile(factor, F.array(*map(F.lit, (0.05, 0.5, 0.95))))
-    p = pastes.groupBy(cell).agg(F.count("*").alias("n"), F.count_distinct(*box).alias("n_boxes"), *[F.count(F.when(c, 1)).alias(k) for k, c in wrong.items()], F.min(factor).alias("min"), F.max(factor).alias("max"), spread.alias("p"))
+    p = pastes.groupBy(cell).agg(F.count("*").alias("n"), F.count_distinct(*box).alias("n_boxes"), *[F.count(F.when(c, 1)).alias(k) for k, c in wrong.items()], F.min(factor).alias("min"), F.max(factor).alias("max"))
+    p = with_percentiles(p, pastes, [cell], F.col(factor), [0.05, 0.5, 0.95])
     return p.select(cell, "n", "n_boxes", *wrong, "min", "max", *[F.col("p")[i].alias(n) for i, n in enumerate(("p5", "median", "p95"))])
 
 
@@ -206,7 +211,8 @@ def totals(df: DataFrame, by: str, measures: dict[str, Column], name: str = "all
 
 def distance_summary(near: DataFrame, distance: str, same: Column) -> DataFrame:
     """Mean, median and ends of distances, and the share of rows whose nearest is of their kind."""
-    p = near.agg(F.count(distance).alias("n"), F.avg(distance).alias("mean"), F.percentile(distance, F.array(*map(F.lit, (0.05, 0.5, 0.95)))).alias("p"), F.avg(same.cast("double")).alias("same_share"))
+    p = near.agg(F.count(distance).alias("n"), F.avg(distance).alias("mean"), F.avg(same.cast("double")).alias("same_share"))
+    p = with_percentiles(p, near, [], F.col(distance), [0.05, 0.5, 0.95])
     return p.select("n", "mean", *[F.col("p")[i].alias(n) for i, n in enumerate(("p5", "median", "p95"))], "same_share")
 
 

@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import iou
 from ..functions.text import draw
 from ..functions.vectors import unit
-from .bounds import small
+from .bounds import MOST_ROWS, small
+from .overlaps import SIDES, apart, overlapping
 
 
 MOST_SEEDS = 64  # maxima that one aggregate keeps side by side
@@ -20,19 +20,19 @@ MOST_SEEDS = 64  # maxima that one aggregate keeps side by side
 def best_overlap(boxes: DataFrame, detections: DataFrame, key: list[str], scene: str = "scene", seed: str = "seed", least: float = 0.5) -> DataFrame:
     """Per box and seed the highest confidence among detections of its scene that overlap it
     enough, 0 without one. Boxes meet the detections of all seeds once, a maximum for each seed is kept
-    beside the others; of more than MOST_SEEDS seeds, boxes are copied to them."""
-    seeds = detections.select(seed).distinct()
-    values = [r[0] for r in seeds.orderBy(seed).limit(MOST_SEEDS + 1).collect()]
-    d = detections.select(F.col(scene).alias("_scene"), F.col(seed).alias("_seed"), "conf", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    hit = iou(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"_{c}") for c in ("x0", "y0", "x1", "y1"))) >= least
+    beside the others; of more than MOST_SEEDS seeds, a box has a row for each."""
+    seeds = detections.select(F.col(seed).alias("_of")).distinct()
+    values = [r[0] for r in seeds.orderBy("_of").limit(MOST_SEEDS + 1).collect()]
+    met = overlapping(boxes, detections.select(scene, seed, "conf", *SIDES), scene, least)
     if len(values) <= MOST_SEEDS:
-        best = [F.coalesce(F.max(F.when(F.col("_seed").eqNullSafe(F.lit(v)), F.col("conf"))), F.lit(0.0)).alias(f"_m{i}") for i, v in enumerate(values)]
-        wide = boxes.join(d, (F.col(scene) == F.col("_scene")) & hit, "left").groupBy(*key).agg(*(best or [F.lit(None).alias("_none")]))
+        best = [F.coalesce(F.max(F.when(F.col(f"_{seed}").eqNullSafe(F.lit(v)), F.col("_conf"))), F.lit(0.0)).alias(f"_m{i}") for i, v in enumerate(values)]
+        wide = met.groupBy(*key).agg(*(best or [F.lit(None).alias("_none")]))
         each = [F.struct(F.lit(v).cast(detections.schema[seed].dataType).alias(seed), F.col(f"_m{i}").alias("conf_max")) for i, v in enumerate(values)]
         return wide.select(*key, F.explode(F.array(*each)).alias("_x")).select(*key, "_x.*") if each else wide.where("false").select(*key, F.lit(None).cast(detections.schema[seed].dataType).alias(seed), F.lit(0.0).alias("conf_max"))
-    grown = boxes.crossJoin(small(seeds.withColumnRenamed(seed, "_of")))
-    joined = grown.join(d, (F.col(scene) == F.col("_scene")) & (F.col("_of") == F.col("_seed")) & hit, "left")
-    return joined.groupBy(*key, F.col("_of").alias(seed)).agg(F.coalesce(F.max("conf"), F.lit(0.0)).alias("conf_max"))
+    found = met.groupBy(*key, F.col(f"_{seed}").alias("_of")).agg(F.max("_conf").alias("_best"))
+    grown = boxes.select(*key).distinct().crossJoin(F.broadcast(seeds) if seeds.limit(MOST_ROWS + 1).count() <= MOST_ROWS else seeds)
+    same = [grown[c].eqNullSafe(found[c]) for c in [*key, "_of"]]
+    return grown.join(found, same, "left").select(*[grown[c] for c in key], grown["_of"].alias(seed), F.coalesce("_best", F.lit(0.0)).alias("conf_max"))
 
 
 def range_counts(boxes: DataFrame, pool: DataFrame, box_key: list[str], group: list[str], area: str = "area", pool_area: str = "area") -> DataFrame:
@@ -151,39 +151,41 @@ def centroid(vectors: DataFrame, vector_col: str) -> DataFrame:
 
 def greedy_match(predictions: DataFrame, truth: DataFrame, scene: str = "scene", least: float = 0.5) -> DataFrame:
     """One-to-one matches within a scene: objects in their order each take the unused
-    prediction of highest confidence (then by place) that overlaps them enough: scene, idx, detected.
+    prediction of highest confidence (then by x0, y0, x1, y1) that overlaps them enough: scene, idx, detected.
 
-    Spark joins the pairs that overlap; a task then goes through its scenes' pairs in order and remembers
-    the predictions taken in the scene at hand."""
-    order = Window.partitionBy(scene).orderBy(F.desc("conf"), "x0", "y0")
-    p = predictions.select(scene, F.row_number().over(order).cast("bigint").alias("_rank"), *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    hit = iou(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(f"_{c}") for c in ("x0", "y0", "x1", "y1"))) >= least
-    pairs = truth.select(scene, F.col("idx").cast("bigint").alias("idx"), "x0", "y0", "x1", "y1").join(p, scene).where(hit).select(scene, "idx", "_rank")
+    Spark joins the pairs that overlap and cuts each scene in parts that share no box; a task goes through
+    its parts' pairs in order and remembers the predictions taken in the part at hand."""
+    # equal predictions are told apart by a number among them
+    own = Window.partitionBy(scene, "conf", *SIDES).orderBy("conf")
+    p = predictions.select(scene, "conf", *SIDES).withColumn("n", F.row_number().over(own))
+    order = [f"_{c}" for c in (*SIDES, "n")]
+    pairs = apart(overlapping(truth.select(scene, F.col("idx").cast("bigint").alias("idx"), *SIDES), p, scene, least).where("_iou is not null"), scene)
+    pairs = pairs.select(scene, F.col("_part._px").alias("_px"), F.col("_part._py").alias("_py"), "idx", "_conf", *order)
 
     def take(batches):
         view, last, used = object(), None, set()
+        names = [scene, "_px", "_py", "idx", "_conf", *order]
         for batch in batches:
             scenes, idx = [], []
-            for s, i, r in zip(*(batch.column(c).to_pylist() for c in (scene, "idx", "_rank"))):
-                if s != view:
-                    view, last, used = s, None, set()
-                if i != last and r not in used:
-                    used.add(r)
+            for s, px, py, i, *which in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (s, px, py) != view:
+                    view, last, used = (s, px, py), None, set()
+                if i != last and (which := tuple(which)) not in used:
+                    used.add(which)
                     last = i
                     scenes.append(s)
                     idx.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(scenes, batch.schema.field(scene).type), pa.array(idx, pa.int64())], names=[scene, "idx"])
 
-    taken = pairs.repartition(scene).sortWithinPartitions(scene, "idx", "_rank").mapInArrow(take, f"{scene} {dict(truth.dtypes)[scene]}, idx bigint")
+    sorts = [scene, "_px", "_py", "idx", F.desc("_conf"), *order]
+    taken = pairs.repartition(scene, "_px", "_py").sortWithinPartitions(*sorts).mapInArrow(take, f"{scene} {dict(truth.dtypes)[scene]}, idx bigint")
     return truth.select(scene, F.col("idx").cast("bigint").alias("idx")).join(taken.withColumn("_taken", F.lit(True)), [scene, "idx"], "left").select(scene, "idx", F.coalesce("_taken", F.lit(False)).alias("detected"))
 
 
 def best_match(boxes: DataFrame, candidates: DataFrame, key: list[str], idx: str, scene: str = "scene", least: float = 0.5) -> DataFrame:
     """Per box the candidate of its scene that overlaps it most (the smallest ``idx`` of equals), if enough; else null."""
-    c = candidates.select(F.col(scene).alias("_scene"), F.col(idx).alias("_idx"), *[F.col(x).alias(f"_{x}") for x in ("x0", "y0", "x1", "y1")])
-    over = iou(tuple(F.col(x) for x in ("x0", "y0", "x1", "y1")), tuple(F.col(f"_{x}") for x in ("x0", "y0", "x1", "y1")))
-    pairs = boxes.join(c, F.col(scene) == F.col("_scene"), "left").withColumn("_iou", over)
-    best = F.max(F.when(F.col("_iou") >= least, F.struct("_iou", (-F.col("_idx")).alias("_minus")))).alias("_best")
+    pairs = overlapping(boxes, candidates.select(scene, F.col(idx).alias("idx"), *SIDES), scene, least)
+    best = F.max(F.when(F.col("_iou").isNotNull(), F.struct("_iou", (-F.col("_idx")).alias("_minus")))).alias("_best")
     return pairs.groupBy(*key).agg(best).select(*key, (-F.col("_best._minus")).alias("match"), F.col("_best._iou").alias("overlap"))
 
 

@@ -360,9 +360,9 @@ def run_states(db: Tables) -> DataFrame:
 
 
 # One-to-one matches by their meaning: an object takes, of the predictions that overlap it and that no object before it took, the
-# first by falling confidence (then by place).
+# first by falling confidence (then by its corners).
 GREEDY_SQL = f"""{BOX_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY line, partkey, suppkey, w, price) - 1 AS idx FROM b),
-p AS (SELECT *, row_number() OVER (PARTITION BY scene, seed ORDER BY conf DESC, x0, y0) AS i FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY scene, seed ORDER BY conf DESC, x0, y0, x1, y1) AS i FROM d),
 e AS (SELECT b.scene, s.seed, b.idx, list(d.i ORDER BY d.i) FILTER (d.i IS NOT NULL) AS fits FROM o AS b CROSS JOIN (SELECT unnest([0, 1, 2]) AS seed) s LEFT JOIN p AS d ON d.scene = b.scene AND d.seed = s.seed AND {IOU_SQL} >= 0.5 GROUP BY b.scene, s.seed, b.idx),
 m AS (SELECT scene, seed, idx, fits[1] AS pick, list_filter([fits[1]], lambda x: x IS NOT NULL) AS used FROM e WHERE idx = 0
  UNION ALL SELECT e.scene, e.seed, e.idx, list_filter(e.fits, lambda x: NOT list_contains(m.used, x))[1] AS pick, list_concat(m.used, list_filter([list_filter(e.fits, lambda x: NOT list_contains(m.used, x))[1]], lambda x: x IS NOT NULL)) AS used FROM m JOIN e ON e.scene = m.scene AND e.seed = m.seed AND e.idx = m.idx + 1)"""
