@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import draw
 from ..functions.vectors import unit
 from .bounds import MOST_ROWS, small
+from .nearness import nearest  # noqa: F401
 from .overlaps import SIDES, apart, overlapping
 
 
@@ -115,33 +114,6 @@ def paired_differences(cube: DataFrame, keys: list[str], arm: str, value: str, o
     return wide.where("p is not null and q is not null").select(*keys, (F.col("p") - F.col("q")).alias("difference"))
 
 
-def nearest(vectors: DataFrame, id_col: str, vector_col: str, block_rows: int = 8192) -> DataFrame:
-    """For each vector the other one of highest cosine (the smaller id of equals), exactly.
-
-    Vectors are dealt to blocks; every pair of blocks is one matrix product in a task of its
-    own, of which only each row's best is handed on. Memory follows the block, not the table."""
-    n_blocks = max(1, -(-vectors.count() // block_rows))
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), unit(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("block"))
-    left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    right = rows.select("id", "v", F.col("block").alias("other")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "near": [], "cosine": []})
-        b = b.sort_values("id")
-        ids, other = a["id"].to_numpy(), b["id"].to_numpy()
-        s = np.stack(a["v"].to_list()) @ np.stack(b["v"].to_list()).T
-        s[ids[:, None] == other[None, :]] = -np.inf
-        s = np.round(s, 9)
-        at = s.argmax(axis=1)
-        out = pd.DataFrame({"id": ids, "near": other[at], "cosine": s[np.arange(len(ids)), at]})
-        return out[np.isfinite(out["cosine"])]
-
-    found = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(best, "id bigint, near bigint, cosine double")
-    top = found.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("near")).alias("minus"))).alias("top"))
-    return top.select(F.col("id").alias(id_col), (-F.col("top.minus")).alias("near_id"), F.col("top.cosine").alias("cosine"))
-
-
 def centroid(vectors: DataFrame, vector_col: str) -> DataFrame:
     """One row: the normalised mean of normalised vectors, aggregated by component."""
     parts = vectors.where(F.col(vector_col).isNotNull()).select(F.posexplode(unit(vector_col)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))

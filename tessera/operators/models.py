@@ -1,183 +1,141 @@
 """Boosted trees as surrogates: folds by group, attributions, their stability and mediation.
 
-Trees are grown on histograms of binned features for the logistic loss, with a penalty on leaf
-values. A fit reads at most about ``Settings.rows`` rows, chosen by a hash of their values, and is one task;
-the fits of folds and resamples are tasks beside one another. All rows are scored. What the driver
-holds is models (at most 2 ** depth leaves a tree). Attributions are exact Shapley values of each tree's
-paths with cover shares as the background, found in Arrow batches."""
+Spark's own gradient boosting fits on all labelled rows, distributed. A hashed part of the rows (or of their groups) is held back, and
+boosting stops when the loss there stops falling (by ``Settings.tolerance`` of itself from tree to tree), at ``Settings.iterations`` at the
+latest. What follows reads the fitted model's table of nodes, at most 2 ** (depth + 1) a tree: attributions are exact
+Shapley values of each tree's paths with cover shares as the background, found in Arrow batches over all rows."""
 
 from __future__ import annotations
 
-import pickle
+from collections import defaultdict
 from dataclasses import dataclass
 from math import factorial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .gates import Refused
 from .sampling import bootstrap_groups, group_folds
+from .scratch import new_path, remove
 from .statistics import importance_ranking, ranking_measures
 
-LEAST_HESSIAN = 1e-3
-
 
 @dataclass(frozen=True)
 class Settings:
-    """Of the boosting, and the most rows that one fit reads."""
+    """Of the boosting; one row (or group) in ``held`` is held back to stop by, and ``beside`` fits run beside one another."""
 
     iterations: int = 300
     rate: float = 0.05
     depth: int = 4
     least_rows: int = 50
-    l2: float = 1.0
     bins: int = 255
-    rows: int = 1_000_000
+    held: int = 10
+    tolerance: float = 0.0
     seed: int = 42
+    beside: int = 4
 
 
+@dataclass(frozen=True)
 class Boosted:
-    """Trees over features. ``leaves`` of all trees: value in log odds, and per feature on the path
-    its bounds and cover share: (feature, above, at most, share)."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, settings: Settings):
-        share = float(np.average(y, weights=weight))
-        self.start, self.leaves = float(np.log(share / (1 - share))), []
-        cuts = [self._cuts(c, settings.bins) for c in x.T]
-        binned = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T)], axis=1)
-        margin = np.full(len(y), self.start)
-        for _ in range(settings.iterations):
-            p = 1 / (1 + np.exp(-margin))
-            margin += self._tree(binned, cuts, weight * (p - y), weight * p * (1 - p), weight, settings)
-
-    @staticmethod
-    def _cuts(values: np.ndarray, bins: int) -> np.ndarray:
-        """Upper bounds of all bins but the last."""
-        own = np.unique(values)
-        if len(own) > bins:
-            own = np.unique(np.quantile(values, np.linspace(0, 1, bins + 1)[1:-1], method="midpoint"))
-            return own
-        return (own[1:] + own[:-1]) / 2
-
-    def _tree(self, binned: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, weight: np.ndarray, s: Settings) -> np.ndarray:
-        """Grows a tree level by level; what it adds to each row's margin."""
-        node = np.zeros(len(g), dtype=np.int64)  # -1: in a leaf already
-        out = np.zeros(len(g))
-        paths: dict[int, dict[int, tuple[float, float, float]]] = {0: {}}
-        for level in range(s.depth + 1):
-            inside = node >= 0
-            n = max(paths, default=-1) + 1
-            if not inside.any() or not n:
-                break
-            rows, at = np.flatnonzero(inside), node[inside]
-            totals = [np.bincount(at, weights=v[rows], minlength=n) for v in (g, h, weight)]
-            best = np.zeros(n)
-            choice = np.full((n, 2), -1)
-            for f, c in enumerate(cuts if level < s.depth else []):
-                if not len(c):
-                    continue
-                width = len(c) + 1
-                key = at * width + binned[rows, f]
-                gl, hl, cl = (np.cumsum(np.bincount(key, weights=v[rows], minlength=n * width).reshape(n, width), axis=1)[:, :-1] for v in (g, h, weight))
-                gr, hr, cr = (t[:, None] - left for t, left in zip(totals, (gl, hl, cl)))
-                gain = gl**2 / (hl + s.l2) + gr**2 / (hr + s.l2) - (totals[0] ** 2 / (totals[1] + s.l2))[:, None]
-                gain[(np.minimum(cl, cr) < s.least_rows) | (np.minimum(hl, hr) < LEAST_HESSIAN)] = -np.inf
-                top = gain.argmax(axis=1)
-                better = gain[np.arange(n), top] > best + 1e-12
-                best[better] = gain[np.arange(n), top][better]
-                choice[better] = np.stack([np.full(n, f), top], axis=1)[better]
-            after: dict[int, dict] = {}
-            for k, path in paths.items():
-                f, cut = choice[k]
-                own = rows[at == k]
-                if f < 0:
-                    value = -s.rate * totals[0][k] / (totals[1][k] + s.l2)
-                    out[own] = value
-                    node[own] = -1
-                    self.leaves.append((float(value), [(i, *b) for i, b in sorted(path.items())]))
-                    continue
-                left = binned[own, f] <= cut
-                node[own] = 2 * k + ~left
-                lo, hi, share = path.get(int(f), (-np.inf, np.inf, 1.0))
-                edge, part = float(cuts[f][cut]), float(weight[own[left]].sum() / totals[2][k])
-                after[2 * k] = path | {int(f): (lo, min(hi, edge), share * part)}
-                after[2 * k + 1] = path | {int(f): (max(lo, edge), hi, share * (1 - part))}
-            paths = after
-        return out
-
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.start)
-        for value, conditions in self.leaves:
-            inside = np.ones(len(x), dtype=bool)
-            for f, lo, hi, _ in conditions:
-                inside &= (x[:, f] > lo) & (x[:, f] <= hi)
-            out[inside] += value
-        return out
+    """A fitted model. ``nodes``: (tree, node, feature, threshold, left, right, value, cover), feature null in leaves, whose
+    value is what they add to the log odds; ``leaves``: value, and per feature on the path (feature, above, at most, cover share)."""
+
+    model: GBTClassificationModel
+    nodes: list[tuple]
+    leaves: list[tuple]
+
+
+def nodes_of(model: GBTClassificationModel, spark: SparkSession) -> DataFrame:
+    """The table of nodes, from the model as Spark saves it."""
+    at = new_path(spark, "model")
+    model.write().save(at)
+    trees = spark.read.parquet(f"{at}/treesMetadata").select(F.col("_1").alias("treeID"), F.col("_3").alias("weight"))
+    n, leaf = F.col("nodeData"), F.col("nodeData.leftChild") < 0
+    inner = lambda c: F.when(~leaf, c)
+    # the loss counts a margin twice
+    rows = spark.read.parquet(f"{at}/data").join(trees, "treeID").select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), inner(n["split"]["featureIndex"]).alias("feature"), inner(n["split"]["leftCategoriesOrThreshold"][0]).alias("threshold"),
+        inner(n["leftChild"]).alias("left"), inner(n["rightChild"]).alias("right"), F.when(leaf, 2 * F.col("weight") * n["prediction"]).alias("value"), n["impurityStats"][0].alias("cover"),
+    )
+    out = spark.createDataFrame(rows.collect(), rows.schema)  # bounded by the settings
+    remove(spark, at)
+    return out
 
 
-def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
-    x = pdf[features].to_numpy(float)
-    if not np.isfinite(x).all():
-        raise ValueError("a feature is null, NaN or infinite")
-    return x
+def paths(nodes: list[tuple]) -> list[tuple]:
+    """Leaves of a table of nodes with what their paths ask of each feature."""
+    at = {(n[0], n[1]): n for n in nodes}
+    out, todo = [], [(t, 0, {}) for t in sorted({n[0] for n in nodes})]
+    while todo:
+        tree, node, asked = todo.pop()
+        _, _, feature, threshold, left, right, value, cover = at[tree, node]
+        if feature is None:
+            out.append((value, [(f, *bounds) for f, bounds in sorted(asked.items())]))
+            continue
+        lo, hi, share = asked.get(feature, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((left, (lo, min(hi, threshold))), (right, (max(lo, threshold), hi))):
+            part = at[tree, child][7] / cover if cover else 0.0
+            todo.append((tree, child, asked | {feature: (*bounds, share * part)}))
+    return out
 
 
-def _rows(df: DataFrame, features: list[str], label: str, settings: Settings, *more: str) -> DataFrame:
-    """Labelled rows as doubles, about ``settings.rows`` of them. A label of one value alone is refused."""
-    rows = df.where(F.col(label).isNotNull()).select(*more, *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("_y"))
-    low, high, n = rows.agg(F.min("_y"), F.max("_y"), F.count("*")).first()
+def _rows(df: DataFrame, features: list[str], label: str, settings: Settings, weight: str | None = None, group: str | None = None) -> DataFrame:
+    """Labelled rows as doubles with _y, _times and _held. A label of one value alone and features that are no finite numbers are refused."""
+    named = df.where(F.col(label).isNotNull()).select(
+        *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_times"),
+        *([F.col(group).alias("_group")] if group else []),
+    )
+    rows = named.withColumn("_held", F.pmod(F.xxhash64(F.lit(settings.seed), *(["_group"] if group else [*features, "_y"])), F.lit(settings.held)) == 0).drop("_group")
+    odd = F.lit(False)
+    for f in features:
+        odd = odd | F.col(f).isNull() | F.isnan(f) | (F.abs(f) == float("inf"))
+    low, high, bad, none_held = rows.agg(F.min(F.when(~F.col("_held"), F.col("_y"))), F.max(F.when(~F.col("_held"), F.col("_y"))), F.count(F.when(odd, 1)), ~F.coalesce(F.bool_or("_held"), F.lit(False))).first()
+    if bad:
+        raise ValueError("a feature is null, NaN or infinite")
     if low == high:
-        raise Refused("the label has one value or no rows")
-    chosen = F.pmod(F.xxhash64(F.lit(settings.seed), *rows.columns), F.lit(1_000_000)) < 1_000_000 * min(1.0, settings.rows / n)
-    return rows.where(chosen) if n > settings.rows else rows
-
-
-def _fits(rows: DataFrame, n: int, features: list[str], settings: Settings, each, schema: str) -> DataFrame:
-    """``each(number, model, x, weight)`` for the model of every number in column _fit, below ``n``; it
-    returns a frame. A fit whose label has one value alone is an error."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*features, "_y"])  # the same sums however rows came in
-        x, y, weight = _matrix(pdf, features), pdf["_y"].to_numpy(), pdf["_times"].to_numpy(float)
-        if y.min() == y.max():
-            raise ValueError("the label has one value")
-        return each(int(pdf["_fit"].iloc[0]), Boosted(x, y, weight, settings), x, weight)
-
-    # partitions of a given number aren't merged for being small, so fits are tasks beside one another
-    return rows.repartition(2 * n, "_fit").groupBy("_fit").applyInPandas(run, schema)
+        if rows.agg(F.min("_y") == F.max("_y")).first()[0] is not False:
+            raise Refused("the label has one value or no rows")
+        rows = rows.withColumn("_held", F.lit(False))  # what isn't held back has one value: nothing to stop by
+        none_held = True
+    return rows.drop("_held") if none_held else rows
 
 
-def _models(rows: DataFrame, n: int, features: list[str], settings: Settings) -> dict[int, Boosted]:
-    keep = lambda i, model, x, w: pd.DataFrame({"fit": [i], "model": [pickle.dumps(model)]})
-    return {r.fit: pickle.loads(r.model) for r in _fits(rows, n, features, settings, keep, "fit int, model binary").collect()}  # a row a fit
+def fit(df: DataFrame, features: list[str], label: str, settings: Settings = Settings(), weight: str | None = None, group: str | None = None) -> Boosted:  # noqa: B008
+    """Rows of a null label are left out; a label of one value alone is refused. With ``group``, whole groups are held back."""
+    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(_rows(df, features, label, settings, weight, group))
+    trees = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_times", maxIter=settings.iterations, stepSize=settings.rate, maxDepth=settings.depth, minInstancesPerNode=settings.least_rows, maxBins=settings.bins, seed=settings.seed, validationTol=settings.tolerance)
+    if "_held" in rows.columns:
+        trees = trees.setValidationIndicatorCol("_held")
+    model = trees.fit(rows.select("_x", "_y", "_times", *[c for c in rows.columns if c == "_held"]))
+    nodes = [tuple(r) for r in nodes_of(model, df.sparkSession).collect()]
+    return Boosted(model, nodes, paths(nodes))
 
 
-def fit(df: DataFrame, features: list[str], label: str, settings: Settings = Settings(), weight: str | None = None) -> Boosted:  # noqa: B008
-    """Rows of a null label are left out; a label of one value alone is refused."""
-    rows = _rows(df, features, label, settings, (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_times"))
-    return _models(rows.withColumn("_fit", F.lit(0)), 1, features, settings)[0]
+def _beside(spark, settings: Settings, each, n: int) -> list:
+    """``each(i)`` for i below n, several at a time: fits are many short jobs, which share the cluster."""
+    with ThreadPool(settings.beside) as pool:
+        return pool.map(inheritable_thread_target(spark)(each), range(n), chunksize=1)
 
 
 def scores(model: Boosted, df: DataFrame, features: list[str]) -> DataFrame:
     """Adds ``score``, the probability of label 1."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(score=1 / (1 + np.exp(-model.margins(_matrix(pdf, features)))))
-
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
+    x = VectorAssembler(inputCols=features, outputCol="_features").transform(df)
+    out = model.model.setFeaturesCol("_features").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_probability").transform(x)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], vector_to_array("_probability")[1].alias("score"))
 
 
 def cross_validate(df: DataFrame, features: list[str], label: str, group: str, k: int = 5, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Average precision and ROC area of each fold, whose rows a model of the others scores; no group is in two folds."""
     folded = group_folds(df.where(F.col(label).isNotNull()), group, k, settings.seed)
-    rows = _rows(folded, features, label, settings, "fold", F.lit(1.0).alias("_times"))
-    others = rows.withColumn("_fit", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("_fit != fold").drop("fold")
-    fitted = _models(others, k, features, settings)
-    parts = [ranking_measures(scores(m, folded.where(F.col("fold") == i), features), "score", label).select(F.lit(i).alias("fold"), "*") for i, m in sorted(fitted.items())]
+    fitted = _beside(df.sparkSession, settings, lambda i: fit(folded.where(F.col("fold") != i), features, label, settings, group=group), k)
+    parts = [ranking_measures(scores(m, folded.where(F.col("fold") == i), features), "score", label).select(F.lit(i).alias("fold"), "*") for i, m in enumerate(fitted)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -194,7 +152,7 @@ def require_precision(folds: DataFrame, least: float = 0.78) -> float:
 
 def shapley(leaves: list, x: np.ndarray) -> tuple[np.ndarray, float]:
     """Attributions (a row for each of x) and the expected value of the leaves; a row's sum and the
-    expected value give what the trees add to the log odds that the model starts with.
+    expected value give the log odds.
 
     A leaf is a game of the features on its path: a known feature gives 1 or 0 as the row keeps its
     bounds, an unknown one the cover share. Sums over coalitions come from a polynomial whose
@@ -216,6 +174,13 @@ def shapley(leaves: list, x: np.ndarray) -> tuple[np.ndarray, float]:
     return phi, base
 
 
+def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
+    x = pdf[features].to_numpy(float)
+    if not np.isfinite(x).all():
+        raise ValueError("a feature is null, NaN or infinite")
+    return x
+
+
 def attributions(model: Boosted, df: DataFrame, features: list[str]) -> DataFrame:
     """feature, x, phi: a row for each row of ``df`` and feature."""
     leaves = model.leaves
@@ -237,17 +202,26 @@ def ranking(df: DataFrame, features: list[str], label: str, settings: Settings =
 
 def stability(df: DataFrame, features: list[str], label: str, group: str, replicates: int, top: int, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Mean and spread of each feature's position over resamples of groups, and how often it is
-    among the first ``top``. A group drawn several times weighs as much."""
-    draws = bootstrap_groups(df.select(group), group, replicates, settings.seed).select(group, F.col("replicate").alias("_fit"), F.col("times").cast("double").alias("_times"))
-    rows = _rows(df, features, label, settings, group).join(draws, group).drop(group)
+    among the first ``top``. A group drawn several times weighs as much; models of all resamples are held
+    against their rows in one pass."""
+    named = df.where(F.col(label).isNotNull())
+    draws = bootstrap_groups(df.select(group), group, replicates, settings.seed).select(group, "replicate", F.col("times").cast("double").alias("_times"))
+    drawn = named.join(draws, group)
+    fitted = _beside(df.sparkSession, settings, lambda i: fit(drawn.where(F.col("replicate") == i), features, label, settings, "_times", group).leaves, replicates)
 
-    def importance(i: int, model: Boosted, x: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
-        total = np.zeros(len(features))
-        for at in range(0, len(x), 10_000):
-            total += weight[at : at + 10_000] @ np.abs(shapley(model.leaves, x[at : at + 10_000])[0])
-        return pd.DataFrame({"replicate": i, "feature": features, "importance": total / weight.sum()})
-
-    found = _fits(rows, replicates, features, settings, importance, "replicate int, feature string, importance double")
+    def run(batches):
+        total = defaultdict(lambda: [np.zeros(len(features)), 0.0])
+        for pdf in batches:
+            for i, own in pdf.groupby("replicate"):
+                weight = own["_times"].to_numpy()
+                held = total[int(i)]
+                held[0] += weight @ np.abs(shapley(fitted[int(i)], _matrix(own, features))[0])
+                held[1] += weight.sum()
+        for i, (sums, weight) in total.items():
+            yield pd.DataFrame({"replicate": i, "feature": features, "total": sums, "weight": weight})
+
+    parts = drawn.select("replicate", "_times", *[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(run, "replicate int, feature string, total double, weight double")
+    found = parts.groupBy("replicate", "feature").agg((F.sum("total") / F.sum("weight")).alias("importance"))
     p = found.withColumn("position", F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("importance"), "feature")))  # a row a feature
     return p.groupBy("feature").agg(F.avg("position").alias("mean_position"), F.coalesce(F.stddev_samp("position"), F.lit(0.0)).alias("sd_position"), F.avg((F.col("position") <= top).cast("double")).alias("top_share"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import gates, images, models
 from tessera.plans import registry
 
-SMALL = models.Settings(iterations=6, rate=0.3, depth=3, least_rows=5)
+SMALL = models.Settings(iterations=6, rate=0.3, depth=3, least_rows=5, held=10**9)  # nothing held back
 
 
 @pytest.fixture(scope="module")
@@ -42,11 +42,39 @@ def test_attributions_are_shapley_values_and_sum_to_the_log_odds(table):
     leaves = model.leaves
     phi, base = models.shapley(leaves, x)
     p = rows["score"].to_numpy()
-    assert np.allclose(phi.sum(axis=1) + base, np.log(p / (1 - p)) - model.start, atol=1e-9)
+    assert np.allclose(phi.sum(axis=1) + base, np.log(p / (1 - p)), atol=1e-9) and len(model.leaves) > 12
     for i in range(5):
         assert np.allclose(phi[i], by_coalitions(leaves, x[i], 3), atol=1e-9)
 
 
+def test_the_table_of_nodes_gives_the_margins_in_sql(table):
+    """A walk over the nodes in DuckDB adds up to the log odds of Spark's own scores; covers of children add up to their parent's."""
+    import duckdb
+    import pandas as pd
+
+    model = models.fit(table, ["a", "b", "c"], "y", models.Settings(iterations=8, depth=3, least_rows=5, held=4), group="g")
+    rows = models.scores(model, table, ["a", "b", "c"]).toPandas()
+    assert list(rows.columns) == [*table.columns, "score"]
+    nodes = pd.DataFrame(model.nodes, columns=["tree", "node", "feature", "threshold", "lo", "hi", "value", "cover"])  # noqa: F841
+    x = pd.DataFrame({"id": range(len(rows)), "f": rows[["a", "b", "c"]].to_numpy().tolist(), "score": rows["score"]})  # noqa: F841
+    got = duckdb.sql("""WITH RECURSIVE w AS (SELECT id, f, tree, 0 AS node FROM x, (SELECT DISTINCT tree FROM nodes)
+        UNION ALL SELECT id, f, w.tree, CASE WHEN f[feature::INT + 1] <= threshold THEN lo::INT ELSE hi::INT END FROM w JOIN nodes USING (tree, node) WHERE feature IS NOT NULL)
+        SELECT id, sum(value) AS margin FROM w JOIN nodes USING (tree, node) WHERE feature IS NULL GROUP BY id ORDER BY id""").df()
+    p = rows["score"].to_numpy()
+    assert np.allclose(got["margin"], np.log(p / (1 - p)), atol=1e-9)
+    assert duckdb.sql("SELECT count(*) FROM nodes p JOIN nodes a ON a.tree = p.tree AND a.node = p.lo::INT JOIN nodes b ON b.tree = p.tree AND b.node = p.hi::INT WHERE abs(p.cover - a.cover - b.cover) > 1e-6").fetchall() == [(0,)]
+
+
+def test_odd_features_and_labels(spark, table):
+    with pytest.raises(ValueError, match="null, NaN or infinite"):
+        models.fit(table.withColumn("a", F.when(F.col("a") > 1, F.lit(float("nan"))).otherwise(F.col("a"))), ["a"], "y", SMALL)
+    few = table.where("g in ('g1', 'g2')")
+    assert models.fit(few.unionByName(few.withColumn("y", F.lit(None).cast("int"))), ["a"], "y", models.Settings(iterations=2, least_rows=1, held=1), group="g").leaves  # all would be held back
+    heavy = table.withColumn("w", F.when(F.col("y") == 1, 50.0).otherwise(1.0))
+    light, more = (models.scores(models.fit(df, ["c"], "y", SMALL, w), table, ["c"]).agg(F.avg("score")).first()[0] for df, w in ((table, None), (heavy, "w")))
+    assert more > light + 0.2
+
+
 def test_ranking_folds_stability_and_mediation(table):
     r = models.ranking(table, ["a", "b", "c"], "y", SMALL).orderBy("position").collect()
     assert r[0].feature == "a" and r[0].direction > 0.5
