@@ -81,14 +81,14 @@ def set_key(found: np.ndarray) -> int | None:
     return int(mix64(found + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) if len(found) else None
 
 
-def with_set_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds k, the key of each row's set."""
+def with_set_keys(docs: DataFrame, text_col: str = "text", name: str = "k") -> DataFrame:
+    """Adds the key of each row's set as column ``name``, which ``docs`` must not have."""
 
     def start():
         hashes = WordHashes()
         return lambda batch: [*batch.columns, [set_key(shingles(text, hashes)) for text in batch.column(text_col).to_pylist()]]
 
-    return map_arrow(docs, StructType([*docs.schema.fields, StructField("k", LongType())]), start, text_col)
+    return map_arrow(docs, StructType([*docs.schema.fields, StructField(name, LongType())]), start, text_col)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -511,3 +511,29 @@ def test_pipeline_equals_the_stages_by_definition(spark, sf_dir):
         total[r.doc_id] += r.length
     assert dict(total) == want
     assert len({r.sequence_id for r in got}) <= -(-sum(want.values()) // 4096) + 1
+
+
+STAGE_DOCS = "doc_id bigint, text string, lang string, source string, k int, _id string, _k int, own_set string, kept_id int"
+
+
+def test_stages_keep_rows_and_columns_whatever_their_names(spark, sf_dir):
+    """near_dedup with repeated ids, null texts and ids, and columns named as it would name its own."""
+    import corpus_pipeline
+
+    a, b = prose(2, 80, 11)
+    rows = [(i, t, "en", "s", 1, "x", 2, "y", 3) for i, t in [(1, a), (1, a), (1, b), (2, a + " more"), (3, None), (3, None), (4, ""), (None, a), (None, None)]]
+    df = spark.createDataFrame(rows, STAGE_DOCS)
+    got = corpus_pipeline.distinct(spark, df, sf_dir)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, a), (1, b), (3, None), (4, ""), (None, a), (None, None)])
+    once = corpus_pipeline.distinct(spark, df.where("doc_id > 1"), sf_dir)
+    assert once.columns == df.columns and {r.doc_id for r in once.collect()} == {2, 3, 4}
+
+
+def test_every_stage_of_an_empty_table(spark, sf_dir):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([], STAGE_DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, sf_dir)
+        assert out.count() == 0 and (name == "packing" or out.columns == df.columns)
