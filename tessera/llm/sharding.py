@@ -71,25 +71,31 @@ def bucket_starts(rows: DataFrame) -> DataFrame:
     return counts.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(slices, ["shard", "slice"]).select("shard", "bucket", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def read_shards(spark: SparkSession, at: str, schema) -> DataFrame:
-    """The documents of ``write_shards`` as column ``doc`` with shard and slot (from 0, gapless in its shard)."""
+def shard_rows(spark: SparkSession, at: str, schema) -> DataFrame:
+    """What ``write_shards`` wrote: shard, bucket, place and doc, whose fields ``schema`` names."""
     from pyspark.sql.types import IntegerType, LongType, StructType
 
-    rows = spark.read.schema(StructType().add("bucket", LongType()).add("place", IntegerType()).add("doc", schema).add("shard", IntegerType())).parquet(at)
-    return rows.join(bucket_starts(rows), ["shard", "bucket"]).select("doc", "shard", (F.col("start") + F.col("place")).alias("slot"))
+    return spark.read.schema(StructType().add("bucket", LongType()).add("place", IntegerType()).add("doc", schema).add("shard", IntegerType())).parquet(at)
+
+
+def with_slots(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """``rows`` (shard, bucket, place) with ``slot``, from 0 and gapless in its shard, for bucket and place."""
+    return rows.join(starts, ["shard", "bucket"]).withColumn("slot", (F.col("start") + F.col("place")).cast("long")).drop("bucket", "place", "start")
+
+
+def read_shards(spark: SparkSession, at: str, schema) -> DataFrame:
+    """The documents of ``write_shards`` as column ``doc`` with shard and slot."""
+    rows = shard_rows(spark, at, schema)
+    return with_slots(rows, bucket_starts(rows))
 
 
 def shard_digests(docs: DataFrame, shards: int = 24, seed: int = 20240501, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where each document went, from the files: its id, size (bytes of its text and 8), crc32 of the text (null: of the empty one),
-    the law, shard, slot, and the shard it would have with one more."""
-    rows = read_shards(docs.sparkSession, write_shards(docs, shards, seed, bucket_bytes, None, id_col, text_col), docs.schema)
-    text, key = F.col(f"doc.{text_col}"), F.col(f"doc.{id_col}")
-    return rows.select(
-        key.alias(id_col),
-        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        "shard",
-        F.col("slot").cast("long").alias("slot"),
-        shard_of(key, shards + 1).alias("grown_shard"),
+    the law, shard, slot, and the shard it would have with one more. Texts end where they are read: digests alone meet the starts of buckets."""
+    rows = shard_rows(docs.sparkSession, write_shards(docs, shards, seed, bucket_bytes, None, id_col, text_col), docs.schema)
+    text, key = F.col(f"doc.`{text_col}`"), F.col(f"doc.`{id_col}`")
+    digests = rows.select(
+        "shard", "bucket", "place", key.alias("_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32")
     )
+    out = with_slots(digests, bucket_starts(rows))
+    return out.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("_id"), shards + 1).alias("grown_shard"))
