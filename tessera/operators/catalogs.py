@@ -51,7 +51,7 @@ def sizes_agree(width: str, height: str, stated_width: str, stated_height: str)
 
 def extraction_manifest(boxes: DataFrame, images: DataFrame, image: str = "image", lost: str = "image missing", stated: tuple[str, str] | None = None) -> DataFrame:
     """Boxes cut to their image, with status ok, degenerate (nothing left of it) or ``lost``;
-    labels without an image have one row with box_index -1 and no box. ``lost`` names the reason: a lookup of files by
+    labels without an image, those without a box (box_index -1) too, have one row with box_index -1 and no box. ``lost`` names the reason: a lookup of files by
     path and one in an index by stem lose images in different ways.
 
     ``boxes`` has the image, box_index and x0..y1; ``images`` the image, width and height. ``stated`` names the columns
@@ -60,7 +60,7 @@ def extraction_manifest(boxes: DataFrame, images: DataFrame, image: str = "image
     rows = boxes.join(images.select(image, "width", "height"), image, "left")
     *box, state = g.clipped(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height")])
     agrees = [] if stated is None else [sizes_agree("width", "height", *stated).alias("size_agrees")]
-    found = rows.where("width is not null").select(image, "box_index", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))], state.alias("status"), *agrees)
+    found = rows.where("width is not null and box_index >= 0").select(image, "box_index", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))], state.alias("status"), *agrees)
     none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("x0", "y0", "x1", "y1")]
     unknown = [F.lit(None).cast("boolean").alias("size_agrees")][: len(agrees)]
     missing = rows.where("width is null").select(image).distinct()

@@ -42,3 +42,24 @@ def files_below(at: str):
         if info.path.endswith(".parquet"):
             with files.open_input_file(info.path) as f:
                 yield pq.read_table(f)
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes a file for each row (name, content) below the folder, in tasks; the number of files. A task that runs again writes the
+    same files again."""
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        files, to = (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if folder.startswith("file:") else fs.FileSystem.from_uri(folder)
+        files.create_dir(to, recursive=True)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                with files.open_output_stream(f"{to}/{name}") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    from pyspark.sql import functions as F
+
+    return rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0

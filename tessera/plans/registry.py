@@ -30,4 +30,4 @@ def query(oracle: str | None = None):
     return register
 
 
-from . import catalog, core, results, surrogates  # noqa: E402, F401
+from . import catalog, core, files, results, surrogates  # noqa: E402, F401

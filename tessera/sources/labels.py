@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import yolo_to_pixels
 from ..functions.text import file_stem
+from . import annotations
 
 
-def yolo(spark: SparkSession, path: str) -> DataFrame:
+def yolo(spark: SparkSession, path: str | list[str], empty: bool = False) -> DataFrame:
     """image, box_index (number of the line in its file), valid_index (number among the valid
-    lines), category, cx, cy, w, h; lines of under five fields are left out."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(file_stem(F.col("_metadata.file_path")).alias("image"), "value")
-    parts = F.transform(F.split("value", r"\r?\n"), lambda line, i: F.struct(i.alias("i"), F.split(F.trim(line), r"\s+").alias("f")))
-    valid = F.filter(parts, lambda x: F.size(x["f"]) >= 5)
-    rows = files.select("image", F.posexplode(valid).alias("valid_index", "x"))
-    number = lambda i: F.try_element_at(F.col("x.f"), F.lit(i)).try_cast("double")
-    return rows.select("image", F.col("x.i").alias("box_index"), "valid_index", F.col("x.f")[0].alias("category"), *[number(i).alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 2)])
+    lines), category, cx, cy, w, h; lines of under five fields are left out. With ``empty``, a file without a valid line
+    has one row, with both numbers -1."""
+    rows = annotations.scan(spark, "yolo", path)
+    rows = rows.select("image", F.coalesce("line", F.lit(-1)).alias("box_index"), F.col("box_index").alias("valid_index"), "category", "cx", "cy", "w", "h")
+    return rows if empty else rows.where("valid_index >= 0")
 
 
-def yolo_pixels(spark: SparkSession, path: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
-    """The boxes in pixels; ``sizes`` has image, width, height. With ``how`` left, boxes of no image stay, without places."""
+def yolo_pixels(spark: SparkSession, path: str | list[str], sizes: DataFrame, how: str = "inner", number: str = "box_index") -> DataFrame:
+    """The boxes in pixels; ``sizes`` has image, width, height. With ``how`` left, boxes of no image stay, without places, as
+    do files without a valid line (box_index -1). ``number``: box_index counts lines, valid_index valid ones."""
     box = yolo_to_pixels(*[F.col(c) for c in ("cx", "cy", "w", "h", "width", "height")])
-    return yolo(spark, path).join(sizes, "image", how).select("image", "box_index", "category", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))])
+    return yolo(spark, path, how == "left").join(sizes.select("image", "width", "height"), "image", how).select("image", F.col(number).alias("box_index"), "category", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))])
 
 
 def yolo_shares(spark: SparkSession, path: str) -> DataFrame:
@@ -41,13 +41,11 @@ def absolute_sizes(spark: SparkSession, path: str, images: DataFrame, endings: t
     return rows.select("image", "box_index", F.rint(F.col("w") * F.col("width")).cast("int").alias("bw"), F.rint(F.col("h") * F.col("height")).cast("int").alias("bh")).where("bw > 0 and bh > 0")
 
 
-def voc(spark: SparkSession, path: str) -> DataFrame:
-    """image, width, height, box_index, category (unknown without a name), box; objects
-    without a box are left out."""
-    schema = "filename string, size struct<width double, height double>, object array<struct<name string, bndbox struct<xmin double, ymin double, xmax double, ymax double>>>"
-    rows = spark.read.format("xml").option("rowTag", "annotation").schema(schema).load(path)
-    o = rows.select(F.col("filename").alias("image"), F.col("size.width").cast("int").alias("width"), F.col("size.height").cast("int").alias("height"), F.posexplode("object").alias("box_index", "o"))
-    return o.where("o.bndbox is not null").select("image", "width", "height", "box_index", F.coalesce("o.name", F.lit("unknown")).alias("category"), *[F.col(f"o.bndbox.{c}").cast("int").alias(n) for c, n in (("xmin", "x0"), ("ymin", "y0"), ("xmax", "x1"), ("ymax", "y1"))])
+def voc(spark: SparkSession, path: str | list[str], empty: bool = False) -> DataFrame:
+    """image (the file's stem), width, height (as stated), box_index (number among the objects that have a box), category (unknown
+    without a name), box. With ``empty``, a file without a box has one row, with box_index -1."""
+    rows = annotations.scan(spark, "voc", path).select("image", "width", "height", "box_index", "category", "x0", "y0", "x1", "y1")
+    return rows if empty else rows.where("box_index >= 0")
 
 
 def box_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.text import file_stem
-from ..operators import catalogs, gates, images, sampling
-from . import labels
+from ..functions.text import base_name, file_stem, video_id
+from ..operators import aggregates, catalogs, gates, images, sampling
+from . import annotations, labels
 
 Segmenter = Callable[[np.ndarray, tuple[int, int, int, int]], np.ndarray]
 Selector = Callable[[DataFrame], DataFrame]
@@ -115,7 +115,7 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if n == 3 else 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
-def pixels(spark: SparkSession, path: str) -> DataFrame:
+def pixels(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """image (stem of the file), width, height, channels, data (RGB or RGBA bytes) of images below a folder."""
 
     def run(batches):
@@ -150,25 +150,33 @@ def crops(rows: DataFrame, segmenter: Segmenter | None = None) -> DataFrame:
     return rows.mapInPandas(run, "image string, box_index int, width int, height int, coverage double, content binary")
 
 
-def load_source(spark: SparkSession, source: str, archive: str, work: str, to: str, image_folder: str, label_folder: str, least_side: float, least_mask: float = 0.0, segmenter: Segmenter | None = None, read: Callable[[SparkSession, str, DataFrame], DataFrame] = partial(labels.yolo_pixels, how="left")) -> tuple[DataFrame, DataFrame]:
+def load_source(spark: SparkSession, source: str, archive: str, work: str, to: str, image_folder: str | list[str], label_folder: str | list[str], least_side: float, least_mask: float = 0.0, segmenter: Segmenter | None = None, read: Callable[[SparkSession, list[str], DataFrame], DataFrame] = partial(labels.yolo_pixels, how="left", number="valid_index"), dedup: bool = False) -> tuple[DataFrame, DataFrame]:
     """From a source's archive to an archive of its good crops: the archive and the manifest of all boxes.
 
-    ``read`` maps a folder of labels and the sizes of images (image, width, height) to boxes (image, box_index, x0..y1),
-    those of no image too.
-    The manifest has source, image, box_index, status (of ``extraction_manifest``), width, height, coverage, keep, reason."""
+    Several folders of images and labels, as of the splits of a source, are one. ``read`` maps folders of labels and the sizes of images
+    (image, width, height) to boxes (image, box_index among the valid ones, x0..y1), those of no image too. With ``dedup``, of several exports
+    of one image the first by name counts alone; images whose names aren't those of exports go too.
+    The manifest has source, image, video (empty for other names), box_index, status (of ``extraction_manifest``), width, height, coverage, keep, reason."""
     folder = f"{work}/{uuid.uuid4().hex}"
     if unpack(spark, archive, folder).count() == 0:
         raise gates.Refused(f"{archive} has no members")
-    found = pixels(spark, f"{folder}/*/{image_folder}")
-    sizes = found.select("image", "width", "height")
-    boxes = read(spark, f"{folder}/*/{label_folder}", sizes).withColumn("box_index", F.col("box_index").cast("int"))
+    stem = archive.rsplit("/", 1)[-1]
+    image_folders, label_folders = ([f"{folder}/{stem}/{x}" for x in ([f] if isinstance(f, str) else f)] for f in (image_folder, label_folder))
+    sizes = annotations.sizes(spark, image_folders)
+    if dedup:
+        sizes = aggregates.keep_first(sizes.withColumn("_name", F.regexp_extract("path", "[^/]*$", 0)), base_name("_name"), "_name").where("status = 'kept'").drop("status", "_name")
+    sizes = sizes.select("image", "width", "height")
+    boxes = read(spark, label_folders, sizes).withColumn("box_index", F.col("box_index").cast("int"))
+    if dedup:
+        boxes = boxes.join(sizes.select("image"), "image", "left_semi")
+    found = pixels(spark, image_folders)
     extracted = catalogs.extraction_manifest(boxes.select("image", "box_index", "x0", "y0", "x1", "y1"), sizes)
-    made = crops(extracted.where("status = 'ok'").join(found, "image"), segmenter)
+    made = crops(extracted.where("status = 'ok'").join(found, "image"), segmenter)  # by the sizes that files state, which are those of their pixels
     at = f"{folder}/crops"
     made.write.parquet(at)
     made = spark.read.parquet(at)
     judged = catalogs.quality_manifest(made.drop("content"), made.select("image", "box_index", "coverage"), ["image", "box_index"], F.least("width", "height"), least_side, least_mask, segmenter is not None)
-    manifest = extracted.select("image", "box_index", "status").join(judged.select("image", "box_index", "width", "height", "coverage", "keep", "reason"), ["image", "box_index"], "left").select(F.lit(source).alias("source"), "*")
+    manifest = extracted.select("image", video_id("image").alias("video"), "box_index", "status").join(judged.select("image", "box_index", "width", "height", "coverage", "keep", "reason"), ["image", "box_index"], "left").select(F.lit(source).alias("source"), "*")
     kept = made.join(judged.where("keep").select("image", "box_index"), ["image", "box_index"], "left_semi")
     name = F.format_string("%s_box%03d.png", "image", "box_index")
     return write_zips(kept.select(F.lit(source).alias("source"), name.alias("name"), "content"), to, "source"), manifest
