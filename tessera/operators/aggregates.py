@@ -41,11 +41,12 @@ def hits(best: DataFrame, key: list[str], seed: str = "seed", least: float = 0.2
 
 def keep_first(df: DataFrame, group: Column, order: str) -> DataFrame:
     """status: kept (first of its group), discarded, or unrecognised (no group). The first is
-    found by an aggregate and joined, so a large group needs no task for itself."""
+    found by an aggregate and joined, so a large group needs no task for itself; rows of no group aren't joined."""
     rows = df.withColumn("_group", group)
     first = rows.where("_group is not null").groupBy("_group").agg(F.min(order).alias("_first"))
-    status = F.when(F.col("_group").isNull(), "unrecognised").when(F.col(order) == F.col("_first"), "kept").otherwise("discarded")
-    return rows.join(first, "_group", "left").withColumn("status", status).drop("_group", "_first")
+    status = F.when(F.col(order) == F.col("_first"), "kept").otherwise("discarded")
+    judged = rows.where("_group is not null").join(first, "_group").select(*[F.col(f"`{c}`") for c in df.columns], status.alias("status"))
+    return judged.unionByName(rows.where("_group is null").drop("_group").withColumn("status", F.lit("unrecognised")))
 
 
 def bag_violations(bag: DataFrame, expected: DataFrame, key: str) -> DataFrame:

@@ -9,5 +9,6 @@ MOST_ROWS = 100_000
 
 
 def small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most so many rows (which is counted first), else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` if it has more than so many rows; else its rows, computed once here, marked for broadcast."""
+    rows = df.limit(most + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= most else df

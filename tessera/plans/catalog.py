@@ -204,16 +204,19 @@ def warmup(db: Tables) -> DataFrame:
     return rounded(n.withColumn("steps_again", designs.warmup_steps(F.col("epochs"), F.col("n_images"), 16)), "epochs", "steps_again")
 
 
-@query("SELECT arm, n_synthetic::BIGINT AS n_synthetic, repeat_real::BIGINT AS repeat_real FROM (VALUES ('C', 0, 4), ('M25', 1348, 3), ('M50', 2696, 2)) t(arm, n_synthetic, repeat_real)")
+@query("SELECT o_orderpriority AS arm, (5392 * f)::BIGINT AS n_synthetic, (4 - 4 * f)::BIGINT AS repeat_real FROM (SELECT o_orderpriority, round_even(4 * avg((o_totalprice > 150000)::INT), 0) / 4 AS f FROM orders GROUP BY 1)")
 def arm_compositions(db: Tables) -> DataFrame:
-    return designs.arms(db.spark.createDataFrame([("C", 0.0), ("M25", 0.25), ("M50", 0.5)], "arm string, fraction double"), 5392, 1348)
+    """A priority is an arm; its share of dear orders, to a quarter, is what of its list is synthetic."""
+    fraction = F.rint(4 * F.avg((F.col("o_totalprice") > 150000).cast("int"))) / 4
+    return designs.arms(db.orders.groupBy(F.col("o_orderpriority").alias("arm")).agg(fraction.alias("fraction")), 5392, 1348)
 
 
-@query("""WITH b(ordinal, budget, epochs) AS (VALUES (0, 'S1', 30), (1, 'S2', 75)), s(i, seed) AS (VALUES (0, 42), (1, 123), (2, 2024), (3, 7), (4, 31415)), a(j, arm) AS (VALUES (0, 'C'), (1, 'M25'), (2, 'M50'))
-SELECT ((ordinal * 5 + i) * 3 + j)::INT AS place, budget || '_' || arm || '_seed' || seed AS run, (epochs // 15)::INT AS close_mosaic, (epochs * 337)::BIGINT AS steps FROM b, s, a""")
+@query("""WITH b AS (SELECT r_regionkey AS ordinal, r_name AS budget, 15 * count(n_nationkey) AS epochs FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL), s(i, seed) AS (VALUES (0, 42), (1, 123), (2, 2024), (3, 7), (4, 31415)), a(j, arm) AS (VALUES (0, 'C'), (1, 'M25'), (2, 'M50')), n AS (SELECT ceil(count(*) / 16.0::DOUBLE) AS steps FROM customer)
+SELECT ((ordinal * 5 + i) * 3 + j)::INT AS place, budget || '_' || arm || '_seed' || seed AS run, (epochs // 15)::INT AS close_mosaic, (epochs * steps)::BIGINT AS steps FROM b, s, a, n""")
 def run_plan(db: Tables) -> DataFrame:
-    budgets = db.spark.createDataFrame([(0, "S1", 30), (1, "S2", 75)], "ordinal int, budget string, epochs int")
-    return designs.run_plan(budgets, ["C", "M25", "M50"], [42, 123, 2024, 7, 31415], 5392, 16)
+    """Regions are budgets with fifteen epochs a nation, customers the images of an epoch."""
+    budgets = db.nation.join(db.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_regionkey").alias("ordinal"), F.col("r_name").alias("budget")).agg((15 * F.count("*")).cast("int").alias("epochs"))
+    return designs.run_plan(budgets, ["C", "M25", "M50"], [42, 123, 2024, 7, 31415], db.customer.count(), 16)
 
 
 @query("WITH r AS (SELECT 3 * count(*) AS n FROM supplier), s AS (SELECT count(*) AS n FROM customer) SELECT r.n AS n_real, s.n AS n_synthetic, r.n + s.n AS n_total, round(r.n / (r.n + s.n)::DOUBLE, 6) AS real_share FROM r, s")
@@ -284,12 +287,12 @@ def sampled_set(db: Tables) -> DataFrame:
     return drawn.select("o_orderpriority", "o_custkey", "ordinal", "inner", F.lit(digest).alias("digest"))
 
 
-@query("""WITH c AS (SELECT p_partkey, arg_max(p_retailprice, p_size) AS price FROM part WHERE p_size > 5 GROUP BY 1), t AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, bool_or(l_discount > 0.05) OVER (PARTITION BY l_orderkey, l_linenumber) AS y FROM lineitem WHERE l_returnflag != 'N'),
+@query("""WITH c AS (SELECT p_partkey, arg_max(p_retailprice, p_size) AS price FROM part WHERE p_size > 5 GROUP BY 1), t AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, bool_or(l_discount > 0.05) OVER (PARTITION BY l_orderkey, l_linenumber) AS y FROM lineitem),
 x AS (SELECT t.*, c.p_partkey IS NOT NULL AS found, ln(c.price) AS f, ln(greatest(l_quantity, 1e-12)) AS s, l_linenumber::DOUBLE AS m FROM t LEFT JOIN c ON c.p_partkey = t.l_partkey), f AS (SELECT coalesce(regr_intercept(m, s), avg(m)) AS a, coalesce(regr_slope(m, s), 0) AS b FROM x)
 SELECT found, y, count(*) AS n, count(DISTINCT l_partkey) AS n_crops, round(avg(f), 6) AS feature, round(avg(abs(m - (a + b * s))), 6) AS residual FROM x, f GROUP BY ALL""")
 def feature_table(db: Tables) -> DataFrame:
     """Line items as pastes, parts as crops, a discount as target."""
-    rows = db.lineitem.where("l_returnflag != 'N'").select("l_partkey", "l_linenumber", "l_quantity", F.concat_ws("/", "l_orderkey", "l_linenumber").alias("paste"), (F.col("l_discount") > 0.05).alias("y"))
+    rows = db.lineitem.select("l_partkey", "l_linenumber", "l_quantity", F.concat_ws("/", "l_orderkey", "l_linenumber").alias("paste"), (F.col("l_discount") > 0.05).alias("y"))
     labelled = rows.select("paste", "y").groupBy("paste").agg(F.max("y").alias("y"))
     compute = lambda crops: crops.select("l_partkey", F.ln("price").alias("f"))
     crops = db.part.where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("price"), "p_size")
