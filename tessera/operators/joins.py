@@ -61,15 +61,14 @@ def range_counts(boxes: DataFrame, pool: DataFrame, box_key: list[str], group: l
 
 
 def range_pick(boxes: DataFrame, pool: DataFrame, box_key: list[str], pool_key: str, seed: int, area: str = "area") -> DataFrame:
-    """For each box one pool member in [A/2, 2A], drawn by hash. Areas meet by powers of two,
-    so only members of the three octaves around a box are compared."""
-    octave = lambda c: F.floor(F.log2(c)).cast("int")
-    b = boxes.select(*box_key, F.col(area).alias("a")).withColumn("octave", F.explode(F.sequence(octave(F.col("a") / 2), octave(F.col("a") * 2))))
-    p = pool.select(F.col(pool_key).alias("picked"), F.col(area).alias("pa")).withColumn("octave", octave("pa"))
-    pairs = b.join(p, "octave").where("pa >= a / 2 and pa <= a * 2")
-    best = F.min(F.struct(draw(seed, *[F.col(k).cast("string") for k in box_key], F.col("picked").cast("string")).alias("draw"), "picked"))
-    chosen = pairs.groupBy(*box_key).agg(best.alias("best"))
-    return boxes.select(*box_key).join(chosen, box_key, "left").select(*box_key, F.col("best.picked").alias("picked"))
+    """For each box one pool member in [A/2, 2A], drawn evenly; null where there is none. Members in range lie at
+    consecutive positions along the area, so a draw names a position and one equi-join finds its member."""
+    every = pool.select(F.lit(0).alias("_all"), F.col(area), pool_key)
+    keys = [F.col(k).cast("string") for k in box_key]
+    at = F.col("n_enlarged") + draw(seed, F.lit("member"), *keys) % F.greatest(F.lit(1), "n_matched")
+    asks = range_counts(boxes, every, box_key, ["_all"], area, area).where("n_matched > 0").select(*box_key, at.alias("position"))
+    members = numbered(every, ["_all"], area, pool_key, seed).select("position", F.col(pool_key).alias("picked"))
+    return boxes.select(*box_key).join(asks.join(members, "position"), box_key, "left").select(*box_key, "picked")
 
 
 def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -189,7 +189,7 @@ def median_split(db: Tables) -> DataFrame:
 DRAW_SQL = "('0x' || substr(sha256({0}), 1, 8))::BIGINT"
 
 
-@query("WITH p AS (SELECT s_suppkey, s_acctbal + 1000.01 AS a FROM supplier), q AS (SELECT p_partkey, p_retailprice AS a FROM part), x AS (SELECT s_suppkey, p_partkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY " + DRAW_SQL.format("'9:' || s_suppkey || ':' || p_partkey") + ", p_partkey) AS k FROM p JOIN q ON q.a BETWEEN p.a / 2 AND p.a * 2) SELECT p.s_suppkey, p_partkey AS picked FROM p LEFT JOIN x ON x.s_suppkey = p.s_suppkey AND k = 1")
+@query("WITH p AS (SELECT s_suppkey, s_acctbal + 1000.01 AS a FROM supplier), q AS (SELECT p_partkey, p_retailprice AS a, row_number() OVER (ORDER BY p_retailprice, " + DRAW_SQL.format("'9:' || p_partkey") + " % 64, p_partkey) - 1 AS position FROM part), n AS (SELECT s_suppkey, count(*) FILTER (q.a < p.a / 2) AS under, count(*) FILTER (q.a BETWEEN p.a / 2 AND p.a * 2) AS n FROM p, q GROUP BY 1) SELECT s_suppkey, p_partkey AS picked FROM n LEFT JOIN q ON n > 0 AND position = under + " + DRAW_SQL.format("'9:member:' || s_suppkey") + " % greatest(n, 1)")
 def range_pick(db: Tables) -> DataFrame:
     return joins.range_pick(db.supplier.select("s_suppkey", (F.col("s_acctbal") + 1000.01).alias("area")), db.part.select("p_partkey", F.col("p_retailprice").alias("area")), ["s_suppkey"], "p_partkey", 9)
 
