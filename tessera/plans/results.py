@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as agg
 from ..operators import designs, joins
 from ..operators import statistics as st
+from ..operators.scratch import new_path
+from ..streaming import runs
 from .registry import Tables, query
 
 CUBE_SQL = "cube AS (SELECT o_orderstatus AS budget, substr(o_orderpriority, 1, 1) AS arm, (o_custkey % 5)::INT AS seed, avg(o_totalprice) / 1e6 AS value FROM orders GROUP BY ALL)"
@@ -149,3 +151,20 @@ def control_plausibility(db: Tables) -> DataFrame:
 def means_by_arm(db: Tables) -> DataFrame:
     wide = family_cube(db).groupBy("budget", "arm", "seed").pivot("measure", ["recall", "auc"]).agg(F.first("value"))
     return rounded(st.group_means(wide, ["budget", "arm"], ["recall", "auc"]), "recall", "auc")
+
+
+@query("""WITH r AS (SELECT o_orderpriority || '/' || o_orderstatus AS run, count(*) AS steps FROM orders GROUP BY 1), p AS (SELECT DISTINCT o_orderpriority || '/' || s AS run FROM orders, (SELECT unnest(['F', 'O', 'none']) AS s)), n AS (SELECT count(*) // 40 AS planned FROM customer)
+SELECT coalesce(r.run, p.run) AS run, coalesce(steps, 0) AS steps, CASE WHEN p.run IS NULL THEN 'violation' WHEN coalesce(steps, 0) >= planned THEN 'done' ELSE 'pending' END AS state FROM r FULL JOIN p ON p.run = r.run CROSS JOIN n""")
+def run_step_states(db: Tables) -> DataFrame:
+    """Orders as the steps of runs, which arrive in two parts to a stream that is started for each."""
+    at = new_path(db.spark, "steps")
+    name = lambda status: F.concat_ws("/", "o_orderpriority", status)
+    planned = db.customer.agg(F.expr("count(*) div 40").alias("planned"))  # one row
+    plan = db.orders.select(F.explode(F.array(*[name(F.lit(s)) for s in ("F", "O", "none")])).alias("run")).distinct().crossJoin(F.broadcast(planned)).select("run", "planned", F.lit(0).cast("bigint").alias("steps"))
+    taken = db.orders.groupBy(name(F.col("o_orderstatus")).alias("run"), (F.col("o_orderkey") % 2).alias("part")).agg(F.count("*").alias("steps")).select("run", F.lit(None).cast("bigint").alias("planned"), "steps", "part")
+    session = runs.stateful_session(db.spark)
+    for part, rows in ((0, plan), (1, None)):
+        new = taken.where(F.col("part") == part).drop("part")
+        (new if rows is None else new.unionByName(rows)).write.mode("append").parquet(f"{at}/rows")
+        runs.count_steps(session, f"{at}/rows", f"{at}/reports", f"{at}/state")
+    return runs.latest(db.spark.read.schema(runs.OUT).parquet(f"{at}/reports"))
