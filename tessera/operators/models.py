@@ -1,7 +1,7 @@
 """Boosted trees as surrogates: folds by group, attributions, their stability and mediation.
 
 Spark's own gradient boosting fits on all labelled rows, distributed. A hashed part of the rows (or of their groups) is held back, and
-boosting stops when the loss there stops falling (by ``Settings.tolerance`` of itself from tree to tree), at ``Settings.iterations`` at the
+boosting stops when the loss there falls by less than ``Settings.tolerance`` of itself from one tree to the next, at ``Settings.iterations`` at the
 latest. What follows reads the fitted model's table of nodes, at most 2 ** (depth + 1) a tree: attributions are exact
 Shapley values of each tree's paths with cover shares as the background, found in Arrow batches over all rows."""
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .gates import Refused
 from .sampling import bootstrap_groups, group_folds
-from .scratch import new_path, remove
+from .scratch import new_path, remove, written
 from .statistics import importance_ranking, ranking_measures
 
 
@@ -37,7 +37,7 @@ class Settings:
     least_rows: int = 50
     bins: int = 255
     held: int = 10
-    tolerance: float = 0.0
+    tolerance: float = 1e-4
     seed: int = 42
     beside: int = 4
 
@@ -133,7 +133,8 @@ def scores(model: Boosted, df: DataFrame, features: list[str]) -> DataFrame:
 
 def cross_validate(df: DataFrame, features: list[str], label: str, group: str, k: int = 5, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Average precision and ROC area of each fold, whose rows a model of the others scores; no group is in two folds."""
-    folded = group_folds(df.where(F.col(label).isNotNull()), group, k, settings.seed)
+    rows = df.where(F.col(label).isNotNull()).select(group, *[F.col(f).cast("double").alias(f) for f in features], label)
+    folded = written(group_folds(rows, group, k, settings.seed), "folds")  # features are worked out once for all fits
     fitted = _beside(df.sparkSession, settings, lambda i: fit(folded.where(F.col("fold") != i), features, label, settings, group=group), k)
     parts = [ranking_measures(scores(m, folded.where(F.col("fold") == i), features), "score", label).select(F.lit(i).alias("fold"), "*") for i, m in enumerate(fitted)]
     out = parts[0]
@@ -204,8 +205,9 @@ def stability(df: DataFrame, features: list[str], label: str, group: str, replic
     """Mean and spread of each feature's position over resamples of groups, and how often it is
     among the first ``top``. A group drawn several times weighs as much; models of all resamples are held
     against their rows in one pass."""
-    named = df.where(F.col(label).isNotNull())
-    draws = bootstrap_groups(df.select(group), group, replicates, settings.seed).select(group, "replicate", F.col("times").cast("double").alias("_times"))
+    every = written(df.select(group, *[F.col(f).cast("double").alias(f) for f in features], label), "rows")  # features are worked out once for all fits
+    named = every.where(F.col(label).isNotNull())
+    draws = written(bootstrap_groups(every.select(group), group, replicates, settings.seed).select(group, "replicate", F.col("times").cast("double").alias("_times")), "draws")
     drawn = named.join(draws, group)
     fitted = _beside(df.sparkSession, settings, lambda i: fit(drawn.where(F.col("replicate") == i), features, label, settings, "_times", group).leaves, replicates)
 
