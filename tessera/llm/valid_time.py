@@ -30,8 +30,8 @@ DAY = 86_400_000_000
 HOT_SHARE = 1 / 200
 #: ... and more than so many.
 HOT_ROWS = 1000
-#: Rows of all batches that a slot is made for.
-SLOT_ROWS = 200_000
+#: Rows of all batches that a slot is made for, and those of a part of the feed and of the state.
+SLOT_ROWS, PART_ROWS = 200_000, 2_000_000
 NEVER = -(1 << 62)
 
 FEED = "slot bigint, kind int, batch int, client bigint, page bigint, at bigint, id bigint, cents bigint, op string, n bigint, first bigint"
@@ -286,7 +286,8 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, f
     total, hot = by_client.agg(F.sum("rows")).first()[0] or 0, []
     if total:  # at most 1 / hot_share clients
         hot = [(i, r.client, r.rows) for i, r in enumerate(by_client.where((F.col("rows") > total * hot_share) & F.col("client").isNotNull() & (F.col("rows") > hot_rows)).orderBy("client").collect())]
-    plain = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SLOT_ROWS))
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // PART_ROWS))
+    plain = max(4 * parts, -(-total // SLOT_ROWS))
     lanes = max(16, int(max((r for *_, r in hot), default=0) / batches) ** 0.5 // 4)
     lanes, width = int(lanes), int(-(-days * DAY // batches) // int(lanes)) + 1
     lanes_of_hot = spark.createDataFrame([(c, i) for i, c, _ in hot], "client bigint, hot int")
@@ -314,10 +315,10 @@ def enrich_sales(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, f
         return df.select(*[(F.coalesce(value[c].cast(t), F.lit(NEVER)) if t == "bigint" else value[c].cast(t)).alias(c) for c, t in names.items()])
 
     feed = full(dealt(sold, F.col("id")), SALE).unionByName(full(placed, VERSION)).unionByName(full(told, HEAD)).unionByName(full(ticks, TICK))
-    feed.write.partitionBy("batch").parquet(f"{root}/staged")
+    feed.coalesce(parts).write.partitionBy("batch").parquet(f"{root}/staged")  # each part writes a file a batch
     drop_written(versions)
 
-    session = stream_session(spark)
+    session = stream_session(spark, parts)
     for b in range(batches + 1):
         publish(spark, f"{root}/staged/batch={b}", f"{root}/feed/batch={b}")
         rows = session.readStream.schema(FEED).parquet(f"{root}/feed")
@@ -337,18 +338,20 @@ def with_told(out: DataFrame) -> DataFrame:
     return rows.select("rec", "id", "batch", (F.col("n_held") - F.coalesce("less", F.lit(0))).alias("n_held"), "change_id", "balance_cents", "op")
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
+def stream_session(spark: SparkSession, parts: int) -> SparkSession:
     """A session of its own with the state store that map states need; the caller's settings stay as they are."""
     session = spark.newSession()
-    keep = ["spark.sql.shuffle.partitions", "spark.sql.session.timeZone"]
     store = "spark.sql.streaming.stateStore."
-    settings = {k: spark.conf.get(k) for k in keep if spark.conf.get(k, None)} | {
+    settings = {
+        "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.streaming.minBatchesToRetain": "2",
         store + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         store + "rocksdb.changelogCheckpointing.enabled": "true",
         store + "rocksdb.boundedMemoryUsage": "true",
         store + "rocksdb.maxMemoryUsageMB": "200",
         store + "rocksdb.writeBufferSizeMB": "4",
-        store + "maintenanceInterval": "10s",
+        store + "unloadOnCommit": "true",  # a start feeds one batch, so nothing is gained by open stores
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
         store + "minDeltasForSnapshot": "1000",  # a run has few batches, and its state goes with it
     }
