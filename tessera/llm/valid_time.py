@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from .common import drop_written, new_path, remove_path, written
+from .common import drop_written, give_back, new_path, remove_path, small_batches, written
 
 BATCHES, FIRST_DAY, DAYS = 12, 19723, 152
 DAY = 86_400_000_000
@@ -105,7 +105,7 @@ class Slot(StatefulProcessor):
         self.sales = handle.getMapState("sales", "page bigint", "rows binary")
 
     def close(self) -> None:
-        pass
+        give_back()
 
     def handleInputRows(self, key, rows, timerValues):
         slot = key[0]
@@ -348,8 +348,6 @@ def stream_session(spark: SparkSession, parts: int) -> SparkSession:
         "spark.sql.streaming.minBatchesToRetain": "2",
         store + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         store + "rocksdb.changelogCheckpointing.enabled": "true",
-        store + "rocksdb.boundedMemoryUsage": "true",
-        store + "rocksdb.maxMemoryUsageMB": "200",
         store + "rocksdb.writeBufferSizeMB": "4",
         store + "unloadOnCommit": "true",  # a start feeds one batch, so nothing is gained by open stores
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
@@ -357,6 +355,7 @@ def stream_session(spark: SparkSession, parts: int) -> SparkSession:
     }
     for k, v in settings.items():
         session.conf.set(k, v)
+    small_batches(session)
     return session
 
 
