@@ -10,7 +10,7 @@ from ..functions.text import draw
 from ..functions.vectors import unit
 from .bounds import MOST_ROWS, small
 from .nearness import nearest  # noqa: F401
-from .overlaps import SIDES, apart, overlapping
+from .overlaps import SIDES, apart, crowds, listed, overlapping
 
 
 MOST_SEEDS = 64  # maxima that one aggregate keeps side by side
@@ -120,42 +120,67 @@ def centroid(vectors: DataFrame, vector_col: str) -> DataFrame:
     return whole.select(unit("c").alias("centroid"))
 
 
-def greedy_match(predictions: DataFrame, truth: DataFrame, scene: str = "scene", least: float = 0.5) -> DataFrame:
-    """One-to-one matches within a scene: objects in their order each take the unused
-    prediction of highest confidence (then by x0, y0, x1, y1) that overlaps them enough: scene, idx, detected.
-
-    Spark joins the pairs that overlap and cuts each scene in parts that share no box; a task goes through
-    its parts' pairs in order and remembers the predictions taken in the part at hand."""
-    # equal predictions are told apart by a number among them
-    own = Window.partitionBy(scene, "conf", *SIDES).orderBy("conf")
-    p = predictions.select(scene, "conf", *SIDES).withColumn("n", F.row_number().over(own))
-    order = [f"_{c}" for c in (*SIDES, "n")]
-    pairs = apart(overlapping(truth.select(scene, F.col("idx").cast("bigint").alias("idx"), *SIDES), p, scene, least).where("_iou is not null"), scene)
-    pairs = pairs.select(scene, F.col("_part._px").alias("_px"), F.col("_part._py").alias("_py"), "idx", "_conf", *order)
+def greedy_match(predictions: DataFrame, truth: DataFrame, scene: str | list[str] = "scene", least: float = 0.5, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """One-to-one matches within a scene (one column or several): objects in their order each take the unused
+    prediction of highest confidence (then by x0, y0, x1, y1) that overlaps them enough: scene, idx, ``keep`` of the objects, detected.
+
+    Spark joins the pairs that overlap; a task goes through them in order and remembers the predictions taken in the scene at
+    hand. Where some scene is busy, scenes are cut in parts that share no box first; otherwise objects
+    and predictions move once, by scene. ``idx`` numbers the objects of a scene."""
+    keys = listed(scene)
+    # equal predictions are told apart by a number; which of them is taken makes no difference
+    p = predictions.select(*keys, "conf", *SIDES).withColumn("n", F.monotonically_increasing_id())
+    t = truth.select(*keys, F.col("idx").cast("bigint").alias("idx"), *keep, *[c for c in SIDES if c not in keep])
+    busy = crowds(t.select(*keys).unionByName(p.select(*keys)), keys)
+    pairs = overlapping(t, p, keys, least, within=busy)
+    own = [*keys, "idx", *keep]
+    place = keys
+    if busy is not None:
+        pairs, place = apart(pairs.where("_iou is not null"), keys).select("*", "_part.*"), [*keys, "_px", "_py"]
+    order = Window.partitionBy(*place).orderBy("idx", F.desc("_conf"), *[f"_{c}" for c in SIDES], "_n")
 
     def take(batches):
-        view, last, used = object(), None, set()
-        names = [scene, "_px", "_py", "idx", "_conf", *order]
+        last, done, used, first, held = None, True, set(), None, None
         for batch in batches:
-            scenes, idx = [], []
-            for s, px, py, i, *which in zip(*(batch.column(c).to_pylist() for c in names)):
-                if (s, px, py) != view:
-                    view, last, used = (s, px, py), None, set()
-                if i != last and (which := tuple(which)) not in used:
-                    used.add(which)
-                    last = i
-                    scenes.append(s)
-                    idx.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(scenes, batch.schema.field(scene).type), pa.array(idx, pa.int64())], names=[scene, "idx"])
-
-    sorts = [scene, "_px", "_py", "idx", F.desc("_conf"), *order]
-    taken = pairs.repartition(scene, "_px", "_py").sortWithinPartitions(*sorts).mapInArrow(take, f"{scene} {dict(truth.dtypes)[scene]}, idx bigint")
-    return truth.select(scene, F.col("idx").cast("bigint").alias("idx")).join(taken.withColumn("_taken", F.lit(True)), [scene, "idx"], "left").select(scene, "idx", F.coalesce("_taken", F.lit(False)).alias("detected"))
-
-
-def best_match(boxes: DataFrame, candidates: DataFrame, key: list[str], idx: str, scene: str = "scene", least: float = 0.5) -> DataFrame:
-    """Per box the candidate of its scene that overlaps it most (the smallest ``idx`` of equals), if enough; else null."""
-    pairs = overlapping(boxes, candidates.select(scene, F.col(idx).alias("idx"), *SIDES), scene, least)
+            some, at, hit = batch.select(own), [], []
+            before = []
+            for row, (turn, i, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_turn", "idx", "_n")))):
+                if turn == 1 or i != last:
+                    if not done and first is None:
+                        before.append(held)
+                    elif not done:
+                        at.append(first)
+                        hit.append(False)
+                    if turn == 1:
+                        used = set()
+                    last, done, first = i, n is None, row
+                    if done:
+                        at.append(row)
+                        hit.append(False)
+                if not done and n not in used:
+                    used.add(n)
+                    done = True
+                    at.append(row)
+                    hit.append(True)
+            if not done and first is not None:
+                held, first = some.slice(first, 1), None
+            for found, what in [*((h, [False]) for h in before), (some.take(pa.array(at, pa.int64())), hit)]:
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.array(what, pa.bool_())], names=[*own, "detected"])
+        if not done:
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([False], pa.bool_())], names=[*own, "detected"])
+
+    types = dict(t.dtypes)
+    rows = pairs.withColumn("_turn", F.row_number().over(order)).select(*own, "_turn", "_n")
+    found = rows.mapInArrow(take, ", ".join(f"`{c}` {types[c]}" for c in own) + ", detected boolean")
+    if busy is None:
+        return found
+    taken = found.where("detected").select(*keys, "idx", F.lit(True).alias("_taken"))
+    return t.join(taken, [*keys, "idx"], "left").select(*own, F.coalesce("_taken", F.lit(False)).alias("detected"))
+
+
+def best_match(boxes: DataFrame, candidates: DataFrame, key: list[str], idx: str, scene: str | list[str] = "scene", least: float = 0.5) -> DataFrame:
+    """Per box the candidate of its scene (one column or several) that overlaps it most (the smallest ``idx`` of equals), if enough; else null."""
+    pairs = overlapping(boxes, candidates.select(*listed(scene), F.col(idx).alias("idx"), *SIDES), scene, least)
     best = F.max(F.when(F.col("_iou").isNotNull(), F.struct("_iou", (-F.col("_idx")).alias("_minus")))).alias("_best")
     return pairs.groupBy(*key).agg(best).select(*key, (-F.col("_best._minus")).alias("match"), F.col("_best._iou").alias("overlap"))
 

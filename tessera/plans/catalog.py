@@ -172,10 +172,9 @@ m AS (SELECT *, max(o) OVER (PARTITION BY scene, seed, partkey, suppkey, line, w
 SELECT scene, seed, partkey, suppkey, line, w, price, source, min(id) FILTER (o >= 0.5 AND o = most) AS match, round(max(o) FILTER (o >= 0.5), 6) AS overlap FROM m GROUP BY scene, seed, partkey, suppkey, line, w, price, shipped, source""")
 def best_match(db: Tables) -> DataFrame:
     """Of every detector the detection that overlaps a box most."""
-    name = F.concat_ws("/", "scene", "seed").alias("view")
-    d = detections(db).select("*", (F.col("x0") * 1000 + F.col("y0") * 10).cast("bigint").alias("id"), name)
-    b = boxes(db).select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("seed")).select("*", name)
-    return rounded(joins.best_match(b, d, ["view", "seed", *BOX], "id", "view").drop("shipped", "view"), "overlap")
+    d = detections(db).select("*", (F.col("x0") * 1000 + F.col("y0") * 10).cast("bigint").alias("id"))
+    b = boxes(db).select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("seed"))
+    return rounded(joins.best_match(b, d, ["seed", *BOX], "id", ["scene", "seed"]).drop("shipped"), "overlap")
 
 
 def pick_pool(db: Tables) -> DataFrame:

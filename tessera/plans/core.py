@@ -11,14 +11,15 @@ from ..functions.vectors import dot, unit
 from ..operators import aggregates as agg
 from ..operators import catalogs as cat
 from ..operators import gates, joins, sampling, windows
+from ..operators.bounds import dealt
 from .registry import Tables, query
 
 BOX = ["scene", "source", "partkey", "suppkey", "line", "w", "price", "shipped"]
 
 
 def boxes(db: Tables) -> DataFrame:
-    """Line items as boxes: an order is a scene, a return flag a source."""
-    return db.lineitem.select(
+    """Line items as boxes: an order is a scene, a return flag a source. They are dealt by scene."""
+    return dealt(db.lineitem, db.lineitem.count(), "l_orderkey").select(
         F.col("l_orderkey").alias("scene"), F.col("l_returnflag").alias("source"), F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), F.col("l_linenumber").alias("line"),
         F.col("l_quantity").alias("w"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("shipped"),
         (F.col("l_partkey") % 100).cast("double").alias("x0"), (F.col("l_suppkey") % 50).cast("double").alias("y0"),
@@ -27,8 +28,8 @@ def boxes(db: Tables) -> DataFrame:
 
 
 def detections(db: Tables) -> DataFrame:
-    """The same boxes as three detectors see them, moved a little."""
-    d = db.lineitem.select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("seed"))
+    """The same boxes as three detectors see them, moved a little. They are dealt by scene before they are three."""
+    d = dealt(db.lineitem, db.lineitem.count(), "l_orderkey").select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("seed"))
     shift = (F.col("l_suppkey") + F.col("seed")) % 5
     x0 = (F.col("l_partkey") % 100 + shift).cast("double")
     return d.select(F.col("l_orderkey").alias("scene"), "seed", x0.alias("x0"), (F.col("l_suppkey") % 50).cast("double").alias("y0"), (x0 + F.col("l_quantity")).alias("x1"), (F.col("l_suppkey") % 50 + F.col("l_quantity") / 2).alias("y1"), (F.col("l_discount") * 10).alias("conf"))
@@ -368,13 +369,10 @@ m AS (SELECT scene, seed, idx, fits[1] AS pick, list_filter([fits[1]], lambda x:
  UNION ALL SELECT e.scene, e.seed, e.idx, list_filter(e.fits, lambda x: NOT list_contains(m.used, x))[1] AS pick, list_concat(m.used, list_filter([list_filter(e.fits, lambda x: NOT list_contains(m.used, x))[1]], lambda x: x IS NOT NULL)) AS used FROM m JOIN e ON e.scene = m.scene AND e.seed = m.seed AND e.idx = m.idx + 1)"""
 
 
-def detected(db: Tables, truth: DataFrame) -> DataFrame:
-    """scene, seed, idx and whether each detector finds the object, one to one within a scene."""
-    name = F.concat_ws("/", "scene", "seed").alias("view")
-    seeds = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("seed")
-    views = truth.select("*", seeds).select("*", name)
-    found = joins.greedy_match(detections(db).select("*", name), views.select("view", "idx", "x0", "y0", "x1", "y1"), "view")
-    return views.select("scene", "seed", "idx", "view").join(found, ["view", "idx"]).drop("view")
+def detected(db: Tables, truth: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """scene, seed, idx, ``keep`` and whether each detector finds the object, one to one within a scene."""
+    views = truth.select("*", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("seed"))
+    return joins.greedy_match(detections(db), views, ["scene", "seed"], keep=keep)
 
 
 def numbered_boxes(rows: DataFrame) -> DataFrame:
@@ -392,8 +390,7 @@ def greedy_recall(db: Tables) -> DataFrame:
 def recall_by_size(db: Tables) -> DataFrame:
     """Greedy one-to-one recall of each detector on small and other boxes."""
     truth = numbered_boxes(cat.truth_boxes(boxes(db).withColumn("width", F.lit(640)).withColumn("height", F.lit(480)), 256.0))
-    rows = truth.select("scene", "idx", "small").join(detected(db, truth), ["scene", "idx"])
-    return rows.groupBy("seed", "small").agg(F.count("*").alias("n"), F.round(F.avg(F.col("detected").cast("int")), 6).alias("recall"))
+    return detected(db, truth, ["small"]).groupBy("seed", "small").agg(F.count("*").alias("n"), F.round(F.avg(F.col("detected").cast("int")), 6).alias("recall"))
 
 
 @query("WITH p AS (SELECT s_suppkey, p_partkey, " + DRAW_SQL.format("'13:' || s_suppkey || ':' || k") + " % (SELECT count(*) FROM part) AS row, k FROM supplier, (SELECT unnest(range(4)) AS k), (SELECT 0 AS p_partkey)), n AS (SELECT p_partkey, row_number() OVER (ORDER BY " + DRAW_SQL.format("'13:' || p_partkey") + " % 256, p_partkey) - 1 AS row FROM part) SELECT p.s_suppkey, p.k::INT AS variation, n.p_partkey FROM p JOIN n ON n.row = p.row")

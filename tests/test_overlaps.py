@@ -94,3 +94,41 @@ def test_parts_of_a_scene_are_matched_apart(spark):
         pairs = pairs.withColumn(c, F.col(k) + 10)
     pairs = pairs.withColumn("_x0", F.col("x0") + 1).withColumn("_y0", F.col("y0") + 1)
     assert overlaps.apart(pairs, "scene").select("_part").distinct().count() == 900
+
+
+def exchanges(df, spark):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line]
+
+
+def test_dealt_tables_meet_without_another_shuffle(spark, tmp_path):
+    """Where no scene is busy, objects and predictions that are dealt by scene stay where they are."""
+    rnd = random.Random(5)
+    boxes = spark.createDataFrame([(s, i, *b) for s in range(40) for i, b in enumerate(scene(rnd, 6, 6.0))], BOX.replace("id int", "idx int"))
+    seeds = F.explode(F.array(F.lit(0), F.lit(1))).alias("seed")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        truth, found = (boxes.repartition("scene").select("*", seeds).withColumn("conf", F.lit(0.5)) for _ in range(2))
+        for df in (joins.greedy_match(found, truth, ["scene", "seed"], keep=["x1"]), joins.best_match(truth, found, ["scene", "seed", "idx"], "idx", ["scene", "seed"]), joins.best_overlap(boxes.repartition("scene"), found, ["scene", "idx"])):
+            assert len(exchanges(df, spark)) == 2 and df.count() in (boxes.count(), 2 * boxes.count())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_objects_without_a_free_prediction_are_rows_too(spark, batch):
+    """Also where an object's pairs lie in several batches of rows, and where the last one finds all its predictions taken."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        truth = spark.createDataFrame([(s, i, 0.0, 0.0, 10.0, 10.0) for s in (1, 2, None) for i in range(4)], BOX.replace("id int", "idx int"))
+        found = spark.createDataFrame([(s, c, 0.0, 0.0, 10.0, 10.0) for s in (1, 2, None) for c in (0.5, 0.5, 0.9)], "scene int, conf double, x0 double, y0 double, x1 double, y1 double")
+        got = sorted((r.scene or 0, r.idx, r.x1, r.detected) for r in joins.greedy_match(found, truth, keep=["x1"]).collect())
+        assert got == [(s, i, 10.0, s > 0 and i < 3) for s in (0, 1, 2) for i in range(4)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_busy_scenes_are_matched_like_others(spark, monkeypatch):
+    monkeypatch.setattr(overlaps.crowds, "__defaults__", ("scene", 5))
+    for seed in range(2):
+        test_greedy_matches_equal_the_loop(spark, seed)
+    test_objects_without_a_free_prediction_are_rows_too(spark, 100)
