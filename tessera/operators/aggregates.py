@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,17 +72,36 @@ def residuals(df: DataFrame, x: Column, y: Column, keep: list[str]) -> DataFrame
 SCALES = ("matched", "shrunk", "enlarged")
 
 
+#: Pool groups of a design that a box's row holds side by side.
+MOST_GROUPS = 256
+
+
 def cell_counts(boxes: DataFrame, counts: DataFrame, box_key: list[str], group: list[str], levels: dict[str, list], scales: tuple[str, ...] = SCALES) -> DataFrame:
-    """Members for every box, pool group and scale: a row each, 0 where the pool has none.
+    """Members for every box, pool group and scale: a row each, 0 where the pool has none, and ``fewest``, the least of a box's cells.
 
     ``counts`` is what ``range_counts`` gives; ``levels`` names the values that each column of the pool group
-    has by design, so a group that the pool lacks counts too."""
-    grid = boxes.select(*box_key).distinct()
-    for column in group:
-        grid = grid.withColumn(column, F.explode(F.array(*map(F.lit, levels[column]))))
-    full = grid.join(counts, [*box_key, *group], "left")
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scale"), F.coalesce(f"n_{s}", F.lit(0)).cast("bigint").alias("n")) for s in scales])).alias("x")
-    return full.select(*box_key, *group, each).select(*box_key, *group, "x.scale", "x.n")
+    has by design, so a group that the pool lacks counts too. Of a box that has several counts the fewest count. Counts that are
+    dealt by the box's key stay where they are: what is shuffled is the boxes' keys alone."""
+    cells = list(product(*(levels[c] for c in group)))
+    if len(cells) > MOST_GROUPS:
+        raise ValueError(f"a design of more than {MOST_GROUPS} pool groups")
+
+    def of(cell) -> Column:
+        same = F.lit(True)
+        for c, v in zip(group, cell):
+            same = same & (F.col(c) == F.lit(v))
+        return same
+
+    kinds = [(cell, s, f"_n{i}_{s}") for i, cell in enumerate(cells) for s in scales]
+    per_box = counts.groupBy(*[F.col(k).alias(f"_{k}") for k in box_key]).agg(*[F.min(F.when(of(cell), F.col(f"n_{s}"))).alias(n) for cell, s, n in kinds])
+    keys = boxes.select(*box_key).distinct()
+    same = F.lit(True)
+    for k in box_key:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    n = {name: F.coalesce(name, F.lit(0)).cast("bigint") for _, _, name in kinds}
+    fewest = F.least(*n.values()) if len(n) > 1 else next(iter(n.values()))
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(group, cell)], F.lit(s).alias("scale"), n[name].alias("n")) for cell, s, name in kinds])).alias("x")
+    return keys.join(per_box, same, "left").withColumn("fewest", fewest).select(*box_key, "fewest", each).select(*box_key, "x.*", "fewest")
 
 
 def feasible(cells: DataFrame, box_key: list[str], least: int) -> DataFrame:
@@ -97,8 +118,7 @@ def feasible_by_cell(cells: DataFrame, box_key: list[str], source: str, cell: li
 
 def bottlenecks(cells: DataFrame, box_key: list[str], source: str, cell: list[str], least: int) -> DataFrame:
     """Per cell and source the fewest members among the boxes that are feasible in all cells; 0 without any."""
-    ok = feasible(cells, box_key, least).where("feasible").select(*box_key, F.lit(True).alias("_ok"))
-    n = cells.join(ok, box_key, "left").groupBy(*cell, source).agg(F.min(F.when(F.col("_ok"), F.col("n"))).alias("n"))
+    n = cells.groupBy(*cell, source).agg(F.min(F.when(F.col("fewest") >= least, F.col("n"))).alias("n"))
     return n.select(*cell, source, F.coalesce("n", F.lit(0)).cast("bigint").alias("bottleneck"))
 
 

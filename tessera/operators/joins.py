@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import draw
 from ..functions.vectors import unit
-from .bounds import MOST_ROWS, small
+from .bounds import MOST_ROWS, dealt, small
 from .nearness import nearest  # noqa: F401
 from .overlaps import SIDES, apart, crowds, listed, overlapping
 
 
+MOST_GROUPS = 64  # sums that a row carries side by side
 MOST_SEEDS = 64  # maxima that one aggregate keeps side by side
 
 
@@ -38,8 +39,51 @@ def range_counts(boxes: DataFrame, pool: DataFrame, box_key: list[str], group: l
     """Per box and pool group the number of pool members in [A/2, 2A], over 2A and under A/2.
 
     Members are counted by distinct area and the counts summed up along it, so nothing pairs
-    boxes with members. A box's two bounds are looked up in the same order of areas."""
-    members = pool.select(*group, F.col(pool_area).alias("at")).groupBy(*group, "at").agg(F.count("*").alias("n"))
+    boxes with members. A box's two bounds are looked up in the same order of areas: two rows, with the sums of up to
+    MOST_GROUPS groups beside one another. The result is dealt by the box's key. Boxes without an area have no row,
+    members without one are over every range."""
+    known = pool.where(" and ".join(f"`{c}` is not null" for c in group)).groupBy(*group).agg(F.count("*").alias("_n")).limit(MOST_GROUPS + 1).collect()
+    if not 0 < len(known) <= MOST_GROUPS:
+        return _range_counts_by_group(boxes, pool, box_key, group, area, pool_area)
+    value = {c: lambda x, c=c: F.lit(x[c]).cast(pool.schema[c].dataType) for c in group}
+    names, at = [f"_n{i}" for i in range(len(known))], F.col("_at")
+
+    def of(x) -> Column:
+        same = F.lit(True)
+        for c in group:
+            same = same & (F.col(c) == value[c](x))
+        return F.count(F.when(same, 1))
+
+    # Sums run within slices of the range of areas, on top of the totals of earlier slices: no group is one task.
+    part = F.when(F.isnan(at), 1 << 40).otherwise(F.floor(F.log2(F.greatest(at, F.lit(1e-9))) * 64)).cast("bigint").alias("_slice")
+    members = pool.where(F.col(pool_area).isNotNull()).select(*group, F.col(pool_area).cast("double").alias("_at")).select(*group, "_at", part)
+    keys = [f"_k{i}" for i in range(len(box_key))]
+    box = boxes.where(F.col(area).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(box_key, keys)], F.col(area).cast("double").alias("_a"))
+    ends = F.explode(F.array(*[F.struct(F.lit(turn).alias("turn"), c.alias("at")) for turn, c in ((0, F.col("_a") / 2), (2, F.col("_a") * 2))])).alias("_x")
+    asks = box.select(*keys, "_a", ends).select(*keys, "_a", F.col("_x.turn").alias("_turn"), F.col("_x.at").alias("_at")).select("*", part)
+    per_slice = members.groupBy("_slice").agg(*[of(x).alias(n) for x, n in zip(known, names)]).unionByName(asks.select("_slice").distinct(), allowMissingColumns=True)
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    base = per_slice.groupBy("_slice").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).select("_slice", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b{n}") for n in names])
+    areas = members.groupBy("_slice", "_at").agg(*[of(x).alias(n) for x, n in zip(known, names)]).withColumn("_turn", F.lit(1))
+    inside = Window.partitionBy("_slice").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = areas.unionByName(asks, allowMissingColumns=True).select(*keys, "_a", "_turn", "_slice", "_at", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    summed = marks.select(*keys, "_a", "_turn", "_slice", *[F.sum(n).over(inside).alias(n) for n in names]).where("_turn != 1")
+    found = summed.join(small(base), "_slice").select(*keys, "_a", "_turn", *[(F.col(n) + F.col(f"_b{n}")).alias(n) for n in names])
+    end = lambda n, turn: F.max(F.when(F.col("_turn") == turn, F.col(n)))
+    both = [c for n in names for c in (end(n, 0).alias(f"{n}_lo"), end(n, 2).alias(f"{n}_hi"))]
+    met = dealt(found, box.count() * 2, *keys).groupBy(*keys, "_a").agg(*both, F.count(F.when(F.col("_turn") == 0, 1)).cast("int").alias("_times"))
+    each = [
+        F.struct(*[value[c](x).alias(c) for c in group], (F.col(f"{n}_hi") - F.col(f"{n}_lo")).alias("n_matched"), (F.lit(x["_n"]) - F.col(f"{n}_hi")).alias("n_shrunk"), F.col(f"{n}_lo").alias("n_enlarged"))
+        for x, n in zip(known, names)
+    ]
+    # equal rows of boxes have a row each
+    rows = met.select(*[F.col(k).alias(c) for c, k in zip(box_key, keys)], F.explode(F.flatten(F.array_repeat(F.array(*each), F.col("_times")))).alias("_x"))
+    return rows.select(*box_key, "_x.*")
+
+
+def _range_counts_by_group(boxes: DataFrame, pool: DataFrame, box_key: list[str], group: list[str], area: str, pool_area: str) -> DataFrame:
+    """The same for many groups: a box's bounds are rows for each group."""
+    members = pool.where(F.col(pool_area).isNotNull()).select(*group, F.col(pool_area).alias("at")).groupBy(*group, "at").agg(F.count("*").alias("n"))
     groups = pool.select(*group).distinct()
     asks = boxes.select(F.col(area).alias("a")).distinct().crossJoin(small(groups))
     marks = (
