@@ -15,7 +15,7 @@ def small(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
 
 
 #: Rows of a part that is dealt by a key, at most on average.
-PART_ROWS = 500_000
+PART_ROWS = 250_000
 
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:

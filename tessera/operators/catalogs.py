@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.text import quality_reason
+from .bounds import MOST_ROWS, dealt
 from .gates import Refused
 
 
@@ -57,7 +58,14 @@ def extraction_manifest(boxes: DataFrame, images: DataFrame, image: str = "image
     ``boxes`` has the image, box_index and x0..y1; ``images`` the image, width and height. ``stated`` names the columns
     of the size that an annotation states; ``size_agrees`` then says whether it is the image's (null if it
     states none or there is no image)."""
-    rows = boxes.join(images.select(image, "width", "height"), image, "left")
+    sizes = images.select(image, "width", "height")
+    if sizes.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
+        rows = boxes.join(F.broadcast(sizes), image, "left")
+    else:
+        # Dealt for the number of boxes, so that what a task sorts doesn't grow with them. Images whose rows pack into few bytes
+        # would be sent to every task by their bytes alone, however many they are: a merge isn't changed to that.
+        n = boxes.count()
+        rows = dealt(boxes, n, image).join(dealt(sizes, n, image).hint("merge"), image, "left")
     *box, state = g.clipped(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "width", "height")])
     agrees = [] if stated is None else [sizes_agree("width", "height", *stated).alias("size_agrees")]
     found = rows.where("width is not null and box_index >= 0").select(image, "box_index", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"))], state.alias("status"), *agrees)

@@ -182,3 +182,14 @@ def test_range_counts_of_odd_rows_and_with_few_shuffles(spark):
     plan = aggregates.cell_counts(boxes, joins.range_counts(boxes, pool, ["box"], ["source"]), ["box"], ["source"], {"source": ["a", "b", "c"]}).groupBy("box").agg(F.min("n").alias("n"))
     assert sum("Exchange hashpartitioning" in line and "box" in line for line in plan._jdf.queryExecution().executedPlan().toString().split("\n")) <= 1  # the boxes' keys
     assert {r.box: r.n for r in plan.collect()} == {1: 0, 2: 0, 3: 0, 4: 0, None: 0}
+
+
+def test_manifest_of_many_boxes_is_dealt_by_their_number(spark, monkeypatch):
+    from tessera.operators import bounds
+
+    monkeypatch.setattr(bounds, "PART_ROWS", 10)
+    monkeypatch.setattr(cat, "MOST_ROWS", 30)
+    b = spark.range(200).select((F.col("id") % 50).alias("image"), F.col("id").alias("box_index"), *[F.lit(i).alias(c) for i, c in ((0, "x0"), (0, "y0"), (4, "x1"), (4, "y1"))])
+    m = cat.extraction_manifest(b, spark.range(40).select(F.col("id").alias("image"), F.lit(9).alias("width"), F.lit(9).alias("height")))
+    assert "hashpartitioning(image" in (plan := m._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert m.groupBy("status").count().orderBy("status").collect() == [("image missing", 10), ("ok", 160)]
