@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import yolo_to_pixels
 from ..functions.text import file_stem
+from ..operators.bounds import dealt, small
 from . import annotations
 
 
@@ -53,7 +54,9 @@ def box_csv(spark: SparkSession, path: str) -> DataFrame:
     box, and box_index: the place, from 0, among the rows of the file name in the order they are written."""
     rows = spark.read.schema("filename string, width int, height int, class string, xmin int, xmax int, ymin int, ymax int").csv(path, header=True)
     rows = rows.withColumn("consistent", (F.col("width") == F.col("xmax") - F.col("xmin")) & (F.col("height") == F.col("ymax") - F.col("ymin")))
-    # ids grow along each file; files follow one another by name
-    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
-    w = Window.partitionBy("filename").orderBy("_file", "_block", "_row")
-    return placed.withColumn("box_index", F.row_number().over(w) - 1).drop("_file", "_block", "_row")
+    # ids grow along each file; files follow one another by name, of which rows carry the place alone
+    names = rows.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    places = small(names.withColumn("_place", F.row_number().over(Window.orderBy("_file"))))  # a row a file
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")).join(places, "_file").drop("_file")
+    w = Window.partitionBy("filename").orderBy("_place", "_block", "_row")
+    return dealt(placed, rows.count(), "filename").withColumn("box_index", F.row_number().over(w) - 1).drop("_place", "_block", "_row")

@@ -28,3 +28,19 @@ def test_places_of_csv_boxes(spark, tmp_path):
     (tmp_path / "a.csv").write_text(head + "x,1,1,s,5,6,0,1\ny,1,1,s,0,1,0,1\nx,1,1,s,3,4,0,1\nx,1,1,s,1,2,0,1\n")
     rows = labels.box_csv(spark, str(tmp_path / "a.csv")).collect()
     assert sorted((r.filename, r.box_index, r.xmin) for r in rows) == [("x", 0, 5), ("x", 1, 3), ("x", 2, 1), ("y", 0, 0)]
+
+
+def test_box_csv_of_many_rows_is_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Rows carry the place of their file, not its name, and are numbered in parts of bounded size."""
+    from tessera.operators import bounds
+
+    monkeypatch.setattr(bounds, "PART_ROWS", 10)
+    at = str(tmp_path / "many")
+    for i in range(2):
+        rows = spark.range(100).selectExpr("concat('f', id % 5) filename", "1 width", "1 height", "'c' class", f"{i} xmin", "cast(id as int) xmax", "0 ymin", "1 ymax").coalesce(1)
+        rows.write.option("header", True).csv(f"{at}/{i}")
+    got = labels.box_csv(spark, f"{at}/*")
+    exchange = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(filename" in x]
+    assert len(exchange) == 1 and ", 20), REPARTITION_BY_NUM" in exchange[0]
+    first = sorted((r.box_index, r.xmin, r.xmax) for r in got.where("filename = 'f0'").collect())
+    assert first == [(k, k // 20, 5 * (k % 20)) for k in range(40)]
