@@ -237,13 +237,24 @@ def replication(first: DataFrame, second: DataFrame, name: str = "contrast") ->
     return a.join(b, name).withColumn("replicates", F.col("verdict_1").eqNullSafe(F.col("verdict_2")))
 
 
-def numbered(pool: DataFrame, group: list[str], area: str, key: str, seed: int, pieces: int = 64) -> DataFrame:
-    """Adds ``position``, from 0 along the area in each group. Members of one area are dealt to
-    pieces, whose counts are summed up in slices of the range: neither a group nor an area is one task."""
+def numbered(pool: DataFrame, group: list[str], area: str, key: str, seed: int, pieces: int = 64, most: int = 1_000_000) -> DataFrame:
+    """Adds ``position``, from 0 along the area in each group (of one area by piece, then key): by sorting slices of the range, as long as none
+    has more than ``most`` members. Otherwise members of one area are dealt to
+    pieces, whose counts are summed up in slices: neither a group nor an area is one task."""
+    pool = pool.where(F.col(area).isNotNull())  # as in range_counts, which counts none of them below a range
     rows = pool.withColumn("_piece", draw(seed, F.col(key).cast("string")) % pieces)
-    n = rows.groupBy(*group, area, "_piece").agg(F.count("*").alias("_n")).withColumn("_slice", F.floor(F.log2(F.greatest(F.col(area), F.lit(1e-9))) * 16).cast("bigint"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = n.groupBy(*group, "_slice").agg(F.sum("_n").alias("_s")).select(*group, "_slice", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    start_of = lambda n: n.select(*group, "_slice", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    slice_of = lambda k: F.when(F.isnan(F.col(area)), 1 << 40).otherwise(F.floor(F.log2(F.greatest(F.col(area), F.lit(1e-9))) * k)).cast("bigint").alias("_slice")
+    narrow = slice_of(256)
+    per_slice = small(pool.groupBy(*group, narrow).agg(F.count("*").alias("_s")))  # a row a slice
+    if (per_slice.agg(F.max("_s")).first()[0] or 0) <= most:
+        # a slice is sorted in one task, and rows move once
+        inside = Window.partitionBy(*group, "_slice").orderBy(area, "_piece", key)
+        placed = rows.withColumn("_slice", narrow).withColumn("_place", F.row_number().over(inside) - 1)
+        return placed.join(small(start_of(per_slice)), [*group, "_slice"]).withColumn("position", F.col("_base") + F.col("_place")).drop("_piece", "_slice", "_place", "_base")
+    n = rows.groupBy(*group, area, "_piece").agg(F.count("*").alias("_n")).withColumn("_slice", slice_of(16))
+    base = start_of(n.groupBy(*group, "_slice").agg(F.sum("_n").alias("_s")))
     inside = Window.partitionBy(*group, "_slice").orderBy(area, "_piece").rowsBetween(Window.unboundedPreceding, -1)
     start = n.join(base, [*group, "_slice"]).select(*group, area, "_piece", (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_start"))
     place = F.row_number().over(Window.partitionBy(*group, area, "_piece").orderBy(key)) - 1

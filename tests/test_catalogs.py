@@ -184,6 +184,23 @@ def test_range_counts_of_odd_rows_and_with_few_shuffles(spark):
     assert {r.box: r.n for r in plan.collect()} == {1: 0, 2: 0, 3: 0, 4: 0, None: 0}
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_positions_and_counts_leave_out_the_same_members(spark, most):
+    """Positions along the area fit the counts below a range, whatever areas are missing or no number."""
+    areas = [5.0, None, 5.0, 0.5, float("nan"), -2.0, 700.0, 5.0]
+    pool = spark.createDataFrame([("a", x, str(i)) for i, x in enumerate(areas)], "source string, area double, k string")
+    got = {r.position: r.area for r in joins.numbered(pool, ["source"], "area", "k", 3, most=most).collect()}
+    assert [str(got[i]) for i in range(7)] == ["-2.0", "0.5", "5.0", "5.0", "5.0", "700.0", "nan"] and len(got) == 7
+    n = joins.range_counts(spark.createDataFrame([(1, 5.0)], "id int, area double"), pool, ["id"], ["source"]).first()
+    assert (n.n_enlarged, n.n_matched) == (2, 3) and {got[i] for i in range(n.n_enlarged, n.n_enlarged + n.n_matched)} == {5.0}
+
+
+def test_numbering_moves_members_once(spark):
+    pool = spark.createDataFrame([("a", float(i % 7), str(i)) for i in range(100)], "source string, area double, k string")
+    plan = joins.numbered(pool, ["source"], "area", "k", 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_manifest_of_many_boxes_is_dealt_by_their_number(spark, monkeypatch):
     from tessera.operators import bounds
 
