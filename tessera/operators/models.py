@@ -197,8 +197,14 @@ def attributions(model: Boosted, df: DataFrame, features: list[str]) -> DataFram
 
 def ranking(df: DataFrame, features: list[str], label: str, settings: Settings = Settings(), weight: str | None = None) -> DataFrame:  # noqa: B008
     """Features of a fitted model by mean absolute attribution over all rows."""
-    model = fit(df, features, label, settings, weight)
-    return importance_ranking(attributions(model, df.where(F.col(label).isNotNull()), features))
+    rows = _measured(df, features, label, *([weight] if weight else []))
+    model = fit(rows, features, label, settings, weight)
+    return importance_ranking(attributions(model, rows, features))
+
+
+def _measured(df: DataFrame, features: list[str], label: str, *more: str) -> DataFrame:
+    """The labelled rows as a table: features are worked out once for all passes of the fits and attributions."""
+    return written(df.where(F.col(label).isNotNull()).select(*[F.col(f).cast("double").alias(f) for f in features], label, *more), "rows")
 
 
 def stability(df: DataFrame, features: list[str], label: str, group: str, replicates: int, top: int, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -233,6 +239,7 @@ def mediation(df: DataFrame, base: list[str], mediators: list[str], cluster: lis
     at least ``least``. Refused if base features contain a mediator."""
     if set(base) & set(mediators):
         raise Refused(f"base features contain mediators: {sorted(set(base) & set(mediators))}")
+    df = _measured(df, list(dict.fromkeys([*base, *mediators])), label)
     own = lambda features: ranking(df, features, label, settings).where(F.col("feature").isin(cluster)).agg(F.sum("importance").alias("v"))
     both = own(base).select(F.col("v").alias("without_mediators")).crossJoin(F.broadcast(own([*base, *mediators]).select(F.col("v").alias("with_mediators"))))
     return both.withColumn("drop", F.coalesce(1 - F.try_divide("with_mediators", "without_mediators"), F.lit(0.0))).withColumn("mediated", F.col("drop") >= least)

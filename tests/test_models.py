@@ -131,3 +131,17 @@ def test_composition(spark):
     out = np.frombuffer(a.rgb, np.uint8).reshape(4, 8, 3)
     assert (out[1:3, 2:6] == 255).all() and out.sum() == 255 * 3 * 8 and a.n_pasted == 1
     assert a.label.splitlines() == ["0 0.500000 0.500000 0.500000 0.500000", "0 0.125000 0.250000 0.250000 0.500000"] and b.label == "" and b.n_pasted == 0
+
+
+def test_features_are_worked_out_once(spark, table):
+    """Fits and attributions read a table of measured rows, not the features' own work again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        seen.add(1)
+        return x
+
+    costly = costly.asNondeterministic()
+    models.ranking(table.withColumn("a", costly("a")), ["a", "b"], "y", models.Settings(iterations=2, depth=2, held=10**9)).collect()
+    assert seen.value == table.count()
