@@ -145,3 +145,30 @@ def test_features_are_worked_out_once(spark, table):
     costly = costly.asNondeterministic()
     models.ranking(table.withColumn("a", costly("a")), ["a", "b"], "y", models.Settings(iterations=2, depth=2, held=10**9)).collect()
     assert seen.value == table.count()
+
+
+def test_models_grow_side_by_side(spark, table, monkeypatch):
+    """Resamples have jobs of their own in no way, and passes over all rows grow the trees that tasks grow."""
+    settings, features = models.Settings(iterations=3, rate=0.3, depth=2, least_rows=5, held=4), ["a", "b", "c"]
+    weights = F.array((F.col("b") > 0).cast("double"), F.lit(1.0), F.lit(2.0))
+    status, jobs = spark.sparkContext.statusTracker(), []
+    for replicates in (2, 12):
+        spark.sparkContext.setJobGroup(f"grow{replicates}", "")
+        models.stability(table, features, "y", "g", replicates, 1, settings).collect()
+        jobs.append(len(status.getJobIdsForGroup(f"grow{replicates}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 2
+    tasks = models.fit_all(table, features, "y", weights, 3, settings, "g")
+    monkeypatch.setattr(models, "TASK_ROWS", 0)
+    monkeypatch.setattr(models, "PENDING", 2)
+    passes = models.fit_all(table, features, "y", weights, 3, settings, "g")
+    for a, b in zip(tasks, passes):
+        shape = lambda m: sorted((n[0], n[1], n[2], n[3]) for n in m.nodes if n[2] is not None)
+        assert shape(a) == shape(b) and len(shape(a)) > 3
+        assert np.allclose(sorted(v for v, _ in a.leaves), sorted(v for v, _ in b.leaves), atol=1e-9)
+    assert tasks[0].nodes[0][7] < tasks[1].nodes[0][7] == tasks[2].nodes[0][7] / 2
+
+
+def test_a_fold_without_a_group_has_no_measures(spark, table):
+    folds = {r.fold: r.ap for r in models.cross_validate(table.where("g in ('g1', 'g2', 'g3')"), ["a"], "y", "g", 12, models.Settings(iterations=1, depth=1, least_rows=1, held=10**9)).collect()}
+    assert len(folds) == 12 and 9 <= sum(ap is None for ap in folds.values()) <= 11
