@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalogs as cat
-from ..operators.scratch import new_path, write_files
+from ..operators.scratch import new_path, write_files, written
 from ..sources import annotations, labels, manifests, pools
 from .registry import Tables, query
 
@@ -145,9 +145,9 @@ def zip_files(db: Tables) -> DataFrame:
     at = new_path(db.spark, "zips")
     rows = db.pages.select(F.lit("pages").alias("site"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
     pools.write_zips(rows, at, "site", parts=8)
-    members = pools.unpack(db.spark, at, f"{at}-members")
-    members.count()
-    back = manifests.file_hashes(db.spark, f"{at}-members")
+    members = written(pools.unpack(db.spark, at, f"{at}-members").select("path"), "unpacked")
+    parts = max(db.spark.sparkContext.defaultParallelism, -(-members.count() // 1000))
+    back = manifests.hashes_of(members.repartition(parts, "path"))
     return back.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.col("length").alias("bytes"), F.col("md5").alias("digest"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -59,6 +60,28 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", "length", "content").unionByName(nothing).select("path", "length", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
 
 
+def hashes_of(files: DataFrame) -> DataFrame:
+    """path, length, sha256 and md5 of files whose paths are known: tasks read them, and no folder is listed."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                of, at = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") or "://" not in path else fs.FileSystem.from_uri(path)
+                digests, n = (hashlib.sha256(), hashlib.md5()), 0
+                with of.open_input_stream(at) as f:
+                    while piece := f.read(1 << 20):
+                        n += len(piece)
+                        for d in digests:
+                            d.update(piece)
+                rows.append((path, n, *[d.hexdigest() for d in digests]))
+            yield pd.DataFrame(rows, columns=["path", "length", "sha256", "md5"])
+
+    return files.select("path").mapInPandas(run, "path string, length bigint, sha256 string, md5 string")
+
+
 def zip_pool(spark: SparkSession, path: str) -> DataFrame:
     """name and content of the members of zip archives."""
 

@@ -1,7 +1,7 @@
 """Pools of crops in zip archives: from the archive of a source to one of its good crops, and from pools to
 generated scenes.
 
-Archives are unpacked into a folder that all tasks share and written from it a task an archive. Hooks:
+Archives are unpacked into a folder that all tasks share, a task a run of members, and written from it a task an archive. Hooks:
 a ``segmenter`` maps an RGB array and a box to a mask of the image's size; a ``selector`` maps a frame of
 boxes to one of the same boxes with a crop's key each (null: the box stays as it is)."""
 
@@ -13,6 +13,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.text import base_name, file_stem, video_id
 from ..operators import aggregates, catalogs, gates, images, sampling
+from ..operators.scratch import written
 from . import annotations, labels
 
 Segmenter = Callable[[np.ndarray, tuple[int, int, int, int]], np.ndarray]
@@ -38,25 +40,56 @@ def _fs(at: str):
     return fs.FileSystem.from_uri(at) if "://" in at else (fs.LocalFileSystem(), at)
 
 
+#: Members that a task unpacks and their bytes within the archive, unless one name holds more, or a share of the archive: a run reads the whole directory.
+TASK_MEMBERS, TASK_BYTES, MOST_RUNS = 1000, 16 << 20, 16
+
+
+@contextmanager
+def _archive(path: str):
+    fs, at = _fs(path)
+    # the reader of archives seeks before the start of small files, which this file system refuses
+    with fs.open_input_file(at) as f, zipfile.ZipFile(f if f.size() > 1 << 17 else io.BytesIO(f.read())) as z:
+        yield z
+
+
+def _members(z: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """Files of an archive by name; of equal names in the archive's order."""
+    return sorted((i for i in z.infolist() if not i.is_dir() and ".." not in i.filename.split("/")), key=lambda i: i.filename)
+
+
 def unpack(spark: SparkSession, archive: str, folder: str) -> DataFrame:
     """Members of archives as files below ``folder``: archive, name (below the archive's own folder), path, bytes.
 
-    A task reads one archive from its start to its end and holds one member at a time."""
+    A task reads a run of an archive's members and holds a piece of one at a time; members of equal names are of one run, and the last one stays."""
 
-    def run(batches):
+    members, size, runs_of_one = TASK_MEMBERS, TASK_BYTES, MOST_RUNS
+
+    def cut(batches):
         for pdf in batches:
             for path in pdf["path"]:
-                fs, at = _fs(path)
+                rows, first, held = [], 0, 0
+                with _archive(path) as z:
+                    every = _members(z)
+                most, most_bytes = max(members, -(-len(every) // runs_of_one)), max(size, sum(i.compress_size for i in every) // runs_of_one)
+                for i, info in enumerate(every):
+                    if i > first and info.filename != every[i - 1].filename and (i - first >= most or held + info.compress_size > most_bytes):
+                        rows.append((path, first, i))
+                        first, held = i, 0
+                    held += info.compress_size
+                yield pd.DataFrame([*rows, *([(path, first, len(every))] if every else [])], columns=["path", "first", "last"])
+
+    def run(batches):
+        made = set()
+        for pdf in batches:
+            for path, first, last in pdf[["path", "first", "last"]].itertuples(index=False):
                 to_fs, to = _fs(folder)
                 stem, rows = path.rsplit("/", 1)[-1], []
-                # the reader of archives seeks before the start of small files, which this file system refuses
-                with fs.open_input_file(at) as f, zipfile.ZipFile(f if f.size() > 1 << 17 else io.BytesIO(f.read())) as z:
-                    for info in z.infolist():
-                        parts = info.filename.split("/")
-                        if info.is_dir() or ".." in parts:
-                            continue
+                with _archive(path) as z:
+                    for info in _members(z)[first:last]:
                         target = f"{to}/{stem}/{info.filename}"
-                        to_fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                        if (own := target.rsplit("/", 1)[0]) not in made:
+                            to_fs.create_dir(own, recursive=True)
+                            made.add(own)
                         with to_fs.open_output_stream(target) as out, z.open(info) as member:
                             while piece := member.read(1 << 20):
                                 out.write(piece)
@@ -64,7 +97,9 @@ def unpack(spark: SparkSession, archive: str, folder: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["archive", "name", "path", "bytes"])
 
     listing = spark.read.format("binaryFile").load(archive).select("path")
-    return listing.repartition("path").mapInPandas(run, "archive string, name string, path string, bytes bigint")
+    runs = written(listing.mapInPandas(cut, "path string, first long, last long"), "members")
+    # parts of a given number are not merged, however few bytes name them
+    return runs.repartitionByRange(max(1, runs.count()), "path", "first").mapInPandas(run, "archive string, name string, path string, bytes bigint")
 
 
 def write_zips(df: DataFrame, folder: str, group: str, name: str = "name", content: str = "content", parts: int = 1) -> DataFrame:

@@ -44,3 +44,30 @@ def test_box_csv_of_many_rows_is_dealt_by_their_number(spark, tmp_path, monkeypa
     assert len(exchange) == 1 and ", 20), REPARTITION_BY_NUM" in exchange[0]
     first = sorted((r.box_index, r.xmin, r.xmax) for r in got.where("filename = 'f0'").collect())
     assert first == [(k, k // 20, 5 * (k % 20)) for k in range(40)]
+
+
+def test_an_archive_is_unpacked_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Runs of members, equal names in one run, empty and outer ones, and hashes of the files by their paths."""
+    import hashlib
+    import warnings
+    import zipfile
+
+    from tessera.sources import pools
+
+    monkeypatch.setattr(pools, "TASK_MEMBERS", 3)
+    rows = [(f"d{i % 2}/{i:02d}", b"x" * i) for i in range(20)] + [("d0/04", b"a"), ("d0/04", b"last"), ("../out", b"no"), ("d1/", b"")]
+    with warnings.catch_warnings(), zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        warnings.simplefilter("ignore")
+        for name, content in rows:
+            z.writestr(name, content)
+    (tmp_path / "none").mkdir()
+    zipfile.ZipFile(tmp_path / "none" / "n.zip", "w").close()
+    got = pools.unpack(spark, str(tmp_path / "a.zip"), str(tmp_path / "to"))
+    assert got.rdd.getNumPartitions() >= 6
+    got = got.collect()
+    assert len(got) == 22 and not (tmp_path / "out").exists() and not (tmp_path / "to" / "out").exists()
+    want = {name: content for name, content in rows[:22]}
+    paths = spark.createDataFrame([(r.path,) for r in got], "path string").distinct()
+    hashed = {r.path.split("a.zip/")[1]: (r.length, r.md5, r.sha256) for r in manifests.hashes_of(paths).collect()}
+    assert hashed == {k: (len(v), hashlib.md5(v).hexdigest(), hashlib.sha256(v).hexdigest()) for k, v in want.items()}
+    assert pools.unpack(spark, str(tmp_path / "none" / "n.zip"), str(tmp_path / "to")).count() == 0
