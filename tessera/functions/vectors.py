@@ -11,6 +11,7 @@ def dot(a, b) -> Column:
 
 
 def unit(v) -> Column:
-    """Divided by its norm; a zero vector stays."""
+    """Divided by its norm, which is worked out once for all components; a zero vector stays."""
     norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    by = lambda n: F.transform(v, lambda x: x.cast("double") / n)
+    return F.transform(F.array(F.when(norm == 0, 1.0).otherwise(norm)), by)[0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bounds import small
 from .order_statistics import with_percentiles
+from .scratch import written
 
 PERCENTS = (5, 10, 25, 75, 90, 95)
 
@@ -231,9 +232,10 @@ def totals(df: DataFrame, by: str, measures: dict[str, Column], name: str = "all
 
 
 def distance_summary(near: DataFrame, distance: str, same: Column) -> DataFrame:
-    """Mean, median and ends of distances, and the share of rows whose nearest is of their kind."""
-    p = near.agg(F.count(distance).alias("n"), F.avg(distance).alias("mean"), F.avg(same.cast("double")).alias("same_share"))
-    p = with_percentiles(p, near, [], F.col(distance), [0.05, 0.5, 0.95])
+    """Mean, median and ends of distances, and the share of rows whose nearest is of their kind. The rows are found once, for all of these."""
+    found = written(near.select(F.col(distance).alias("distance"), same.cast("double").alias("same")), "distances")
+    p = found.agg(F.count("distance").alias("n"), F.avg("distance").alias("mean"), F.avg("same").alias("same_share"))
+    p = with_percentiles(p, found, [], F.col("distance"), [0.05, 0.5, 0.95])
     return p.select("n", "mean", *[F.col("p")[i].alias(n) for i, n in enumerate(("p5", "median", "p95"))], "same_share")
 
 
