@@ -1,22 +1,25 @@
 """Boosted trees as surrogates: folds by group, attributions, their stability and mediation.
 
-Trees are grown on histograms of binned features, by the gradients and curvatures of the log loss. Models of few rows (``TASK_ROWS``) are grown
-by a task each. Larger ones, the models of all folds or resamples, are grown side by side: a pass over the rows, of which each carries its weight and margin in every model, sums the histograms of all open nodes of all
+Trees are grown on histograms of binned features, by the gradients and curvatures of the log loss. Rows alike in all that a fit reads are one of
+more weight, and lie in blocks with their margins in every model. Models of few rows (``TASK_ROWS``) are grown
+by a task each. Larger ones, the models of all folds or resamples, are grown side by side: a pass over the cached blocks sums the histograms of all open nodes of all
 models, a shuffle by node adds them up, and a task finds a node's best split; a row a node comes to the driver. So the number of passes
 is that of one model, and their work grows with the rows. A hashed part of the rows (or of their groups) is held back, and
 boosting stops when the loss there falls by less than ``Settings.tolerance`` of itself from one tree to the next, at ``Settings.iterations`` at the
 latest. What follows reads a model's table of nodes, at most 2 ** (depth + 1) a tree: attributions are exact
-Shapley values of each tree's paths with cover shares as the background, found in Arrow batches over all rows."""
+Shapley values of each tree's paths with cover shares as the background, looked up by the cell that a row's features lie in."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from dataclasses import dataclass, field
-from math import factorial
+import pickle
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field, replace
+from math import factorial, prod
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +58,65 @@ class Boosted:
 
 #: A model of at most so many rows is grown by one task, all models beside one another; larger ones are grown by passes over all rows.
 TASK_ROWS = 200_000
-#: Trees after which margins are written anew; later ones are walked again by every pass.
-PENDING = 8
-#: Rows of a state: bins of the features, label, and by model the weight (0: not of the model) and the margin.
-STATE = "x array<int>, y double, held boolean, w array<double>, margin array<double>"
+#: Trees after which margins are worked out from the first tree on again, so that their lineage stays short.
+PENDING = 16
+#: Rows of a block.
+BLOCK = 1 << 16
+#: Cells of a table of attributions.
+CELLS = 1024
+
+
+@dataclass
+class Block:
+    """Rows of a task: bins by feature, labels, how many rows each stands for. The first ``fitted`` are not held back. Runs of rows that are held back or not and of the same weights
+    stop at ``ends``; ``weights`` has a line a run (by model; 0: not of the model). ``margins``: by model, those of its rows."""
+
+    x: np.ndarray
+    y: np.ndarray
+    n: np.ndarray
+    fitted: int
+    ends: np.ndarray
+    weights: np.ndarray
+    margins: list = field(default_factory=list)
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray, w: np.ndarray) -> Block:
+        lines, kind = np.unique(w, axis=0, return_inverse=True)
+        kind = 2 * kind.reshape(-1) + 1
+        order = np.lexsort((kind, held))
+        kind = np.where(held, -kind, kind)[order]
+        ends = np.append(np.flatnonzero(np.diff(kind)) + 1, len(kind))
+        return cls(np.ascontiguousarray(x[:, order]), y[order], n[order], int(len(held) - held.sum()), ends, lines[np.abs(kind[ends - 1]) // 2])
+
+    def each(self) -> np.ndarray:
+        """Weights of all rows, by model."""
+        return np.repeat(self.weights, np.diff(self.ends, prepend=0), axis=0) * self.n[:, None]
+
+    def of_model(self, model: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Bins, labels and weights of a model's rows, and how many of them are not held back."""
+        w = self.weights[:, model]
+        turns, starts = np.flatnonzero(np.diff(w != 0, prepend=False, append=False)), np.append(0, self.ends)
+        own = [slice(int(starts[a]), int(starts[b])) for a, b in zip(turns[::2], turns[1::2])]
+        every = np.repeat(w, np.diff(starts))
+        if len(own) == 1:
+            pick = lambda a: a[..., own[0]]
+        elif 0 < len(own) < 256:
+            pick = lambda a: np.concatenate([a[..., r] for r in own], axis=-1)
+        else:
+            row = np.flatnonzero(every)
+            pick = lambda a: np.take(a, row, axis=-1)
+        return pick(self.x), pick(self.y), pick(every) * pick(self.n), sum(min(r.stop, self.fitted) - min(r.start, self.fitted) for r in own)
+
+    def moved(self, trees: list[Grown], growing: np.ndarray, depth: int) -> Block:
+        """With the trees added to the margins of the models that grow; others need none any more."""
+        margins = []
+        for m, old in enumerate(self.margins):
+            if growing[m]:
+                x = self.of_model(m)[0]
+                for tree in trees:
+                    old = old + tree.value[m][tree.at(x, m, depth)]
+            margins.append(old if growing[m] else old[:0])
+        return replace(self, margins=margins)
 
 
 @dataclass
@@ -76,15 +134,20 @@ class Grown:
         n = 2 ** (depth + 1) - 1
         return cls(np.full((models, n), -1), np.zeros((models, n), dtype=np.int64), np.zeros((models, n)), np.zeros((models, n, 3)))
 
-    def at(self, x: np.ndarray, row: np.ndarray, model: np.ndarray, depth: int) -> np.ndarray:
-        """Node that each pair of a row and a model has come to."""
-        node = np.zeros(len(row), dtype=np.int64)
-        for _ in range(depth):
-            f = self.feature[model, node]
-            right = x[row, np.maximum(f, 0)] > self.bin[model, node]
-            node = np.where(f >= 0, 2 * node + 1 + right, node)
+    def at(self, x: np.ndarray, model: int, depth: int) -> np.ndarray:
+        """Node of a model that each row (a column of ``x``) has come to."""
+        node = np.zeros(x.shape[1], dtype=np.uint8 if self.feature.shape[1] < 256 else np.int32)
+        kind = node.dtype.type
+        for i in range(2**depth - 1):
+            f = self.feature[model, i]
+            if f >= 0:
+                node += (node == i) * ((x[f] > int(self.bin[model, i])) + kind(i + 1))
         return node
 
+    def bare(self) -> Grown:
+        """What rows have to know of it."""
+        return replace(self, sums=np.zeros(0))
+
 
 @dataclass
 class Growing:
@@ -117,40 +180,29 @@ class Growing:
             self.best, self.kept = loss, n
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    n = batch.num_rows
-    many = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-    one = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-    return many("x"), one("y"), one("held"), many("w"), many("margin")
-
-
-def _margins(x, margin, row, model, pending: list[Grown], depth: int) -> np.ndarray:
-    out = margin[row, model]
-    for tree in pending:
-        out = out + tree.value[model, tree.at(x, row, model, depth)]
-    return out
-
-
-def _count(arrays: tuple[np.ndarray, ...], total: np.ndarray, loss: np.ndarray, pending: list[Grown], tree: Grown, slots: np.ndarray, stops: np.ndarray, active: np.ndarray, level: int, settings: Settings) -> None:
-    """Adds rows to the histograms (sum of gradients, curvatures, weights; feature; slot and bin) of the open nodes, and to the held back losses."""
-    x, y, held, w, margin = arrays
+def _count(block: Block, total: np.ndarray, loss: np.ndarray, tree: Grown, slots: np.ndarray, stops: np.ndarray, active: np.ndarray, level: int, settings: Settings) -> None:
+    """Adds rows to the histograms (slot, sum of gradients, curvatures, weights; feature; bin) of the open nodes, and to the held back losses. A model's slots follow one another."""
     n_bins = settings.bins
-    row, model = np.nonzero((w > 0) & active)
-    f = _margins(x, margin, row, model, pending, settings.depth)
-    weight, label = w[row, model], y[row]
-    out = held[row] & stops[model]
-    if level == 0:
-        miss = np.logaddexp(0, f[out]) - label[out] * f[out]
-        loss += [np.bincount(model[out], v, len(active)) for v in (weight[out] * miss, weight[out])]
-    slot = np.where(out, -1, slots[model, tree.at(x, row, model, level)])
-    own = slot >= 0
-    row, slot, f, weight, label = row[own], slot[own], f[own], weight[own], label[own]
-    p = 1 / (1 + np.exp(-np.clip(f, -500, 500)))
-    sums = weight * (p - label), weight * p * (1 - p), weight
-    for j in range(x.shape[1]):
-        cell = slot * n_bins + x[row, j]
-        for i, v in enumerate(sums):
-            total[i, j] += np.bincount(cell, v, total.shape[2])
+    for m in np.flatnonzero(active):
+        x, y, w, fitted = block.of_model(m)
+        f, fitted = block.margins[m], fitted if stops[m] else len(y)
+        if level == 0 and fitted < len(y):
+            loss[:, m] += w[fitted:] @ (np.logaddexp(0, f[fitted:]) - y[fitted:] * f[fitted:]), w[fitted:].sum()
+        own = slots[m][slots[m] >= 0]
+        if not len(own) or not fitted:
+            continue
+        x, y, w, f = x[:, :fitted], y[:fitted], w[:fitted], f[:fitted]
+        first, k = int(own.min()), len(own)
+        cell = np.where(slots[m] >= 0, (slots[m] - first) * n_bins, -1)[tree.at(x, m, level)]
+        if len(own) < 2**level:
+            kept = np.flatnonzero(cell >= 0)
+            x, cell, w, f, y = np.take(x, kept, axis=1), cell[kept], w[kept], f[kept], y[kept]
+        p = 1 / (1 + np.exp(-np.clip(f, -500, 500)))
+        sums = w * (p - y), w * p * (1 - p), w
+        for j in range(len(x)):
+            own = cell + x[j]
+            for i, v in enumerate(sums):
+                total[first : first + k, i, j] += np.bincount(own, v, k * n_bins).reshape(k, n_bins)
 
 
 def _best(sums: np.ndarray, settings: Settings) -> tuple[float, int, int, list, list]:
@@ -164,52 +216,68 @@ def _best(sums: np.ndarray, settings: Settings) -> tuple[float, int, int, list,
     return float(gain[j, b]), j, b, left[:, j, b].tolist(), whole[:, 0, 0].tolist()
 
 
-def _by_arrays(arrays: tuple[np.ndarray, ...], settings: Settings):
-    """Finds splits in the rows of a task: best split by slot (open node of a model); by -1 the held back losses."""
-
-    def find(pending: list[Grown], tree: Grown, slots: np.ndarray, *rest) -> dict[int, tuple]:
-        k, features = int(slots.max(initial=-1)) + 1, arrays[0].shape[1]
-        total, loss = np.zeros((3, features, k * settings.bins)), np.zeros((2, len(slots)))
-        _count(arrays, total, loss, pending, tree, slots, *rest, settings)
-        total = total.reshape(3, features, k, settings.bins)
-        return {-1: (loss.ravel(),)} | {s: _best(total[:, :, s], settings) for s in range(k)}
-
-    return find
+class InTask:
+    """Rows of one model in the task that grows it."""
 
+    def __init__(self, blocks: list[Block], settings: Settings):
+        self.blocks, self.settings = blocks, settings
 
-def _by_passes(state: DataFrame, features: int, settings: Settings):
-    """The same by a pass over a table of rows."""
-    n_bins, names = settings.bins, ("slot", "gain", "feature", "bin", "low", "all")
-
-    def find(pending: list[Grown], tree: Grown, slots: np.ndarray, *rest) -> dict[int, tuple]:
+    def find(self, tree: Grown, slots: np.ndarray, *rest) -> dict[int, tuple]:
+        """Best split by slot (open node of a model); by -1 the held back losses."""
         k = int(slots.max(initial=-1)) + 1
-
-        def count(batches):
-            total, loss = np.zeros((3, features, k * n_bins)), np.zeros((2, len(slots)))
-            for batch in batches:
-                _count(_columns(batch), total, loss, pending, tree, slots, *rest, settings)
-            blocks = total.reshape(3, features, k, n_bins)
-            yield pa.RecordBatch.from_pydict({"slot": pa.array([-1, *range(k)], pa.int32()), "sums": pa.array([loss.tobytes(), *[np.ascontiguousarray(blocks[:, :, s]).tobytes() for s in range(k)]], pa.binary())})
-
-        def best(batches):
-            total = {}
-            for batch in batches:
-                for slot, data in zip(batch.column("slot").to_pylist(), batch.column("sums").to_pylist()):
-                    part = np.frombuffer(data)
-                    total[slot] = total[slot] + part if slot in total else part
-            rows = [(slot, 0.0, 0, 0, [], sums.tolist()) if slot < 0 else (slot, *_best(sums.reshape(3, features, n_bins), settings)) for slot, sums in total.items()]
-            if rows:
-                numbers = pa.list_(pa.float64())
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for c, v, t in zip(names, zip(*rows), (pa.int32(), pa.float64(), pa.int32(), pa.int32(), numbers, numbers))})
-
-        parts = max(1, min(state.sparkSession.sparkContext.defaultParallelism, k))
-        found = state.mapInArrow(count, "slot int, sums binary").repartition(parts, "slot").mapInArrow(best, "slot int, gain double, feature int, bin int, low array<double>, all array<double>")
-        return {r[0]: tuple(r)[1:] for r in found.collect()}  # a row an open node
-
-    return find
-
-
-def _tree(find, pending: list[Grown], growing: list[Growing], settings: Settings) -> Grown | None:
+        total, loss = np.zeros((k, 3, len(self.blocks[0].x), self.settings.bins)), np.zeros((2, len(slots)))
+        for block in self.blocks:
+            _count(block, total, loss, tree, slots, *rest, self.settings)
+        return {-1: (loss.ravel(),)} | {s: _best(total[s], self.settings) for s in range(k)}
+
+    def move(self, tree: Grown, growing: np.ndarray) -> None:
+        self.blocks = [b.moved([tree], growing, self.settings.depth) for b in self.blocks]
+
+
+class InPasses:
+    """Rows of all models as blocks in a table; what is found takes a pass over them."""
+
+    def __init__(self, rows: RDD, features: int, settings: Settings):
+        self.rows, self.features, self.settings = rows, features, settings
+        self.state, self.old, self.trees = rows, None, []
+
+    def find(self, tree: Grown, slots: np.ndarray, *rest) -> dict[int, tuple]:
+        k, features, settings, tree = int(slots.max(initial=-1)) + 1, self.features, self.settings, tree.bare()
+        parts = max(1, min(self.rows.getNumPartitions(), k))
+        ends = [k * i // parts for i in range(parts + 1)]
+
+        def count(part, blocks):
+            total, loss = np.zeros((k, 3, features, settings.bins)), np.zeros((2, len(slots)))
+            for block in blocks:
+                _count(block, total, loss, tree, slots, *rest, settings)
+            return [(i, (part, total[a:b], loss if i == 0 else None)) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+
+        def best(i, counted):
+            total, loss = 0.0, 0.0
+            for _, more, missed in sorted((c for _, c in counted), key=lambda c: c[0]):  # sums don't depend on which task came first
+                total = total + more
+                loss = loss + missed if i == 0 else loss
+            return [(ends[i] + s, _best(sums, settings)) for s, sums in enumerate(total)] + ([(-1, (loss.ravel(),))] if i == 0 else [])
+
+        found = dict(self.state.mapPartitionsWithIndex(count).partitionBy(parts, int).mapPartitionsWithIndex(best).collect())  # a row an open node
+        if self.old is not None:
+            self.old.unpersist()
+            self.old = None
+        return found
+
+    def move(self, tree: Grown, growing: np.ndarray) -> None:
+        depth, base, trees = self.settings.depth, self.state, [tree.bare()]
+        self.trees += trees
+        if len(self.trees) % PENDING == 0:
+            base, trees = self.rows, list(self.trees)
+        self.old, self.state = self.state if self.state is not self.rows else None, base.map(lambda b: b.moved(trees, growing, depth)).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+
+    def end(self) -> None:
+        for state in (self.state, self.rows):
+            state.unpersist()
+
+
+def _tree(rows: InTask | InPasses, growing: list[Growing], settings: Settings) -> Grown | None:
     """The next tree of all models that go on; None if there is none."""
     models, tree = len(growing), Grown.empty(len(growing), settings.depth)
     stops = np.array([m.stops for m in growing])
@@ -222,7 +290,7 @@ def _tree(find, pending: list[Grown], growing: list[Growing], settings: Settings
             slots[m, i] = s
         if not nodes and not (last and (active & stops).any()):
             break
-        found = find(pending, tree, slots, stops, active, level)
+        found = rows.find(tree, slots, stops, active, level)
         if level == 0:
             loss, weight = np.array(found[-1][-1]).reshape(2, models)
             for m in np.flatnonzero(active & stops):
@@ -242,7 +310,10 @@ def _tree(find, pending: list[Grown], growing: list[Growing], settings: Settings
     split = tree.feature[:, 0] >= 0
     for m in np.flatnonzero(split):
         growing[m].trees.append((tree.feature[m], tree.bin[m], tree.value[m], tree.sums[m, :, 2]))
-    return tree if split.any() else None
+    if not split.any():
+        return None
+    rows.move(tree, split)
+    return tree
 
 
 def _boosted(growing: Growing, cuts: list[np.ndarray]) -> Boosted:
@@ -289,27 +360,20 @@ def _grow(df: DataFrame, features: list[str], label: str, weights: Column, model
     named = df.where(F.col(label).isNotNull()).select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("_y"), weights.alias("_w"), *([F.col(group).alias("_group")] if group else []))
     rows = named.withColumn("_held", F.pmod(F.xxhash64(F.lit(settings.seed), *(["_group"] if group else [*features, "_y"])), F.lit(settings.held)) == 0).drop("_group")
     cuts = _cuts(rows, features, settings.bins)
-
-    def binned(batches):
-        for batch in batches:
-            x = np.stack([np.searchsorted(c, batch.column(f).to_numpy(zero_copy_only=False)) for f, c in zip(features, cuts)], axis=1)
-            n = len(x)
-            many = lambda a, t: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (a.shape[1] if n else 0), pa.int32()), pa.array(a.ravel(), t))
-            yield pa.RecordBatch.from_pydict({"x": many(x, pa.int32()), "y": batch.column("_y"), "held": batch.column("_held"), "w": batch.column("_w"), "margin": many(np.zeros((n, models)), pa.float64())})
-
     parts = spark.sparkContext.defaultParallelism
-    at = new_path(spark, "margins")
-    rows.repartition(parts).mapInArrow(binned, STATE).write.parquet(at)
-    state = spark.read.schema(STATE).parquet(at)
+    alike = rows.groupBy(*features, "_y", "_held", "_w").agg(F.count("*").cast("double").alias("_n"))
+    at = new_path(spark, "blocks")
+    alike.repartition(parts).mapInArrow(_blocks(features, cuts, models, settings.bins), "part int, block binary").write.parquet(at)
+    blocks = spark.read.schema("part int, block binary").parquet(at).rdd.map(lambda r: (r.part, pickle.loads(r.block))).partitionBy(parts, int).values().persist(StorageLevel.MEMORY_AND_DISK_DESER)
 
-    def sums(batches):
+    def sums(own):
         total = np.zeros((5, models))
-        for batch in batches:
-            _, y, held, w, _ = _columns(batch)
-            total += [w.sum(axis=0), y @ w, (~held) @ w, (~held * y) @ w, (w > 0).sum(axis=0)]
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
+        for b in own:
+            w, fitted = b.each(), slice(b.fitted)
+            total += [w.sum(axis=0), b.y @ w, w[fitted].sum(axis=0), b.y[fitted] @ w[fitted], (w > 0).sum(axis=0)]
+        return [total]
 
-    every, ones, fitted, fitted_ones, n = sum(np.array(r[0]).reshape(5, models) for r in [*state.mapInArrow(sums, "sums array<double>").collect(), [np.zeros(5 * models)]])  # a row a task
+    every, ones, fitted, fitted_ones, n = sum(blocks.mapPartitions(sums).collect())  # a row a task
     growing = []
     for m in range(models):
         if not 0 < ones[m] < every[m]:
@@ -319,60 +383,71 @@ def _grow(df: DataFrame, features: list[str], label: str, weights: Column, model
         growing.append(Growing(float(np.log(y / (cover - y))), float(cover), bool(stops)))
 
     if n.max() <= TASK_ROWS:
-        each = F.posexplode("w").alias("model", "weight")
-        own = state.select("x", "y", "held", each).where("weight > 0").groupBy("model").applyInArrow(_whole(growing, settings), "model int, tree int, node int, feature int, bin int, value double, cover double")
-        for m, *node in sorted(tuple(r) for r in own.collect()):  # bounded by the settings
+        own = blocks.flatMap(_by_model).partitionBy(models, int).mapPartitions(_whole(growing, settings))
+        for m, *node in sorted(own.collect()):  # bounded by the settings
             growing[m].take(*node)
-        remove(spark, at)
-        return [_boosted(m, cuts) for m in growing]
-
-    start = Grown.empty(models, settings.depth)
-    start.value[:, 0] = [m.base for m in growing]
-    pending = [start]
-    while (tree := _tree(_by_passes(state, len(features), settings), pending, growing, settings)) is not None:
-        pending.append(tree)
-        if len(pending) >= PENDING:
-            done, pending = pending, []
-            old, at = at, new_path(spark, "margins")
-            state.mapInArrow(_moved(done, settings.depth), STATE).write.parquet(at)
-            state = spark.read.schema(STATE).parquet(at)
-            remove(spark, old)
+        blocks.unpersist()
+    else:
+        bases = [m.base for m in growing]
+        passes = InPasses(blocks.map(lambda b: replace(b, margins=[np.full(len(b.of_model(m)[1]), base) for m, base in enumerate(bases)])), len(features), settings)
+        while _tree(passes, growing, settings) is not None:
+            pass
+        passes.end()
+        blocks.unpersist()
     remove(spark, at)
     return [_boosted(m, cuts) for m in growing]
 
 
-def _whole(growing: list[Growing], settings: Settings):
-    """Grows a model of few rows in one task; a row a node of a complete tree that is in use."""
-
-    def run(key, table):
-        m = key[0].as_py()
-        n, own = table.num_rows, [Growing(growing[m].base, growing[m].cover, growing[m].stops)]
-        x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-        y, held, w = (table[c].to_numpy() for c in ("y", "held", "weight"))
-        margin = np.full((n, 1), own[0].base)
-        find, every = _by_arrays((x, y, held, w[:, None], margin), settings), np.arange(n)
-        while (tree := _tree(find, [], own, settings)) is not None:
-            margin += _margins(x, margin * 0, every, np.zeros(n, dtype=np.int64), [tree], settings.depth)[:, None]
-        kept = own[0].trees[: own[0].kept if own[0].stops else None]
-        nodes = [(m, t, i, int(f), int(b), float(v), float(c)) for t, parts in enumerate(kept) for i, (f, b, v, c) in enumerate(zip(*parts)) if c > 0]
-        names = ("model", "tree", "node", "feature", "bin", "value", "cover")
-        kinds = (*[pa.int32()] * 5, pa.float64(), pa.float64())
-        return pa.table({c: pa.array([r[k] for r in nodes], t) for k, (c, t) in enumerate(zip(names, kinds))})
+def _blocks(features: list[str], cuts: list[np.ndarray], models: int, bins: int):
+    """Rows to blocks, with the number of the task."""
+    kind = np.uint8 if bins <= 256 else np.int32
+
+    def run(batches):
+        part, held = TaskContext.get().partitionId(), []
+
+        def block():
+            columns = [np.concatenate(c, axis=-1) for c in zip(*held)]
+            held.clear()
+            made = Block.of(*columns[:-1], np.ascontiguousarray(columns[-1].T))
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([pickle.dumps(made, 5)], pa.binary())})
+
+        for batch in (b for b in batches if b.num_rows):
+            one = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            x = np.stack([np.searchsorted(c, one(f)) for f, c in zip(features, cuts)]).astype(kind)
+            held.append((x, one("_y"), one("_n"), one("_held").astype(bool), batch.column("_w").flatten().to_numpy(zero_copy_only=False).reshape(-1, models).T))
+            if sum(len(h[1]) for h in held) >= BLOCK:
+                yield block()
+        if held:
+            yield block()
 
     return run
 
 
-def _moved(pending: list[Grown], depth: int):
-    """Rows with the trees added to their margins."""
+def _by_model(block: Block):
+    """The rows of a block that each model has."""
+    for m in range(block.weights.shape[1]):
+        x, y, w, fitted = block.of_model(m)
+        if len(y):
+            yield m, (x, y, w, np.arange(len(y)) >= fitted)
 
-    def run(batches):
-        for batch in batches:
-            x, _, _, w, margin = _columns(batch)
-            row, model = np.nonzero(w > 0)
-            now = margin.copy()
-            now[row, model] = _margins(x, margin, row, model, pending, depth)
-            made = pa.ListArray.from_arrays(pa.array(np.arange(len(now) + 1) * now.shape[1], pa.int32()), pa.array(now.ravel()))
-            yield pa.RecordBatch.from_pydict({c: made if c == "margin" else batch.column(c) for c in ("x", "y", "held", "w", "margin")})
+
+def _whole(growing: list[Growing], settings: Settings):
+    """Grows models of few rows, each in one task; a row a node of a complete tree that is in use."""
+
+    def run(pieces):
+        by_model = defaultdict(list)
+        for m, piece in pieces:
+            by_model[m].append(piece)
+        for m, own in by_model.items():
+            x, y, w, held = (np.concatenate(c, axis=-1) for c in zip(*own))
+            block = Block.of(x, y, w, held, np.ones((len(y), 1)))  # each row stands for as many as it weighs
+            block.margins = [np.full(len(y), growing[m].base)]
+            rows, one = InTask([block], settings), [Growing(growing[m].base, growing[m].cover, growing[m].stops)]
+            while _tree(rows, one, settings) is not None:
+                pass
+            kept = one[0].trees[: one[0].kept if one[0].stops else None]
+            for t, parts in enumerate(kept):
+                yield from ((m, t, i, int(f), int(b), float(v), float(c)) for i, (f, b, v, c) in enumerate(zip(*parts)) if c > 0)
 
     return run
 
@@ -459,41 +534,93 @@ def games(leaves: list) -> list[tuple]:
     """Each leaf as a game of the features on its path: (conditions, attributions by which of them a row keeps, expected value).
 
     A known feature gives 1 or 0 as the row keeps its bounds, an unknown one the cover share. Sums over coalitions come
-    from a polynomial whose coefficients gather them by size; they are worked out for the 2 ** d ways that a row can keep d bounds."""
-    out = []
-    for value, conditions in leaves:
-        d = len(conditions)
-        share = [c[3] for c in conditions]
-        holds = np.array([[(way >> i) & 1 for way in range(1 << d)] for i in range(d)], dtype=float)
-        phi = np.zeros((d, 1 << d))
+    from a polynomial whose coefficients gather them by size; they are worked out for the 2 ** d ways that a row can keep d bounds,
+    for all leaves of d features at once."""
+    out, alike = [()] * len(leaves), defaultdict(list)
+    for k, (_, conditions) in enumerate(leaves):
+        alike[len(conditions)].append(k)
+    for d, own in alike.items():
+        value = np.array([leaves[k][0] for k in own])
+        share = np.array([[c[3] for c in leaves[k][1]] for k in own]).reshape(len(own), d)
+        holds = ((np.arange(1 << d) >> np.arange(d)[:, None]) & 1).astype(float)
+        weights = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
+        phi = np.zeros((len(own), d, 1 << d))
         for i in range(d):
-            size = np.zeros((d, 1 << d))
-            size[0] = 1.0
+            size = np.zeros((len(own), d, 1 << d))
+            size[:, 0] = 1.0
             for j in (j for j in range(d) if j != i):
-                size[1:] = size[1:] * share[j] + size[:-1] * holds[j]
-                size[0] *= share[j]
-            weights = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
-            phi[i] = value * (holds[i] - share[i]) * (weights @ size)
-        out.append((conditions, phi, value * float(np.prod(share))))
+                size[:, 1:] = size[:, 1:] * share[:, j, None, None] + size[:, :-1] * holds[j]
+                size[:, 0] *= share[:, j, None]
+            phi[:, i] = value[:, None] * (holds[i] - share[:, i, None]) * np.einsum("k,lkw->lw", weights, size)
+        for k, table, expected in zip(own, phi, value * share.prod(axis=1)):
+            out[k] = (leaves[k][1], table, float(expected))
     return out
 
 
-def played(games: list[tuple], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Attributions (a row for each of x) and the expected value; a row's sum and the expected value give the log odds."""
-    phi, base, columns = np.zeros((x.shape[1], len(x))), 0.0, np.ascontiguousarray(x.T)
-    for conditions, table, expected in games:
-        base += expected
-        way = np.zeros(len(x), dtype=np.int64)
-        for i, (f, lo, hi, _) in enumerate(conditions):
-            way += ((columns[f] > lo) & (columns[f] <= hi)).astype(np.int64) << i
-        for i, (f, *_) in enumerate(conditions):
-            phi[f] += table[i][way]
-    return phi.T, base
+class Played:
+    """Attributions of leaves' games to rows. Leaves that ask few different things are summed up in a table by cell, the intervals of the features
+    between what they ask: a row looks its cell up instead of every leaf."""
+
+    def __init__(self, leaves: list, features: int):
+        self.features, self.tables = features, []
+        all_games = games(leaves)
+        self.base = sum(g[2] for g in all_games)
+        asked, own = set(), []
+        self.edges = self._edges({(f, v) for conditions, *_ in all_games for f, lo, hi, _ in conditions for v in (lo, hi)})
+        for game in all_games:
+            more = {(f, v) for f, lo, hi, _ in game[0] for v in (lo, hi) if np.isfinite(v)} - asked
+            sizes = Counter(f for f, _ in asked | more) if more else {}
+            if own and prod(n + 1 for n in sizes.values()) > CELLS:
+                self._add(own, asked)
+                own, asked = [], {(f, v) for f, lo, hi, _ in game[0] for v in (lo, hi) if np.isfinite(v)}
+            own.append(game)
+            asked = asked | more
+        if own:
+            self._add(own, asked)
+
+    def _edges(self, asked: set) -> list[list]:
+        out = [[] for _ in range(self.features)]
+        for f, v in sorted(asked):
+            if np.isfinite(v):
+                out[f].append(v)
+        return out
+
+    def _add(self, own: list[tuple], asked: set) -> None:
+        edges = self._edges(asked)
+        shape = [len(e) + 1 for e in edges]
+        at = [{v: k for k, v in enumerate(e)} | {-np.inf: -1, np.inf: len(e)} for e in edges]
+        along = [[-1 if g == f else 1 for g in range(self.features)] for f in range(self.features)]
+        phi = np.zeros((self.features, *shape))
+        for conditions, table, _ in own:
+            way = 0
+            for i, (f, lo, hi, _) in enumerate(conditions):
+                keeps = np.zeros(shape[f], dtype=np.int64)
+                keeps[at[f][lo] + 1 : at[f][hi] + 1] = 1 << i
+                way = way + keeps.reshape(along[f])
+            for i, (f, *_) in enumerate(conditions):
+                phi[f] += table[i][way]
+        steps = [(f, np.array([0, *np.searchsorted(edges[f], self.edges[f], "right")]) * prod(shape[f + 1 :])) for f in range(self.features) if edges[f]]
+        asks = sorted({f for conditions, *_ in own for f, *_ in conditions})
+        self.tables.append((steps, [(f, phi[f].ravel()) for f in asks]))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """A row for each of x; a row's sum and the expected value, ``base``, give the log odds."""
+        out = np.zeros((self.features, len(x)))
+        for a in range(0, len(x), BLOCK):
+            rank = [np.searchsorted(e, x[a : a + BLOCK, f]) for f, e in enumerate(self.edges)]
+            for steps, phi in self.tables:
+                cell = np.zeros(len(rank[0]), dtype=np.int64)
+                for f, step in steps:
+                    cell += step[rank[f]]
+                for f, table in phi:
+                    out[f, a : a + BLOCK] += table[cell]
+        return out.T
 
 
 def shapley(leaves: list, x: np.ndarray) -> tuple[np.ndarray, float]:
     """Attributions of the leaves' games to rows, and the expected value."""
-    return played(games(leaves), x)
+    played = Played(leaves, x.shape[1])
+    return played(x), played.base
 
 
 def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
@@ -508,10 +635,10 @@ def attributions(model: Boosted, df: DataFrame, features: list[str]) -> DataFram
     leaves = model.leaves
 
     def run(batches):
-        own = games(leaves)
+        played = Played(leaves, len(features))
         for pdf in batches:
             x = _matrix(pdf, features)
-            phi, _ = played(own, x)
+            phi = played(x)
             yield pd.DataFrame({"feature": np.tile(features, len(x)), "x": x.ravel(), "phi": phi.ravel()})
 
     return df.select(*[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(run, "feature string, x double, phi double")
@@ -540,20 +667,29 @@ def stability(df: DataFrame, features: list[str], label: str, group: str, replic
     fitted = [m.leaves for m in fit_all(drawn, features, label, F.col("_times"), replicates, settings, group)]
 
     def run(batches):
-        total, played_by = defaultdict(lambda: [np.zeros(len(features)), 0.0]), [games(leaves) for leaves in fitted]
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, times = _matrix(pdf, features), np.stack(pdf["_times"].to_list())
-            for i, own in enumerate(played_by):
+        total, held = np.zeros((replicates, len(features) + 1)), []
+
+        def add():
+            x, times = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            for i, leaves in enumerate(fitted):
                 rows = np.flatnonzero(times[:, i])
-                held = total[i]
-                held[0] += times[rows, i] @ np.abs(played(own, x[rows])[0])
-                held[1] += times[rows, i].sum()
-        for i, (sums, weight) in total.items():
-            yield pd.DataFrame({"replicate": i, "feature": features, "total": sums, "weight": weight})
+                total[i, :-1] += times[rows, i] @ np.abs(Played(leaves, len(features))(x[rows]))
+                total[i, -1] += times[rows, i].sum()
 
-    parts = drawn.select("_times", *features).repartition(df.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "replicate int, feature string, total double, weight double")
+        for batch in batches:
+            if batch.num_rows:
+                times = batch.column("_times").flatten().to_numpy(zero_copy_only=False).reshape(-1, replicates)
+                held.append((_matrix(batch.select(features).to_pandas(), features), times * batch.column("_alike").to_numpy()[:, None]))
+            if sum(len(x) for x, _ in held) >= 2 * BLOCK:
+                add()
+        if held:
+            add()
+        i, f = (a.ravel() for a in np.indices((replicates, len(features))))
+        yield pa.RecordBatch.from_pydict({"replicate": pa.array(i, pa.int32()), "feature": pa.array([features[j] for j in f]), "total": pa.array(total[:, :-1].ravel()), "weight": pa.array(total[i, -1])})
+
+    alike = drawn.groupBy("_times", *features).agg(F.count("*").cast("double").alias("_alike"))
+    parts = alike.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "replicate int, feature string, total double, weight double")
     found = parts.groupBy("replicate", "feature").agg((F.sum("total") / F.sum("weight")).alias("importance"))
     p = found.withColumn("position", F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("importance"), "feature")))  # a row a feature
     return p.groupBy("feature").agg(F.avg("position").alias("mean_position"), F.coalesce(F.stddev_samp("position"), F.lit(0.0)).alias("sd_position"), F.avg((F.col("position") <= top).cast("double")).alias("top_share"))

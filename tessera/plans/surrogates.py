@@ -17,7 +17,8 @@ def measured(db: Tables) -> DataFrame:
     """Labelled documents with shares and counts of their characters; of an empty text, zeros. What is rare is taken out, what is left is counted."""
     text = F.coalesce("text", F.lit(""))
     share = lambda pattern: F.coalesce(F.try_divide((F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("double"), F.length(text)), F.lit(0.0))
-    return db.documents.join(db.labels.select("doc_id", "quality"), "doc_id").select("source", "quality", F.length(text).cast("double").alias("length"), F.size(F.split(text, r"\s+")).cast("double").alias("words"), share("[0-9]").alias("digits"), share("[A-Z]").alias("upper"), F.size(F.split(text, "\n")).cast("double").alias("lines"))
+    features = db.documents.select("doc_id", "source", F.length(text).cast("double").alias("length"), F.size(F.split(text, r"\s+")).cast("double").alias("words"), share("[0-9]").alias("digits"), share("[A-Z]").alias("upper"), F.size(F.split(text, "\n")).cast("double").alias("lines"))
+    return features.join(db.labels.select("doc_id", "quality"), "doc_id").select("source", "quality", *FEATURES)  # texts are not shuffled
 
 
 @query(None)

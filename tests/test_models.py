@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import gates, images, models
-from tessera.plans import registry
+from tessera.plans import registry, surrogates
 
 SMALL = models.Settings(iterations=6, rate=0.3, depth=3, least_rows=5, held=10**9)  # nothing held back
 
@@ -103,6 +103,12 @@ def test_registered_surrogates_are_whole(spark, sf_dir, monkeypatch):
     assert registry.QUERIES["bootstrap_groups"](spark, sf_dir).select("replicate").distinct().count() == 30
 
 
+def test_texts_are_measured_before_labels_meet_them(spark, sf_dir):
+    plan = surrogates.measured(registry.Tables(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join") :]
+    assert "regexp_replace" in joined and "regexp_replace" not in plan[: plan.index("Join")]
+
+
 def test_masked_crop():
     rgb = np.full((4, 6, 3), 7, np.uint8)
     mask = np.zeros((4, 6), bool)
@@ -169,6 +175,39 @@ def test_models_grow_side_by_side(spark, table, monkeypatch):
     assert tasks[0].nodes[0][7] < tasks[1].nodes[0][7] == tasks[2].nodes[0][7] / 2
 
 
+def test_passes_write_rows_once_and_count_alike_ones_together(spark, table, monkeypatch):
+    """Passes of many trees read the rows written at first, rows alike are one of more weight, and the trees are those of the weights."""
+    settings, features, paths = models.Settings(iterations=5, rate=0.3, depth=2, least_rows=5, held=4), ["a", "b", "c"], []
+    own, status = models.new_path, spark.sparkContext.statusTracker()
+    monkeypatch.setattr(models, "new_path", lambda *a: paths.append(own(*a)) or paths[-1])
+    monkeypatch.setattr(models, "PENDING", 2)
+    few = table.where("b > 0")
+    copies = few.unionByName(few).unionByName(few)
+    fitted, jobs = [], []
+    for df, weight, rows in ((copies, 1.0, 0), (copies, 1.0, 600), (few, 3.0, 600)):
+        monkeypatch.setattr(models, "TASK_ROWS", rows)
+        spark.sparkContext.setJobGroup(f"alike{len(jobs)}", "")
+        fitted.append(models.fit_all(df, features, "y", F.array(F.lit(weight), (F.col("a") > -1).cast("double") * weight), 2, settings, "g"))
+        jobs.append(len(status.getJobIdsForGroup(f"alike{len(jobs)}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(paths) == 3 and jobs[1] <= jobs[2] < jobs[0]
+    for two in fitted[:2]:
+        for a, b in zip(two, fitted[2]):
+            assert [n[:4] for n in a.nodes] == [n[:4] for n in b.nodes] and len(a.nodes) > 16
+            assert np.allclose([v for v, _ in a.leaves], [v for v, _ in b.leaves], atol=1e-9)
+
+
+def test_attributions_by_cell_are_those_of_the_leaves(table, monkeypatch):
+    leaves, rng = models.fit(table, ["a", "b", "c"], "y", SMALL).leaves, np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(50, 3)), [[v, v, v] for _, c in leaves for _, lo, hi, _ in c for v in (lo, hi) if np.isfinite(v)]])  # on the bounds too
+    by_leaf = sum(models.shapley([leaf], x)[0] for leaf in leaves)
+    for cells in (1, 50, 10**5):
+        monkeypatch.setattr(models, "CELLS", cells)
+        assert np.allclose(models.shapley(leaves, x)[0], by_leaf, atol=1e-12)
+    for i in range(0, len(x), 7):
+        assert np.allclose(by_leaf[i], by_coalitions(leaves, x[i], 3), atol=1e-9)
+
+
 def test_a_fold_without_a_group_has_no_measures(spark, table):
     folds = {r.fold: r.ap for r in models.cross_validate(table.where("g in ('g1', 'g2', 'g3')"), ["a"], "y", "g", 12, models.Settings(iterations=1, depth=1, least_rows=1, held=10**9)).collect()}
     assert len(folds) == 12 and 9 <= sum(ap is None for ap in folds.values()) <= 11
